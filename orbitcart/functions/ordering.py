@@ -53,17 +53,27 @@ def with_global_row_number(df: DataFrame, order_by: Sequence[Column], out: str =
                   .drop("__mid", "__pid", "__local", "__off"))
 
 
-def with_global_running_sum(df: DataFrame, order_by: Sequence[Column], value: str | Column,
-                            out: str, num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running ``sum(value) over (order by ... rows unbounded preceding)``."""
-    v = F.col(value) if isinstance(value, str) else value
-    ranged = _ranged(df.withColumn("__val", v), order_by, num_partitions)
-    offsets = _offsets(ranged, F.col("__val"))
+def with_global_running_sum(df: DataFrame, order_by: Sequence[Column], value: str | Column | dict,
+                            out: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running ``sum(value) over (order by ... rows unbounded preceding)``.
+
+    ``value`` may be a dict ``{out_name: column}`` to get several running sums (e.g. a row
+    number as the running sum of 1 next to a cumulative revenue) from one range shuffle.
+    """
+    values = value if isinstance(value, dict) else {out: value}
+    tmp = {f"__val{i}": (F.col(v) if isinstance(v, str) else v) for i, v in enumerate(values.values())}
+    ranged = _ranged(df.withColumns(tmp), order_by, num_partitions)
+    per = ranged.groupBy("__pid").agg(*[F.sum(k).alias(f"__w{i}") for i, k in enumerate(tmp)])
+    wo = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("__pid", *[F.coalesce(F.sum(f"__w{i}").over(wo), F.lit(0)).alias(f"__off{i}")
+                                    for i in range(len(tmp))])
     w = Window.partitionBy("__pid").orderBy("__local").rowsBetween(Window.unboundedPreceding, 0)
-    return (ranged.withColumn("__run", F.sum("__val").over(w))
-                  .join(F.broadcast(offsets), "__pid")
-                  .withColumn(out, F.col("__off") + F.col("__run"))
-                  .drop("__mid", "__pid", "__local", "__off", "__run", "__val"))
+    res = ranged.withColumns({f"__run{i}": F.sum(k).over(w) for i, k in enumerate(tmp)}) \
+                .join(F.broadcast(offsets), "__pid")
+    res = res.withColumns({name: F.col(f"__off{i}") + F.col(f"__run{i}") for i, name in enumerate(values)})
+    drop = ["__mid", "__pid", "__local", *tmp, *[f"__off{i}" for i in range(len(tmp))],
+            *[f"__run{i}" for i in range(len(tmp))]]
+    return res.drop(*drop)
 
 
 def with_rank_min(df: DataFrame, value: str, out: str, descending: bool = True,

@@ -38,6 +38,7 @@ def _load_all() -> None:
     # importing the catalogue modules registers their queries
     from orbitcart.plans import catalog_core  # noqa: F401
     from orbitcart.plans import catalog_dash  # noqa: F401
+    from orbitcart.plans import catalog_customers  # noqa: F401
 
 
 def all_queries() -> dict[str, QueryFn]:
