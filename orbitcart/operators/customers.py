@@ -55,7 +55,8 @@ def customer_kpis(master: DataFrame, fs: DataFrame) -> DataFrame:
         (F.sum(F.when(~cur, F.col("rs"))) / F.sum(F.when(~cur, F.col("rn")))).alias("csat_p"),
         F.avg("rev").alias("basket_t"), F.avg(F.when(cur, F.col("rev"))).alias("basket_c"),
         F.avg(F.when(~cur, F.col("rev"))).alias("basket_p"))
-    scal = {c: b.select(c).scalar() for c in b.columns}
+    packed = b.select(F.struct(*b.columns)).scalar()  # one subquery for all six values
+    scal = {c: packed[c] for c in b.columns}
     z = lambda c: F.coalesce(c, F.lit(0.0))
     cols = []
     for s in ("t", "c", "p"):
@@ -197,6 +198,11 @@ def top_customers(master: DataFrame, n: int = 20) -> DataFrame:
     return agg.orderBy(F.desc("total_spending"), KEY).limit(n)
 
 
+def _n_total(spend: DataFrame):
+    st = spend.agg(F.count(F.lit(1)).alias("n"), F.sum("total_spending").alias("t")).select(F.struct("n", "t")).scalar()
+    return st["n"], st["t"]
+
+
 def ranked_spend(spend: DataFrame) -> DataFrame:
     """Customers by spend descending (ties by id) with row number and cumulative spend."""
     order = [F.desc("total_spending"), F.asc(KEY)]
@@ -208,8 +214,7 @@ def pareto_curve(master: DataFrame, points: int = 50) -> DataFrame:
     """N13 cumulative revenue share by customer percentile, sampled every n // points ranks
     plus the last one."""
     spend = customer_spend(master).select(KEY, "total_spending")
-    n = spend.agg(F.count(F.lit(1))).scalar()
-    total = spend.agg(F.sum("total_spending")).scalar()
+    n, total = _n_total(spend)
     r = ranked_spend(spend)
     step = F.greatest(F.floor(n / F.lit(points)), F.lit(1))
     keep = ((F.col("rank") - 1) % step == 0) | (F.col("rank") == n)
@@ -221,8 +226,7 @@ def pareto_curve(master: DataFrame, points: int = 50) -> DataFrame:
 def pareto_top_share(master: DataFrame, share: float = 0.20) -> DataFrame:
     """N13 exact revenue share % (1 decimal) of the top floor(share * n) customers (at least 1)."""
     spend = customer_spend(master).select(KEY, "total_spending")
-    n = spend.agg(F.count(F.lit(1))).scalar()
-    total = spend.agg(F.sum("total_spending")).scalar()
+    n, total = _n_total(spend)
     k = F.greatest(F.floor(n * F.lit(share)), F.lit(1))
     r = ranked_spend(spend)
     return r.where(F.col("rank") <= k).agg(
@@ -237,8 +241,7 @@ REVENUE_BANDS = ["Top 1% VIPs", "Top 5% High-Value", "Top 20% Core Buyers", "Nex
 def revenue_bands(master: DataFrame) -> DataFrame:
     """N14 revenue by rank band with the cut rule p_k = max(p_{k-1} + 1, floor(n * share_k))."""
     spend = customer_spend(master).select(KEY, "total_spending")
-    n = spend.agg(F.count(F.lit(1))).scalar()
-    total = spend.agg(F.sum("total_spending")).scalar()
+    n, total = _n_total(spend)
     p1 = F.greatest(F.lit(1), F.floor(n * F.lit(0.01)))
     p5 = F.greatest(p1 + 1, F.floor(n * F.lit(0.05)))
     p20 = F.greatest(p5 + 1, F.floor(n * F.lit(0.20)))

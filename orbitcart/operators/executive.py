@@ -292,10 +292,10 @@ def executive_kpis(master: DataFrame, fs: DataFrame | None = None) -> DataFrame:
         rep = per_cust.agg((F.avg((F.col("o") > 1).cast("double")) * 100.0).alias("x"),
                            (F.avg(F.when(F.col("o_c") > 0, (F.col("o_c") > 1).cast("double"))) * 100.0).alias("y"),
                            (F.avg(F.when(F.col("o_p") > 0, (F.col("o_p") > 1).cast("double"))) * 100.0).alias("z"))
-        retention, ret_c, ret_p = (rep.select(c).scalar() for c in ("x", "y", "z"))
-    growth = monthly_growth(master)
-    g_c = growth.select("growth_current").scalar()
-    g_p = growth.select("growth_previous").scalar()
+        packed = rep.select(F.struct("x", "y", "z")).scalar()
+        retention, ret_c, ret_p = packed["x"], packed["y"], packed["z"]
+    growth = monthly_growth(master).select(F.struct("growth_current", "growth_previous")).scalar()
+    g_c, g_p = growth["growth_current"], growth["growth_previous"]
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     wide = t.select(
         F.col("rev").alias("total_revenue_t"), zero(F.col("rev_c")).alias("total_revenue_c"),

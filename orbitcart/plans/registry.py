@@ -39,6 +39,7 @@ def _load_all() -> None:
     from orbitcart.plans import catalog_core  # noqa: F401
     from orbitcart.plans import catalog_dash  # noqa: F401
     from orbitcart.plans import catalog_customers  # noqa: F401
+    from orbitcart.plans import catalog_pages  # noqa: F401
 
 
 def all_queries() -> dict[str, QueryFn]:
