@@ -56,7 +56,7 @@ def customer_features(master: DataFrame, snapshot: Column | None = None) -> Data
         money_sum("price").alias("total_spending"),
         money_sum("freight_value").alias("total_freight_paid"),
         money_avg("price").alias("avg_order_value"),
-        F.avg("avg_review_score").alias("avg_review_score_given"),
+        F.round(F.avg("avg_review_score"), 10).alias("avg_review_score_given"),  # stable across partitionings
         F.min("order_purchase_timestamp").alias("first_purchase_date"),
         F.max("order_purchase_timestamp").alias("last_purchase_date"),
         F.countDistinct("product_category_name_english").alias("distinct_categories_count"),

@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitcart.operators import basket
+from orbitcart.operators import basket, churn, clv
 from orbitcart.plans.pipeline import Retail, retail
 
 _MEMO: dict[tuple[int, str], "Jobs"] = {}
@@ -37,6 +37,34 @@ class Jobs:
         return self._cut(basket.association_rules(self.itemsets, 1.0))
 
 
+    # ---- I: churn (rule probability path; the model path is ``churn_model``)
+    @cached_property
+    def scored(self) -> DataFrame:
+        df = churn.rule_probability(self.r.feature_store)
+        return self._cut(churn.with_retention_actions(churn.with_risk(df)))
+
+    @cached_property
+    def churn_model(self):
+        """(best PipelineModel, metrics) from the model comparison."""
+        return churn.train_churn_models(self.r.feature_store)
+
+    @cached_property
+    def model_scored(self) -> DataFrame:
+        model, _ = self.churn_model
+        return self._cut(churn.with_risk(churn.churn_probability(model, churn.prepare_labels(self.r.feature_store))))
+
+    # ---- J: CLV (closed-form prediction path; the model path is ``clv_model``)
+    @cached_property
+    def clv_frame(self) -> DataFrame:
+        base = clv.rule_predicted_clv(clv.clv_features(self.r.feature_store))
+        tiered = clv.value_tiers(base, "predicted_clv")
+        return self._cut(clv.opportunities(tiered))
+
+    @cached_property
+    def clv_model(self):
+        return clv.train_clv_models(self.r.feature_store)
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> Jobs:
     r = retail(spark, sf_dir)
     key = (id(spark), r.sf_dir)

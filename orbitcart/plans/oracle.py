@@ -111,7 +111,7 @@ SELECT customer_unique_id, preferred_payment_type AS preferred_payment_method FR
 SELECT customer_unique_id, count(DISTINCT order_id) AS total_orders, count(order_item_id) AS total_items_purchased,
        {R("sum(price)", 2)} AS total_spending, {R("sum(freight_value)", 2)} AS total_freight_paid,
        {R("sum(price)", 2)} / count(price) AS avg_order_value,
-       avg(avg_review_score) AS avg_review_score_given, min(order_purchase_timestamp) AS first_purchase_date,
+       {R("avg(avg_review_score)", 10)} AS avg_review_score_given, min(order_purchase_timestamp) AS first_purchase_date,
        max(order_purchase_timestamp) AS last_purchase_date,
        count(DISTINCT product_category_name_english) AS distinct_categories_count,
        arg_min(customer_state, (order_purchase_timestamp, order_id, order_item_id)) AS customer_state,

@@ -41,6 +41,7 @@ def _load_all() -> None:
     from orbitcart.plans import catalog_customers  # noqa: F401
     from orbitcart.plans import catalog_pages  # noqa: F401
     from orbitcart.plans import catalog_basket  # noqa: F401
+    from orbitcart.plans import catalog_churn_clv  # noqa: F401
 
 
 def all_queries() -> dict[str, QueryFn]:
