@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitcart.operators import basket, churn, clv
+from orbitcart.operators import recommend as reco
 from orbitcart.plans.pipeline import Retail, retail
 
 _MEMO: dict[tuple[int, str], "Jobs"] = {}
@@ -65,6 +66,38 @@ class Jobs:
         return clv.train_clv_models(self.r.feature_store)
 
 
+    # ---- K: recommender
+    @cached_property
+    def popularity(self) -> DataFrame:
+        return self._cut(reco.popularity(self.r.master))
+
+    @cached_property
+    def catalogue(self) -> DataFrame:
+        return self._cut(reco.catalogue(self.popularity, reco.TOP_PRODUCTS))
+
+    @cached_property
+    def interactions(self) -> DataFrame:
+        return self._cut(reco.interactions(self.r.master, self.catalogue))
+
+    @cached_property
+    def collab(self) -> DataFrame:
+        return self._cut(reco.collab_similarity(self.interactions, reco.TOP_PRODUCTS))
+
+    @cached_property
+    def content(self) -> DataFrame:
+        return self._cut(reco.content_similarity(self.catalogue, reco.TOP_PRODUCTS))
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        """K6 + K7 for every customer: hybrid top-5, cold start for the rest."""
+        h = reco.hybrid_matrix(self.collab, self.content)
+        hyb = reco.with_product_info(reco.recommend(self.interactions, h, 5), self.catalogue)
+        cold = reco.cold_start(self.r.feature_store, hyb, self.popularity, 5)
+        cols = ["customer_unique_id", "product_id", "category", "avg_price", "hybrid_score", "rec_rank",
+                "explanation", "recommendation_type"]
+        return self._cut(hyb.select(*cols).unionByName(cold.select(*cols)))
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> Jobs:
     r = retail(spark, sf_dir)
     key = (id(spark), r.sf_dir)
