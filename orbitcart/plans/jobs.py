@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbitcart.operators import basket, churn, clv
 from orbitcart.operators import recommend as reco
+from orbitcart.operators import segment as seg
 from orbitcart.plans.pipeline import Retail, retail
 
 _MEMO: dict[tuple[int, str], "Jobs"] = {}
@@ -98,6 +99,28 @@ class Jobs:
         return self._cut(hyb.select(*cols).unionByName(cold.select(*cols)))
 
 
+    # ---- H: segmentation
+    @cached_property
+    def seg_prepared(self):
+        model, data = seg.prepared(self.r.feature_store)
+        return model, self._cut(data)
+
+    @cached_property
+    def seg_k(self):
+        return seg.choose_k(self.seg_prepared[1])
+
+    @cached_property
+    def clusters(self):
+        """(best algorithm, customers with cluster_id + persona_title, benchmark table)."""
+        data = self.seg_prepared[1]
+        best, pred, table = seg.benchmark(data, self.seg_k[0])
+        pers = seg.personas(seg.cluster_summary(pred))
+        out = pred.join(pers.select("cluster_id", "persona_title"), "cluster_id", "left")
+        keep = [c for c in out.columns if c not in ("raw_features", "features", "centred", "pca", "probability")
+                and not c.endswith("__imp")]
+        return best, self._cut(out.select(*keep)), table
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> Jobs:
     r = retail(spark, sf_dir)
     key = (id(spark), r.sf_dir)
