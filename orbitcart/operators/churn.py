@@ -310,3 +310,38 @@ def search_churn_profile(scored: DataFrame, master: DataFrame, q: str) -> DataFr
     return hit.select(KEY, "churn_probability", "risk_level", "recency_days", "total_orders", "total_spending") \
               .join(attrs, KEY, "left")
 
+
+
+# ------------------------------------------------------------------ I16 model attributions
+
+def linear_attributions(model: PipelineModel, df: DataFrame, top: int = 3, features=CHURN_FEATURES) -> DataFrame:
+    """I16 exact attributions of a linear (logistic) PipelineModel: coef_j * z_j on the
+    standardised features (z_j = scaled x_j - mean_j), for every row; top-3 risk-raising and
+    top-3 risk-lowering drivers by sorting the small per-row array."""
+    lr = model.stages[-1]
+    coefs = [float(c) for c in lr.coefficients]
+    z = vector_to_array("features")
+    scored = model.transform(df)
+    contrib = F.array(*[F.struct(F.lit(f).alias("feature"), (z[i] * coefs[i]).alias("value"))
+                        for i, f in enumerate(features)])
+    srt = F.array_sort(contrib, lambda a, b: F.when(a["value"] > b["value"], -1)
+                       .when(a["value"] < b["value"], 1).otherwise(0))
+    return scored.select(KEY, F.slice(F.filter(srt, lambda s: s["value"] > 0), 1, top).alias("top_up"),
+                         F.slice(F.reverse(F.filter(srt, lambda s: s["value"] < 0)), 1, top).alias("top_down"))
+
+
+# ------------------------------------------------------------------ P11 retraining
+
+def retrain_and_promote(incumbent: PipelineModel, fs: DataFrame, model: str = "logistic", seed: int = 7):
+    """P11 fit a candidate on fresh data, score incumbent and candidate on one hold-out, and
+    promote the candidate only when its ROC-AUC improves (Q18: the reference always promoted).
+    Returns (chosen model, one-row decision DataFrame)."""
+    data = class_weights(prepare_labels(fs))
+    train, hold = split_train_test(data, seed=seed)
+    cand = churn_pipeline(model, seed=seed).fit(train)
+    bc = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+    old_auc, new_auc = bc.evaluate(incumbent.transform(hold)), bc.evaluate(cand.transform(hold))
+    promote = new_auc > old_auc
+    decision = fs.sparkSession.createDataFrame(
+        [(round(old_auc, 4), round(new_auc, 4), bool(promote))], "incumbent_auc double, candidate_auc double, promoted boolean")
+    return (cand if promote else incumbent), decision

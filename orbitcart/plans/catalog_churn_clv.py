@@ -398,3 +398,19 @@ def j4(spark, sf):
 def j6(spark, sf):
     model, _ = _j(spark, sf).clv_model
     return J.predict_clv(model, retail(spark, sf).feature_store).select("customer_unique_id", "predicted_clv")
+
+
+@query("I16_model_attributions")
+def i16(spark, sf):
+    fs = retail(spark, sf).feature_store
+    data = I.class_weights(I.prepare_labels(fs))
+    model = I.churn_pipeline("logistic").fit(data)
+    return I.linear_attributions(model, data)
+
+
+@query("P11_retrain_and_promote")
+def p11(spark, sf):
+    j = _j(spark, sf)
+    incumbent, _ = j.churn_model
+    _, decision = I.retrain_and_promote(incumbent, retail(spark, sf).feature_store)
+    return decision

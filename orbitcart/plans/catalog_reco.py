@@ -175,3 +175,22 @@ def k15(spark, sf):
     f = K.filter_recommendations(_j(spark, sf).recommendations, categories=["brand_1", "brand_2", "brand_3"],
                                  min_score=1.0)
     return rounded(f.select("customer_unique_id", "product_id", "category", "hybrid_score"), {"hybrid_score": 6})
+
+
+@query("K17_ranking_evaluation")
+def k17(spark, sf):
+    return K.ranking_evaluation(retail(spark, sf).master, 10)
+
+
+@query("M20_dashboard_payload_sizes")
+def m20(spark, sf):
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from orbitcart.operators.executive import dashboard_payload
+    r = retail(spark, sf)
+    p = dashboard_payload(r.master, r.feature_store, start="1996-01-01", end="2000-12-31")
+    parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(k).alias("table_name"), "row_count")
+             for k, df in p.items()]
+    return reduce(DataFrame.unionByName, parts)
