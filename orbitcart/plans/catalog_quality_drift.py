@@ -81,12 +81,58 @@ def b3(spark, sf):
     return functools.reduce(DataFrame.unionByName, [B.missing_by_column(n, df) for n, df in raw.items()])
 
 
-@query("B7_quality_summary")
+_RAW_MORE = f"""
+, raw_products AS (SELECT p_partkey AS product_id, p_brand AS product_category_name,
+                          CAST(length(p_name) AS INTEGER) AS product_name_lenght,
+                          CAST(p_size AS DOUBLE) * 10.0 AS product_weight_g FROM part),
+raw_reviews AS (SELECT l_orderkey AS order_id, CAST(1 + (l_partkey + l_linenumber) % 5 AS VARCHAR) AS review_score
+                FROM lineitem),
+raw_sellers AS (SELECT s.s_suppkey AS seller_id, n.n_name || '-SUPPLY' AS seller_city, n.n_name AS seller_state
+                FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey)"""
+
+_TABLE_COLS = {
+    "customers": ("raw_customers", ["customer_id", "customer_unique_id", "customer_city", "customer_state"]),
+    "orders": ("raw_orders", _ORDER_COLS),
+    "order_items": ("raw_items", _ITEM_COLS),
+    "products": ("raw_products", ["product_id", "product_category_name", "product_name_lenght", "product_weight_g"]),
+    "payments": ("raw_payments", ["order_id", "payment_sequential", "payment_type", "payment_installments",
+                                  "payment_value"]),
+    "reviews": ("raw_reviews", ["order_id", "review_score"]),
+    "sellers": ("raw_sellers", ["seller_id", "seller_city", "seller_state"]),
+}
+
+
+def _summary_cte() -> str:
+    parts = []
+    for name, (tbl, cols) in _TABLE_COLS.items():
+        nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in cols)
+        parts.append(
+            f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {tbl}) AS total_rows, {len(cols)} AS total_columns, "
+            f"CAST((SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM {tbl} GROUP BY {', '.join(cols)})) "
+            f"AS BIGINT) AS duplicate_rows, (SELECT {nulls} FROM {tbl}) AS missing_cells")
+    return ",\nsumm AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+_B7_SQL = with_base(f"""{_RAW}{_RAW_MORE}{_summary_cte()}
+SELECT *, {R('CASE WHEN total_rows > 0 THEN duplicate_rows * 100.0 / total_rows ELSE 0.0 END', 2)} AS duplicate_rate_pct,
+       {R('CASE WHEN total_rows * total_columns > 0 THEN missing_cells * 100.0 / (total_rows * total_columns) ELSE 0.0 END', 2)}
+         AS missing_rate_pct FROM summ""")
+
+_B8_SQL = with_base(f"""{_RAW}{_RAW_MORE}{_summary_cte()},
+t AS (SELECT sum(missing_cells) AS m, sum(total_rows * total_columns) AS c, sum(duplicate_rows) AS d,
+             sum(total_rows) AS r FROM summ),
+x AS (SELECT CASE WHEN c > 0 THEN m * 100.0 / c ELSE 0.0 END AS miss,
+             CASE WHEN r > 0 THEN d * 100.0 / r ELSE 0.0 END AS dup FROM t)
+SELECT {R('greatest(100.0 - (2.0 * miss + 3.0 * dup), 0.0)', 2)} AS quality_score, {R('miss', 2)} AS missing_pct,
+       {R('dup', 2)} AS duplicate_pct FROM x""")
+
+
+@query("B7_quality_summary", _B7_SQL)
 def b7(spark, sf):
     return B.quality_summary({k: v for k, v in _raw(spark, sf).items() if k != "category_translation"})
 
 
-@query("B8_quality_score")
+@query("B8_quality_score", _B8_SQL)
 def b8(spark, sf):
     return B.quality_score(B.quality_summary({k: v for k, v in _raw(spark, sf).items()
                                               if k != "category_translation"}))
@@ -142,7 +188,15 @@ def p1_halves(spark, sf):
     return P.ks_test(ref, cur)
 
 
-@query("P2_drift_report")
+def _p2_sql() -> str:
+    body = _ks_sql(_TIME_SPLIT)
+    head, tail = body.rsplit("SELECT feature,", 1)
+    return head + """, ks AS (SELECT feature,""" + tail + """)
+SELECT bool_or(drift_detected) AS drift_detected, count(*) FILTER (WHERE drift_detected) AS drifted_count,
+       list_sort(list(feature) FILTER (WHERE drift_detected)) AS drifted, count(*) AS features_checked FROM ks"""
+
+
+@query("P2_drift_report", _p2_sql())
 def p2(spark, sf):
     ref, cur = P.split_by_time(retail(spark, sf).feature_store)
     return P.drift_report(P.ks_test(ref, cur))

@@ -103,7 +103,8 @@ class Jobs:
     @cached_property
     def seg_prepared(self):
         model, data = seg.prepared(self.r.feature_store)
-        return model, self._cut(data)
+        # checkpointed (short lineage) and kept in memory across the k-selection and benchmark fits
+        return model, self.r._keep(self._cut(data))
 
     @cached_property
     def seg_k(self):
