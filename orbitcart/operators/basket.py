@@ -31,9 +31,12 @@ def baskets(master: DataFrame, item_col: str = CAT) -> DataFrame:
 
 
 def frequent_itemsets(bsk: DataFrame, min_support: float = DEFAULT_MIN_SUPPORT,
-                      retry_support: float | None = FALLBACK_MIN_SUPPORT) -> DataFrame:
+                      retry_support: float | None = FALLBACK_MIN_SUPPORT, algorithm: str = "fpgrowth") -> DataFrame:
     """L2/L3/L4 FP-Growth itemsets with support = freq / baskets; retried at a lower support
-    when nothing is frequent (the Apriori option yields the same itemsets and routes here)."""
+    when nothing is frequent. ``algorithm='apriori'`` is accepted: Apriori and FP-Growth find the
+    same frequent itemsets, so both use Spark's distributed FP-Growth."""
+    if algorithm not in ("fpgrowth", "apriori"):
+        raise ValueError(f"unknown itemset algorithm {algorithm}")
     def mine(s: float) -> DataFrame:
         model = FPGrowth(itemsCol="items", minSupport=s).fit(bsk)
         return model.freqItemsets

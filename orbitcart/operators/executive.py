@@ -235,8 +235,8 @@ def monthly_growth(master: DataFrame) -> DataFrame:
     monthly = (master.where(F.col(TS).isNotNull())
                .groupBy(F.date_trunc("month", F.col(TS)).alias("month_start"))
                .agg(money_sum("price").alias("revenue")))
-    w = Window.orderBy(F.desc("month_start"))  # one row per month: bounded single-task window
-    ranked = monthly.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 3)
+    last3 = monthly.orderBy(F.desc("month_start")).limit(3)  # top-k, then a window over 3 rows
+    ranked = last3.withColumn("k", F.row_number().over(Window.orderBy(F.desc("month_start"))))
     piv = ranked.agg(F.max(F.when(F.col("k") == 1, F.col("revenue"))).alias("m1"),
                      F.max(F.when(F.col("k") == 2, F.col("revenue"))).alias("m2"),
                      F.max(F.when(F.col("k") == 3, F.col("revenue"))).alias("m3"),

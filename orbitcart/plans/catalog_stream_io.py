@@ -178,3 +178,44 @@ def a13(spark, sf):
     parsed = io.audit_lines(spark.read.text(logs))
     return parsed.agg(F.count(F.lit(1)).alias("entries"), F.min("ts").cast("timestamp_ntz").alias("oldest"),
                       F.max("ts").cast("timestamp_ntz").alias("newest"))
+
+
+@query("A9_A10_model_roundtrip_scoring")
+def a9(spark, sf):
+    """A9 save + reload a churn PipelineModel, A10 score an uploaded CSV of the feature store."""
+    from orbitcart.operators import churn as I
+    fs = retail(spark, sf).feature_store
+    data = I.class_weights(I.prepare_labels(fs))
+    model = I.churn_pipeline("logistic").fit(data)
+    path = io.save_model(model, S.scratch(spark, "a9_model"))
+    upload = S.scratch(spark, "a10_upload")
+    io.write_table(data.select("customer_unique_id", *I.CHURN_FEATURES, "churn_label", "class_weight"), upload, "csv")
+    scored = io.score_uploaded(spark, io.load_model(path), upload,
+                               data.select("customer_unique_id", *I.CHURN_FEATURES, "churn_label", "class_weight").schema)
+    return scored.select("customer_unique_id", F.round("churn_probability", 6).alias("churn_probability"))
+
+
+@query("A11_csv_export_filtered", with_base(f"""
+SELECT product_category_name_english AS category, count(*) AS item_rows, {MSUM('price')} AS revenue
+FROM master WHERE customer_state = 'NATION_5' GROUP BY 1"""))
+def a11(spark, sf):
+    m = retail(spark, sf).master.where(F.col("customer_state") == "NATION_5")
+    path = io.export_csv(m.select("order_id", "product_category_name_english", "price"), S.scratch(spark, "a11_csv"))
+    back = io.read_csv(spark, path, m.select("order_id", "product_category_name_english", "price").schema)
+    return back.groupBy(F.col("product_category_name_english").alias("category")).agg(
+        F.count(F.lit(1)).alias("item_rows"), F.round(F.sum("price"), 2).alias("revenue"))
+
+
+@query("A12_audit_sink_append", with_base(f"""{_SCORED}
+SELECT CAST(last_purchase_date AS DATE) AS event_day, count(*) AS events FROM scr
+WHERE risk_level = 'Critical' GROUP BY 1"""))
+def a12(spark, sf):
+    """A12 append-only audit records partitioned by date, written as a batch of events."""
+    scored = jobs(spark, sf).scored.where(F.col("risk_level") == "Critical")
+    path = S.scratch(spark, "a12_audit")
+    ev = scored.select(F.col("last_purchase_date").cast("timestamp").alias("ts"), F.lit("churn_model").alias("model"),
+                       F.lit("v1").alias("version"), F.col("customer_unique_id").cast("string").alias("entity"),
+                       F.lit("risk_flag").alias("action"), F.col("risk_level").alias("details"))
+    io.append_audit(ev, path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.to_date("event_date").alias("event_day")).agg(F.count(F.lit(1)).alias("events"))

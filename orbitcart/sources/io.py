@@ -144,6 +144,13 @@ def audit_event(spark: SparkSession, path: str, model: str, version: str, entity
          .write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def append_audit(events: DataFrame, path: str) -> str:
+    """A12 append many audit records (ts, model, version, entity, action, details) at once."""
+    events.withColumn("event_date", F.date_format("ts", "yyyy-MM-dd")).write.mode("append") \
+          .partitionBy("event_date").parquet(path)
+    return path
+
+
 def audit_lines(df_text: DataFrame) -> DataFrame:
     """Parse audit text lines into columns with the written format (Q12 fixed)."""
     v = F.col("value")
