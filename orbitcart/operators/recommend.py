@@ -59,6 +59,14 @@ def interactions(master: DataFrame, cat: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(cat.select("product_id", "idx")), "product_id")  # k rows
 
 
+def fanout_partitions(df: DataFrame, factor: int = 4) -> int:
+    """Partition count for a shuffle whose consumer multiplies rows (joins with neighbour lists,
+    Gram folding). A count given explicitly is not coalesced by AQE, which would otherwise size
+    the partitions by the (small) input and leave the exploded work to one or two tasks."""
+    sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, sp * factor)
+
+
 # ------------------------------------------------------------------ Gram kernel
 
 _GRAM_SCHEMA = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
@@ -105,7 +113,7 @@ def gram(entries: DataFrame, group: str, k: int) -> DataFrame:
     """
     rows = (entries.select(F.col(group).alias("g"), F.col("idx").cast("int").alias("idx"),
                            F.col("v").cast("double").alias("v"))
-            .repartition("g").sortWithinPartitions("g"))
+            .repartition(fanout_partitions(entries), "g").sortWithinPartitions("g"))
     partial = rows.mapInPandas(_gram_partials(k), _GRAM_SCHEMA)
     return partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
@@ -162,7 +170,7 @@ def recommend(inter: DataFrame, hybrid: DataFrame, n: int = 5) -> DataFrame:
     (purchased items folded in as exclusion markers) and the per-customer ranking (at most k
     candidates each) all reuse that partitioning, so no further shuffle happens.
     """
-    bought = inter.select(KEY, F.col("idx").alias("p")).repartition(KEY)
+    bought = inter.select(KEY, F.col("idx").alias("p")).repartition(fanout_partitions(inter), KEY)
     h = F.broadcast(hybrid.select(F.col("i").alias("p"), F.col("j").alias("idx"), "h"))
     cand = bought.join(h, "p").select(KEY, "idx", "h", F.lit(0).alias("own"))
     own = bought.select(KEY, F.col("p").alias("idx"), F.lit(0.0).alias("h"), F.lit(1).alias("own"))
