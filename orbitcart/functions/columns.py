@@ -112,3 +112,9 @@ def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str],
     """Wide one-row metric frame -> long (metric, value) rows, values as double."""
     casted = df.select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics])
     return casted.unpivot(list(ids), list(metrics), name_col, value_col)
+
+
+def trunc_like(unit: str, df: DataFrame, name: str) -> Column:
+    """``date_trunc`` that keeps the input column's timestamp type (Spark returns a zoned
+    timestamp even for TIMESTAMP_NTZ input)."""
+    return F.date_trunc(unit, F.col(name)).cast(df.schema[name].dataType)

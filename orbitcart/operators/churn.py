@@ -265,7 +265,7 @@ def purchase_timeline(master: DataFrame) -> DataFrame:
                                              F.count(F.lit(1)).alias("items"))
     w = Window.partitionBy(KEY).orderBy("ts", "order_id")
     return per.select(KEY, "order_id", "ts", "order_value", "items",
-                      F.row_number().over(w).alias("order_seq"),
+                      F.row_number().over(w).cast("long").alias("order_seq"),
                       days_between(F.col("ts"), F.lag("ts").over(w)).alias("days_since_prev"))
 
 

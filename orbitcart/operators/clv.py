@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitcart.functions.columns import money_sum, when_chain
+from orbitcart.functions.columns import money_sum, trunc_like, when_chain
 from orbitcart.functions.ordering import exact_percentiles, with_global_running_sum
 
 KEY = "customer_unique_id"
@@ -186,7 +186,7 @@ def revenue_forecast(master: DataFrame, period: str = "monthly", trend_factor: f
     unit = {"monthly": "month", "quarterly": "quarter", "annual": "year"}[period]
     step = {"month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH", "year": "INTERVAL 1 YEAR"}[unit]
     ts = F.col("order_purchase_timestamp")
-    actual = (master.where(ts.isNotNull()).groupBy(F.date_trunc(unit, ts).alias("period_start"))
+    actual = (master.where(ts.isNotNull()).groupBy(trunc_like(unit, master, "order_purchase_timestamp").alias("period_start"))
                     .agg(money_sum("price").alias("actual_revenue")))
     b = actual.agg(F.min("period_start").alias("lo"), F.max("period_start").alias("hi"))
     spine = b.select(F.explode(F.sequence("lo", "hi", F.expr(step))).alias("period_start"))
@@ -218,7 +218,7 @@ def leaderboard(df: DataFrame, clv: str = "historical_clv", n: int = 100) -> Dat
     rank window afterwards runs over n rows only."""
     from pyspark.sql import Window
     top = df.orderBy(F.desc(clv), KEY).limit(n)
-    return top.select(F.row_number().over(Window.orderBy(F.desc(clv), KEY)).alias("rank"), KEY,
+    return top.select(F.row_number().over(Window.orderBy(F.desc(clv), KEY)).cast("long").alias("rank"), KEY,
                       F.col(clv).alias("clv"), "total_spending", "total_orders", fixed_tier(F.col(clv)).alias("value_tier"))
 
 

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitcart.functions.columns import money_sum, when_chain
+from orbitcart.functions.columns import money_sum, trunc_like, when_chain
 from orbitcart.functions.ordering import with_global_running_sum
 from orbitcart.operators.executive import (KEY, TS, change_pct, is_positive, pretty, with_period_flag,
                                            with_state_coords)
@@ -176,7 +176,7 @@ def loyalty_histogram(fs: DataFrame) -> DataFrame:
 def loyalty_trend(master: DataFrame) -> DataFrame:
     """N11 per month: active buyers (>= 1 order; the reference's "loyal" count) and buyers
     with >= 2 orders in that month."""
-    per = master.where(F.col(TS).isNotNull()).groupBy(F.date_trunc("month", F.col(TS)).alias("month_start"), KEY) \
+    per = master.where(F.col(TS).isNotNull()).groupBy(trunc_like("month", master, TS).alias("month_start"), KEY) \
                 .agg(F.countDistinct("order_id").alias("o"))
     out = per.groupBy("month_start").agg(F.count(F.lit(1)).alias("active_buyers"),
                                          F.count_if(F.col("o") >= 2).alias("repeat_buyers"))

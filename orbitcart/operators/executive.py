@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitcart.functions.columns import first_present, money_sum, when_chain
+from orbitcart.functions.columns import first_present, money_sum, trunc_like, when_chain
 
 KEY = "customer_unique_id"
 TS = "order_purchase_timestamp"
@@ -69,7 +69,7 @@ def revenue_trend(master: DataFrame, granularity: str = "monthly") -> DataFrame:
     """M1 revenue and distinct orders per day / week (Monday start) / month."""
     g = granularity.lower()
     unit = {"daily": "day", "weekly": "week", "monthly": "month"}[g]
-    start = F.date_trunc(unit, F.col(TS))
+    start = trunc_like(unit, master, TS)
     per_order = (master.where(F.col(TS).isNotNull())
                  .groupBy(start.alias("period_start"), "order_id").agg(money_sum("price").alias("rev")))
     out = per_order.groupBy("period_start").agg(money_sum("rev").alias("revenue"),
@@ -89,7 +89,7 @@ def _label(start: Column, g: str) -> Column:
 def customer_growth(master: DataFrame) -> DataFrame:
     """M2 per month: distinct customers, new (first purchase month), returning."""
     cm = (master.where(F.col(TS).isNotNull())
-          .select(KEY, F.date_trunc("month", F.col(TS)).alias("month_start")).distinct())
+          .select(KEY, trunc_like("month", master, TS).alias("month_start")).distinct())
     first = cm.groupBy(KEY).agg(F.min("month_start").alias("first_month"))
     tagged = cm.join(first, KEY)
     out = tagged.groupBy("month_start").agg(

@@ -215,7 +215,7 @@ def similar_products(collab: DataFrame, cat: DataFrame, n: int = 5) -> DataFrame
                .join(F.broadcast(info.select(F.col("idx").alias("j"), F.col("product_id").alias("similar_product_id"))),
                      "j"))
     w = Window.partitionBy("product_id").orderBy(F.desc("sim"), "similar_product_id")  # <= k rows per product
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(
+    return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n).select(
         "product_id", "similar_product_id", F.round("sim", 6).alias("similarity_score"), "rank")
 
 
