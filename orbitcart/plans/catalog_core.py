@@ -40,6 +40,21 @@ def c3_clean_sellers(spark, sf):
     return retail(spark, sf).cleaned["sellers"]
 
 
+@query("C5_clean_payments", with_base(f"""
+SELECT order_id, payment_sequential, payment_type, payment_installments, {R('payment_value', 2)} AS payment_value
+FROM pay_rows"""))
+def c5_clean_payments(spark, sf):
+    return rounded(retail(spark, sf).cleaned["payments"], {"payment_value": 2})
+
+
+@query("C8_clean_reviews", with_base("""
+SELECT l_orderkey AS order_id,
+       coalesce(TRY_CAST(CAST(1 + (l_partkey + l_linenumber) % 5 AS VARCHAR) AS DOUBLE), 3.0) AS review_score
+FROM lineitem"""))
+def c8_clean_reviews(spark, sf):
+    return retail(spark, sf).cleaned["reviews"]
+
+
 @query("D1_payments_by_order", with_base(f"""
 SELECT order_id, {R('total_payment_value', 4)} AS total_payment_value, max_payment_installments,
        preferred_payment_type, payment_sequences_count FROM pay"""))
