@@ -24,12 +24,32 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def _ranged(df: DataFrame, order_by: Sequence[Column], num_partitions: int | None) -> DataFrame:
+    """Range-partition, sort and index the rows, materialised once.
+
+    The per-range offsets and the per-row positions must come from the same partitioning.
+    Re-evaluating a range exchange can sample different bounds (shuffle fetch order feeds the
+    sampler), so the indexed frame is written once to the shared checkpoint folder and both
+    consumers read that copy; a lost executor re-reads it instead of re-sampling.
+    """
     n = _partitions(df, num_partitions)
-    return (df.repartitionByRange(n, *order_by)
-              .sortWithinPartitions(*order_by)
-              .withColumn("__mid", F.monotonically_increasing_id())
-              .withColumn("__pid", F.shiftright(F.col("__mid"), _LOCAL_BITS))
-              .withColumn("__local", F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    ranged = (df.repartitionByRange(n, *order_by)
+                .sortWithinPartitions(*order_by)
+                .withColumn("__mid", F.monotonically_increasing_id())
+                .withColumn("__pid", F.shiftright(F.col("__mid"), _LOCAL_BITS))
+                .withColumn("__local", F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    return materialize(ranged)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once (persisted while writing) and read back from a reliable checkpoint."""
+    from pyspark import StorageLevel
+
+    from orbitcart.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
 
 
 def _offsets(ranged: DataFrame, weight: Column | None = None) -> DataFrame:

@@ -259,14 +259,26 @@ def churn_narrative(df: DataFrame, prob: str = "churn_probability") -> DataFrame
 
 def purchase_timeline(master: DataFrame) -> DataFrame:
     """I17 one row per (customer, order) in time order with order value, running order count
-    and days since the previous order (window partitioned by customer)."""
+    and days since the previous order.
+
+    Skew-safe: instead of a window partitioned by customer (one task per customer), rows get a
+    global row number over (customer, time, order) from range partitioning; a customer's first
+    row number comes from a hash aggregate and the previous order from a 1:1 equi-join on
+    row number - 1, so a customer holding a third of all orders is spread over many tasks.
+    """
+    from orbitcart.functions.ordering import with_global_row_number
     per = master.groupBy(KEY, "order_id").agg(F.min("order_purchase_timestamp").alias("ts"),
                                              money_sum("price").alias("order_value"),
                                              F.count(F.lit(1)).alias("items"))
-    w = Window.partitionBy(KEY).orderBy("ts", "order_id")
-    return per.select(KEY, "order_id", "ts", "order_value", "items",
-                      F.row_number().over(w).cast("long").alias("order_seq"),
-                      days_between(F.col("ts"), F.lag("ts").over(w)).alias("days_since_prev"))
+    ranked = with_global_row_number(per, [F.col(KEY).asc(), F.col("ts").asc_nulls_first(), F.col("order_id").asc()],
+                                    "__rn")
+    first = ranked.groupBy(KEY).agg(F.min("__rn").alias("__first"))
+    prev = ranked.select((F.col("__rn") + 1).alias("__rn"), F.col(KEY).alias("__pk"), F.col("ts").alias("__pts"))
+    out = ranked.join(first, KEY).join(prev, "__rn", "left")
+    gap = F.when(F.col("__pk") == F.col(KEY), days_between(F.col("ts"), F.col("__pts")))
+    return out.select(KEY, "order_id", "ts", "order_value", "items",
+                      (F.col("__rn") - F.col("__first") + 1).cast("long").alias("order_seq"),
+                      gap.alias("days_since_prev"))
 
 
 def batch_summary(scored: DataFrame, prob: str = "churn_probability") -> DataFrame:

@@ -37,8 +37,9 @@ class Retail:
         them back from a checkpoint keeps every downstream plan short and lets a lost
         executor's work be re-read instead of recomputed from the raw tables.
         """
+        from orbitcart.functions.ordering import materialize
         ensure_checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        return materialize(df)
 
     @cached_property
     def raw(self) -> dict[str, DataFrame]:

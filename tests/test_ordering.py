@@ -52,3 +52,16 @@ def test_percentile_edge_case_small(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 2, 2, 3, 10, 10]], "v double")
     got = spark.range(1).select(exact_percentiles(df, "v", [0.5, 0.8, 0.95]).alias("q")).first()["q"]
     assert np.allclose(got, [2.5, 10.0, 10.0])
+
+
+def test_row_number_unique_on_shuffled_input(spark):
+    """Ranking the output of a fresh aggregation (non-deterministic row order inside shuffle
+    partitions) must still give each row one unique, consecutive number."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"k": rng.integers(0, 3000, 20000), "v": rng.integers(0, 50, 20000)})
+    agg = spark.createDataFrame(pdf).repartition(9).groupBy("k").agg(F.sum("v").alias("s"))
+    got = with_global_row_number(agg, [F.col("s").asc(), F.col("k").asc()], "rn", num_partitions=6)
+    n = agg.count()
+    stats = got.agg(F.countDistinct("rn").alias("d"), F.min("rn").alias("lo"), F.max("rn").alias("hi"),
+                    F.count(F.lit(1)).alias("c")).first()
+    assert (stats.d, stats.lo, stats.hi, stats.c) == (n, 1, n, n)
