@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitcart.functions.columns import first_present, money_sum, trunc_like, when_chain
+from orbitcart.functions.columns import first_present, money_sum, trunc_like
 
 KEY = "customer_unique_id"
 TS = "order_purchase_timestamp"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from orbitcart.operators import pages as P
-from orbitcart.plans.catalog_core import _E1_SQL  # noqa: F401  (E1 expressions reused below)
 from orbitcart.plans.oracle import DAYS, MSUM, R, with_base
 from orbitcart.plans.pipeline import retail
 from orbitcart.plans.registry import query, rounded

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from orbitcart.operators import drift as P
 from orbitcart.operators import quality as B
 from orbitcart.plans.oracle import R, with_base
@@ -34,9 +32,6 @@ def _raw(spark, sf):
     return retail(spark, sf).raw
 
 
-_STATS_COLS = "total_rows, total_columns, duplicate_rows, missing_cells"
-
-
 def _stats_sql(table: str, ncols: int, cols: list[str], extra: str = "") -> str:
     nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in cols)
     return with_base(f"""{_RAW}
@@ -51,10 +46,6 @@ _ORDER_COLS = ["order_id", "customer_id", "order_status", "order_purchase_timest
 _ITEM_COLS = ["order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price", "freight_value"]
 
 
-def _dup_group(table: str, cols: list[str]) -> str:
-    return f"SELECT {', '.join(cols)} FROM {table} GROUP BY ALL"
-
-
 def _fix_dup(sql: str, table: str, cols: list[str]) -> str:
     return sql.replace(f"(SELECT count(*) AS c FROM {table} GROUP BY ALL)",
                        f"(SELECT count(*) AS c FROM {table} GROUP BY {', '.join(cols)})")

@@ -3,8 +3,6 @@ profile operators are also registered keyed on the RFM segment, where SQL can ch
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from orbitcart.operators import segment as H
 from orbitcart.plans.jobs import jobs
 from orbitcart.plans.oracle import MSUM, R, with_base

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitcart.operators import clean, drift
+from orbitcart.operators import drift
 from orbitcart.session import scratch_table_path
 from orbitcart.sources.io import audit_lines
 
@@ -130,4 +130,4 @@ def drift_per_batch(stream: DataFrame, baseline: DataFrame, out_path: str,
 
 
 __all__ = ["file_stream", "run_available_now", "telemetry_stream", "canonical_items_stream", "ingest_stream",
-           "running_customer_state", "sessions", "audit_tail", "drift_per_batch", "clean"]
+           "running_customer_state", "sessions", "audit_tail", "drift_per_batch"]

@@ -3,8 +3,6 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
-
 from orbitcart.operators import basket, drift, recommend
 
 

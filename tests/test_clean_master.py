@@ -1,7 +1,5 @@
 """Cleaning and master joins on a literal fixture with nulls, duplicates, ties and bad input
 (the driver tables contain no nulls, so these cases are tested here)."""
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from orbitcart.operators import clean, master

@@ -2,8 +2,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
-
 from orbitcart.operators.labels import rank_quintile, recency_quintile
 
 
