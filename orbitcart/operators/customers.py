@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import weakref
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,6 +204,25 @@ def _n_total(spend: DataFrame):
     return st["n"], st["t"]
 
 
+_RANKED: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDictionary()
+
+
+def ranked_customer_spend(master: DataFrame) -> DataFrame:
+    """Customers ranked by spend for one master frame, computed (and materialised) once and
+    shared by the Pareto curve, the top-share figure and the revenue bands."""
+    try:
+        hit = _RANKED.get(master)
+    except TypeError:
+        hit = None
+    if hit is None:
+        hit = ranked_spend(customer_spend(master).select(KEY, "total_spending"))
+        try:
+            _RANKED[master] = hit
+        except TypeError:
+            pass
+    return hit
+
+
 def ranked_spend(spend: DataFrame) -> DataFrame:
     """Customers by spend descending (ties by id) with row number and cumulative spend."""
     order = [F.desc("total_spending"), F.asc(KEY)]
@@ -215,7 +235,7 @@ def pareto_curve(master: DataFrame, points: int = 50) -> DataFrame:
     plus the last one."""
     spend = customer_spend(master).select(KEY, "total_spending")
     n, total = _n_total(spend)
-    r = ranked_spend(spend)
+    r = ranked_customer_spend(master)
     step = F.greatest(F.floor(n / F.lit(points)), F.lit(1))
     keep = ((F.col("rank") - 1) % step == 0) | (F.col("rank") == n)
     return r.where(keep).select(
@@ -228,7 +248,7 @@ def pareto_top_share(master: DataFrame, share: float = 0.20) -> DataFrame:
     spend = customer_spend(master).select(KEY, "total_spending")
     n, total = _n_total(spend)
     k = F.greatest(F.floor(n * F.lit(share)), F.lit(1))
-    r = ranked_spend(spend)
+    r = ranked_customer_spend(master)
     return r.where(F.col("rank") <= k).agg(
         F.round(F.sum("total_spending") / total * 100.0, 1).alias("top_share_pct"),
         F.count(F.lit(1)).alias("top_customers"))
@@ -246,7 +266,7 @@ def revenue_bands(master: DataFrame) -> DataFrame:
     p5 = F.greatest(p1 + 1, F.floor(n * F.lit(0.05)))
     p20 = F.greatest(p5 + 1, F.floor(n * F.lit(0.20)))
     p50 = F.greatest(p20 + 1, F.floor(n * F.lit(0.50)))
-    r = ranked_spend(spend)
+    r = ranked_customer_spend(master)
     rk = F.col("rank")
     lab = when_chain([(rk <= p1, REVENUE_BANDS[0]), (rk <= p5, REVENUE_BANDS[1]), (rk <= p20, REVENUE_BANDS[2]),
                       (rk <= p50, REVENUE_BANDS[3])], REVENUE_BANDS[4])
