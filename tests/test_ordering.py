@@ -65,3 +65,27 @@ def test_row_number_unique_on_shuffled_input(spark):
     stats = got.agg(F.countDistinct("rn").alias("d"), F.min("rn").alias("lo"), F.max("rn").alias("hi"),
                     F.count(F.lit(1)).alias("c")).first()
     assert (stats.d, stats.lo, stats.hi, stats.c) == (n, 1, n, n)
+
+
+def test_purchase_timeline_with_hot_customer(spark):
+    """A customer with a third of all orders: sequence numbers and gaps equal a per-customer
+    window, without that customer's orders being sorted in one task."""
+    from datetime import datetime, timedelta
+
+    from orbitcart.operators.churn import purchase_timeline
+    rng = np.random.default_rng(2)
+    rows, base = [], datetime(2020, 1, 1)
+    for oid in range(3000):
+        cust = 0 if oid % 3 == 0 else int(rng.integers(1, 200))
+        ts = base + timedelta(days=int(rng.integers(0, 900)))
+        rows.append((cust, oid, ts, float(rng.integers(1, 100))))
+    m = spark.createDataFrame(rows, "customer_unique_id long, order_id long, order_purchase_timestamp timestamp, "
+                                    "price double").repartition(6)
+    got = purchase_timeline(m).toPandas().sort_values(["customer_unique_id", "ts", "order_id"])
+    pdf = pd.DataFrame(rows, columns=["customer_unique_id", "order_id", "ts", "price"]) \
+        .sort_values(["customer_unique_id", "ts", "order_id"])
+    pdf["seq"] = pdf.groupby("customer_unique_id").cumcount() + 1
+    pdf["gap"] = pdf.groupby("customer_unique_id")["ts"].diff().dt.total_seconds() / 86400
+    assert (got["order_seq"].to_numpy() == pdf["seq"].to_numpy()).all()
+    g1, g2 = got["days_since_prev"].to_numpy(), pdf["gap"].to_numpy()
+    assert np.allclose(np.nan_to_num(g1.astype(float), nan=-1), np.nan_to_num(g2, nan=-1))
