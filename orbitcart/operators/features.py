@@ -47,22 +47,48 @@ def order_features(master: DataFrame) -> DataFrame:
 
 
 def customer_features(master: DataFrame, snapshot: Column | None = None) -> DataFrame:
-    """E2 + E3 one row per customer_unique_id."""
+    """E2 + E3 one row per customer_unique_id.
+
+    Built as item -> order -> customer pre-aggregation (no ``count(distinct)`` Expand over the
+    item rows): orders per customer are the order-level rows; distinct categories come from a
+    (customer, category) aggregation; the preferred payment (mode over item rows, smallest on
+    ties) from item counts per (customer, type) — each group there is bounded by the number of
+    payment types. "First" state/city are those of the earliest purchase (ties by order, item).
+    """
     snap = snapshot if snapshot is not None else snapshot_date(master)
-    earliest = F.struct("order_purchase_timestamp", "order_id", "order_item_id")
-    agg = master.groupBy(CUSTOMER_KEY).agg(
-        F.countDistinct("order_id").alias("total_orders"),
-        F.count("order_item_id").alias("total_items_purchased"),
-        money_sum("price").alias("total_spending"),
-        money_sum("freight_value").alias("total_freight_paid"),
-        money_avg("price").alias("avg_order_value"),
-        F.round(F.avg("avg_review_score"), 10).alias("avg_review_score_given"),  # stable across partitionings
-        F.min("order_purchase_timestamp").alias("first_purchase_date"),
-        F.max("order_purchase_timestamp").alias("last_purchase_date"),
-        F.countDistinct("product_category_name_english").alias("distinct_categories_count"),
-        F.min_by("customer_state", earliest).alias("customer_state"),
-        F.min_by("customer_city", earliest).alias("customer_city"),
-        F.mode("preferred_payment_type", deterministic=True).alias("preferred_payment_method"))
+    ts = "order_purchase_timestamp"
+    first_of_order = F.struct(ts, "order_item_id")
+    per_order = master.groupBy(CUSTOMER_KEY, "order_id").agg(
+        F.count("order_item_id").alias("n_items"), money_sum("price").alias("spend"),
+        money_sum("freight_value").alias("freight"), F.sum("avg_review_score").alias("rs"),
+        F.count("avg_review_score").alias("rc"), F.count("price").alias("pc"),
+        F.min(ts).alias("ts_min"), F.max(ts).alias("ts_max"),
+        F.min_by(F.struct("customer_state", "customer_city"), first_of_order).alias("loc"),
+        F.min(F.struct(ts, "order_item_id")).alias("first_key"))
+    agg = per_order.groupBy(CUSTOMER_KEY).agg(
+        F.count(F.lit(1)).alias("total_orders"),
+        F.sum("n_items").alias("total_items_purchased"),
+        money_sum("spend").alias("total_spending"),
+        money_sum("freight").alias("total_freight_paid"),
+        (money_sum("spend") / F.sum("pc")).alias("avg_order_value"),
+        F.round(F.sum("rs") / F.sum("rc"), 10).alias("avg_review_score_given"),  # stable across partitionings
+        F.min("ts_min").alias("first_purchase_date"),
+        F.max("ts_max").alias("last_purchase_date"),
+        F.min_by("loc", F.struct(F.col("first_key"), F.col("order_id"))).alias("loc"))
+    cats = (master.where(F.col("product_category_name_english").isNotNull())
+                  .groupBy(CUSTOMER_KEY, "product_category_name_english").agg(F.count(F.lit(1)).alias("c"))
+                  .groupBy(CUSTOMER_KEY).agg(F.count(F.lit(1)).alias("distinct_categories_count")))
+    pay = (master.where(F.col("preferred_payment_type").isNotNull())
+                 .groupBy(CUSTOMER_KEY, "preferred_payment_type").agg(F.count(F.lit(1)).alias("c"))
+                 .groupBy(CUSTOMER_KEY).agg(
+                     F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("neg"), "preferred_payment_type")))
+                     [0]["preferred_payment_type"].alias("preferred_payment_method")))
+    agg = (agg.join(cats, CUSTOMER_KEY, "left").join(pay, CUSTOMER_KEY, "left")
+              .withColumn("distinct_categories_count", F.coalesce("distinct_categories_count", F.lit(0)).cast("long"))
+              .select(CUSTOMER_KEY, "total_orders", "total_items_purchased", "total_spending", "total_freight_paid",
+                      "avg_order_value", "avg_review_score_given", "first_purchase_date", "last_purchase_date",
+                      "distinct_categories_count", F.col("loc.customer_state").alias("customer_state"),
+                      F.col("loc.customer_city").alias("customer_city"), "preferred_payment_method"))
     age = days_between(snap, "first_purchase_date")
     return agg.withColumns({
         "recency_days": days_between(snap, "last_purchase_date"),
