@@ -155,7 +155,13 @@ def k13(spark, sf):
     return rounded(p, {"avg_price": 6, "avg_rating": 6})
 
 
-@query("K16_business_modes")
+@query("K16_business_modes", with_base(f"""{_RECO}
+SELECT (SELECT category FROM recs GROUP BY category ORDER BY count(*) DESC, category LIMIT 1)
+         AS most_recommended_category,
+       (SELECT product_id FROM recs GROUP BY product_id ORDER BY count(*) DESC, product_id LIMIT 1)
+         AS most_recommended_product,
+       (SELECT product_category_name_english FROM pop ORDER BY total_units DESC, avg_rating DESC, product_id LIMIT 1)
+         AS top_trending_category"""))
 def k16(spark, sf):
     j = _j(spark, sf)
     return K.business_modes(j.recommendations, j.popularity)
