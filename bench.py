@@ -68,6 +68,7 @@ def main() -> None:
     t0 = time.perf_counter()
     r = retail(spark, sf_dir)
     r.master.count()          # clean + join + persist
+    r.order_facts.count()     # one row per order (persisted), read by order-level page queries
     r.feature_store.count()   # features + labels (checkpointed)
     times["etl_feature_store"] = round(time.perf_counter() - t0, 3)
 

@@ -26,14 +26,18 @@ def _buckets(df: DataFrame, label: Column, labels: list[str], name: str) -> Data
 
 # ------------------------------------------------------------------ N1 KPIs
 
-def customer_kpis(master: DataFrame, fs: DataFrame) -> DataFrame:
+def customer_kpis(master: DataFrame, fs: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """N1 10 KPIs x (total, current, previous): customer-side figures come from the feature
     store restricted to customers active in each half (membership via one per-customer pass),
     CSAT and basket size from the master rows of each half."""
-    m = with_period_flag(master)
     cur = F.col("is_current")
-    per_order = m.groupBy(KEY, "order_id", "is_current").agg(
-        money_sum("price").alias("rev"), F.sum("avg_review_score").alias("rs"), F.count("avg_review_score").alias("rn"))
+    if orders is not None:
+        per_order = with_period_flag(orders).select(KEY, "order_id", "is_current", "rev", "rs", "rn")
+    else:
+        m = with_period_flag(master)
+        per_order = m.groupBy(KEY, "order_id", "is_current").agg(
+            money_sum("price").alias("rev"), F.sum("avg_review_score").alias("rs"),
+            F.count("avg_review_score").alias("rn"))
     member = per_order.groupBy(KEY).agg(F.max(cur.cast("int")).alias("in_c"), F.max((~cur).cast("int")).alias("in_p"))
     f = fs.join(member, KEY, "left").fillna(0, ["in_c", "in_p"])
 
@@ -174,11 +178,15 @@ def loyalty_histogram(fs: DataFrame) -> DataFrame:
     return _buckets(fs, lab, LOYALTY_BANDS, "score_range")
 
 
-def loyalty_trend(master: DataFrame) -> DataFrame:
+def loyalty_trend(master: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """N11 per month: active buyers (>= 1 order; the reference's "loyal" count) and buyers
     with >= 2 orders in that month."""
-    per = master.where(F.col(TS).isNotNull()).groupBy(trunc_like("month", master, TS).alias("month_start"), KEY) \
-                .agg(F.countDistinct("order_id").alias("o"))
+    if orders is not None:
+        per = orders.where(F.col(TS).isNotNull()).groupBy(trunc_like("month", orders, TS).alias("month_start"), KEY) \
+                    .agg(F.count(F.lit(1)).alias("o"))
+    else:
+        per = master.where(F.col(TS).isNotNull()).groupBy(trunc_like("month", master, TS).alias("month_start"), KEY) \
+                    .agg(F.countDistinct("order_id").alias("o"))
     out = per.groupBy("month_start").agg(F.count(F.lit(1)).alias("active_buyers"),
                                          F.count_if(F.col("o") >= 2).alias("repeat_buyers"))
     return out.withColumn("month", F.date_format("month_start", "MMM yyyy")).orderBy("month_start")
@@ -186,15 +194,18 @@ def loyalty_trend(master: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ N12-N14 revenue concentration
 
-def customer_spend(master: DataFrame) -> DataFrame:
+def customer_spend(master: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    if orders is not None:
+        return orders.groupBy(KEY).agg(money_sum("rev").alias("total_spending"), F.count(F.lit(1)).alias("total_orders"),
+                                       F.min("customer_state").alias("state"))
     return master.groupBy(KEY).agg(money_sum("price").alias("total_spending"),
                                    F.countDistinct("order_id").alias("total_orders"),
                                    F.min("customer_state").alias("state"))
 
 
-def top_customers(master: DataFrame, n: int = 20) -> DataFrame:
+def top_customers(master: DataFrame, n: int = 20, orders: DataFrame | None = None) -> DataFrame:
     """N12 top-n customers by spend with orders, AOV and state."""
-    agg = customer_spend(master).withColumn(
+    agg = customer_spend(master, orders).withColumn(
         "avg_order_value", F.col("total_spending") / F.greatest(F.col("total_orders"), F.lit(1)))
     return agg.orderBy(F.desc("total_spending"), KEY).limit(n)
 
@@ -207,17 +218,18 @@ def _n_total(spend: DataFrame):
 _RANKED: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDictionary()
 
 
-def ranked_customer_spend(master: DataFrame) -> DataFrame:
+def ranked_customer_spend(master: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """Customers ranked by spend for one master frame, computed (and materialised) once and
     shared by the Pareto curve, the top-share figure and the revenue bands."""
+    src = orders if orders is not None else master
     try:
-        hit = _RANKED.get(master)
+        hit = _RANKED.get(src)
     except TypeError:
         hit = None
     if hit is None:
-        hit = ranked_spend(customer_spend(master).select(KEY, "total_spending"))
+        hit = ranked_spend(customer_spend(master, orders).select(KEY, "total_spending"))
         try:
-            _RANKED[master] = hit
+            _RANKED[src] = hit
         except TypeError:
             pass
     return hit
@@ -230,12 +242,12 @@ def ranked_spend(spend: DataFrame) -> DataFrame:
                                                   "cum_spend": F.col("total_spending")})
 
 
-def pareto_curve(master: DataFrame, points: int = 50) -> DataFrame:
+def pareto_curve(master: DataFrame, points: int = 50, orders: DataFrame | None = None) -> DataFrame:
     """N13 cumulative revenue share by customer percentile, sampled every n // points ranks
     plus the last one."""
-    spend = customer_spend(master).select(KEY, "total_spending")
+    spend = customer_spend(master, orders).select(KEY, "total_spending")
     n, total = _n_total(spend)
-    r = ranked_customer_spend(master)
+    r = ranked_customer_spend(master, orders)
     step = F.greatest(F.floor(n / F.lit(points)), F.lit(1))
     keep = ((F.col("rank") - 1) % step == 0) | (F.col("rank") == n)
     return r.where(keep).select(
@@ -243,12 +255,12 @@ def pareto_curve(master: DataFrame, points: int = 50) -> DataFrame:
         (F.col("cum_spend") / total * 100.0).alias("cumulative_revenue_pct"))
 
 
-def pareto_top_share(master: DataFrame, share: float = 0.20) -> DataFrame:
+def pareto_top_share(master: DataFrame, share: float = 0.20, orders: DataFrame | None = None) -> DataFrame:
     """N13 exact revenue share % (1 decimal) of the top floor(share * n) customers (at least 1)."""
-    spend = customer_spend(master).select(KEY, "total_spending")
+    spend = customer_spend(master, orders).select(KEY, "total_spending")
     n, total = _n_total(spend)
     k = F.greatest(F.floor(n * F.lit(share)), F.lit(1))
-    r = ranked_customer_spend(master)
+    r = ranked_customer_spend(master, orders)
     return r.where(F.col("rank") <= k).agg(
         F.round(F.sum("total_spending") / total * 100.0, 1).alias("top_share_pct"),
         F.count(F.lit(1)).alias("top_customers"))
@@ -258,15 +270,15 @@ REVENUE_BANDS = ["Top 1% VIPs", "Top 5% High-Value", "Top 20% Core Buyers", "Nex
                  "Bottom 50% Long Tail"]
 
 
-def revenue_bands(master: DataFrame) -> DataFrame:
+def revenue_bands(master: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """N14 revenue by rank band with the cut rule p_k = max(p_{k-1} + 1, floor(n * share_k))."""
-    spend = customer_spend(master).select(KEY, "total_spending")
+    spend = customer_spend(master, orders).select(KEY, "total_spending")
     n, total = _n_total(spend)
     p1 = F.greatest(F.lit(1), F.floor(n * F.lit(0.01)))
     p5 = F.greatest(p1 + 1, F.floor(n * F.lit(0.05)))
     p20 = F.greatest(p5 + 1, F.floor(n * F.lit(0.20)))
     p50 = F.greatest(p20 + 1, F.floor(n * F.lit(0.50)))
-    r = ranked_customer_spend(master)
+    r = ranked_customer_spend(master, orders)
     rk = F.col("rank")
     lab = when_chain([(rk <= p1, REVENUE_BANDS[0]), (rk <= p5, REVENUE_BANDS[1]), (rk <= p20, REVENUE_BANDS[2]),
                       (rk <= p50, REVENUE_BANDS[3])], REVENUE_BANDS[4])
@@ -287,11 +299,16 @@ def recency_distribution(fs: DataFrame) -> DataFrame:
     return _buckets(fs, lab, RECENCY_BUCKETS, "recency_bucket")
 
 
-def recently_active(master: DataFrame, n: int = 50) -> DataFrame:
+def recently_active(master: DataFrame, n: int = 50, orders: DataFrame | None = None) -> DataFrame:
     """N16 the n customers with the most recent purchase (whole days before the latest one)."""
-    max_ts = master.agg(F.max(TS)).scalar()
-    agg = master.groupBy(KEY).agg(F.max(TS).alias("last_purchase"), money_sum("price").alias("total_spending"),
-                                  F.countDistinct("order_id").alias("total_orders"))
+    src = orders if orders is not None else master
+    max_ts = src.agg(F.max(TS)).scalar()
+    if orders is not None:
+        agg = orders.groupBy(KEY).agg(F.max(TS).alias("last_purchase"), money_sum("rev").alias("total_spending"),
+                                      F.count(F.lit(1)).alias("total_orders"))
+    else:
+        agg = master.groupBy(KEY).agg(F.max(TS).alias("last_purchase"), money_sum("price").alias("total_spending"),
+                                      F.countDistinct("order_id").alias("total_orders"))
     days = F.floor((F.unix_micros(max_ts.cast("timestamp")) -
                     F.unix_micros(F.col("last_purchase").cast("timestamp"))) / F.lit(86_400_000_000))
     out = agg.select(KEY, F.date_format("last_purchase", "yyyy-MM-dd").alias("last_purchase_date"),
@@ -327,7 +344,7 @@ def customer_profile(fs: DataFrame, master: DataFrame, q: str) -> DataFrame:
     return by_id.unionByName(by_city.where(n_id == 0))
 
 
-def customer_insights(master: DataFrame, fs: DataFrame) -> DataFrame:
+def customer_insights(master: DataFrame, fs: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """N19 insight rows: top state, runner-up state, largest segment, mean basket, Pareto share."""
     states = state_distribution(master).select("state", "customer_count")
     from pyspark.sql import Window
@@ -338,10 +355,11 @@ def customer_insights(master: DataFrame, fs: DataFrame) -> DataFrame:
                         F.col("customer_count").cast("double").alias("metric"))]
     seg = fs.groupBy("rfm_segment").count().orderBy(F.desc("count"), "rfm_segment").limit(1)
     rows.append(seg.select(F.lit("Largest Segment"), pretty("rfm_segment"), F.col("count").cast("double")))
-    per_order = master.groupBy("order_id").agg(money_sum("price").alias("rev"))
+    per_order = orders.select("order_id", "rev") if orders is not None else \
+        master.groupBy("order_id").agg(money_sum("price").alias("rev"))
     rows.append(per_order.agg(F.avg("rev").alias("m")).select(F.lit("Average Basket"), F.lit(None).cast("string"),
                                                              F.col("m")))
-    rows.append(pareto_top_share(master).select(F.lit("Top 20% Revenue Share"), F.lit(None).cast("string"),
+    rows.append(pareto_top_share(master, orders=orders).select(F.lit("Top 20% Revenue Share"), F.lit(None).cast("string"),
                                                 F.col("top_share_pct")))
     named = [r.toDF("insight", "value", "metric") for r in rows]
     return functools.reduce(DataFrame.unionByName, named)

@@ -66,7 +66,7 @@ long AS ({_kpi_rows(spec, 'w')})
 @query("N1_customer_kpis", _n1_sql())
 def n1_customer_kpis(spark, sf):
     r = retail(spark, sf)
-    return rounded(C.customer_kpis(r.master, r.feature_store),
+    return rounded(C.customer_kpis(r.master, r.feature_store, r.order_facts),
                    {"total": 6, "current": 6, "previous": 6, "change_pct": 4})
 
 
@@ -165,7 +165,8 @@ SELECT month_start, count(*) AS active_buyers, count(*) FILTER (WHERE o >= 2) AS
        strftime(month_start, '%b %Y') AS month
 FROM per GROUP BY month_start"""))
 def n11_loyalty_trend(spark, sf):
-    return C.loyalty_trend(retail(spark, sf).master)
+    r = retail(spark, sf)
+    return C.loyalty_trend(r.master, r.order_facts)
 
 
 _SPEND = f"""
@@ -182,14 +183,16 @@ SELECT customer_unique_id, total_spending, total_orders, state,
        {R('total_spending / greatest(total_orders, 1)', 6)} AS avg_order_value
 FROM sp ORDER BY total_spending DESC, customer_unique_id LIMIT 20"""))
 def n12_top_customers(spark, sf):
-    return rounded(C.top_customers(retail(spark, sf).master, 20), {"avg_order_value": 6})
+    r = retail(spark, sf)
+    return rounded(C.top_customers(r.master, 20, r.order_facts), {"avg_order_value": 6})
 
 
 @query("N13_pareto_curve", with_base(f"""{_SPEND}
 SELECT rank, {R('rank / n * 100.0', 6)} AS customer_percentile, {R('cum_spend / total * 100.0', 6)} AS cumulative_revenue_pct
 FROM rk WHERE (rank - 1) % greatest(floor(n / 50), 1) = 0 OR rank = n"""))
 def n13_pareto(spark, sf):
-    return rounded(C.pareto_curve(retail(spark, sf).master, 50),
+    r = retail(spark, sf)
+    return rounded(C.pareto_curve(r.master, 50, r.order_facts),
                    {"customer_percentile": 6, "cumulative_revenue_pct": 6})
 
 
@@ -197,7 +200,8 @@ def n13_pareto(spark, sf):
 SELECT {R('sum(total_spending) / max(total) * 100.0', 1)} AS top_share_pct, count(*) AS top_customers
 FROM rk WHERE rank <= greatest(floor(n * CAST(0.2 AS DOUBLE)), 1)"""))
 def n13_top_share(spark, sf):
-    return C.pareto_top_share(retail(spark, sf).master, 0.20)
+    r = retail(spark, sf)
+    return C.pareto_top_share(r.master, 0.20, r.order_facts)
 
 
 def _n14_sql() -> str:
@@ -221,7 +225,8 @@ FROM spine LEFT JOIN agg USING (segment), tot""")
 
 @query("N14_revenue_bands", _n14_sql())
 def n14_revenue_bands(spark, sf):
-    return rounded(C.revenue_bands(retail(spark, sf).master), {"revenue_share_pct": 6})
+    r = retail(spark, sf)
+    return rounded(C.revenue_bands(r.master, r.order_facts), {"revenue_share_pct": 6})
 
 
 @query("N16_recently_active", with_base(f"""
@@ -233,7 +238,8 @@ SELECT customer_unique_id, strftime(last_purchase, '%Y-%m-%d') AS last_purchase_
        total_spending, total_orders, 'Active' AS status
 FROM agg, mx ORDER BY recency_days, customer_unique_id LIMIT 50"""))
 def n16_recently_active(spark, sf):
-    return C.recently_active(retail(spark, sf).master, 50)
+    r = retail(spark, sf)
+    return C.recently_active(r.master, 50, r.order_facts)
 
 
 @query("N17_dormant_customers", with_base(f"""
@@ -272,4 +278,4 @@ SELECT insight, value, {R('metric', 6)} AS metric FROM (
             FROM rk WHERE rank <= greatest(floor(n * CAST(0.2 AS DOUBLE)), 1))"""))
 def n19_insights(spark, sf):
     r = retail(spark, sf)
-    return rounded(C.customer_insights(r.master, r.feature_store), {"metric": 6})
+    return rounded(C.customer_insights(r.master, r.feature_store, r.order_facts), {"metric": 6})

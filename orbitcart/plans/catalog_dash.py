@@ -18,6 +18,10 @@ def _m(spark, sf):
     return retail(spark, sf).master
 
 
+def _o(spark, sf):
+    return retail(spark, sf).order_facts
+
+
 # ---------------------------------------------------------------- M1-M8
 
 def _trend_sql(unit: str, label: str) -> str:
@@ -29,12 +33,12 @@ FROM per GROUP BY period_start""")
 
 
 query("M1_revenue_trend_monthly", _trend_sql("month", "strftime(period_start, '%b %Y')"))(
-    lambda spark, sf: X.revenue_trend(_m(spark, sf), "monthly"))
+    lambda spark, sf: X.revenue_trend(_m(spark, sf), "monthly", _o(spark, sf)))
 query("M1_revenue_trend_weekly", _trend_sql(
     "week", "strftime(period_start, '%Y-%m-%d') || '/' || strftime(period_start + INTERVAL 6 DAY, '%Y-%m-%d')"))(
-    lambda spark, sf: X.revenue_trend(_m(spark, sf), "weekly"))
+    lambda spark, sf: X.revenue_trend(_m(spark, sf), "weekly", _o(spark, sf)))
 query("M1_revenue_trend_daily", _trend_sql("day", "strftime(period_start, '%Y-%m-%d')"))(
-    lambda spark, sf: X.revenue_trend(_m(spark, sf), "daily"))
+    lambda spark, sf: X.revenue_trend(_m(spark, sf), "daily", _o(spark, sf)))
 
 
 @query("M2_customer_growth", with_base("""
@@ -46,7 +50,7 @@ SELECT month_start, count(*) AS total_customers, count(*) FILTER (WHERE first_mo
        greatest(count(*) - count(*) FILTER (WHERE first_month = month_start), 0) AS returning_customers
 FROM cm JOIN fm USING (customer_unique_id) GROUP BY month_start"""))
 def m2_customer_growth(spark, sf):
-    return X.customer_growth(_m(spark, sf))
+    return X.customer_growth(_m(spark, sf), _o(spark, sf))
 
 
 @query("M3_revenue_by_category", with_base(f"""
@@ -205,7 +209,7 @@ FROM long""")
 @query("M11_executive_kpis", _KPI_SQL)
 def m11_kpis(spark, sf):
     r = retail(spark, sf)
-    k = X.executive_kpis(r.master, r.feature_store)
+    k = X.executive_kpis(r.master, r.feature_store, r.order_facts)
     return rounded(k, {"total": 6, "current": 6, "previous": 6, "change_pct": 4})
 
 
@@ -230,7 +234,7 @@ SELECT {R("CASE WHEN months >= 2 THEN (m1 - m2) / greatest(m2, 1.0) * 100.0 ELSE
        {R("CASE WHEN months >= 3 THEN (m2 - m3) / greatest(m3, 1.0) * 100.0 ELSE 8.5 END", 6)} AS growth_previous
 FROM gp"""))
 def m13_monthly_growth(spark, sf):
-    return rounded(X.monthly_growth(_m(spark, sf)), {"growth_current": 6, "growth_previous": 6})
+    return rounded(X.monthly_growth(_m(spark, sf), _o(spark, sf)), {"growth_current": 6, "growth_previous": 6})
 
 
 # ---------------------------------------------------------------- M15-M18

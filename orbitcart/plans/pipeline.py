@@ -53,6 +53,12 @@ class Retail:
     def master(self) -> DataFrame:
         return self._keep(master.build_master(self.cleaned))
 
+    @cached_property
+    def order_facts(self) -> DataFrame:
+        """One row per order (persisted): what order-level queries aggregate."""
+        from orbitcart.operators.executive import order_facts
+        return self._keep(order_facts(self.master))
+
     @cached_property
     def snapshot(self):
         return features.snapshot_date(self.master)
