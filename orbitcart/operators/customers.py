@@ -89,10 +89,11 @@ def customer_kpis(master: DataFrame, fs: DataFrame, orders: DataFrame | None = N
 
 # ------------------------------------------------------------------ N2-N4 demographics
 
-def state_distribution(master: DataFrame) -> DataFrame:
+def state_distribution(master: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """N2 distinct customers, revenue and centroid per state, customers descending."""
-    per = master.where(F.col("customer_state").isNotNull()).groupBy("customer_state", KEY) \
-                .agg(money_sum("price").alias("rev"))
+    src, val = (orders, "rev") if orders is not None else (master, "price")
+    per = src.where(F.col("customer_state").isNotNull()).groupBy("customer_state", KEY) \
+             .agg(money_sum(val).alias("rev"))
     agg = per.groupBy(F.col("customer_state").alias("state")).agg(
         F.count(F.lit(1)).alias("customer_count"), money_sum("rev").alias("total_revenue"))
     return with_state_coords(agg, "state").orderBy(F.desc("customer_count"), "state")
@@ -346,7 +347,7 @@ def customer_profile(fs: DataFrame, master: DataFrame, q: str) -> DataFrame:
 
 def customer_insights(master: DataFrame, fs: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """N19 insight rows: top state, runner-up state, largest segment, mean basket, Pareto share."""
-    states = state_distribution(master).select("state", "customer_count")
+    states = state_distribution(master, orders).select("state", "customer_count")
     from pyspark.sql import Window
     top2 = states.orderBy(F.desc("customer_count"), "state").limit(2) \
                  .withColumn("k", F.row_number().over(Window.orderBy(F.desc("customer_count"), "state")))  # 2 rows

@@ -127,11 +127,15 @@ def revenue_by_category(master: DataFrame) -> DataFrame:
     return out.select(pretty(cat).alias("category"), "revenue", "order_count").orderBy(F.desc("revenue"))
 
 
-def revenue_by_state(master: DataFrame) -> DataFrame:
+def revenue_by_state(master: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """M4 revenue, distinct customers and centroid per customer state."""
-    state = first_present(master, ["customer_state", "seller_state"])
-    per = (master.where(F.col(state).isNotNull())
-           .groupBy(state, KEY).agg(money_sum("price").alias("rev")))
+    if orders is not None:
+        state = "customer_state"
+        per = orders.where(F.col(state).isNotNull()).groupBy(state, KEY).agg(money_sum("rev").alias("rev"))
+    else:
+        state = first_present(master, ["customer_state", "seller_state"])
+        per = (master.where(F.col(state).isNotNull())
+               .groupBy(state, KEY).agg(money_sum("price").alias("rev")))
     agg = per.groupBy(F.col(state).alias("state")).agg(money_sum("rev").alias("revenue"),
                                                        F.count(F.lit(1)).alias("customer_count"))
     return with_state_coords(agg, "state").orderBy(F.desc("revenue"))
@@ -205,9 +209,12 @@ def business_insights(master: DataFrame, fs: DataFrame | None = None) -> DataFra
     return functools.reduce(DataFrame.unionByName, named)
 
 
-def executive_summary(master: DataFrame, fs: DataFrame | None = None) -> DataFrame:
+def executive_summary(master: DataFrame, fs: DataFrame | None = None,
+                      orders: DataFrame | None = None) -> DataFrame:
     """M10 one row: revenue, share from repeat customers, top category and state, text."""
-    if fs is not None and "is_repeat_customer" in fs.columns:
+    if orders is not None and fs is not None and "is_repeat_customer" in fs.columns:
+        m = orders.select(KEY, F.col("rev").alias("price")).join(fs.select(KEY, "is_repeat_customer"), KEY, "left")
+    elif fs is not None and "is_repeat_customer" in fs.columns:
         m = master.join(fs.select(KEY, "is_repeat_customer"), KEY, "left")
     else:
         per = master.groupBy(KEY).agg(F.countDistinct("order_id").alias("__o"))
@@ -216,7 +223,7 @@ def executive_summary(master: DataFrame, fs: DataFrame | None = None) -> DataFra
                 money_sum(F.when(F.col("is_repeat_customer") == 1, F.col("price"))).alias("repeat_revenue"))
     top_cat = revenue_by_category(master).orderBy(F.desc("revenue"), "category").limit(1) \
         .select("category").scalar()
-    top_state = revenue_by_state(master).orderBy(F.desc("revenue"), "state").limit(1) \
+    top_state = revenue_by_state(master, orders).orderBy(F.desc("revenue"), "state").limit(1) \
         .select("state_name").scalar()
     out = tot.select(
         "total_revenue",

@@ -79,7 +79,8 @@ SELECT agg.state, agg.customer_count, agg.total_revenue, coalesce(dim.state_name
        coalesce(CAST(dim.lat AS DOUBLE), {X.DEFAULT_LAT}) AS lat, coalesce(CAST(dim.lon AS DOUBLE), {X.DEFAULT_LON}) AS lon
 FROM agg LEFT JOIN dim ON upper(agg.state) = dim.state_code"""))
 def n2_state_distribution(spark, sf):
-    return C.state_distribution(retail(spark, sf).master)
+    r = retail(spark, sf)
+    return C.state_distribution(r.master, r.order_facts)
 
 
 @query("N3_top_cities", with_base(f"""

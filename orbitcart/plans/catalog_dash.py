@@ -74,7 +74,7 @@ SELECT agg.state, agg.revenue, agg.customer_count, coalesce(dim.state_name, uppe
        coalesce(CAST(dim.lat AS DOUBLE), {X.DEFAULT_LAT}) AS lat, coalesce(CAST(dim.lon AS DOUBLE), {X.DEFAULT_LON}) AS lon
 FROM agg LEFT JOIN dim ON upper(agg.state) = dim.state_code"""))
 def m4_revenue_by_state(spark, sf):
-    return X.revenue_by_state(_m(spark, sf))
+    return X.revenue_by_state(_m(spark, sf), _o(spark, sf))
 
 
 @query("M5_payment_distribution", with_base(f"""
@@ -156,7 +156,7 @@ SELECT total_revenue,
 FROM t"""))
 def m10_summary(spark, sf):
     r = retail(spark, sf)
-    return X.executive_summary(r.master, r.feature_store).drop("summary")
+    return X.executive_summary(r.master, r.feature_store, r.order_facts).drop("summary")
 
 
 # ---------------------------------------------------------------- M11-M14 KPIs
