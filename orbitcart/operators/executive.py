@@ -430,13 +430,15 @@ def date_bounds(master: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ M20 payload
 
 def dashboard_payload(master: DataFrame, fs: DataFrame | None = None, **filters) -> dict[str, DataFrame]:
-    """M20 the executive page in one call: one filtered master (persisted once, shared by all
-    tables), KPIs, eight chart tables, insights, summary and filter options."""
+    """M20 the executive page in one call: one filtered master and its order facts (each
+    persisted once, shared by all tables), KPIs, eight chart tables, insights, summary and
+    filter options."""
     from pyspark import StorageLevel
     m = filter_master(master, fs, **filters).persist(StorageLevel.MEMORY_AND_DISK)
-    return {"kpis": executive_kpis(m, fs), "revenue_trend": revenue_trend(m, "monthly"),
-            "customer_growth": customer_growth(m), "category_revenue": revenue_by_category(m),
-            "state_revenue": revenue_by_state(m), "payment_methods": payment_distribution(m),
+    o = order_facts(m).persist(StorageLevel.MEMORY_AND_DISK)  # facts of this slice, shared below
+    return {"kpis": executive_kpis(m, fs, o), "revenue_trend": revenue_trend(m, "monthly", o),
+            "customer_growth": customer_growth(m, o), "category_revenue": revenue_by_category(m),
+            "state_revenue": revenue_by_state(m, o), "payment_methods": payment_distribution(m),
             "order_status": order_status_distribution(m), "top_products": top_products(m, 10),
             "ratings": ratings_histogram(m), "insights": business_insights(m, fs),
-            "summary": executive_summary(m, fs), "filter_options": filter_options(master, fs)}
+            "summary": executive_summary(m, fs, o), "filter_options": filter_options(master, fs)}
