@@ -26,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut`` for larger tables: written as Parquet to the shared folder and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names; all others stay outside."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

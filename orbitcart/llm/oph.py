@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitcart.llm.common import components, cut, only, scratch, slices, text_or_empty
+from orbitcart.llm.common import components, cut, only, saved, slices, text_or_empty
 
 BANDS, BAND_BINS = 48, 5
 SHINGLE_WORDS, PERCENT = 5, 75
@@ -165,17 +165,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     spark = docs.sparkSession
     rows = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    signed = cut(signatures(rows, bands=bands, band_bins=band_bins, words=words))
+    signed = saved(signatures(rows, bands=bands, band_bins=band_bins, words=words), "signatures")
     taking_part = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = (taking_part.groupBy("high", "low")
                .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     keyed = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
-    members = cut(keyed.join(shared, "bucket"))
+    shared = saved(keyed.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket"), "buckets")
+    members = saved(keyed.join(shared, "bucket"), "members")
     # the texts that any pair may need, written once; all rounds read these
-    path = scratch(spark, "oph-texts")
-    rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").write.parquet(path)
-    texts = spark.read.parquet(path)
+    texts = saved(rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "texts")
 
     links = tested = spark.createDataFrame([], "hub long, member long")
     labels, turn = spark.createDataFrame([], "id long, component long"), 0

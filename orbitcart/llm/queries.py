@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitcart.llm import bpe, common, oph, orc_tokens
+from orbitcart.llm import bpe, common, oph, orc_tokens, prefix_free
 
 
 def tokenizer_path() -> str:
@@ -37,7 +37,12 @@ def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
-QUERIES = {f.__name__: f for f in (op4_orc_token_ids, op5_minhash_oph, op6_bpe_segment_tree)}
+def op9_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return prefix_free.digests(docs, prefix_free.remove_repeats(docs))
+
+
+QUERIES = {f.__name__: f for f in (op4_orc_token_ids, op5_minhash_oph, op6_bpe_segment_tree, op9_prefix_free_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
 
