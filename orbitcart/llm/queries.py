@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitcart.llm import bpe, common, oph, orc_tokens, prefix_free
+from orbitcart.llm import bpe, cascade, common, oph, orc_tokens, pairwise, prefix_free, randomness
 
 
 def tokenizer_path() -> str:
@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = pairwise.fit(docs, labels.filter(~pairwise.held_out(F.col("doc_id"))))
+    return pairwise.score(docs, model).select("doc_id", pairwise.held_out(F.col("doc_id")).alias("held_out"), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "orc-tokens")
     orc_tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -37,12 +44,22 @@ def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = cascade.judge(cascade.statistics(table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return prefix_free.digests(docs, prefix_free.remove_repeats(docs))
 
 
-QUERIES = {f.__name__: f for f in (op4_orc_token_ids, op5_minhash_oph, op6_bpe_segment_tree, op9_prefix_free_dedup)}
+def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomness.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bradley_terry_quality, op4_orc_token_ids, op5_minhash_oph, op6_bpe_segment_tree,
+                                   op7_rule_cascade, op9_prefix_free_dedup, op10_randomness_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
 
