@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitcart.llm import bpe, cascade, common, oph, orc_tokens, pairwise, prefix_free, randomness
+from orbitcart.llm import bpe, cascade, common, oph, orc_tokens, pairwise, prefix_free, randomness, voronoi
 
 
 def tokenizer_path() -> str:
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_voronoi_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = voronoi.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return voronoi.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
 def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = pairwise.fit(docs, labels.filter(~pairwise.held_out(F.col("doc_id"))))
@@ -58,10 +63,24 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return randomness.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bradley_terry_quality, op4_orc_token_ids, op5_minhash_oph, op6_bpe_segment_tree,
-                                   op7_rule_cascade, op9_prefix_free_dedup, op10_randomness_secrets)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_voronoi_top5, op2_bradley_terry_quality, op4_orc_token_ids, op5_minhash_oph,
+                                   op6_bpe_segment_tree, op7_rule_cascade, op9_prefix_free_dedup, op10_randomness_secrets)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_voronoi_top5": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.x, d.x), p -> p[1] * p[2])) AS score
+            FROM v q, v d WHERE q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, CAST(vec_id AS BIGINT) AS vec_id,
+               CAST(score AS BIGINT) AS score
+        FROM ranked WHERE rank <= 5""",
+}
 
 
 def all_queries() -> dict:
