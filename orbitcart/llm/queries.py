@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitcart.llm import bpe, cascade, common, oph, orc_tokens, pairwise, prefix_free, randomness, voronoi
+from orbitcart.llm import (bpe, cascade, chunking, common, oph, orc_tokens, pairwise, prefix_free, raking,
+                            randomness, voronoi)
 
 
 def tokenizer_path() -> str:
@@ -34,6 +35,10 @@ def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.dedup_chunks(table(spark, sf_dir, "documents"))
+
+
 def op4_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "orc-tokens")
     orc_tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -54,6 +59,10 @@ def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return prefix_free.digests(docs, prefix_free.remove_repeats(docs))
@@ -63,8 +72,9 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return randomness.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_voronoi_top5, op2_bradley_terry_quality, op4_orc_token_ids, op5_minhash_oph,
-                                   op6_bpe_segment_tree, op7_rule_cascade, op9_prefix_free_dedup, op10_randomness_secrets)}
+QUERIES = {f.__name__: f for f in (
+    op1_voronoi_top5, op2_bradley_terry_quality, op3_gear_chunk_dedup, op4_orc_token_ids, op5_minhash_oph,
+    op6_bpe_segment_tree, op7_rule_cascade, op8_raked_mixture, op9_prefix_free_dedup, op10_randomness_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_voronoi_top5": """
