@@ -4,7 +4,8 @@ A gear rolling hash (h = 2h + gear[byte], 32 bits) runs over each text's bytes;
 where MASK's bits of h are zero, after LEAST bytes at least and MOST at most. The mask's bits
 depend on the last 20 bytes, so an insertion shifts the chunks around it and the next ends
 fall in their old places. Chunks are known by a 128-bit digest. Of each digest's occurrences
-the first in (id, offset) order stays and the others are cut out.
+the first in (id, offset) order stays. Others are cut out where neighbouring repeated chunks
+make a run of RUN bytes or a whole text; a lone line that many texts share stays.
 
 Only digests and positions are shuffled for counting, combined before the shuffle; then the
 texts that lose chunks are read once more.
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from orbitcart.llm.common import only, saved, slices, text_or_empty
 
 #: Chunk bytes: at least, at most; the mask's five bits give 32 more on average.
-LEAST, MOST, MASK = 32, 512, 0b11111 << 15
+LEAST, MOST, MASK = 24, 512, 0b11111 << 15
+#: Bytes of neighbouring repeated chunks that count as a repeated passage.
+RUN = 96
 
 _GEAR = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -66,7 +69,7 @@ def chunks(rows: DataFrame) -> DataFrame:
     """row, doc_id, text -> a row for each chunk: high, low (digest), doc_id, row, a, b."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, row_keys, high, low, a, b = [], [], [], [], [], []
+            ids, row_keys, high, low, a, b, sizes = [], [], [], [], [], [], []
             for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
                 data, at = text.encode(), 0
                 for end in chunk_ends(np.frombuffer(data, np.uint8)):
@@ -77,12 +80,36 @@ def chunks(rows: DataFrame) -> DataFrame:
                     low.append((digest & (1 << 64) - 1) - (1 << 63))
                     a.append(at)
                     b.append(end)
+                    sizes.append(len(data))
                     at = end
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (high, low, ids, row_keys)] + [pa.array(x, pa.int32()) for x in (a, b)],
-                names=["high", "low", "doc_id", "row", "a", "b"])
+                [pa.array(x, pa.int64()) for x in (high, low, ids, row_keys)] + [pa.array(x, pa.int32()) for x in (a, b, sizes)],
+                names=["high", "low", "doc_id", "row", "a", "b", "size"])
 
-    return rows.select("doc_id", "row", "text").mapInArrow(run, "high long, low long, doc_id long, row long, a int, b int")
+    return rows.select("doc_id", "row", "text").mapInArrow(run, "high long, low long, doc_id long, row long, a int, b int, size int")
+
+
+def passages(marks: list[dict], size: int, run_bytes: int = RUN) -> list[dict]:
+    """The repeated chunks (a, b, gone) of a text of ``size`` bytes that lie in long enough runs."""
+    marks = sorted(marks, key=lambda m: m["a"])
+    runs: list[list[dict]] = []
+    for mark in marks:
+        if runs and runs[-1][-1]["b"] == mark["a"]:
+            runs[-1].append(mark)
+        else:
+            runs.append([mark])
+    return [m for run in runs if run[-1]["b"] - run[0]["a"] >= min(run_bytes, size) for m in run]
+
+
+def _long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = [passages(m, size) for m, size in zip(batch.column("marks").to_pylist(), batch.column("size").to_pylist())]
+        gone = [[m for m in f if m["gone"]] for f in found]
+        spans = pa.array([[{"a": m["a"], "b": m["b"]} for m in g] for g in gone], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), pa.array([len(f) for f in found], pa.int64()), pa.array([len(g) for g in gone], pa.int64()),
+             pa.array([sum(m["b"] - m["a"] for m in g) for g in gone], pa.int64()), spans],
+            names=["row", "n_repeated", "n_removed", "removed_bytes", "spans"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +126,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_repeated (chunks that occur elsewhere), n_removed, removed_bytes, kept_text."""
+    """doc_id, n_bytes, n_repeated (chunks in repeated passages), n_removed, removed_bytes, kept_text."""
     rows = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     found = chunks(rows)
@@ -107,12 +134,10 @@ def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     digests = saved(found.groupBy("high", "low").agg(F.count("*").alias("times"), F.min(place).alias("first"))
                     .filter("times > 1").select("high", "low", "first"), "chunk-digests")
     marked = found.join(digests, ["high", "low"])
-    marked = saved(marked.groupBy("row", "a", "b").agg(F.first(~place.eqNullSafe(F.col("first"))).alias("gone")), "repeated-chunks")
-    per_row = marked.groupBy("row").agg(
-        F.count("*").alias("n_repeated"), F.count_if("gone").alias("n_removed"),
-        F.sum(F.when(F.col("gone"), F.col("b") - F.col("a")).otherwise(0)).alias("removed_bytes"),
-        F.collect_list(F.when(F.col("gone"), F.struct("a", "b"))).alias("spans"))  # no more than the text's chunks
-    per_row = saved(per_row, "chunk-spans")
+    marked = marked.groupBy("row", "a", "b").agg(F.first("size").alias("size"), F.first(~place.eqNullSafe(F.col("first"))).alias("gone"))
+    marks = marked.groupBy("row").agg(F.first("size").alias("size"), F.collect_list(F.struct("a", "b", "gone")).alias("marks"))
+    per_row = saved(marks.mapInArrow(  # a text's marks are no more than its chunks
+        _long_runs, "row long, n_repeated long, n_removed long, removed_bytes long, spans array<struct<a:int,b:int>>"), "chunk-spans")
     texts = rows.dropDuplicates(["row"]).select("row", "text")
     cut = saved(texts.join(per_row.filter("n_removed > 0").select("row", "spans"), "row")
                 .mapInArrow(_cut_out, "row long, kept_text string"), "cut-texts")
