@@ -34,7 +34,7 @@ from orbitcart.llm.common import cut, only, saved, slices, text_or_empty
 TOPICS, LONG_WORD = 8, 6
 #: Share of all tokens that is drawn; exponents of the default targets (0: equal, 1: as they are).
 BUDGET, EXPONENTS = 0.6, {"source": 0.7, "lang": 0.7, "topic": 0.5}
-ROUNDS, TOLERANCE = 30, 1e-6
+ROUNDS, TOLERANCE = 30, 1e-4
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -86,20 +86,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUND
     """
     cells = cut(cells.withColumn("weight", F.col("mass").cast("double")))
     goals = {d: cut(t.select(d, F.col("target").cast("double"))) for d, t in targets.items()}
+    columns, first = cells.drop("weight").columns, next(iter(goals))
     for _ in range(rounds):
-        off = None
+        turned = cells.select(*columns, "weight", F.lit(1.0).alias("first_factor"))
         for dimension, goal in goals.items():
-            now = cells.groupBy(dimension).agg(F.sum("weight").alias("now"))
+            now = turned.groupBy(dimension).agg(F.sum("weight").alias("now"))
             step = now.join(goal, now[dimension].eqNullSafe(goal[dimension])).select(
                 now[dimension].alias("key"), F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0).alias("factor"))
-            if off is None:
-                off = step.agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0
-                if off <= tolerance:
-                    return cells
-            columns = [c for c in cells.columns if c != "weight"]
-            cells = cells.join(step, cells[dimension].eqNullSafe(step["key"])).select(
-                *columns, (F.col("weight") * F.col("factor")).alias("weight"))
-        cells = cut(cells)
+            turned = turned.join(step, turned[dimension].eqNullSafe(step["key"])).select(
+                *columns, (F.col("weight") * F.col("factor")).alias("weight"),
+                F.col("factor" if dimension == first else "first_factor").alias("first_factor"))
+        turned = cut(turned)
+        off = turned.agg(F.max(F.abs(F.col("first_factor") - 1))).first()[0]
+        cells = turned.drop("first_factor")
+        if not off or off <= tolerance:
+            break
     return cells
 
 
