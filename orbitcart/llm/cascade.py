@@ -78,16 +78,19 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-# Thresholds of the rules. A rule is true for documents it rejects.
-RULES: dict[str, Column] = {
-    "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
-    "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
-    "word_length": (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 12 * F.col("n_words")),
-    "capitals": 2 * count_of(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ") > F.col("word_chars"),
-    "exclamations": 2 * count_of(F.col("text"), "!?") > F.col("n_words"),
-    "digits": 2 * count_of(F.col("text"), "0123456789") > F.col("word_chars"),
-    "no_letters": ~F.col("text").rlike("\\p{L}"),
-}
+def quality_rules() -> dict[str, Column]:
+    """The rules by name; a rule is true for documents it rejects."""
+    text, words = F.col("text"), F.col("n_words")
+    # Thresholds of the rules.
+    return {
+        "symbols": 10 * F.col("n_symbols") > words,
+        "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "word_length": (F.col("word_chars") < 3 * words) | (F.col("word_chars") > 12 * words),
+        "capitals": 2 * count_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") > F.col("word_chars"),
+        "exclamations": 2 * count_of(text, "!?") > words,
+        "digits": 2 * count_of(text, "0123456789") > F.col("word_chars"),
+        "no_letters": ~text.rlike("\\p{L}"),
+    }
 
 
 def order_rules(stats: DataFrame, rules: dict[str, Column], *, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[str, float, float]]:
@@ -108,7 +111,7 @@ def order_rules(stats: DataFrame, rules: dict[str, Column], *, sample_rows: int
 
 def judge(stats: DataFrame, rules: dict[str, Column] | None = None, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The statistics with base_failed, rejected_by (first rule that rejects, else null) and kept."""
-    rules = RULES if rules is None else rules
+    rules = quality_rules() if rules is None else rules
     cascade = F.when(base_failed(), "base")
     for name, _, _ in order_rules(stats, rules, sample_rows=sample_rows):
         cascade = cascade.when(rules[name], name)

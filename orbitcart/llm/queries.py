@@ -79,17 +79,66 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL: dict[str, str] = {
     "op1_voronoi_top5": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
             FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         scored AS (
-            SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.x, d.x), p -> p[1] * p[2])) AS score
+            SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.x, d.x), lambda p: p[1] * p[2])) AS score
             FROM v q, v d WHERE q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, CAST(vec_id AS BIGINT) AS vec_id,
                CAST(score AS BIGINT) AS score
         FROM ranked WHERE rank <= 5""",
+    "op5_minhash_oph": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, list_slice(words, i, i + 4) AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+            SELECT a, b FROM (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+                GROUP BY ALL) p JOIN n k ON k.doc_id = a JOIN n m ON m.doc_id = b
+            WHERE 100 * shared >= 75 * (k.n + m.n - shared)),
+        reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
+        smallest AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(component_id AS BIGINT) AS component_id,
+               d.doc_id = component_id AS kept
+        FROM documents d JOIN smallest ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op7_rule_cascade": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (
+            SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM d),
+        windows AS (
+            SELECT r, i, list_slice(words, i, i + 2) AS g
+            FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
+        twins AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows) WHERE c > 1),
+        covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twins, (VALUES (0), (1), (2)) t(k) GROUP BY r),
+        stats AS (
+            SELECT doc_id, text, len(words) AS n_words, len(lines) AS n_lines,
+                   length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+            FROM w LEFT JOIN covered USING (r)),
+        judged AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                   10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+                   OR word_chars < 3 * n_words OR word_chars > 12 * n_words
+                   OR 2 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > word_chars
+                   OR 2 * (length(text) - length(regexp_replace(text, '[!?]', '', 'g'))) > n_words
+                   OR 2 * (length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) > word_chars
+                   OR NOT regexp_matches(text, '\p{L}') AS rejected
+            FROM stats)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+               CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               NOT base_failed AND NOT rejected AS kept
+        FROM judged""",
 }
 
 
