@@ -49,6 +49,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+#: Rows that one partition of a small table may hold.
+PARTITION_ROWS = 200_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """A written table of ``rows`` rows in no more partitions than its size asks for."""
+    return df.coalesce(max(1, -(-rows // PARTITION_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (id, component = smallest id).
 
@@ -63,15 +72,17 @@ def components(edges: DataFrame) -> DataFrame:
                 .filter("u <> v").distinct())
     seen = state(edges)
     while seen[0]:
+        edges = packed(edges, seen[0])
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
+        both = packed(both, 2 * seen[0])
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("low"))
         large = both.join(low, "x").filter("y > x").select(F.col("y").alias("u"), F.col("low").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = (large.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-                 .union(low.select("u", "low")).distinct())
-        edges = cut(small)
+                 .union(low.select("u", "low")))
+        edges = cut(packed(small, seen[0]).distinct())
         now = state(edges)
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return packed(edges, seen[0]).select(F.col("u").alias("id"), F.col("v").alias("component"))
