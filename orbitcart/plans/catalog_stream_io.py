@@ -18,9 +18,12 @@ from orbitcart.sources.testdata import read_table
 from orbitcart.streaming import jobs as S
 
 
-def _path(sf: str, name: str) -> str:
-    # a glob over the folder: file streams watch directories/patterns, not single files
-    return f"{sf.rstrip('/')}/{name}*.parquet"
+def _stream(spark, sf: str, name: str, files: int = 6):
+    """A table as a stream of several files in no order of time, one file a micro-batch."""
+    df = read_table(spark, sf, name)
+    path = S.scratch(spark, f"{name}_files")
+    df.repartition(files, F.xxhash64(*df.columns)).write.parquet(path)
+    return S.file_stream(spark, path, df.schema, max_files=1)
 
 
 @query("T1_windowed_telemetry_stream", with_base(f"""
@@ -29,20 +32,30 @@ SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, time_bucket(INTERVAL
        {R('avg(1.0 / greatest(value / 1000.0, 0.001))', 4)} AS avg_throughput,
        count(*) FILTER (WHERE value > 1000.0) AS alerts FROM events GROUP BY ALL"""))
 def t1(spark, sf):
-    ev = read_table(spark, sf, "events")
-    stream = S.file_stream(spark, _path(sf, "events"), ev.schema)
-    out = S.run_available_now(S.telemetry_stream(stream), S.scratch(spark, "t1"), mode="complete", overwrite=True)
-    df = spark.read.parquet(out).withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"),
-                                              "window_end": F.col("window_end").cast("timestamp_ntz")})
+    out = S.run_available_now(_stream(spark, sf, "events"), S.scratch(spark, "t1"), S.telemetry_partials)
+    df = S.telemetry_view(S.read_batches(spark, out)).withColumns(
+        {"window_start": F.col("window_start").cast("timestamp_ntz"), "window_end": F.col("window_end").cast("timestamp_ntz")})
+    return rounded(df, {"avg_latency_ms": 6, "avg_throughput": 4})
+
+
+@query("T1_sliding_telemetry_stream", with_base(f"""
+, w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS window_start, event_type, value
+        FROM events, (VALUES (0), (1)) t(k))
+SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, event_type, count(*) AS requests,
+       {R('avg(value)', 6)} AS avg_latency_ms, {R('avg(1.0 / greatest(value / 1000.0, 0.001))', 4)} AS avg_throughput,
+       count(*) FILTER (WHERE value > 1000.0) AS alerts FROM w GROUP BY ALL"""))
+def t1_sliding(spark, sf):
+    out = S.run_available_now(_stream(spark, sf, "events"), S.scratch(spark, "t1s"),
+                              lambda batch: S.telemetry_partials(batch, "10 minutes", "5 minutes"))
+    df = S.telemetry_view(S.read_batches(spark, out)).withColumns(
+        {"window_start": F.col("window_start").cast("timestamp_ntz"), "window_end": F.col("window_end").cast("timestamp_ntz")})
     return rounded(df, {"avg_latency_ms": 6, "avg_throughput": 4})
 
 
 def _ingest(spark, sf):
     r = retail(spark, sf)
-    li = read_table(spark, sf, "lineitem")
-    stream = S.file_stream(spark, _path(sf, "lineitem"), li.schema)
     # dimensions are materialised (checkpointed) before the stream-static joins
-    return S.ingest_stream(S.canonical_items_stream(stream), r._cut(r.cleaned["products"]), r._cut(r.cleaned["sellers"]))
+    return S.ingest_stream(S.canonical_items_stream(_stream(spark, sf, "lineitem")), r._cut(r.cleaned["products"]), r._cut(r.cleaned["sellers"]))
 
 
 @query("T2_ingest_stream", with_base("""
@@ -50,19 +63,20 @@ SELECT i.order_id, i.order_item_id, i.product_id, i.seller_id, i.price, i.freigh
        p.product_category_name_english AS category, s.seller_state
 FROM items i LEFT JOIN prod p USING (product_id) LEFT JOIN sell s USING (seller_id)"""))
 def t2(spark, sf):
-    out = S.run_available_now(_ingest(spark, sf), S.scratch(spark, "t2"), mode="append")
-    return spark.read.parquet(out).select("order_id", "order_item_id", "product_id", "seller_id", "price",
-                                          "freight_value", "category", "seller_state")
+    out = S.run_available_now(_ingest(spark, sf), S.scratch(spark, "t2"))
+    return S.read_batches(spark, out).select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value",
+                                             "category", "seller_state")
 
 
 @query("T3_running_customer_state", with_base(f"""
-SELECT customer_unique_id, count(*) AS items, {MSUM('price')} AS total_spending,
+SELECT customer_unique_id, count(DISTINCT order_id) AS orders, count(*) AS items, {MSUM('price')} AS total_spending,
        max(order_purchase_timestamp) AS last_purchase_date FROM master GROUP BY 1"""))
 def t3(spark, sf):
     r = retail(spark, sf)
-    state = S.running_customer_state(_ingest(spark, sf), r._cut(r.cleaned["orders"]), r._cut(r.cleaned["customers"]))
-    out = S.run_available_now(state, S.scratch(spark, "t3"), mode="complete", overwrite=True)
-    return spark.read.parquet(out).withColumn("last_purchase_date", F.col("last_purchase_date").cast("timestamp_ntz"))
+    step = S.customer_partials(r._cut(r.cleaned["orders"]), r._cut(r.cleaned["customers"]))
+    out = S.run_available_now(_ingest(spark, sf), S.scratch(spark, "t3"), step)
+    state = S.customer_state_view(S.read_batches(spark, out))
+    return state.withColumn("last_purchase_date", F.col("last_purchase_date").cast("timestamp_ntz"))
 
 
 @query("T4_activity_sessions", with_base(f"""
@@ -74,7 +88,8 @@ g AS (SELECT *, sum(new_session) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events,
        {R('sum(value)', 4)} AS total_value FROM g GROUP BY user_id, sid"""))
 def t4(spark, sf):
-    s = S.sessions(read_table(spark, sf, "events"), "30 minutes")
+    out = S.run_available_now(_stream(spark, sf, "events"), S.scratch(spark, "t4"), S.session_partials)
+    s = S.session_view(S.read_batches(spark, out))
     return s.withColumns({"session_start": F.col("session_start").cast("timestamp_ntz"),
                           "session_end": F.col("session_end").cast("timestamp_ntz")})
 
@@ -96,10 +111,10 @@ def t5(spark, sf):
                            F.lit("v1"), F.col("customer_unique_id").cast("string"), F.lit("risk_flag"),
                            F.col("risk_level"))
     logs = S.scratch(spark, "t5_logs")
-    scored.select(line.alias("value")).write.mode("overwrite").text(logs)
-    stream = spark.readStream.schema("value string").text(logs)
-    out = S.run_available_now(S.audit_tail(stream), S.scratch(spark, "t5"), mode="append")
-    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    scored.select(line.alias("value")).repartition(5, F.xxhash64("value")).write.mode("overwrite").text(logs)
+    stream = S.file_stream(spark, logs, "value string", "text", max_files=1)
+    out = S.run_available_now(S.audit_tail(stream), S.scratch(spark, "t5"))
+    return S.read_batches(spark, out).drop("batch_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("T6_drift_per_batch")
@@ -107,10 +122,11 @@ def t6(spark, sf):
     fs = retail(spark, sf).feature_store
     ref, cur = P.split_by_time(fs)
     src = S.scratch(spark, "t6_src")
-    cur.select(*P.DRIFT_FEATURES).write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    out = S.drift_per_batch(stream, ref, S.scratch(spark, "t6"))
-    return spark.read.parquet(out)
+    cur = cur.select(*P.DRIFT_FEATURES)
+    cur.repartition(3, F.xxhash64(*P.DRIFT_FEATURES)).write.mode("overwrite").parquet(src)
+    stream = S.file_stream(spark, src, cur.schema, max_files=1)
+    out = S.run_available_now(stream, S.scratch(spark, "t6"), S.drift_step(ref))
+    return S.read_batches(spark, out).withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
 # ---------------------------------------------------------------- A: sources and sinks

@@ -50,16 +50,41 @@ def test_core_queries_match_oracle(spark):
         assert got == exp, name
 
 
-def test_telemetry_stream_equals_batch(spark):
+def _events(spark, files=5):
+    """The events as several files in no order of time, one a micro-batch."""
     ev = read_table(spark, SF, "events")
-    stream = S.file_stream(spark, f"{SF}/events*.parquet", ev.schema)
-    out = S.run_available_now(S.telemetry_stream(stream), S.scratch(spark, "test_t1"), mode="complete", overwrite=True)
-    got = spark.read.parquet(out).select("event_type", "requests").groupBy("event_type").sum("requests")
-    exp = drift.windowed_telemetry(ev).groupBy("event_type").sum("requests")
-    assert sorted(got.collect()) == sorted(exp.collect())
+    path = S.scratch(spark, "test_events")
+    ev.repartition(files, F.xxhash64("event_id")).write.parquet(path)
+    return ev, S.file_stream(spark, path, ev.schema, max_files=1)
 
 
-def test_sessions_cover_all_events(spark):
+def test_telemetry_stream_equals_batch(spark):
+    ev, stream = _events(spark)
+    out = S.run_available_now(stream, S.scratch(spark, "test_t1"), S.telemetry_partials)
+    got = S.telemetry_view(S.read_batches(spark, out))
+    exp = drift.windowed_telemetry(ev)
+    cols = ["window_start", "event_type", "requests", "alerts"]
+    assert S.read_batches(spark, out).select("batch_id").distinct().count() == 5
+    assert sorted(got.select(cols).collect()) == sorted(exp.select(cols).collect())
+
+
+def test_session_stream_keeps_every_event_and_equals_one_batch(spark):
+    ev, stream = _events(spark)
+    out = S.run_available_now(stream, S.scratch(spark, "test_t4"), S.session_partials)
+    got = S.session_view(S.read_batches(spark, out))
+    plain = ev.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "30 minutes").alias("s")).agg(
+        F.count(F.lit(1)).alias("events")).select("user_id", "s.start", "s.end", "events")
+    assert sorted(got.select("user_id", "session_start", "session_end", "events").collect()) == sorted(plain.collect())
+    assert got.agg(F.sum("events")).first()[0] == ev.count()
+
+
+def test_replayed_batch_doubles_nothing(spark):
     ev = read_table(spark, SF, "events")
-    s = S.sessions(ev, "30 minutes")
-    assert s.agg(F.sum("events")).first()[0] == ev.count()
+    path = S.scratch(spark, "test_replay")
+    sink = S.batch_sink(path, S.session_partials)
+    halves = ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1")
+    for batch_id, half in enumerate(halves):
+        sink(half, batch_id)
+    sink(halves[1], 1)  # as after a failure
+    assert S.read_batches(spark, path).agg(F.sum("events")).first()[0] == ev.count()
+    assert sorted(S.session_view(S.read_batches(spark, path)).collect()) == sorted(S.sessions(ev).collect())
