@@ -241,17 +241,21 @@ def churn_attributions(df: DataFrame) -> DataFrame:
 
 
 def churn_narrative(df: DataFrame, prob: str = "churn_probability") -> DataFrame:
-    """I15 plain-text explanation from the thresholds of the reference."""
+    """I15 plain-text explanation of a score and its three drivers."""
     r, o, s = F.col("recency_days"), F.col("total_orders"), F.col("avg_review_score_given")
+    def fixed(x, digits: int):  # half-even on the exact value, as in "%.1f"; no group separators
+        return F.translate(F.format_number(x.cast("double"), digits), ",", "")
+
+    # The sentences of the explanation.
     lines = F.concat_ws("\n",
-        F.format_string("Customer %s has a predicted churn probability of %.1f%%:", F.col(KEY).cast("string"),
-                        F.col(prob) * 100.0),
-        F.when(r > 90, F.format_string("- Prolonged Inactivity: No purchases for %.0f consecutive days.", r))
-         .otherwise(F.format_string("- Active Recency: Purchased recently within %.0f days.", r)),
-        F.when(o <= 1, F.lit("- Single Order Risk: Customer has not yet placed a repeat order."))
-         .otherwise(F.format_string("- Established Frequency: Placed %d lifetime orders.", o.cast("int"))),
-        F.when(s <= 3.0, F.format_string("- Low CSAT Score: Rated previous order %.1f out of 5 stars.", s))
-         .otherwise(F.format_string("- High Satisfaction: Rated previous order %.1f out of 5 stars.", s)))
+        F.format_string("Customer **%s** has a predicted churn probability of **%s%%**:", F.col(KEY).cast("string"),
+                        fixed(F.col(prob) * 100.0, 1)),
+        F.when(r > 90, F.format_string("• **Prolonged Inactivity**: No purchases for %s consecutive days.", fixed(r, 0)))
+         .otherwise(F.format_string("• **Active Recency**: Purchased recently within %s days.", fixed(r, 0))),
+        F.when(o <= 1, F.lit("• **Single Order Risk**: Customer has not yet placed a repeat order."))
+         .otherwise(F.format_string("• **Established Frequency**: Placed %s lifetime orders.", fixed(o, 0))),
+        F.when(s <= 3.0, F.format_string("• **Low CSAT Score**: Rated previous order %s out of 5 stars.", fixed(s, 1)))
+         .otherwise(F.format_string("• **High Satisfaction**: Rated previous order %s out of 5 stars.", fixed(s, 1))))
     return df.select(KEY, lines.alias("narrative"))
 
 

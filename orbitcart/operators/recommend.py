@@ -1,32 +1,34 @@
-"""K — hybrid recommender: popularity, item-item cosine on purchase counts, TF-IDF content
-cosine on category text, hybrid scoring for all customers, cold start, similar products, KPIs.
+"""K — hybrid recommender over the whole catalogue: popularity, nearest neighbours by item-item
+cosine on purchase counts, TF-IDF content affinity on category text, hybrid scoring for all
+customers, cold start, similar products, KPIs.
 
 Scale design
-* The catalogue considered is the top ``k`` products by units (K3, a parameter), so every
-  similarity table is bounded by k^2 rows whatever the data size.
-* Gram matrices (X^T X) are built without shuffling item pairs: each task folds the rows it
-  holds (one customer's counts, or one word's TF-IDF weights) into a local k x k partial with
-  NumPy and emits only its non-zero entries; Spark then sums the partials by (i, j). A hot
-  customer is one dense row in its task, so skew never multiplies rows across the shuffle.
-* Scoring joins each customer's catalogue items with the hybrid table (<= k neighbours per
-  item), sums per (customer, target) with map-side partial aggregation, and ranks at most k
-  candidates per customer; only the top-n per customer is kept.
+* Neighbours come from min-hash bands over each product's set of customers: products whose
+  smallest customer hash agrees in a band are candidates, their cosine is exact, and each
+  product keeps its ``NEIGHBOURS`` best. No product is left out and no pair table is dense.
+  A bucket of more than ``BUCKET`` products is split by a second hash, so a customer who
+  bought very much does not pair a whole catalogue.
+* Content needs no product pairs: products of one category are equal in text, so a customer's
+  content score is one number per category.
+* Scoring joins purchases to neighbour lists and to as many of a category's most popular
+  products as can matter; partial sums are combined before the shuffle, and nothing is
+  broadcast by force.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orbitcart.functions.columns import money_avg, money_sum
 
 KEY = "customer_unique_id"
 CAT = "product_category_name_english"
-TOP_PRODUCTS = 2000
+NEIGHBOURS = 20                   # neighbours kept per product (part of the definition)
+BANDS, BUCKET = 8, 256            # min-hash bands; products of a bucket before it is split
+# Prime, multiplier and offset steps of the bands' arithmetic hashes.
+HASH_PRIME, HASH_STEP, HASH_SHIFT = 2147483647, 48271, 69621
 COLLAB_WEIGHT, CONTENT_WEIGHT = 0.6, 0.4
 SCORE_DIGITS = 10                 # scores are stabilised before ranking (engine-independent ties)
 
@@ -46,177 +48,151 @@ def trending(pop: DataFrame, n: int) -> DataFrame:
     return pop.orderBy(F.desc("total_units"), F.desc("avg_rating"), "product_id").limit(n)
 
 
-def catalogue(pop: DataFrame, k: int = TOP_PRODUCTS) -> DataFrame:
-    """K3 the k most popular products with a dense index 0..k-1 (k rows)."""
-    top = trending(pop, k)
-    w = Window.orderBy(F.desc("total_units"), F.desc("avg_rating"), "product_id")  # k rows: bounded
-    return top.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
-
-
-def interactions(master: DataFrame, cat: DataFrame) -> DataFrame:
-    """K2 purchase counts per (customer, product), restricted to the catalogue (semi join)."""
+def interactions(master: DataFrame, pop: DataFrame) -> DataFrame:
+    """K2/K3 purchase counts per (customer, product) of the catalogue (products with a category)."""
     counts = master.groupBy(KEY, "product_id").agg(F.count("order_item_id").alias("n"))
-    return counts.join(F.broadcast(cat.select("product_id", "idx")), "product_id")  # k rows
-
-
-def fanout_partitions(df: DataFrame, factor: int = 4) -> int:
-    """Partition count for a shuffle whose consumer multiplies rows (joins with neighbour lists,
-    Gram folding). A count given explicitly is not coalesced by AQE, which would otherwise size
-    the partitions by the (small) input and leave the exploded work to one or two tasks."""
-    sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, sp * factor)
-
-
-# ------------------------------------------------------------------ Gram kernel
-
-_GRAM_SCHEMA = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
-                             T.StructField("v", T.DoubleType())])
-
-
-def _gram_partials(k: int):
-    def fn(batches):
-        g = None
-        rest = None
-        for pdf in batches:
-            if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            if g is None:
-                g = np.zeros((k, k), dtype=np.float64)
-            # rows of one group are contiguous (sorted within the partition); keep a trailing
-            # group for the next batch so it is folded in whole
-            last = pdf["g"].iloc[-1]
-            tail = pdf["g"] == last
-            rest, pdf = pdf[tail], pdf[~tail]
-            for _, grp in pdf.groupby("g", sort=False):
-                idx = grp["idx"].to_numpy()
-                val = grp["v"].to_numpy(dtype=np.float64)
-                g[np.ix_(idx, idx)] += np.outer(val, val)
-        if rest is not None and not rest.empty:
-            if g is None:
-                g = np.zeros((k, k), dtype=np.float64)
-            idx = rest["idx"].to_numpy()
-            val = rest["v"].to_numpy(dtype=np.float64)
-            g[np.ix_(idx, idx)] += np.outer(val, val)
-        if g is not None:
-            ii, jj = np.nonzero(g)
-            yield pd.DataFrame({"i": ii.astype(np.int32), "j": jj.astype(np.int32), "v": g[ii, jj]})
-    return fn
-
-
-def gram(entries: DataFrame, group: str, k: int) -> DataFrame:
-    """Sum over groups of outer(v_g, v_g) for sparse rows (group, idx, v); returns (i, j, v).
-
-    Each group's rows are co-located (repartition by group) and folded into a per-task k x k
-    partial; only partials (<= k^2 non-zeros per task) are shuffled and summed.
-    """
-    rows = (entries.select(F.col(group).alias("g"), F.col("idx").cast("int").alias("idx"),
-                           F.col("v").cast("double").alias("v"))
-            .repartition(fanout_partitions(entries), "g").sortWithinPartitions("g"))
-    partial = rows.mapInPandas(_gram_partials(k), _GRAM_SCHEMA)
-    return partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
-
-
-# ------------------------------------------------------------------ K4-K5 similarities
-
-def collab_similarity(inter: DataFrame, k: int) -> DataFrame:
-    """K4 item-item cosine on purchase counts: X^T X normalised by the diagonal; (i, j, sim), i != j."""
-    g = gram(inter.select(KEY, "idx", F.col("n").alias("v")), KEY, k)
-    diag = g.where(F.col("i") == F.col("j")).select(F.col("i").alias("d"), F.sqrt("v").alias("norm"))
-    out = (g.where(F.col("i") != F.col("j"))
-             .join(F.broadcast(diag.withColumnRenamed("d", "i").withColumnRenamed("norm", "ni")), "i")  # k rows
-             .join(F.broadcast(diag.withColumnRenamed("d", "j").withColumnRenamed("norm", "nj")), "j"))
-    return out.select("i", "j", (F.col("v") / (F.col("ni") * F.col("nj"))).alias("sim"))
-
-
-def tfidf(cat: DataFrame, text_col: str = CAT) -> DataFrame:
-    """TF-IDF weights (product idx, term, weight), L2-normalised per product. Tokens are
-    ``\\w\\w+`` runs, English stop words removed; idf = ln((1+n)/(1+df)) + 1 (smooth idf)."""
-    docs = cat.select("idx", F.lower(F.coalesce(F.col(text_col), F.lit("unspecified"))).alias("text"))
+    return counts.join(pop.select("product_id", F.col(CAT).alias("category")), "product_id")
+
+
+# ------------------------------------------------------------------ K4 nearest neighbours
+
+def band_hash(customer: Column, band: int, level: int = 0) -> Column:
+    """Arithmetic hash of a customer number in one band (level 1: the hash that splits buckets)."""
+    k = 2 * band + level + 1
+    return (customer.cast("long") * (HASH_STEP * k) + HASH_SHIFT * k) % HASH_PRIME
+
+
+def candidate_pairs(inter: DataFrame, bands: int = BANDS, bucket: int = BUCKET) -> DataFrame:
+    """Distinct product pairs (a < b) that share a min-hash bucket."""
+    mins = inter.groupBy("product_id").agg(*[F.min(band_hash(F.col(KEY), b, level)).alias(f"m{b}_{level}")
+                                             for b in range(bands) for level in (0, 1)])
+    keyed = mins.select("product_id", F.explode(F.array(*[
+        F.struct(F.lit(b).alias("band"), F.col(f"m{b}_0").alias("first"), F.col(f"m{b}_1").alias("second"))
+        for b in range(bands)])).alias("k")).select("product_id", "k.*")
+    full = keyed.groupBy("band", "first").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket)
+    keyed = (keyed.join(full, ["band", "first"], "left")
+             .withColumn("second", F.when(F.col("size").isNotNull(), F.col("second")).otherwise(F.lit(-1))))
+    left = keyed.select("band", "first", "second", F.col("product_id").alias("a"))
+    right = keyed.select("band", "first", "second", F.col("product_id").alias("b"))
+    return left.join(right, ["band", "first", "second"]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+
+
+def neighbours(inter: DataFrame, n: int = NEIGHBOURS, bands: int = BANDS, bucket: int = BUCKET) -> DataFrame:
+    """K4 (product_id, neighbour_id, sim, rank): exact cosine of purchase counts, best n of each
+    product's candidates, ties to the smaller neighbour id."""
+    counts = inter.select(KEY, "product_id", F.col("n").cast("double").alias("n"))
+    norms = counts.groupBy("product_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    pairs = candidate_pairs(inter, bands, bucket)
+    mine = counts.select(KEY, F.col("product_id").alias("a"), F.col("n").alias("na"))
+    theirs = counts.select(KEY, F.col("product_id").alias("b"), F.col("n").alias("nb"))
+    dots = (pairs.join(mine, "a").join(theirs, [KEY, "b"]).groupBy("a", "b")
+            .agg(F.sum(F.col("na") * F.col("nb")).alias("dot")))
+    na, nb = (norms.select(F.col("product_id").alias(c), F.col("norm").alias(f"norm_{c}")) for c in ("a", "b"))
+    sims = dots.join(na, "a").join(nb, "b").select(
+        "a", "b", F.round(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), SCORE_DIGITS).alias("sim"))
+    both = sims.select(F.col("a").alias("product_id"), F.col("b").alias("neighbour_id"), "sim").unionByName(
+        sims.select(F.col("b").alias("product_id"), F.col("a").alias("neighbour_id"), "sim"))
+    w = Window.partitionBy("product_id").orderBy(F.desc("sim"), "neighbour_id")  # a product's candidates
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+# ------------------------------------------------------------------ K5 content affinity
+
+def category_similarity(pop: DataFrame) -> DataFrame:
+    """K5 cosine of the categories' TF-IDF vectors (category, other, sim), itself included.
+    Tokens are ``\\w\\w+`` runs without English stop words; idf = ln((1+n)/(1+df)) + 1 over the
+    products. With one-token names only a category itself is similar (Q16)."""
+    docs = pop.groupBy(CAT).agg(F.countDistinct("product_id").alias("products")).select(
+        F.col(CAT).alias("category"), "products", F.lower(CAT).alias("text"))
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern="\\w\\w+", gaps=False, toLowercase=True)
     sw = StopWordsRemover(inputCol="tokens", outputCol="terms")
-    terms = sw.transform(tok.transform(docs)).select("idx", F.explode("terms").alias("term"))
-    tf = terms.groupBy("idx", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = sw.transform(tok.transform(docs)).select("category", "products", F.explode("terms").alias("term"))
+    tf = terms.groupBy("category", "products", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = docs.agg(F.sum("products")).scalar()
+    df_ = tf.groupBy("term").agg(F.sum("products").alias("df"))
     w = tf.join(df_, "term").withColumn("w", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
-    norm = w.groupBy("idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    return w.join(norm, "idx").select("idx", "term", (F.col("w") / F.col("nrm")).alias("weight"))
+    norm = w.groupBy("category").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = w.join(norm, "category").select("category", "term", (F.col("w") / F.col("norm")).alias("w"))
+    other = unit.select(F.col("category").alias("other"), "term", F.col("w").alias("v"))
+    return unit.join(other, "term").groupBy("category", "other").agg(
+        F.round(F.sum(F.col("w") * F.col("v")), SCORE_DIGITS).alias("sim"))
 
 
-def content_similarity(cat: DataFrame, k: int) -> DataFrame:
-    """K5 cosine of TF-IDF vectors: Gram matrix over terms; (i, j, sim), i != j. With one token
-    per category name this is exactly "same category" (Q16)."""
-    g = gram(tfidf(cat).select("term", "idx", F.col("weight").alias("v")), "term", k)
-    return g.where(F.col("i") != F.col("j")).select("i", "j", F.col("v").alias("sim"))
+def content_affinity(inter: DataFrame, similarity: DataFrame) -> DataFrame:
+    """K5 per (customer, category): summed similarity of the customer's products to the category,
+    and how many of its products the customer has."""
+    own = inter.groupBy(KEY, "category").agg(F.count(F.lit(1)).alias("bought"))
+    near = own.join(similarity, "category").groupBy(KEY, F.col("other").alias("category")).agg(
+        F.round(F.sum(F.col("bought") * F.col("sim")), SCORE_DIGITS).alias("affinity"))
+    return near.join(own, [KEY, "category"], "left").fillna({"bought": 0})
 
 
 # ------------------------------------------------------------------ K6-K10 recommendations
 
-def hybrid_matrix(collab: DataFrame, content: DataFrame) -> DataFrame:
-    """0.6 collab + 0.4 content as (i, j, h), positive entries only (<= k^2 rows)."""
-    c = collab.where(F.col("sim") > 0).select("i", "j", (F.col("sim") * COLLAB_WEIGHT).alias("h"))
-    t = content.where(F.col("sim") > 0).select("i", "j", (F.col("sim") * CONTENT_WEIGHT).alias("h"))
-    return c.unionByName(t).groupBy("i", "j").agg(F.sum("h").alias("h"))
-
-
-def recommend(inter: DataFrame, hybrid: DataFrame, n: int = 5) -> DataFrame:
+def recommend(inter: DataFrame, near: DataFrame, affinity: DataFrame, pop: DataFrame, n: int = 5) -> DataFrame:
     """K6 top-n hybrid recommendations for every customer with purchases in the catalogue.
 
-    score(c, t) = sum over purchased p of H[p, t]. Plan: the customer's catalogue items are
-    hash-partitioned by customer once; the hybrid table is broadcast (at most k^2 rows for the
-    catalogue parameter k, so its size is bounded); the join, the per-(customer, target) sum
-    (purchased items folded in as exclusion markers) and the per-customer ranking (at most k
-    candidates each) all reuse that partitioning, so no further shuffle happens.
+    score(c, t) = sum over purchased p of 0.6 collab(p, t) + 0.4 content(p, t), t not purchased.
+    Targets are the neighbours of purchases and, of each category the customer has affinity to,
+    the n + bought most popular products: at least n of them are not purchased, and any other
+    product of the category scores no more and comes later, so the top n are exact.
     """
-    bought = inter.select(KEY, F.col("idx").alias("p")).repartition(fanout_partitions(inter), KEY)
-    h = F.broadcast(hybrid.select(F.col("i").alias("p"), F.col("j").alias("idx"), "h"))
-    cand = bought.join(h, "p").select(KEY, "idx", "h", F.lit(0).alias("own"))
-    own = bought.select(KEY, F.col("p").alias("idx"), F.lit(0.0).alias("h"), F.lit(1).alias("own"))
-    scores = (cand.unionByName(own).groupBy(KEY, "idx")
-                  .agg(F.round(F.sum("h"), SCORE_DIGITS).alias("hybrid_score"), F.max("own").alias("own"))
-                  .where((F.col("own") == 0) & (F.col("hybrid_score") > 0)))
-    # top-n per customer: candidates per customer are at most k, so the per-customer array is
-    # bounded; sorting small arrays avoids a full sort of every (customer, candidate) row
-    top = scores.groupBy(KEY).agg(F.slice(F.array_sort(F.collect_list(
-        F.struct((-F.col("hybrid_score")).alias("neg"), F.col("idx")))), 1, n).alias("top"))
-    return top.select(KEY, F.posexplode("top").alias("pos", "t")).select(
-        KEY, F.col("t.idx").alias("idx"), (-F.col("t.neg")).alias("hybrid_score"),
-        (F.col("pos") + 1).cast("int").alias("rec_rank"))
-
-
-def with_product_info(recs: DataFrame, cat: DataFrame) -> DataFrame:
-    info = cat.select("idx", "product_id", F.col(CAT).alias("category"), F.round("avg_price", 2).alias("avg_price"))
-    out = recs.join(F.broadcast(info), "idx")  # k rows
-    return out.withColumn("explanation", F.format_string(
-        "Recommended because this customer purchases products in '%s' and matches high-affinity buyer behavior.",
-        F.col("category"))).withColumn("recommendation_type", F.lit("hybrid"))
+    collab = inter.select(KEY, "product_id").join(near.select("product_id", "neighbour_id", "sim"), "product_id")
+    collab = collab.groupBy(KEY, F.col("neighbour_id").alias("product_id")).agg((F.sum("sim") * COLLAB_WEIGHT).alias("collab"))
+    most = affinity.agg(F.max("bought")).scalar()
+    w = Window.partitionBy("category").orderBy(F.desc("total_units"), F.desc("avg_rating"), "product_id")
+    shelf = pop.select("product_id", F.col(CAT).alias("category"), "total_units", "avg_rating")
+    popular = shelf.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n + most)
+    content = affinity.join(popular.select("product_id", "category", "place"), "category").where(
+        F.col("place") <= n + F.col("bought")).select(KEY, "product_id")
+    targets = collab.select(KEY, "product_id", "collab").unionByName(content.withColumn("collab", F.lit(0.0)))
+    own = inter.select(KEY, "product_id", F.lit(0.0).alias("collab"), F.lit(1).alias("own"))
+    targets = (targets.withColumn("own", F.lit(0)).unionByName(own).groupBy(KEY, "product_id")
+               .agg(F.sum("collab").alias("collab"), F.max("own").alias("own")).where(F.col("own") == 0))
+    scored = (targets.join(shelf, "product_id").join(affinity.select(KEY, "category", "affinity"), [KEY, "category"], "left")
+              .withColumn("hybrid_score", F.round(F.col("collab") + F.coalesce("affinity", F.lit(0.0)) * CONTENT_WEIGHT, SCORE_DIGITS))
+              .where(F.col("hybrid_score") > 0))
+    order = Window.partitionBy(KEY).orderBy(F.desc("hybrid_score"), F.desc("total_units"), F.desc("avg_rating"), "product_id")
+    return scored.withColumn("rec_rank", F.row_number().over(order).cast("int")).where(F.col("rec_rank") <= n).select(
+        KEY, "product_id", "category", "hybrid_score", "rec_rank")
+
+
+# The explanations of recommendations.
+HYBRID_REASON = "Recommended because this customer purchases products in '%s' and matches high-affinity buyer behavior."
+TRENDING_REASON = "Top Trending Recommendation (%s)"
+
+
+def with_product_info(recs: DataFrame, pop: DataFrame) -> DataFrame:
+    out = recs.join(pop.select("product_id", F.round("avg_price", 2).alias("avg_price")), "product_id")
+    return out.withColumn("explanation", F.format_string(HYBRID_REASON, F.col("category"))).withColumn(
+        "recommendation_type", F.lit("hybrid"))
 
 
 def cold_start(customers: DataFrame, scored_customers: DataFrame, pop: DataFrame, n: int = 5,
                reason: str = "New Customer Cold-Start Fallback") -> DataFrame:
     """K7 customers without hybrid scores get the top-n trending products with score 1.0."""
-    top = trending(pop, n)
-    w = Window.orderBy(F.desc("total_units"), F.desc("avg_rating"), "product_id")  # n rows
-    top = top.select("product_id", F.col(CAT).alias("category"), F.round("avg_price", 2).alias("avg_price"),
-                     F.row_number().over(w).cast("int").alias("rec_rank"))
+    top = trending(pop, n).agg(F.array_sort(F.collect_list(F.struct(  # n rows
+        (-F.col("total_units")).alias("units"), (-F.col("avg_rating")).alias("rating"), "product_id",
+        F.col(CAT).alias("category"), F.round("avg_price", 2).alias("avg_price"))))).scalar()
     missing = customers.select(KEY).distinct().join(scored_customers.select(KEY).distinct(), KEY, "left_anti")
-    out = missing.join(F.broadcast(top), how="inner")  # n fixed rows per customer (the feature itself)
-    return out.select(KEY, "product_id", "category", "avg_price", F.lit(1.0).alias("hybrid_score"), "rec_rank",
-                      F.lit(f"Top Trending Recommendation ({reason})").alias("explanation"),
-                      F.lit("cold_start").alias("recommendation_type"))
+    out = missing.select(KEY, F.posexplode(top).alias("pos", "t"))
+    return out.select(KEY, "t.product_id", "t.category", "t.avg_price", F.lit(1.0).alias("hybrid_score"),
+                      (F.col("pos") + 1).cast("int").alias("rec_rank"),
+                      F.lit(TRENDING_REASON % reason).alias("explanation"), F.lit("cold_start").alias("recommendation_type"))
 
 
-def similar_products(collab: DataFrame, cat: DataFrame, n: int = 5) -> DataFrame:
+def similar_products(near: DataFrame, n: int = 5) -> DataFrame:
     """K8 top-n most similar products per product (self excluded), ties by product id."""
-    info = cat.select("idx", "product_id")
-    s = (collab.join(F.broadcast(info.withColumnRenamed("idx", "i")), "i")
-               .join(F.broadcast(info.select(F.col("idx").alias("j"), F.col("product_id").alias("similar_product_id"))),
-                     "j"))
-    w = Window.partitionBy("product_id").orderBy(F.desc("sim"), "similar_product_id")  # <= k rows per product
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n).select(
-        "product_id", "similar_product_id", F.round("sim", 6).alias("similarity_score"), "rank")
+    return near.where(F.col("rank") <= n).select("product_id", F.col("neighbour_id").alias("similar_product_id"),
+                                                 F.round("sim", 6).alias("similarity_score"), F.col("rank").cast("long"))
+
+
+def product_profiles(pop: DataFrame, near: DataFrame, q: str | None = None, n: int = 5) -> DataFrame:
+    """K13 popularity profile with the ids of the n most similar products; ``q`` filters by id."""
+    similar = near.where(F.col("rank") <= n).groupBy("product_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "neighbour_id"))), lambda x: x["neighbour_id"].cast("string")), ", ").alias("similar_products"))
+    own = pop.where(F.col("product_id").cast("string").contains(q)) if q else pop
+    return own.join(similar, "product_id", "left")
 
 
 def cross_and_up_sell(pop: DataFrame, n: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -229,7 +205,7 @@ def cross_and_up_sell(pop: DataFrame, n: int = 50) -> tuple[DataFrame, DataFrame
 def reco_kpis(recs: DataFrame, products: DataFrame) -> DataFrame:
     """K11 total, customers, mean per customer, catalogue coverage %, category diversity,
     most recommended product and category (constants dropped, Q6)."""
-    n_products = products.agg(F.countDistinct("product_id")).scalar()
+    n_products = products.agg(F.count_distinct("product_id")).scalar()
     top_p = recs.groupBy("product_id").count().orderBy(F.desc("count"), "product_id").limit(1).select(
         F.col("product_id").cast("string")).scalar()
     top_c = recs.groupBy("category").count().orderBy(F.desc("count"), "category").limit(1).select("category").scalar()
@@ -257,64 +233,79 @@ def customer_context(fs: DataFrame, master: DataFrame, clv_tiers: DataFrame | No
     return out
 
 
-def opportunity_matrix(recs: DataFrame, ctx: DataFrame, limit: int = 200) -> DataFrame:
-    """K14 recommendations joined to CLV tier and risk (D15: defaults Silver / Low Risk), with
-    priority P1 (risk high/critical) > P2 (platinum/gold) > P3 (up-sell) > P4; distinct, head."""
+# Priority labels of the opportunity matrix.
+PRIORITIES = ("P1 - At-Risk Retention Target", "P2 - VIP Cross-Sell Expansion", "P3 - High Value Upsell",
+              "P4 - Standard Personalization")
+
+
+def opportunity_matrix(recs: DataFrame, ctx: DataFrame, limit: int | None = None) -> DataFrame:
+    """K14 recommendations joined to CLV tier and risk (D15: defaults Silver / Low Risk), with a
+    priority: risk high or critical, then tier platinum or gold, then up-sell, then the rest.
+    All distinct rows; ``limit`` gives the first by priority and score."""
     m = recs.join(ctx.select(KEY, "clv_value_tier", "risk_level"), KEY, "left").fillna(
         {"clv_value_tier": "Silver", "risk_level": "Low Risk"})
     risk, tier = F.lower("risk_level"), F.lower("clv_value_tier")
-    pr = (F.when(risk.contains("critical") | risk.contains("high"), "P1 - Retention Critical")
-           .when(tier.contains("platinum") | tier.contains("gold"), "P2 - High Value Growth")
-           .when(F.lower("recommendation_type").contains("up"), "P3 - Up-Sell")
-           .otherwise("P4 - Standard Nurture"))
-    out = m.select(KEY, "product_id", "category", "hybrid_score", "clv_value_tier", "risk_level",
+    pr = (F.when(risk.contains("critical") | risk.contains("high"), PRIORITIES[0])
+           .when(tier.contains("platinum") | tier.contains("gold"), PRIORITIES[1])
+           .when(F.lower("recommendation_type").contains("upsell"), PRIORITIES[2])
+           .otherwise(PRIORITIES[3]))
+    out = m.select(KEY, "product_id", "category", "recommendation_type", "hybrid_score", "clv_value_tier", "risk_level",
                    pr.alias("priority")).distinct()
-    return out.orderBy("priority", F.desc("hybrid_score"), KEY, "product_id").limit(limit)
+    return out.orderBy("priority", F.desc("hybrid_score"), KEY, "product_id").limit(limit) if limit else out
 
 
-def filter_recommendations(recs: DataFrame, *, categories=None, min_score: float | None = None,
-                           types=None) -> DataFrame:
-    """K15 filters (category, minimum score, type); all arguments honoured."""
+def filter_recommendations(recs: DataFrame, ctx: DataFrame | None = None, *, categories=None, min_score: float | None = None,
+                           types=None, tiers=None, risks=None) -> DataFrame:
+    """K15 filters (category, minimum score, type, CLV tier, churn risk); tier and risk come from
+    ``ctx`` (K12) with the defaults of D15 where a customer has none."""
     out = recs
-    if categories:
-        out = out.where(F.col("category").isin(list(categories)))
+    if tiers or risks:
+        out = out.join(ctx.select(KEY, "clv_value_tier", "risk_level"), KEY, "left").fillna(
+            {"clv_value_tier": "Silver", "risk_level": "Low Risk"})
+    for column, values in (("category", categories), ("recommendation_type", types), ("clv_value_tier", tiers), ("risk_level", risks)):
+        if values:
+            out = out.where(F.col(column).isin(list(values)))
     if min_score is not None:
         out = out.where(F.col("hybrid_score") >= min_score)
-    if types:
-        out = out.where(F.col("recommendation_type").isin(list(types)))
     return out
 
 
 def business_modes(recs: DataFrame, pop: DataFrame) -> DataFrame:
     """K16 most recommended category and product, top trending category."""
-    return recs.agg(F.mode("category", deterministic=True).alias("most_recommended_category"),
-                    F.mode("product_id", deterministic=True).alias("most_recommended_product")).select(
-        "*", trending(pop, 1).select(CAT).scalar().alias("top_trending_category"))
-
-
-def ranking_evaluation(master: DataFrame, k_eval: int = 10, holdout_share: float = 0.2,
-                       top_products: int = TOP_PRODUCTS) -> DataFrame:
-    """K17 time-based hold-out: fit on purchases before the cut (last ``holdout_share`` of the
-    time range held out), recommend top-k for customers active in both parts, and score with
-    Spark's RankingEvaluator (precision@k, recall@k, MAP@k) plus catalogue coverage %; the
-    reference returned constants here (Q6)."""
-    from pyspark.ml.evaluation import RankingEvaluator
+    def most(column: str) -> Column:  # counted by an aggregation, not in one buffer
+        return recs.groupBy(column).count().orderBy(F.desc("count"), column).limit(1).select(column).scalar()
+
+    one = recs.sparkSession.range(1)
+    return one.select(most("category").alias("most_recommended_category"), most("product_id").alias("most_recommended_product"),
+                      trending(pop, 1).select(CAT).scalar().alias("top_trending_category"))
+
+
+def holdout_cut(master: DataFrame, holdout_share: float = 0.2) -> Column:
+    """The time that the last ``holdout_share`` of the purchase period starts at."""
     ts = F.col("order_purchase_timestamp").cast("timestamp")
     b = master.agg(F.unix_micros(F.min(ts)).alias("lo"), F.unix_micros(F.max(ts)).alias("hi"))
-    cut = b.select(F.timestamp_micros((F.col("hi") - (F.col("hi") - F.col("lo")) * holdout_share).cast("long"))).scalar()
-    train, test = master.where(ts < cut), master.where(ts >= cut)
-    pop = popularity(train)
-    cat = catalogue(pop, top_products)
-    inter = interactions(train, cat)
-    h = hybrid_matrix(collab_similarity(inter, top_products), content_similarity(cat, top_products))
-    recs = recommend(inter, h, k_eval).join(F.broadcast(cat.select("idx", "product_id")), "idx")  # k rows
-    pred = recs.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("rec_rank", "product_id")))
-                                 .getField("product_id").cast("array<double>").alias("prediction"))
-    truth = test.groupBy(KEY).agg(F.collect_set(F.col("product_id").cast("double")).alias("label"))
-    both = pred.join(truth, KEY)  # customers present in both periods (S3)
-    ev = RankingEvaluator(predictionCol="prediction", labelCol="label", k=k_eval)
-    metrics = {m: ev.setMetricName(m).evaluate(both) for m in ("precisionAtK", "recallAtK", "meanAveragePrecisionAtK")}
-    cov = recs.agg(F.countDistinct("product_id")).scalar() / pop.agg(F.count(F.lit(1))).scalar() * 100.0
-    return both.agg(F.count(F.lit(1)).alias("customers_evaluated")).select(
-        "customers_evaluated", *[F.lit(round(v, 4)).alias(n) for n, v in metrics.items()],
-        cov.alias("catalog_coverage_pct"))
+    return b.select(F.timestamp_micros(F.col("hi") - F.floor((F.col("hi") - F.col("lo")) * holdout_share).cast("long"))).scalar()
+
+
+def ranking_evaluation(master: DataFrame, k_eval: int = 10, holdout_share: float = 0.2, cut=lambda df: df) -> DataFrame:
+    """K17 time-based hold-out: fit on purchases before the cut, recommend top-k for customers
+    active in both parts (S3); precision@k, recall@k and MAP@k (average precision over
+    min(k, relevant products)) as means over customers, and catalogue coverage %."""
+    ts, at = F.col("order_purchase_timestamp").cast("timestamp"), holdout_cut(master, holdout_share)
+    train, test = cut(master.where(ts < at)), master.where(ts >= at)
+    pop = cut(popularity(train))
+    inter = cut(interactions(train, pop))
+    affinity = cut(content_affinity(inter, category_similarity(pop)))
+    recs = cut(recommend(inter, cut(neighbours(inter)), affinity, pop, k_eval))
+    truth = test.select(KEY, "product_id").distinct()
+    relevant = truth.groupBy(KEY).agg(F.count(F.lit(1)).alias("relevant"))
+    hits = recs.join(truth.withColumn("hit", F.lit(1)), [KEY, "product_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    so_far = Window.partitionBy(KEY).orderBy("rec_rank")  # k rows
+    hits = hits.withColumn("found", F.sum("hit").over(so_far))
+    per = hits.groupBy(KEY).agg(F.sum("hit").alias("hits"), F.sum(F.col("hit") * F.col("found") / F.col("rec_rank")).alias("ap")).join(relevant, KEY)
+    n_recommended = recs.agg(F.count_distinct("product_id")).scalar()
+    n_products = pop.agg(F.count_distinct("product_id")).scalar()
+    return per.agg(F.count(F.lit(1)).alias("customers_evaluated"), F.avg(F.col("hits") / k_eval).alias("precision_at_k"),
+                   F.avg(F.col("hits") / F.col("relevant")).alias("recall_at_k"),
+                   F.avg(F.col("ap") / F.least(F.col("relevant"), F.lit(k_eval))).alias("map_at_k")).select(
+        "*", (n_recommended / n_products * 100.0).alias("catalog_coverage_pct"))

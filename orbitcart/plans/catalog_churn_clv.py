@@ -127,7 +127,18 @@ def i14(spark, sf):
                     .alias("protective_drivers"))
 
 
-@query("I15_churn_narrative")
+@query("I15_churn_narrative", with_base("""
+SELECT customer_unique_id,
+       printf('Customer **%s** has a predicted churn probability of **%.1f%%**:', CAST(customer_unique_id AS VARCHAR),
+              least(greatest(recency_days / 180.0, 0.05), 0.95) * 100.0) || chr(10)
+       || CASE WHEN recency_days > 90 THEN printf('• **Prolonged Inactivity**: No purchases for %.0f consecutive days.', recency_days)
+               ELSE printf('• **Active Recency**: Purchased recently within %.0f days.', recency_days) END || chr(10)
+       || CASE WHEN total_orders <= 1 THEN '• **Single Order Risk**: Customer has not yet placed a repeat order.'
+               ELSE printf('• **Established Frequency**: Placed %.0f lifetime orders.', CAST(total_orders AS DOUBLE)) END || chr(10)
+       || CASE WHEN avg_review_score_given <= 3.0
+               THEN printf('• **Low CSAT Score**: Rated previous order %.1f out of 5 stars.', avg_review_score_given)
+               ELSE printf('• **High Satisfaction**: Rated previous order %.1f out of 5 stars.', avg_review_score_given) END AS narrative
+FROM fs"""))
 def i15(spark, sf):
     return I.churn_narrative(_j(spark, sf).scored)
 

@@ -10,34 +10,44 @@ from orbitcart.plans.oracle import MAVG, MSUM, R, with_base
 from orbitcart.plans.pipeline import retail
 from orbitcart.plans.registry import query, rounded
 
-_TOPK = K.TOP_PRODUCTS
 
-_RECO = f"""
+
+def _reco(m: str = "master", n: int = 5) -> str:
+    """The recommender in SQL over the item rows ``m``; targets are all products of the catalogue."""
+    h = "min((customer_unique_id * (48271 * (2 * b + {k})) + 69621 * (2 * b + {k})) % 2147483647)"
+    return f"""
 , pop AS (SELECT product_id, product_category_name_english, count(order_item_id) AS total_units,
                  {MSUM('price')} AS total_revenue, {MAVG('price')} AS avg_price,
                  {R('avg(avg_review_score)', 10)} AS avg_rating
-          FROM master WHERE product_category_name_english IS NOT NULL GROUP BY 1, 2),
-catl AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY total_units DESC, avg_rating DESC, product_id) - 1 AS idx
-                        FROM pop) WHERE idx < {_TOPK}),
-inter AS (SELECT customer_unique_id, product_id, count(order_item_id) AS n FROM master GROUP BY 1, 2),
-it AS (SELECT inter.*, catl.idx FROM inter JOIN catl USING (product_id)),
-dot AS (SELECT a.idx AS i, b.idx AS j, sum(a.n * b.n) AS v FROM it a JOIN it b USING (customer_unique_id) GROUP BY 1, 2),
-nrm AS (SELECT i, sqrt(v) AS norm FROM dot WHERE i = j),
-collab AS (SELECT d.i, d.j, d.v / (x.norm * y.norm) AS sim FROM dot d JOIN nrm x ON x.i = d.i JOIN nrm y ON y.i = d.j
-           WHERE d.i <> d.j),
-content AS (SELECT a.idx AS i, b.idx AS j, 1.0 AS sim FROM catl a JOIN catl b
-            ON lower(a.product_category_name_english) = lower(b.product_category_name_english) AND a.idx <> b.idx),
-hyb AS (SELECT i, j, sum(h) AS h FROM (SELECT i, j, sim * 0.6 AS h FROM collab WHERE sim > 0
-                                       UNION ALL SELECT i, j, sim * 0.4 FROM content WHERE sim > 0) GROUP BY 1, 2),
-sc AS (SELECT it.customer_unique_id, hyb.j AS idx, {R('sum(h)', 10)} AS hybrid_score FROM it JOIN hyb ON hyb.i = it.idx
-       GROUP BY 1, 2),
-sc2 AS (SELECT * FROM sc WHERE hybrid_score > 0 AND NOT EXISTS (
-          SELECT 1 FROM it WHERE it.customer_unique_id = sc.customer_unique_id AND it.idx = sc.idx)),
-rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_unique_id ORDER BY hybrid_score DESC, idx)
-                                 AS rec_rank FROM sc2) WHERE rec_rank <= 5),
-hrec AS (SELECT rk.customer_unique_id, catl.product_id, catl.product_category_name_english AS category,
-                {R('catl.avg_price', 2)} AS avg_price, rk.hybrid_score, CAST(rk.rec_rank AS INTEGER) AS rec_rank,
-                'hybrid' AS recommendation_type FROM rk JOIN catl USING (idx)),
+          FROM {m} WHERE product_category_name_english IS NOT NULL GROUP BY 1, 2),
+it AS (SELECT customer_unique_id, product_id, count(order_item_id) AS n, any_value(pop.product_category_name_english) AS category
+       FROM {m} JOIN pop USING (product_id) GROUP BY 1, 2),
+mins AS (SELECT product_id, b AS band, {h.format(k=1)} AS first, {h.format(k=2)} AS second FROM it, range(8) r(b) GROUP BY 1, 2),
+big AS (SELECT band, first FROM mins GROUP BY 1, 2 HAVING count(*) > 256),
+keyed AS (SELECT mins.product_id, mins.band, mins.first, CASE WHEN big.band IS NULL THEN -1 ELSE mins.second END AS second
+          FROM mins LEFT JOIN big ON big.band = mins.band AND big.first = mins.first),
+pairs AS (SELECT DISTINCT x.product_id AS a, y.product_id AS b FROM keyed x JOIN keyed y USING (band, first, second)
+          WHERE x.product_id < y.product_id),
+nrm AS (SELECT product_id, sqrt(sum(n * n)) AS norm FROM it GROUP BY 1),
+dots AS (SELECT a, b, sum(x.n * y.n) AS dot FROM pairs JOIN it x ON x.product_id = a
+         JOIN it y ON y.product_id = b AND y.customer_unique_id = x.customer_unique_id GROUP BY 1, 2),
+sims AS (SELECT a, b, {R('dot / (x.norm * y.norm)', 10)} AS sim FROM dots JOIN nrm x ON x.product_id = a JOIN nrm y ON y.product_id = b),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY sim DESC, neighbour_id) AS rank FROM (
+           SELECT a AS product_id, b AS neighbour_id, sim FROM sims UNION ALL SELECT b, a, sim FROM sims)) WHERE rank <= 20),
+aff AS (SELECT customer_unique_id, category, count(*) AS affinity FROM it GROUP BY 1, 2),
+collab AS (SELECT it.customer_unique_id, neighbour_id AS product_id, sum(sim) AS collab FROM it JOIN near USING (product_id) GROUP BY 1, 2),
+content AS (SELECT customer_unique_id, product_id, affinity FROM aff JOIN pop ON pop.product_category_name_english = aff.category),
+sc AS (SELECT coalesce(l.customer_unique_id, t.customer_unique_id) AS customer_unique_id, coalesce(l.product_id, t.product_id) AS product_id,
+              {R('coalesce(collab, 0.0) * 0.6 + coalesce(affinity, 0) * 0.4', 10)} AS hybrid_score
+       FROM collab l FULL JOIN content t ON t.customer_unique_id = l.customer_unique_id AND t.product_id = l.product_id),
+fresh AS (SELECT sc.* FROM sc LEFT JOIN it ON it.customer_unique_id = sc.customer_unique_id AND it.product_id = sc.product_id
+          WHERE it.product_id IS NULL AND hybrid_score > 0),
+rk AS (SELECT * FROM (SELECT fresh.*, row_number() OVER (PARTITION BY customer_unique_id
+              ORDER BY hybrid_score DESC, total_units DESC, avg_rating DESC, product_id) AS rec_rank
+       FROM fresh JOIN pop USING (product_id)) WHERE rec_rank <= {n}),
+hrec AS (SELECT rk.customer_unique_id, product_id, pop.product_category_name_english AS category,
+                {R('pop.avg_price', 2)} AS avg_price, rk.hybrid_score, CAST(rk.rec_rank AS INTEGER) AS rec_rank,
+                'hybrid' AS recommendation_type FROM rk JOIN pop USING (product_id)),
 trend AS (SELECT product_id, product_category_name_english AS category, {R('avg_price', 2)} AS avg_price,
                  CAST(row_number() OVER (ORDER BY total_units DESC, avg_rating DESC, product_id) AS INTEGER) AS rec_rank
           FROM pop ORDER BY total_units DESC, avg_rating DESC, product_id LIMIT 5),
@@ -48,6 +58,9 @@ cold AS (SELECT f.customer_unique_id, t.product_id, t.category, t.avg_price, 1.0
 recs AS (SELECT * FROM hrec UNION ALL SELECT * FROM cold)"""
 
 
+_RECO = _reco()
+
+
 def _j(spark, sf):
     return jobs(spark, sf)
 
@@ -66,22 +79,16 @@ def k2(spark, sf):
 
 
 @query("K4_item_similarity", with_base(f"""{_RECO}
-SELECT a.product_id AS product_a, b.product_id AS product_b, {R('sim', 8)} AS similarity
-FROM collab JOIN catl a ON a.idx = collab.i JOIN catl b ON b.idx = collab.j"""))
+SELECT product_id, neighbour_id, {R('sim', 8)} AS similarity, CAST(rank AS INTEGER) AS rank FROM near"""))
 def k4(spark, sf):
-    j = _j(spark, sf)
-    info = j.catalogue.select("idx", "product_id")
-    s = (j.collab.join(info.select(F.col("idx").alias("i"), F.col("product_id").alias("product_a")), "i")
-         .join(info.select(F.col("idx").alias("j"), F.col("product_id").alias("product_b")), "j"))
-    return rounded(s.select("product_a", "product_b", F.col("sim").alias("similarity")), {"similarity": 8})
+    s = _j(spark, sf).neighbours.select("product_id", "neighbour_id", F.col("sim").alias("similarity"), F.col("rank").cast("int"))
+    return rounded(s, {"similarity": 8})
 
 
 @query("K5_content_similarity", with_base(f"""{_RECO}
-SELECT count(*) AS pairs, {R('sum(sim)', 6)} AS total_similarity FROM content"""))
+SELECT customer_unique_id, category, CAST(affinity AS DOUBLE) AS affinity, affinity AS bought FROM aff"""))
 def k5(spark, sf):
-    c = _j(spark, sf).content
-    return rounded(c.agg(F.count(F.lit(1)).alias("pairs"), F.sum("sim").alias("total_similarity")),
-                   {"total_similarity": 6})
+    return _j(spark, sf).affinity.select("customer_unique_id", "category", "affinity", "bought")
 
 
 @query("K6_hybrid_recommendations", with_base(f"""{_RECO}
@@ -93,15 +100,23 @@ def k6(spark, sf):
                             "recommendation_type"), {"hybrid_score": 6})
 
 
+@query("K7_cold_start", with_base(f"""{_RECO}
+, warm AS (SELECT DISTINCT customer_unique_id FROM fs WHERE customer_unique_id % 3 = 0)
+SELECT f.customer_unique_id, t.product_id, t.category, t.avg_price, t.rec_rank,
+       'Top Trending Recommendation (New Customer Cold-Start Fallback)' AS explanation
+FROM (SELECT DISTINCT customer_unique_id FROM fs WHERE customer_unique_id % 3 <> 0) f, trend t"""))
+def k7(spark, sf):
+    """Cold start when only every third customer has a hybrid score."""
+    j = _j(spark, sf)
+    warm = j.r.feature_store.where(F.col("customer_unique_id") % 3 == 0)
+    return K.cold_start(j.r.feature_store, warm, j.popularity, 5).select(
+        "customer_unique_id", "product_id", "category", "avg_price", "rec_rank", "explanation")
+
+
 @query("K8_similar_products", with_base(f"""{_RECO}
-, s AS (SELECT a.product_id, b.product_id AS similar_product_id, sim FROM collab JOIN catl a ON a.idx = collab.i
-        JOIN catl b ON b.idx = collab.j)
-SELECT product_id, similar_product_id, {R('sim', 6)} AS similarity_score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY sim DESC, similar_product_id) AS rank FROM s)
-WHERE rank <= 5"""))
+SELECT product_id, neighbour_id AS similar_product_id, {R('sim', 6)} AS similarity_score, rank FROM near WHERE rank <= 5"""))
 def k8(spark, sf):
-    j = _j(spark, sf)
-    return K.similar_products(j.collab, j.catalogue, 5)
+    return K.similar_products(_j(spark, sf).neighbours, 5)
 
 
 @query("K9_cross_sell_list", with_base(f"""{_RECO}
@@ -148,11 +163,14 @@ def k12(spark, sf):
 
 
 @query("K13_product_profile", with_base(f"""{_RECO}
-SELECT product_id, product_category_name_english, total_units, total_revenue, {R('avg_price', 6)} AS avg_price,
-       {R('avg_rating', 6)} AS avg_rating FROM pop WHERE contains(CAST(product_id AS VARCHAR), '42')"""))
+, s AS (SELECT product_id, string_agg(CAST(neighbour_id AS VARCHAR), ', ' ORDER BY rank) AS similar_products
+        FROM near WHERE rank <= 5 GROUP BY 1)
+SELECT pop.product_id, product_category_name_english, total_units, total_revenue, {R('avg_price', 6)} AS avg_price,
+       {R('avg_rating', 6)} AS avg_rating, similar_products
+FROM pop LEFT JOIN s USING (product_id) WHERE contains(CAST(pop.product_id AS VARCHAR), '42')"""))
 def k13(spark, sf):
-    p = _j(spark, sf).popularity.where(F.col("product_id").cast("string").contains("42"))
-    return rounded(p, {"avg_price": 6, "avg_rating": 6})
+    j = _j(spark, sf)
+    return rounded(K.product_profiles(j.popularity, j.neighbours, "42"), {"avg_price": 6, "avg_rating": 6})
 
 
 @query("K16_business_modes", with_base(f"""{_RECO}
@@ -167,11 +185,33 @@ def k16(spark, sf):
     return K.business_modes(j.recommendations, j.popularity)
 
 
-@query("K14_opportunity_matrix")
+_CONTEXT = f"""{_RECO}
+, churn AS (SELECT customer_unique_id, least(greatest(recency_days / 180.0, 0.05), 0.95) AS p FROM fs),
+risk AS (SELECT customer_unique_id, CASE WHEN p >= 0.8 THEN 'Critical' WHEN p >= 0.6 THEN 'High'
+                WHEN p >= 0.4 THEN 'Medium'
+                WHEN p >= 0.2 THEN 'Low' ELSE 'Very Low' END AS risk_level FROM churn),
+value AS (SELECT customer_unique_id, greatest(total_spending + purchase_frequency_monthly * avg_order_value * 12.0, 0.0) AS v FROM fs),
+cuts AS (SELECT quantile_cont(v, [0.5, 0.8, 0.95]) AS q FROM value),
+tier AS (SELECT customer_unique_id, CASE WHEN v >= q[3] THEN 'Platinum (Top 5%)' WHEN v >= q[2] THEN 'Gold (Top 20%)'
+                WHEN v >= q[1] THEN 'Silver (Top 50%)' WHEN v > 0 THEN 'Bronze' ELSE 'Low Value' END AS clv_value_tier FROM value, cuts),
+known AS (SELECT recs.*, clv_value_tier, risk_level FROM recs JOIN tier USING (customer_unique_id) JOIN risk USING (customer_unique_id))"""
+
+
+def _context(j):
+    return K.customer_context(j.r.feature_store, j.r.master, j.clv_frame, j.scored)
+
+
+@query("K14_opportunity_matrix", with_base(f"""{_CONTEXT}
+SELECT DISTINCT customer_unique_id, product_id, category, recommendation_type, {R('hybrid_score', 6)} AS hybrid_score,
+       clv_value_tier, risk_level,
+       CASE WHEN risk_level IN ('Critical', 'High') THEN 'P1 - At-Risk Retention Target'
+            WHEN clv_value_tier LIKE 'Platinum%' OR clv_value_tier LIKE 'Gold%' THEN 'P2 - VIP Cross-Sell Expansion'
+            WHEN recommendation_type LIKE '%upsell%' THEN 'P3 - High Value Upsell'
+            ELSE 'P4 - Standard Personalization' END AS priority
+FROM known"""))
 def k14(spark, sf):
     j = _j(spark, sf)
-    ctx = K.customer_context(j.r.feature_store, j.r.master, j.clv_frame, j.scored)
-    return K.opportunity_matrix(j.recommendations, ctx, 200)
+    return rounded(K.opportunity_matrix(j.recommendations, _context(j)), {"hybrid_score": 6})
 
 
 @query("K15_filtered_recommendations", with_base(f"""{_RECO}
@@ -183,9 +223,36 @@ def k15(spark, sf):
     return rounded(f.select("customer_unique_id", "product_id", "category", "hybrid_score"), {"hybrid_score": 6})
 
 
-@query("K17_ranking_evaluation")
+@query("K15_recommendations_by_tier_and_risk", with_base(f"""{_CONTEXT}
+SELECT customer_unique_id, product_id, clv_value_tier, risk_level, {R('hybrid_score', 6)} AS hybrid_score FROM known
+WHERE clv_value_tier IN ('Gold (Top 20%)', 'Platinum (Top 5%)') AND risk_level IN ('High', 'Critical') AND recommendation_type = 'hybrid'"""))
+def k15_context(spark, sf):
+    j = _j(spark, sf)
+    f = K.filter_recommendations(j.recommendations, _context(j), tiers=["Gold (Top 20%)", "Platinum (Top 5%)"],
+                                 risks=["High", "Critical"], types=["hybrid"])
+    return rounded(f.select("customer_unique_id", "product_id", "clv_value_tier", "risk_level", "hybrid_score"), {"hybrid_score": 6})
+
+
+_HOLDOUT = """
+, span AS (SELECT epoch_us(min(order_purchase_timestamp)) AS lo, epoch_us(max(order_purchase_timestamp)) AS hi FROM master),
+cutoff AS (SELECT make_timestamp(CAST(hi - floor((hi - lo) * 0.2) AS BIGINT)) AS t FROM span),
+train AS (SELECT master.* FROM master, cutoff WHERE order_purchase_timestamp < t)"""
+
+
+@query("K17_ranking_evaluation", with_base(f"""{_HOLDOUT}{_reco("train", 10)}
+, truth AS (SELECT DISTINCT customer_unique_id, product_id FROM master, cutoff WHERE order_purchase_timestamp >= t),
+relevant AS (SELECT customer_unique_id, count(*) AS relevant FROM truth GROUP BY 1),
+hits AS (SELECT hrec.customer_unique_id, rec_rank, CASE WHEN truth.product_id IS NULL THEN 0 ELSE 1 END AS hit
+         FROM hrec LEFT JOIN truth ON truth.customer_unique_id = hrec.customer_unique_id AND truth.product_id = hrec.product_id),
+ranked AS (SELECT *, sum(hit) OVER (PARTITION BY customer_unique_id ORDER BY rec_rank) AS found FROM hits),
+per AS (SELECT customer_unique_id, sum(hit) AS hits, sum(hit * found / rec_rank) AS ap FROM ranked GROUP BY 1)
+SELECT count(*) AS customers_evaluated, {R('avg(hits / 10)', 8)} AS precision_at_k, {R('avg(hits / relevant)', 8)} AS recall_at_k,
+       {R('avg(ap / least(relevant, 10))', 8)} AS map_at_k,
+       {R('(SELECT count(DISTINCT product_id) FROM hrec) / (SELECT count(DISTINCT product_id) FROM pop) * 100.0', 6)} AS catalog_coverage_pct
+FROM per JOIN relevant USING (customer_unique_id)"""))
 def k17(spark, sf):
-    return K.ranking_evaluation(retail(spark, sf).master, 10)
+    r = retail(spark, sf)
+    return rounded(K.ranking_evaluation(r.master, 10, cut=r._cut), {"precision_at_k": 8, "recall_at_k": 8, "map_at_k": 8, "catalog_coverage_pct": 6})
 
 
 @query("M20_dashboard_payload_sizes")

@@ -72,27 +72,22 @@ class Jobs:
     def popularity(self) -> DataFrame:
         return self._cut(reco.popularity(self.r.master))
 
-    @cached_property
-    def catalogue(self) -> DataFrame:
-        return self._cut(reco.catalogue(self.popularity, reco.TOP_PRODUCTS))
-
     @cached_property
     def interactions(self) -> DataFrame:
-        return self._cut(reco.interactions(self.r.master, self.catalogue))
+        return self._cut(reco.interactions(self.r.master, self.popularity))
 
     @cached_property
-    def collab(self) -> DataFrame:
-        return self._cut(reco.collab_similarity(self.interactions, reco.TOP_PRODUCTS))
+    def neighbours(self) -> DataFrame:
+        return self._cut(reco.neighbours(self.interactions))
 
     @cached_property
-    def content(self) -> DataFrame:
-        return self._cut(reco.content_similarity(self.catalogue, reco.TOP_PRODUCTS))
+    def affinity(self) -> DataFrame:
+        return self._cut(reco.content_affinity(self.interactions, reco.category_similarity(self.popularity)))
 
     @cached_property
     def recommendations(self) -> DataFrame:
         """K6 + K7 for every customer: hybrid top-5, cold start for the rest."""
-        h = reco.hybrid_matrix(self.collab, self.content)
-        hyb = reco.with_product_info(reco.recommend(self.interactions, h, 5), self.catalogue)
+        hyb = reco.with_product_info(reco.recommend(self.interactions, self.neighbours, self.affinity, self.popularity, 5), self.popularity)
         cold = reco.cold_start(self.r.feature_store, hyb, self.popularity, 5)
         cols = ["customer_unique_id", "product_id", "category", "avg_price", "hybrid_score", "rec_rank",
                 "explanation", "recommendation_type"]

@@ -3,6 +3,8 @@ import itertools
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
+
 from orbitcart.operators import basket, drift, recommend
 
 
@@ -43,27 +45,68 @@ def test_ks_statistic_brute_force(spark):
     assert 0.0 <= got.p_value <= 1.0 and got.drift_detected == (got.p_value < 0.05)
 
 
-def test_gram_kernel_matches_numpy(spark):
-    rng = np.random.default_rng(5)
-    k = 12
-    rows = []
-    for c in range(80):
-        for i in rng.choice(k, rng.integers(1, k), replace=False):
-            rows.append((c, int(i), float(rng.integers(1, 4))))
-    df = spark.createDataFrame(rows, "g long, idx int, v double").repartition(5)
-    got = {(r.i, r.j): r.v for r in recommend.gram(df, "g", k).collect()}
-    x = np.zeros((80, k))
-    for c, i, v in rows:
-        x[c, i] = v
-    g = x.T @ x
-    for i in range(k):
-        for j in range(k):
-            assert abs(got.get((i, j), 0.0) - g[i, j]) < 1e-9
-
-
-def test_hybrid_scores_brute_force(spark):
-    inter = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 2)], "customer_unique_id long, idx int")
-    h = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.2), (1, 2, 0.3), (1, 3, 0.1), (2, 0, 0.4)], "i int, j int, h double")
-    recs = {(r.customer_unique_id, r.idx): r for r in recommend.recommend(inter, h, 5).collect()}
-    assert set(recs) == {(1, 2), (1, 3), (2, 2), (2, 3), (3, 0)}
-    assert abs(recs[(1, 2)].hybrid_score - 0.5) < 1e-12 and recs[(1, 2)].rec_rank == 1
+def _shop(spark, seed=5):
+    """Purchases of 60 customers among 40 products in 4 categories, one customer with all of them."""
+    rng = np.random.default_rng(seed)
+    rows = [(c, int(p), int(rng.integers(1, 4))) for c in range(60) for p in rng.choice(40, rng.integers(1, 12), replace=False)]
+    rows += [(99, p, 1) for p in range(40)]
+    inter = spark.createDataFrame([(c, p, n, f"cat_{p % 4}") for c, p, n in rows], "customer_unique_id long, product_id long, n long, category string")
+    pop = inter.groupBy("product_id", F.col("category").alias(recommend.CAT)).agg(F.sum("n").alias("total_units"), F.lit(3.0).alias("avg_rating"))
+    return rows, inter, pop
+
+
+def _cosines(rows):
+    x = np.zeros((100, 40))
+    for c, p, n in rows:
+        x[c, p] = n
+    return (x.T @ x) / np.outer(np.linalg.norm(x, axis=0), np.linalg.norm(x, axis=0))
+
+
+def test_neighbours_have_exact_cosines(spark):
+    rows, inter, _ = _shop(spark)
+    sim = _cosines(rows)
+    for bucket in (256, 2):  # with 2 every bucket is split by the second hash
+        near = recommend.neighbours(inter, 6, bucket=bucket).collect()
+        assert near and all(abs(r.sim - sim[r.product_id, r.neighbour_id]) < 1e-9 and r.product_id != r.neighbour_id for r in near)
+        for p in {r.product_id for r in near}:
+            own = sorted((-r.sim, r.neighbour_id) for r in near if r.product_id == p)
+            assert [r[1] for r in own] == [r.neighbour_id for r in sorted((r for r in near if r.product_id == p), key=lambda r: r["rank"])]
+
+
+def test_recommendations_equal_brute_force(spark):
+    rows, inter, pop = _shop(spark)
+    near = recommend.neighbours(inter, 6)
+    sims = {(r.product_id, r.neighbour_id): r.sim for r in near.collect()}
+    units = {r.product_id: r.total_units for r in pop.collect()}
+    affinity = recommend.content_affinity(inter, recommend.category_similarity(pop))
+    got = {}
+    for r in recommend.recommend(inter, near, affinity, pop, 5).collect():
+        got.setdefault(r.customer_unique_id, []).append((r.rec_rank, r.product_id, round(r.hybrid_score, 8)))
+    bought = {}
+    for c, p, _ in rows:
+        bought.setdefault(c, set()).add(p)
+    for c, own in bought.items():
+        scores = {t: sum(0.6 * sims.get((p, t), 0) + 0.4 * (p % 4 == t % 4) for p in own) for t in units if t not in own}
+        best = sorted((-round(s, 10), -units[t], t) for t, s in scores.items() if s > 0)[:5]
+        assert sorted(got.get(c, [])) == [(i, t, round(-s, 8)) for i, (s, _, t) in enumerate(best, 1)]
+
+
+def test_category_similarity_of_several_words(spark):
+    pop = spark.createDataFrame([(1, "home decor"), (2, "home garden"), (3, "the toys"), (4, "home decor")], f"product_id long, {recommend.CAT} string")
+    got = {(r.category, r.other): r.sim for r in recommend.category_similarity(pop).collect()}
+    assert got["home decor", "home decor"] == 1 and got["the toys", "the toys"] == 1
+    assert 0 < got["home decor", "home garden"] < 1 and ("the toys", "home decor") not in got
+
+
+def test_cold_start_and_priorities(spark):
+    _, inter, pop = _shop(spark)
+    pop = pop.withColumn("avg_price", F.lit(2.0))
+    customers = spark.range(5).select(F.col("id").alias("customer_unique_id"))
+    cold = recommend.cold_start(customers, customers.where("customer_unique_id < 3"), pop, 4).collect()
+    assert sorted({r.customer_unique_id for r in cold}) == [3, 4] and len(cold) == 8 and {r.rec_rank for r in cold} == {1, 2, 3, 4}
+    recs = spark.createDataFrame([(1, 7, "a", 1.0, "hybrid"), (2, 7, "a", 1.0, "upsell"), (3, 7, "a", 1.0, "x"), (4, 7, "a", 1.0, "upsell")],
+                                 "customer_unique_id long, product_id long, category string, hybrid_score double, recommendation_type string")
+    ctx = spark.createDataFrame([(1, "Gold (Top 20%)", "High"), (2, "Bronze", "Low"), (4, "Platinum (Top 5%)", "Low")],
+                                "customer_unique_id long, clv_value_tier string, risk_level string")
+    got = {r.customer_unique_id: r.priority[:2] for r in recommend.opportunity_matrix(recs, ctx).collect()}
+    assert got == {1: "P1", 2: "P3", 3: "P4", 4: "P2"}
