@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitcart.llm.common import only, slices, text_or_empty
-from orbitcart.llm.pieces import CACHE_ENTRIES, PieceCache
+from orbitcart.llm.pieces import CACHE_ENTRIES, STABLE, PieceCache
 
 # Fixed value: the published pre-token pattern of the byte-level BPE vocabulary.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Code points below this have the same classes in every Unicode version in use.
-_STABLE = 0x250
 _NO_PAIR = 1 << 62
 _POSITION = (1 << 32) - 1
 
@@ -118,7 +116,7 @@ class Coder:
         self.cache = PieceCache(self.encode)
 
     def pre_tokens(self, text: str) -> list[str]:
-        if text.isascii() or ord(max(text)) < _STABLE:
+        if text.isascii() or ord(max(text)) < STABLE:
             return self.find(text)
         if self.library is None:  # newer letters: the library's own classes decide
             from tokenizers import Tokenizer

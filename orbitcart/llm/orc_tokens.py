@@ -23,19 +23,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbitcart.llm.bpe import byte_symbols
 from orbitcart.llm.common import only, slices, text_or_empty
-from orbitcart.llm.pieces import PieceCache
+from orbitcart.llm.pieces import STABLE, PieceCache
 
 _STORED = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
+class _Library:
+    """The tokenizers library on text pieces.
+
+    A space and letters are one pre-token, so such a piece goes straight to the library's
+    merge model, and a mark after it is a pre-token of its own; other pieces take all steps.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.all_steps = tokenizer.model.tokenize, tokenizer.encode
+        self.symbol_of = dict(enumerate(byte_symbols()))
+        self.marks = {c: self.encode(c) for c in ".,;:!?"}
+        self.cache = PieceCache(self.piece)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.all_steps(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, text: str) -> bytes:
+        if text[0] == " " and ord(max(text)) < STABLE:
+            if text[1:].isalpha():
+                found = self.tokenize(text.encode().decode("latin-1").translate(self.symbol_of))
+                return np.array([t.id for t in found], "<u4").tobytes()
+            if text[-1] in self.marks and text[1:-1].isalpha():
+                return self.cache[text[1:-1]] + self.marks[text[-1]]
+        return self.encode(text)
+
+
 @lru_cache(maxsize=2)
 def _library_cache(path: str) -> PieceCache:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return PieceCache(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes())
+    return _Library(path).cache
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
@@ -73,14 +100,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows with ``start``, the number of ids in all documents before.
 
-    The files' totals come from the two small columns alone (one row per file); the ids are
-    read stripe by stripe and not moved.
+    The files' totals come from the two small columns alone; they are one row per file, so
+    they go to every task, and the ids are read stripe by stripe and not moved.
     """
     stored = spark.read.schema(_STORED).orc(path)
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("before"))
-    return (stored.join(offsets, "part")
+    return (stored.join(F.broadcast(offsets), "part")
             .select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids"))
 
 

@@ -13,6 +13,8 @@ Encode = Callable[[str], bytes]
 
 #: Entries of a worker's cache; at this size it is emptied and filled anew.
 CACHE_ENTRIES = 500_000
+#: Code points below this have the same classes in every Unicode version in use.
+STABLE = 0x250
 
 
 class PieceCache(dict):
