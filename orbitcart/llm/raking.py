@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitcart.llm.common import cut, only, saved, slices, text_or_empty
+from orbitcart.llm.common import cut, only, packed, saved, slices, text_or_empty
 
 TOPICS, LONG_WORD = 8, 6
 #: Share of all tokens that is drawn; exponents of the default targets (0: equal, 1: as they are).
@@ -85,7 +85,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUND
     totals, off again after the others' turns, are within ``tolerance`` of their targets.
     """
     cells = cut(cells.withColumn("weight", F.col("mass").cast("double")))
+    count = cells.count()
+    cells = packed(cells, count)
     goals = {d: cut(t.select(d, F.col("target").cast("double"))) for d, t in targets.items()}
+    goals = {d: packed(goal, goal.count()) for d, goal in goals.items()}
     columns, first = cells.drop("weight").columns, next(iter(goals))
     for _ in range(rounds):
         turned = cells.select(*columns, "weight", F.lit(1.0).alias("first_factor"))
@@ -96,7 +99,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUND
             turned = turned.join(step, turned[dimension].eqNullSafe(step["key"])).select(
                 *columns, (F.col("weight") * F.col("factor")).alias("weight"),
                 F.col("factor" if dimension == first else "first_factor").alias("first_factor"))
-        turned = cut(turned)
+        turned = packed(cut(turned), count)
         off = turned.agg(F.max(F.abs(F.col("first_factor") - 1))).first()[0]
         cells = turned.drop("first_factor")
         if not off or off <= tolerance:
@@ -128,7 +131,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, budget:
         text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept of each row."""
     described = saved(describe(docs, id_col=id_col, text_col=text_col, source_col=source_col, lang_col=lang_col), "described")
-    cells = described.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("mass"))
+    cells = cut(described.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("mass")))
+    cells = packed(cells, cells.count())
     targets = targets or {d: tempered_targets(cells, d, EXPONENTS[d]) for d in DIMENSIONS}
     raked = probabilities(rake(cells, targets), budget)
     raked = cut(raked.select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], F.col("ratio").alias("weight"), "probability"))
