@@ -77,8 +77,8 @@ def quality_score(summary: DataFrame) -> DataFrame:
                     F.round(miss, 2).alias("missing_pct"), F.round(dup, 2).alias("duplicate_pct"))
 
 
-def column_profile(name: str, df: DataFrame, max_columns: int = 15, approximate: bool = False) -> DataFrame:
-    """B9 type, null count and distinct count for the first ``max_columns`` columns."""
+def column_profile(name: str, df: DataFrame, max_columns: int | None = None, approximate: bool = False) -> DataFrame:
+    """B9 type, null count and distinct count of every column, or of the first ``max_columns``."""
     cols = df.columns[:max_columns]
     types = dict(df.dtypes)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).unpivot([], cols, "column_name", "null_count")

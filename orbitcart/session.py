@@ -40,8 +40,9 @@ def get_session(app: str = "orbitcart", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only when
-    it is unset (local tests) a private folder under the system temp directory is created.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only where
+    it is unset on a local master (tests) a private folder under the system temp directory is
+    created; elsewhere a machine's own folder would be out of the executors' reach.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="orbitcart-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
