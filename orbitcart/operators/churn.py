@@ -273,14 +273,17 @@ def purchase_timeline(master: DataFrame) -> DataFrame:
     from orbitcart.functions.ordering import with_global_row_number
     per = master.groupBy(KEY, "order_id").agg(F.min("order_purchase_timestamp").alias("ts"),
                                              money_sum("price").alias("order_value"),
-                                             F.count(F.lit(1)).alias("items"))
+                                             F.count(F.lit(1)).alias("items"),
+                                             # an order's lines: a short list
+                                             F.array_join(F.array_sort(F.collect_set("product_category_name_english")), ", ").alias("categories"),
+                                             F.min("preferred_payment_type").alias("payment_method"))
     ranked = with_global_row_number(per, [F.col(KEY).asc(), F.col("ts").asc_nulls_first(), F.col("order_id").asc()],
                                     "__rn")
     first = ranked.groupBy(KEY).agg(F.min("__rn").alias("__first"))
     prev = ranked.select((F.col("__rn") + 1).alias("__rn"), F.col(KEY).alias("__pk"), F.col("ts").alias("__pts"))
     out = ranked.join(first, KEY).join(prev, "__rn", "left")
     gap = F.when(F.col("__pk") == F.col(KEY), days_between(F.col("ts"), F.col("__pts")))
-    return out.select(KEY, "order_id", "ts", "order_value", "items",
+    return out.select(KEY, "order_id", "ts", "order_value", "items", "categories", "payment_method",
                       (F.col("__rn") - F.col("__first") + 1).cast("long").alias("order_seq"),
                       gap.alias("days_since_prev"))
 

@@ -361,9 +361,10 @@ def executive_kpis(master: DataFrame, fs: DataFrame | None = None, orders: DataF
 
 # ------------------------------------------------------------------ M15-M18 search and filters
 
-def entity_search(master: DataFrame, q: str, limit: int = 50) -> DataFrame:
+def entity_search(master: DataFrame, q: str, limit: int | None = None) -> DataFrame:
     """M15 case-insensitive literal substring search, entities tried in order customer ->
-    order -> seller -> product -> category; rows of the first entity type with a hit."""
+    order -> seller -> product -> category; all ids of the first entity type with a hit (the
+    first ``limit`` by id if given)."""
     needle = q.lower()
     order = [("customer", KEY), ("order", "order_id"), ("seller", "seller_id"), ("product", "product_id"),
              ("category", first_present(master, CATEGORY_COLUMNS))]
@@ -374,15 +375,31 @@ def entity_search(master: DataFrame, q: str, limit: int = 50) -> DataFrame:
         hits.append(ids.select(F.lit(prio).alias("priority"), F.lit(name).alias("entity_type"), "entity_id"))
     allhits = functools.reduce(DataFrame.unionByName, hits)
     best = allhits.agg(F.min("priority")).scalar()
-    return allhits.where(F.col("priority") == best).drop("priority").orderBy("entity_id").limit(limit)
+    out = allhits.where(F.col("priority") == best).drop("priority")
+    return out.orderBy("entity_id").limit(limit) if limit else out
+
+
+def filter_customers(customers: DataFrame, *, risk_levels: Sequence[str] | None = None, tiers: Sequence[str] | None = None,
+                     clv_range: tuple[float, float] | None = None, tier_col: str = "clv_value_tier",
+                     clv_col: str = "historical_clv") -> DataFrame:
+    """M17 customers of given risk levels, value tiers and CLV range."""
+    out = customers
+    if risk_levels:
+        out = out.where(F.col("risk_level").isin(list(risk_levels)))
+    if tiers:
+        out = out.where(F.col(tier_col).isin(list(tiers)))
+    if clv_range:
+        out = out.where(F.col(clv_col).between(float(clv_range[0]), float(clv_range[1])))
+    return out
 
 
 def filter_master(master: DataFrame, fs: DataFrame | None = None, *, start=None, end=None,
                   states: Sequence[str] | None = None, categories: Sequence[str] | None = None,
                   sellers: Sequence | None = None, payments: Sequence[str] | None = None,
                   segments: Sequence[str] | None = None, cities: Sequence[str] | None = None,
-                  price_range: tuple[float, float] | None = None) -> DataFrame:
-    """M16/M17 slice the master; predicates are plain column filters (pushed to the scan)."""
+                  price_range: tuple[float, float] | None = None, customers: DataFrame | None = None) -> DataFrame:
+    """M16/M17 slice the master; predicates are plain column filters, and ``customers`` (as from
+    ``filter_customers``) keeps the items of those customers."""
     preds: list[Column] = []
     if start is not None:
         preds.append(F.col(TS) >= F.lit(start).cast("timestamp"))
@@ -407,6 +424,8 @@ def filter_master(master: DataFrame, fs: DataFrame | None = None, *, start=None,
         seg_cols = [c for c in ("rfm_segment", "spending_tier", "clv_value_tier", "cluster_name") if c in fs.columns]
         ids = fs.where(functools.reduce(lambda a, b: a | b, [F.col(c).isin(list(segments)) for c in seg_cols]))
         out = out.join(ids.select(KEY), KEY, "left_semi")
+    if customers is not None:
+        out = out.join(customers.select(KEY), KEY, "left_semi")
     return out
 
 

@@ -145,8 +145,9 @@ def i15(spark, sf):
 
 @query("I17_purchase_timeline", with_base(f"""
 , po AS (SELECT customer_unique_id, order_id, min(order_purchase_timestamp) AS ts, {MSUM('price')} AS order_value,
-                count(*) AS items FROM master GROUP BY 1, 2)
-SELECT customer_unique_id, order_id, ts, order_value, items,
+                count(*) AS items, string_agg(DISTINCT product_category_name_english, ', ' ORDER BY product_category_name_english) AS categories,
+                min(preferred_payment_type) AS payment_method FROM master GROUP BY 1, 2)
+SELECT customer_unique_id, order_id, ts, order_value, items, categories, payment_method,
        row_number() OVER (PARTITION BY customer_unique_id ORDER BY ts, order_id) AS order_seq,
        {DAYS('ts', 'lag(ts) OVER (PARTITION BY customer_unique_id ORDER BY ts, order_id)')} AS days_since_prev
 FROM po"""))
@@ -376,6 +377,41 @@ def j17(spark, sf):
                     F.array_join(F.transform("value_drags", lambda s: s["driver"]), ", ").alias("value_drags"))
 
 
+@query("M17_risk_and_clv_slice", with_base(f"""{_SCORED}
+SELECT customer_state, count(*) AS item_rows, count(DISTINCT order_id) AS orders FROM master
+WHERE customer_unique_id IN (SELECT customer_unique_id FROM scr WHERE risk_level IN ('High', 'Critical') AND historical_clv BETWEEN 500000.0 AND 2500000.0)
+GROUP BY 1"""))
+def m17_risk(spark, sf):
+    from orbitcart.operators import executive as X
+    chosen = X.filter_customers(_j(spark, sf).scored, risk_levels=["High", "Critical"], clv_range=(500000.0, 2500000.0))
+    per = X.filter_master(retail(spark, sf).master, customers=chosen).groupBy("customer_state", "order_id").count()
+    return per.groupBy("customer_state").agg(F.sum("count").alias("item_rows"), F.count(F.lit(1)).alias("orders"))
+
+
+@query("M17_value_tier_slice", with_base(f"""{_CLVF}
+SELECT customer_state, count(*) AS item_rows FROM master
+WHERE customer_unique_id IN (SELECT customer_unique_id FROM cv WHERE clv_value_tier IN ('Gold (Top 20%)', 'Bronze')) GROUP BY 1"""))
+def m17_tier(spark, sf):
+    from orbitcart.operators import executive as X
+    chosen = X.filter_customers(_j(spark, sf).clv_frame, tiers=["Gold (Top 20%)", "Bronze"])
+    return X.filter_master(retail(spark, sf).master, customers=chosen).groupBy("customer_state").agg(F.count(F.lit(1)).alias("item_rows"))
+
+
+@query("J19_clv_profile_by_customer", with_base(f"""
+SELECT 'customer' AS match_type, CAST(customer_unique_id AS VARCHAR) AS match_key, 1 AS customers, {R('historical_clv', 4)} AS total_clv,
+       {R('historical_clv', 4)} AS avg_clv FROM fs WHERE contains(CAST(customer_unique_id AS VARCHAR), '77')"""))
+def j19_customer(spark, sf):
+    return rounded(J.search_clv_profile(retail(spark, sf).feature_store, "77"), {"total_clv": 4, "avg_clv": 4})
+
+
+@query("J19_clv_profile_by_segment", with_base(f"""
+, s AS (SELECT unnest([rfm_segment, spending_tier]) AS seg, historical_clv FROM fs)
+SELECT 'segment' AS match_type, seg AS match_key, count(*) AS customers, {R('sum(historical_clv)', 4)} AS total_clv,
+       {R('avg(historical_clv)', 4)} AS avg_clv FROM s WHERE contains(lower(seg), 'gold') OR false GROUP BY seg"""))
+def j19_segment(spark, sf):
+    return rounded(J.search_clv_profile(retail(spark, sf).feature_store, "Gold"), {"total_clv": 4, "avg_clv": 4})
+
+
 @query("J18_growth_candidates", with_base(f"""
 , t AS (SELECT fs.*, {_FIXED} AS tier FROM fs),
 g(priority, opportunity_group) AS (VALUES (0, 'Premium upsell: Gold with AOV > 200'),

@@ -255,9 +255,9 @@ _SEARCH_Q = "77"
   UNION ALL SELECT DISTINCT 3, 'product', CAST(product_id AS VARCHAR) FROM master
   UNION ALL SELECT DISTINCT 4, 'category', CAST(product_category_name_english AS VARCHAR) FROM master),
 m AS (SELECT * FROM hits WHERE contains(lower(entity_id), '{_SEARCH_Q}'))
-SELECT entity_type, entity_id FROM m WHERE priority = (SELECT min(priority) FROM m) ORDER BY entity_id LIMIT 50"""))
+SELECT entity_type, entity_id FROM m WHERE priority = (SELECT min(priority) FROM m)"""))
 def m15_search(spark, sf):
-    return X.entity_search(_m(spark, sf), _SEARCH_Q, 50)
+    return X.entity_search(_m(spark, sf), _SEARCH_Q)
 
 
 _F_START, _F_END = "1996-01-01", "1999-12-31"

@@ -132,10 +132,12 @@ def b8(spark, sf):
 @query("B9_column_profile_order_items", with_base(f"""{_RAW}
 , n AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(_ITEM_COLS))}) v(position, column_name)),
 d AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(DISTINCT {c}) AS distinct_count FROM raw_items" for c in _ITEM_COLS)})
-SELECT 'order_items' AS table_name, CAST(position AS INTEGER) AS position, column_name, null_count, distinct_count
+SELECT 'order_items' AS table_name, CAST(position AS INTEGER) AS position, column_name, null_count, distinct_count,
+       CASE WHEN column_name = 'shipping_limit_date' THEN 'timestamp_ntz' WHEN column_name IN ('price', 'freight_value') THEN 'double'
+            WHEN column_name = 'order_item_id' THEN 'int' ELSE 'bigint' END AS data_type
 FROM n JOIN d USING (column_name)"""))
 def b9(spark, sf):
-    return B.column_profile("order_items", _raw(spark, sf)["order_items"]).drop("data_type")
+    return B.column_profile("order_items", _raw(spark, sf)["order_items"])
 
 
 # ---------------------------------------------------------------- P drift

@@ -135,6 +135,19 @@ def h17(spark, sf):
                    {"total": 4, "current": 4, "previous": 4, "change_pct": 3})
 
 
+@query("H17_largest_segment", with_base("""
+SELECT rfm_segment, count(*) AS count FROM fs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"""))
+def h17_largest(spark, sf):
+    return H.largest_segment(retail(spark, sf).feature_store)
+
+
+@query("H18_customer_profile_search", with_base(f"""
+SELECT 'customer' AS match_type, CAST(customer_unique_id AS VARCHAR) AS match_key, 1 AS customers, total_spending
+FROM fs WHERE contains(CAST(customer_unique_id AS VARCHAR), '77')"""))
+def h18_customer(spark, sf):
+    return H.search_segment_profile(retail(spark, sf).feature_store, "77", "rfm_segment")
+
+
 @query("H18_segment_profile_search", with_base(f"""
 SELECT 'segment' AS match_type, rfm_segment AS match_key, count(*) AS customers, {MSUM('total_spending')} AS total_spending
 FROM fs WHERE contains(lower(rfm_segment), 'loyal') GROUP BY rfm_segment"""))
