@@ -8,9 +8,10 @@
 2. Documents of equal sets are one class; only one representative goes on.
 3. In each bucket one member is the hub; only hub-member pairs (a star) are candidates, so a
    bucket of m members gives m - 1 pairs. Pairs are confirmed on the full sets.
-4. Confirmed links give components. Buckets that still hold several components get another
-   hub (by another random order) and only untested pairs between components are tested,
-   until no untested pair comes up or a round confirms nothing.
+4. Confirmed links give components. Only buckets that still hold several components go on:
+   there the members outside the bucket's largest component are looked up in an inverted index
+   of all members' sets, so no link within a bucket is lost and no pairs are listed. An index
+   holds a block of members of bounded size; a large bucket has several blocks.
 
 Shingles are compared by 64-bit hashes (a set of a million shingles has two equal hashes
 with a probability of 3e-8). With 48 bands of 5 bins a pair of similarity 0.75 misses all
@@ -33,12 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitcart.llm.common import components, cut, only, saved, slices, text_or_empty
+from orbitcart.llm.common import components, cut, only, packed, saved, slices, text_or_empty
 
 BANDS, BAND_BINS = 48, 5
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Members of one hub that are confirmed in one group.
 STAR_ROWS = 64
+#: Shingles in one block of an open bucket's index.
+BLOCK_SHINGLES = 2_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -160,6 +163,60 @@ def confirm(pairs: DataFrame, texts: DataFrame, *, words: int = SHINGLE_WORDS, p
     return rows.mapInArrow(run, "hub long, member long").distinct()
 
 
+class _Index:
+    """Shingle sets of a block of documents, by shingle."""
+
+    def __init__(self, ids: list[int], labels: list[int], sets: list[np.ndarray]):
+        self.ids, self.labels, self.sizes = ids, np.array(labels), np.array([len(x) for x in sets])
+        shingles, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(shingles, kind="stable")
+        self.owners = owners[order]
+        self.shingles, self.starts = np.unique(shingles[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(order))
+
+    def links(self, own: np.ndarray, label: int, percent: int) -> list[int]:
+        """One similar document of each other component."""
+        at = np.searchsorted(self.shingles, own)
+        at = at[(at < len(self.shingles)) & (self.shingles[np.minimum(at, len(self.shingles) - 1)] == own)]
+        starts, counts = self.starts[at], self.ends[at] - self.starts[at]
+        places = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(at) else at
+        both = np.bincount(self.owners[places], minlength=len(self.ids))
+        found = np.flatnonzero((100 * both >= percent * (self.sizes + len(own) - both)) & (self.labels != label))
+        return [self.ids[i] for i in found[np.unique(self.labels[found], return_index=True)[1]]]
+
+
+def look_up(active: DataFrame, texts: DataFrame, *, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links (hub, member) between components within each bucket of ``active`` (bucket, node, n, label)."""
+    per_label = active.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+    buckets = per_label.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"),
+                                              F.ceil(F.sum("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = active.join(buckets, "bucket")
+    index = placed.select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "label")
+    asked = placed.filter("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                                                  F.lit(1).alias("role"), "node", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members, index = None, [], None
+        for batch in slices(batches):
+            hubs, found = [], []
+            for bucket, block, role, node, label, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "role", "node", "label", "text"))):
+                if (bucket, block) != group:
+                    group, members, index = (bucket, block), [], None
+                shingles = shingle_set(text, words)
+                if role == 0:
+                    members.append((node, label, shingles))
+                elif members:
+                    index = index or _Index(*zip(*members))
+                    linked = index.links(shingles, label, percent)
+                    hubs.extend([node] * len(linked))
+                    found.extend(linked)
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(found, pa.int64())], names=["hub", "member"])
+
+    rows = index.union(asked).join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
+    return rows.mapInArrow(run, "hub long, member long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
                     band_bins: int = BAND_BINS, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
@@ -175,30 +232,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the texts that any pair may need, written once; all rounds read these
     texts = saved(rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "texts")
 
-    links = tested = spark.createDataFrame([], "hub long, member long")
-    labels, turn = spark.createDataFrame([], "id long, component long"), 0
-    while True:
-        named = members.join(labels, members.node == labels.id, "left").select(
-            "bucket", "node", "n", F.coalesce("component", "node").alias("label"))
-        hubs = (named.groupBy("bucket")
-                .agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "label")).alias("hub"),
-                     F.min("label").alias("least"), F.max("label").alias("most"))
-                .filter("least <> most").select("bucket", "hub"))
-        pairs = (named.join(hubs, "bucket").filter("label <> hub.label")
-                 .filter(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-                 .select(F.col("hub.node").alias("hub"), F.col("node").alias("member")).distinct())
-        if turn:
-            known = tested.union(tested.select("member", "hub"))
-            pairs = pairs.join(known, ["hub", "member"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            break
-        found = cut(confirm(pairs, texts, words=words, percent=percent))
-        if found.isEmpty() and turn:
-            break
-        tested, links = tested.union(pairs), links.union(found)
-        labels = components(links.toDF("a", "b"))
-        turn += 1
+
+    # the first star: each bucket's hub and its members
+    hub = F.struct(F.xxhash64("node").alias("place"), "node", "n").alias("hub")
+    first = members.groupBy("bucket").agg(F.min(hub).alias("hub"))
+    met = members.join(first, "bucket").filter("node <> hub.node")
+    met = met.filter(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+    pairs = cut(met.select(F.col("hub.node").alias("hub"), F.col("node").alias("member")).distinct())
+    links = cut(confirm(packed(pairs, pairs.count()), texts, words=words, percent=percent))
+    labels = components(links.toDF("a", "b"))
+
+    # buckets that hold several components
+    named = members.join(labels, members.node == labels.id, "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("label"))
+    several = saved(named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+                    .filter("least <> most").select("bucket"), "open-buckets")
+    active = saved(named.join(several, "bucket"), "open-members")
+    found = cut(look_up(active, texts, words=words, percent=percent))
+    if not found.isEmpty():
+        labels = components(links.union(found).toDF("a", "b"))
 
     nodes = classes.select("high", "low", "node").join(labels, F.col("node") == labels.id, "left").select(
         "high", "low", F.coalesce("component", "node").alias("class_component"))
