@@ -30,8 +30,8 @@ def test_verdict_does_not_depend_on_the_order(awkward):
     docs = awkward([(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, " ".join(f"word{i}x{j}" for j in range(70))) for i in range(5)])
     stats = cascade.statistics(docs)
     rules = cascade.quality_rules()
-    judged = {r.doc_id: r for r in cascade.judge(stats).collect()}
-    turned = {r.doc_id: r for r in cascade.judge(stats, dict(reversed(rules.items()))).collect()}
+    judged = {r.doc_id: r for r in cascade.judge(docs).collect()}
+    turned = {r.doc_id: r for r in cascade.judge(docs, dict(reversed(rules.items()))).collect()}
     every = {r.doc_id: r for r in stats.select("doc_id", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in rules.items()]).collect()}
     for i, row in judged.items():
         n, *_, repeats = brute(dict(enumerate(TEXTS)).get(i, None)) if i < 100 else (70, 0)
@@ -46,11 +46,11 @@ def test_rules_are_ordered_by_rejection_per_cost(spark, awkward):
     ordered = cascade.order_rules(stats, cascade.quality_rules())
     gains = [share / cost for _, cost, share in ordered]
     assert gains == sorted(gains, reverse=True) and {n for n, _, s in ordered if s > 0} >= {"symbols"}
-    assert cascade.judge(cascade.statistics(awkward([]))).count() == 0
+    assert cascade.judge(awkward([])).count() == 0
 
 
 def test_no_python_in_the_plan(awkward):
-    plan = cascade.judge(cascade.statistics(awkward([(1, "text")])))._jdf.queryExecution().executedPlan().toString()
+    plan = cascade.judge(awkward([(1, "text")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
@@ -63,4 +63,4 @@ def test_sql_agrees_on_awkward_rows(spark, awkward):
     found = con.execute(queries.ORACLE_SQL["op7_rule_cascade"])
     names = [d[0] for d in found.description]
     expected = sorted(found.fetchall())
-    assert sorted(tuple(r) for r in cascade.judge(cascade.statistics(awkward(rows))).select(*names).collect()) == expected
+    assert sorted(tuple(r) for r in cascade.judge(awkward(rows)).select(*names).collect()) == expected
