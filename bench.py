@@ -28,6 +28,8 @@ JOBS = {
     "job_market_basket": lambda j: j.rules.count(),
     "job_recommender": lambda j: j.recommendations.count(),
     "job_segmentation": lambda j: j.clusters[1].count(),
+    "job_train_churn": lambda j: j.churn_model,
+    "job_train_clv": lambda j: j.clv_model,
 }
 
 PAGES = {
@@ -54,6 +56,7 @@ PAGES = {
                             "O4_category_pareto", "O5_top_products_units", "O6_top_rated_categories",
                             "O7_seller_leaderboard", "O9_logistics_kpis", "O10_delivery_box_stats",
                             "O12_review_kpis", "O14_bi_measures"],
+    "streams": ["T1_windowed_telemetry_stream", "T2_ingest_stream", "T4_activity_sessions"],
 }
 
 
