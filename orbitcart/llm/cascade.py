@@ -93,27 +93,28 @@ def quality_rules() -> dict[str, Column]:
     }
 
 
-def order_rules(stats: DataFrame, rules: dict[str, Column], *, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[str, float, float]]:
-    """(rule, seconds per document, share rejected) by rejection per cost, from a random sample."""
-    total = stats.count()
-    if not total:
-        return [(name, 0.0, 0.0) for name in rules]
-    sample = cut(stats.sample(min(1.0, sample_rows / total), seed))
-    shares = sample.agg(F.count("*").alias("n"), *[F.avg(F.coalesce(r, F.lit(False)).cast("int")).alias(k) for k, r in rules.items()]).first()
+def order_rules(stats: DataFrame, rules: dict[str, Column]) -> list[tuple[str, float, float]]:
+    """(rule, seconds per document, share rejected) by rejection per cost, from a sample's statistics."""
+    stats = cut(stats)
+    shares = stats.agg(F.count("*").alias("n"), *[F.avg(F.coalesce(r, F.lit(False)).cast("int")).alias(k) for k, r in rules.items()]).first()
     found = []
     for name, rule in rules.items():
         began = time.perf_counter()
-        sample.agg(F.count_if(rule)).first()
+        stats.agg(F.count_if(rule)).first()
         cost = (time.perf_counter() - began) / max(1, shares["n"])
         found.append((name, cost, shares[name] or 0.0))
     return sorted(found, key=lambda x: -x[2] / x[1])
 
 
-def judge(stats: DataFrame, rules: dict[str, Column] | None = None, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The statistics with base_failed, rejected_by (first rule that rejects, else null) and kept."""
+def judge(docs: DataFrame, rules: dict[str, Column] | None = None, *, id_col: str = "doc_id", text_col: str = "text",
+          sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
+    """Each row's statistics with base_failed, rejected_by (first rule that rejects, else null) and kept."""
     rules = quality_rules() if rules is None else rules
+    total = docs.count()
+    sample = docs.sample(min(1.0, sample_rows / max(1, total)), seed)  # drawn before anything is computed
     cascade = F.when(base_failed(), "base")
-    for name, _, _ in order_rules(stats, rules, sample_rows=sample_rows):
+    for name, _, _ in order_rules(statistics(sample, id_col=id_col, text_col=text_col), rules):
         cascade = cascade.when(rules[name], name)
+    stats = statistics(docs, id_col=id_col, text_col=text_col)
     return (stats.withColumn("base_failed", base_failed()).withColumn("rejected_by", cascade)
             .withColumn("kept", F.col("rejected_by").isNull()))
