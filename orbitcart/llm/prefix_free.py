@@ -42,7 +42,7 @@ LENGTH = 400
 #: Bytes of the trigger's rolling hash; starts that a trigger is chosen for (a power of 2).
 TRIGGER_BYTES, RANGE = 16, 128
 #: Distinct phrases of one core that are compared in one group.
-GROUP = 256
+GROUP = 32
 
 _PHRASE = "row long, s int, e int, trigger int, core long, phrase long"
 
