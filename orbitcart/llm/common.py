@@ -68,8 +68,9 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                .filter("u <> v").distinct())
+    # tables, not checkpoints: those would keep the joins' estimated sizes, which multiply
+    edges = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                  .filter("u <> v").distinct(), "edges")
     seen = state(edges)
     while seen[0]:
         edges = packed(edges, seen[0])
@@ -80,7 +81,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = (large.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
                  .union(low.select("u", "low")))
-        edges = cut(packed(small, seen[0]).distinct())
+        edges = saved(packed(small, seen[0]).distinct(), "edges")
         now = state(edges)
         if now == seen:
             break

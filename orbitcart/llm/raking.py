@@ -40,7 +40,7 @@ DIMENSIONS = ("source", "lang", "topic")
 
 class _Groups(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         group = self[word] = xxhash.xxh32_intdigest(word) % TOPICS
         return group
@@ -84,24 +84,25 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUND
     Each target frame has its dimension and ``target``. Rounds end when the first dimension's
     totals, off again after the others' turns, are within ``tolerance`` of their targets.
     """
-    cells = cut(cells.withColumn("weight", F.col("mass").cast("double")))
+    cells = saved(cells.withColumn("weight", F.col("mass").cast("double")), "cells")
     count = cells.count()
     cells = packed(cells, count)
-    goals = {d: cut(t.select(d, F.col("target").cast("double"))) for d, t in targets.items()}
+    goals = {d: saved(t.select(d, F.col("target").cast("double")), "targets") for d, t in targets.items()}
     goals = {d: packed(goal, goal.count()) for d, goal in goals.items()}
-    columns, first = cells.drop("weight").columns, next(iter(goals))
+    columns = cells.drop("weight").columns
     for _ in range(rounds):
-        turned = cells.select(*columns, "weight", F.lit(1.0).alias("first_factor"))
+        off = None
         for dimension, goal in goals.items():
-            now = turned.groupBy(dimension).agg(F.sum("weight").alias("now"))
+            # each step is written as a table: a checkpoint would keep the joins' estimated sizes, which multiply
+            now = cells.groupBy(dimension).agg(F.sum("weight").alias("now"))
             step = now.join(goal, now[dimension].eqNullSafe(goal[dimension])).select(
                 now[dimension].alias("key"), F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0).alias("factor"))
-            turned = turned.join(step, turned[dimension].eqNullSafe(step["key"])).select(
-                *columns, (F.col("weight") * F.col("factor")).alias("weight"),
-                F.col("factor" if dimension == first else "first_factor").alias("first_factor"))
-        turned = packed(cut(turned), count)
-        off = turned.agg(F.max(F.abs(F.col("first_factor") - 1))).first()[0]
-        cells = turned.drop("first_factor")
+            turned = cells.join(step, cells[dimension].eqNullSafe(step["key"])).select(
+                *columns, (F.col("weight") * F.col("factor")).alias("weight"), "factor")
+            turned = packed(saved(turned, "raked-cells"), count)
+            if off is None:
+                off = turned.agg(F.max(F.abs(F.col("factor") - 1))).first()[0]
+            cells = turned.drop("factor")
         if not off or off <= tolerance:
             break
     return cells
@@ -114,9 +115,9 @@ def probabilities(cells: DataFrame, budget: float) -> DataFrame:
     low, high = 0.0, 1 / least if least else 1.0  # at the upper end every cell is taken whole
     for _ in range(4):  # each pass tries 63 scales at once and narrows the bracket 64 times
         grid = np.linspace(low, high, 65)[1:-1]
-        taken = cells.agg(*[F.sum(F.col("mass") * F.least(F.lit(1.0), F.lit(float(s)) * F.col("ratio"))).alias(f"s{i}")
-                            for i, s in enumerate(grid)]).first()
-        below = sum((t or 0.0) < budget * (mass or 0) for t in taken)
+        tried = cells.select("mass", "ratio", F.explode(F.array(*[F.lit(float(x)) for x in grid])).alias("scale"))
+        taken = tried.groupBy("scale").agg(F.sum(F.col("mass") * F.least(F.lit(1.0), F.col("scale") * F.col("ratio"))).alias("mass")).collect()
+        below = sum((t["mass"] or 0.0) < budget * (mass or 0) for t in taken)
         step = (high - low) / 64
         low, high = low + below * step, low + (below + 1) * step
     return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(float(high)) * F.col("ratio")))
