@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitcart.llm.common import only, slices, text_or_empty
-from orbitcart.llm.pieces import CACHE_ENTRIES, STABLE, PieceCache
+from orbitcart.llm.pieces import STABLE, PieceCache
 
 # Fixed value: the published pre-token pattern of the byte-level BPE vocabulary.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Pre-tokens other than a space and letters that a worker keeps.
+KNOWN_TOKENS = 50_000
 _NO_PAIR = 1 << 62
 _POSITION = (1 << 32) - 1
 
@@ -123,20 +125,26 @@ class Coder:
             self.library = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
+    def merged(self, token: str) -> bytes:
+        return np.array(merge([self.byte_id[b] for b in token.encode()], self.pairs), "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
-        parts = self.split_special.split(text) if self.special else [text]
+        if text[0] == " " and text[1:].isalpha() and ord(max(text)) < STABLE:
+            return self.merged(text)  # a space and letters: one pre-token
         out = []
-        for part in parts:
+        for part in self.split_special.split(text) if self.special else [text]:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
                 continue
             for token in self.pre_tokens(part) if part else ():
+                if token[0] == " " and len(token) < 64 and token[1:].isalpha() and ord(max(token)) < STABLE:
+                    out.append(self.cache[token[1:]])
+                    continue
                 ids = self.known.get(token)
                 if ids is None:
-                    if len(self.known) > CACHE_ENTRIES:
+                    if len(self.known) > KNOWN_TOKENS:
                         self.known.clear()
-                    merged = merge([self.byte_id[b] for b in token.encode()], self.pairs)
-                    ids = np.array(merged, "<u4").tobytes()
+                    ids = self.merged(token)
                     if len(token) < 64:
                         self.known[token] = ids
                 out.append(ids)
@@ -179,16 +187,19 @@ def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
     return tokens.mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``decode``'s rows."""
+def digests(tokens: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, ids -> doc_id, n_tokens, ids_sha256, decoded_sha256 (of the ids decoded)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode_ids = coder(tokenizer).decode
         for batch in slices(batches):
             ids = batch.column("ids")
-            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            shas = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:])]
+            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            coded, texts = [], []
+            for a, b in zip(at[:-1], at[1:]):
+                coded.append(hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest())
+                texts.append(hashlib.sha256(decode_ids(flat[a:b]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(shas, pa.string()), batch.column("text")],
-                names=["doc_id", "n_tokens", "ids_sha256", "text"])
+                [batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(coded, pa.string()), pa.array(texts, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text string")
-    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+    return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

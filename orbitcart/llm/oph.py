@@ -41,7 +41,7 @@ SHINGLE_WORDS, PERCENT = 5, 75
 #: Members of one hub that are confirmed in one group.
 STAR_ROWS = 64
 #: Shingles in one block of an open bucket's index.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -50,7 +50,7 @@ _SHIFT = np.uint64(33)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -45,7 +45,7 @@ class _Library:
         self.tokenize, self.all_steps = tokenizer.model.tokenize, tokenizer.encode
         self.symbol_of = dict(enumerate(byte_symbols()))
         self.marks = {c: self.encode(c) for c in ".,;:!?"}
-        self.cache = PieceCache(self.piece)
+        self.cache = PieceCache(self.piece, 500_000)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.all_steps(text, add_special_tokens=False).ids, "<u4").tobytes()

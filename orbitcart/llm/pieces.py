@@ -12,7 +12,7 @@ from collections.abc import Callable
 Encode = Callable[[str], bytes]
 
 #: Entries of a worker's cache; at this size it is emptied and filled anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Code points below this have the same classes in every Unicode version in use.
 STABLE = 0x250
 
@@ -20,9 +20,9 @@ STABLE = 0x250
 class PieceCache(dict):
     """piece -> ids as little-endian unsigned 32-bit integers; None where a cut is not allowed."""
 
-    def __init__(self, encode: Encode):
+    def __init__(self, encode: Encode, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.encode = encode
+        self.encode, self.entries = encode, entries
 
     def __missing__(self, piece: str) -> bytes | None:
         if not piece or piece[-1].isspace():
@@ -33,7 +33,7 @@ class PieceCache(dict):
         return ids
 
     def ids_of(self, text: str) -> bytes:
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > self.entries:
             self.clear()
         head, *rest = text.replace("\n", " \n").split(" ")
         if not head or head[-1].isspace():

@@ -51,11 +51,11 @@ def op5_minhash_oph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
 def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = cascade.judge(cascade.statistics(table(spark, sf_dir, "documents")))
+    judged = cascade.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
