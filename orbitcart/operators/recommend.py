@@ -3,11 +3,10 @@ cosine on purchase counts, TF-IDF content affinity on category text, hybrid scor
 customers, cold start, similar products, KPIs.
 
 Scale design
-* Neighbours come from min-hash bands over each product's set of customers: products whose
-  smallest customer hash agrees in a band are candidates, their cosine is exact, and each
-  product keeps its ``NEIGHBOURS`` best. No product is left out and no pair table is dense.
-  A bucket of more than ``BUCKET`` products is split by a second hash, so a customer who
-  bought very much does not pair a whole catalogue.
+* Neighbours are the ``NEIGHBOURS`` best exact cosines among all products with a common customer.
+  A customer with up to ``BUCKET`` products pairs them; customers with more are busy, and products
+  with equal counts of them are compared as one profile, so a customer who bought a whole
+  catalogue does not pair it. No pair is left out and no pair table is dense.
 * Content needs no product pairs: products of one category are equal in text, so a customer's
   content score is one number per category.
 * Scoring joins purchases to neighbour lists and to as many of a category's most popular
@@ -26,9 +25,7 @@ from orbitcart.functions.columns import money_avg, money_sum
 KEY = "customer_unique_id"
 CAT = "product_category_name_english"
 NEIGHBOURS = 20                   # neighbours kept per product (part of the definition)
-BANDS, BUCKET = 8, 256            # min-hash bands; products of a bucket before it is split
-# Prime, multiplier and offset steps of the bands' arithmetic hashes.
-HASH_PRIME, HASH_STEP, HASH_SHIFT = 2147483647, 48271, 69621
+BUCKET = 256                      # products that a customer pairs; those with more are busy
 COLLAB_WEIGHT, CONTENT_WEIGHT = 0.6, 0.4
 SCORE_DIGITS = 10                 # scores are stabilised before ranking (engine-independent ties)
 
@@ -56,44 +53,73 @@ def interactions(master: DataFrame, pop: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ K4 nearest neighbours
 
-def band_hash(customer: Column, band: int, level: int = 0) -> Column:
-    """Arithmetic hash of a customer number in one band (level 1: the hash that splits buckets)."""
-    k = 2 * band + level + 1
-    return (customer.cast("long") * (HASH_STEP * k) + HASH_SHIFT * k) % HASH_PRIME
-
-
-def candidate_pairs(inter: DataFrame, bands: int = BANDS, bucket: int = BUCKET) -> DataFrame:
-    """Distinct product pairs (a < b) that share a min-hash bucket."""
-    mins = inter.groupBy("product_id").agg(*[F.min(band_hash(F.col(KEY), b, level)).alias(f"m{b}_{level}")
-                                             for b in range(bands) for level in (0, 1)])
-    keyed = mins.select("product_id", F.explode(F.array(*[
-        F.struct(F.lit(b).alias("band"), F.col(f"m{b}_0").alias("first"), F.col(f"m{b}_1").alias("second"))
-        for b in range(bands)])).alias("k")).select("product_id", "k.*")
-    full = keyed.groupBy("band", "first").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket)
-    keyed = (keyed.join(full, ["band", "first"], "left")
-             .withColumn("second", F.when(F.col("size").isNotNull(), F.col("second")).otherwise(F.lit(-1))))
-    left = keyed.select("band", "first", "second", F.col("product_id").alias("a"))
-    right = keyed.select("band", "first", "second", F.col("product_id").alias("b"))
-    return left.join(right, ["band", "first", "second"]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
-
-
-def neighbours(inter: DataFrame, n: int = NEIGHBOURS, bands: int = BANDS, bucket: int = BUCKET) -> DataFrame:
-    """K4 (product_id, neighbour_id, sim, rank): exact cosine of purchase counts, best n of each
-    product's candidates, ties to the smaller neighbour id."""
-    counts = inter.select(KEY, "product_id", F.col("n").cast("double").alias("n"))
-    norms = counts.groupBy("product_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    pairs = candidate_pairs(inter, bands, bucket)
-    mine = counts.select(KEY, F.col("product_id").alias("a"), F.col("n").alias("na"))
-    theirs = counts.select(KEY, F.col("product_id").alias("b"), F.col("n").alias("nb"))
-    dots = (pairs.join(mine, "a").join(theirs, [KEY, "b"]).groupBy("a", "b")
-            .agg(F.sum(F.col("na") * F.col("nb")).alias("dot")))
+def _best(rows: DataFrame, key: str, value: Column, n: int) -> DataFrame:
+    """The n rows of each key with the highest value, ties to the smaller neighbour id, with their rank."""
+    w = Window.partitionBy(key).orderBy(F.desc(value), "neighbour_id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def _sims(dots: DataFrame, norms: DataFrame) -> DataFrame:
+    """Pairs a, b with dot -> a, b, sim (cosine)."""
     na, nb = (norms.select(F.col("product_id").alias(c), F.col("norm").alias(f"norm_{c}")) for c in ("a", "b"))
-    sims = dots.join(na, "a").join(nb, "b").select(
+    return dots.join(na, "a").join(nb, "b").select(
         "a", "b", F.round(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), SCORE_DIGITS).alias("sim"))
-    both = sims.select(F.col("a").alias("product_id"), F.col("b").alias("neighbour_id"), "sim").unionByName(
+
+
+def _shared(counts: DataFrame, item: str) -> DataFrame:
+    """Pairs a < b of items with a common customer, and the dot product of their counts."""
+    x = counts.select(KEY, F.col(item).alias("a"), F.col("n").alias("na"))
+    y = counts.select(KEY, F.col(item).alias("b"), F.col("n").alias("nb"))
+    return x.join(y, KEY).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
+
+
+def _profiles(busy_counts: DataFrame) -> DataFrame:
+    """product_id, profile: products with equal counts of the same busy customers have one profile
+    (two sums of 64-bit hashes, so no product's customers are gathered)."""
+    return busy_counts.groupBy("product_id").agg(F.concat_ws(":", *[
+        F.sum(F.xxhash64(F.lit(seed), KEY, "n").cast("decimal(20,0)")).cast("string") for seed in (1, 2)]).alias("profile"))
+
+
+def neighbours(inter: DataFrame, n: int = NEIGHBOURS, bucket: int = BUCKET) -> DataFrame:
+    """K4 (product_id, neighbour_id, sim, rank): the n best exact cosines of purchase counts of each
+    product, ties to the smaller neighbour id. Every pair with a common customer counts.
+
+    Customers with at most ``bucket`` products pair their products. For the others ("busy") equal
+    profiles are compared instead: of the products of one profile only those with the n + 1
+    smallest norms can be among the n best of any product that has nothing but busy customers in
+    common with them, and pairs that other customers link get their busy part added.
+    """
+    counts = inter.select(KEY, "product_id", F.col("n").cast("long").alias("n"))
+    norms = counts.groupBy("product_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
+    busy = counts.groupBy(KEY).agg(F.count(F.lit(1)).alias("products")).where(F.col("products") > bucket).select(KEY)
+    hot = not busy.isEmpty()
+    dots = _shared(counts.join(busy, KEY, "left_anti") if hot else counts, "product_id")
+    if hot:
+        busy_counts = counts.join(busy, KEY, "left_semi")
+        members = _profiles(busy_counts)
+        entries = busy_counts.join(members, "product_id").select(KEY, "profile", "n").distinct()
+        other = entries.select(KEY, F.col("profile").alias("profile_b"), F.col("n").alias("nb"))
+        meeting = (entries.withColumnRenamed("profile", "profile_a").join(other, KEY).groupBy("profile_a", "profile_b")
+                   .agg(F.sum(F.col("n") * F.col("nb")).alias("busy_dot")))
+        ma, mb = (members.select(F.col("product_id").alias(c), F.col("profile").alias(f"profile_{c}")) for c in ("a", "b"))
+        dots = dots.join(ma, "a", "left").join(mb, "b", "left").join(meeting, ["profile_a", "profile_b"], "left").select(
+            "a", "b", (F.col("dot") + F.coalesce("busy_dot", F.lit(0))).alias("dot"))
+    sims = _sims(dots, norms)
+    near = sims.select(F.col("a").alias("product_id"), F.col("b").alias("neighbour_id"), "sim").unionByName(
         sims.select(F.col("b").alias("product_id"), F.col("a").alias("neighbour_id"), "sim"))
-    w = Window.partitionBy("product_id").orderBy(F.desc("sim"), "neighbour_id")  # a product's candidates
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    near = _best(near, "product_id", F.col("sim"), n)
+    if not hot:
+        return near
+    # one more than n, as a product is found among its own profile
+    shelf = _best(members.join(norms, "product_id").withColumnRenamed("product_id", "neighbour_id"), "profile", -F.col("norm"), n + 1)
+    found = meeting.join(shelf.select(F.col("profile").alias("profile_b"), "neighbour_id", "norm"), "profile_b")
+    found = _best(found, "profile_a", F.round(F.col("busy_dot") / F.col("norm"), SCORE_DIGITS), n + 1)
+    linked = members.join(found.select(F.col("profile_a").alias("profile"), "neighbour_id", "busy_dot"), "profile").where(
+        F.col("product_id") != F.col("neighbour_id"))
+    linked = _sims(linked.select(F.col("product_id").alias("a"), F.col("neighbour_id").alias("b"), F.col("busy_dot").alias("dot")), norms)
+    # a pair found both ways has its whole cosine in ``near``
+    both = near.select("product_id", "neighbour_id", "sim").unionByName(linked.toDF("product_id", "neighbour_id", "sim"))
+    return _best(both.groupBy("product_id", "neighbour_id").agg(F.max("sim").alias("sim")), "product_id", F.col("sim"), n)
 
 
 # ------------------------------------------------------------------ K5 content affinity

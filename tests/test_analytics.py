@@ -73,6 +73,17 @@ def test_neighbours_have_exact_cosines(spark):
             assert [r[1] for r in own] == [r.neighbour_id for r in sorted((r for r in near if r.product_id == p), key=lambda r: r["rank"])]
 
 
+def test_neighbours_are_the_best_of_all_products(spark):
+    rows, inter, _ = _shop(spark)
+    sim = _cosines(rows)
+    best = {(p, q, rank) for p in range(40) for rank, q in enumerate(sorted((q for q in range(40) if q != p and sim[p, q] > 0),
+                                                                           key=lambda q: (-round(sim[p, q], 10), q))[:6], 1)}
+    for bucket in (256, 20, 8, 2):  # customers with more products than these count by profiles
+        near = recommend.neighbours(inter, 6, bucket=bucket).collect()
+        assert {(r.product_id, r.neighbour_id, r["rank"]) for r in near} == best
+        assert all(abs(r.sim - sim[r.product_id, r.neighbour_id]) < 1e-9 for r in near)
+
+
 def test_recommendations_equal_brute_force(spark):
     rows, inter, pop = _shop(spark)
     near = recommend.neighbours(inter, 6)
