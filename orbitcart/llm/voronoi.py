@@ -171,8 +171,9 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, *, query_block: int =
                 scores = _products(query_rows[0], x)
                 for i, q in enumerate(query_ids):
                     line, other = scores[i], ids != q
-                    if len(line) > 4 * k:  # ties with the k-th stay in
-                        other &= line >= np.partition(line, -(k + 1))[-(k + 1)]
+                    if len(line) > 4 * k:  # ties with the k-th of the other ids stay in
+                        line = np.where(other, line, np.iinfo(np.int64).min)
+                        other &= line >= np.partition(line, -k)[-k]
                     v, s = np.concatenate([best[i][0], ids[other]]), np.concatenate([best[i][1], line[other]])
                     first = np.lexsort((v, -s))[:k]
                     best[i] = v[first], s[first]

@@ -55,6 +55,11 @@ def test_few_rows_repeated_ids_and_empty_tables(spark):
     assert solve(spark, [(7, None)], 5, "vec_id = 7") == []
 
 
+def test_an_id_of_many_rows_hides_no_other(spark):
+    rows = [(0, [1.0 + i % 7, 0.0]) for i in range(50)] + [(i, [0.5, i / 64]) for i in range(1, 41)]
+    assert solve(spark, rows, 5, "vec_id in (0, 7)") == brute(rows, 5, lambda q: q in (0, 7))
+
+
 @pytest.mark.parametrize("big", [1e6, 1e7])
 def test_large_components_stay_exact(spark, big):
     rows = [(0, [big, 1 / 256]), (1, [big, 1 / 256]), (2, [big, 2 / 256]), (3, [-big, 0.0])]
