@@ -203,14 +203,16 @@ def product_search(master: DataFrame, rules: DataFrame, q: str) -> DataFrame:
     return cats.join(mentions, CAT, "left").fillna(0, ["rules_mentioning"])
 
 
-def basket_kpis(master: DataFrame, bsk: DataFrame, itemsets: DataFrame, rules: DataFrame) -> DataFrame:
-    """L15 8 KPIs as (kpi, value) rows; values as text where the reference shows a label."""
+def basket_kpis(master: DataFrame, bsk: DataFrame, itemsets: DataFrame, rules: DataFrame, *,
+                name_chars: int | None = None, cross_sell_rules: int | None = None) -> DataFrame:
+    """L15 8 KPIs as (kpi, value) rows; values as text where the reference shows a label.
+    ``name_chars`` shortens the top bundle's name, ``cross_sell_rules`` counts only so many rules."""
     r = rules.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lift") >= 2.0).alias("hi")) \
              .select(F.struct("n", "hi")).scalar()
     items = master.groupBy("order_id").agg(F.count("order_item_id").alias("k")).agg(F.avg("k")).scalar()
-    top = bundles(rules, master, TOP_RULES).select("bundle_name").limit(1)
-    top_name = top.select(F.substring("bundle_name", 1, 18)).scalar()
-    n_cross = cross_sell(rules).agg(F.count(F.lit(1))).scalar()
+    name = F.concat_ws(" + ", "antecedents_str", "consequents_str")
+    top_name = top_rules(rules, 1).select(F.substring(name, 1, name_chars) if name_chars is not None else name).scalar()
+    n_cross = F.least(r["n"], F.lit(cross_sell_rules))  # a rule each; least skips a null
     row = bsk.agg(F.count(F.lit(1)).alias("tx")).select(
         F.col("tx").cast("string").alias("total_transactions"),
         bsk.select(F.explode("items").alias("c")).agg(F.countDistinct("c")).scalar().cast("string")

@@ -124,10 +124,10 @@ def rounded_rating_counts(master: DataFrame) -> DataFrame:
                  .groupBy(F.bround("avg_review_score", 0).alias("review_score")).count()
 
 
-def category_rating_radar(master: DataFrame, n: int = 6) -> DataFrame:
-    """O13 mean rating of the first n categories in name order."""
+def category_rating_radar(master: DataFrame, n: int | None = None) -> DataFrame:
+    """O13 mean rating of every category; ``n`` gives the first n in name order."""
     agg = master.where(F.col(CAT).isNotNull()).groupBy(CAT).agg(F.avg("avg_review_score").alias("avg_rating"))
-    return agg.orderBy(CAT).limit(n)
+    return agg.orderBy(CAT).limit(n) if n is not None else agg
 
 
 def bi_measures(master: DataFrame) -> DataFrame:

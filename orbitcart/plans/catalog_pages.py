@@ -150,7 +150,7 @@ def o13(spark, sf):
 SELECT product_category_name_english, {R('avg(avg_review_score)', 6)} AS avg_rating FROM master
 WHERE product_category_name_english IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 6"""))
 def o13_radar(spark, sf):
-    return rounded(P.category_rating_radar(_m(spark, sf), 6), {"avg_rating": 6})
+    return rounded(P.category_rating_radar(_m(spark, sf)), {"avg_rating": 6})
 
 
 @query("O14_bi_measures", with_base(f"""

@@ -162,6 +162,7 @@ def audit_lines(df_text: DataFrame) -> DataFrame:
         F.regexp_extract(v, p, 6).alias("details"))
 
 
-def parse_audit_log(spark: SparkSession, path: str, top_n: int = 50) -> DataFrame:
-    """A13 audit log text -> columns, newest first, last ``top_n`` entries."""
-    return audit_lines(spark.read.text(path)).orderBy(F.desc("ts")).limit(top_n)
+def parse_audit_log(spark: SparkSession, path: str, top_n: int | None = None) -> DataFrame:
+    """A13 audit log text -> columns, newest first; ``top_n`` gives only so many entries."""
+    parsed = audit_lines(spark.read.text(path)).orderBy(F.desc("ts"))
+    return parsed.limit(top_n) if top_n is not None else parsed

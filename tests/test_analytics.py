@@ -5,7 +5,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from orbitcart.operators import basket, drift, recommend
+from orbitcart.operators import basket, drift, pages, recommend
+from orbitcart.sources import io
 
 
 def test_association_rules_brute_force(spark):
@@ -121,3 +122,29 @@ def test_cold_start_and_priorities(spark):
                                 "customer_unique_id long, clv_value_tier string, risk_level string")
     got = {r.customer_unique_id: r.priority[:2] for r in recommend.opportunity_matrix(recs, ctx).collect()}
     assert got == {1: "P1", 2: "P3", 3: "P4", 4: "P2"}
+
+
+def test_category_ratings_and_basket_kpis_are_whole(spark, tmp_path):
+    names = [f"category number {i:02d}" for i in range(9)]
+    master = spark.createDataFrame([(o, c, 1, 3.0 + o % 2) for o in range(4) for c in names[o % 2:]],
+                                   f"order_id long, {pages.CAT} string, order_item_id long, avg_review_score double")
+    assert {r[0] for r in pages.category_rating_radar(master).collect()} == set(names)
+    assert [r[0] for r in pages.category_rating_radar(master, 6).orderBy(pages.CAT).collect()] == names[:6]
+    rules = spark.createDataFrame([(f"first side {i:02d}", "second side", 1.0 + i / 100) for i in range(45)],
+                                  "antecedents_str string, consequents_str string, lift double")
+    sets = spark.createDataFrame([(["a"],)], "items array<string>")
+    bsk = basket.baskets(master)
+
+    def kpis(**cuts):
+        return {r.kpi: r.value for r in basket.basket_kpis(master, bsk, sets, rules, **cuts).collect()}
+
+    whole, shown = kpis(), kpis(name_chars=18, cross_sell_rules=30)
+    assert whole["top_bundle"] == "first side 44 + second side" and whole["cross_sell_opportunities"] == "45"
+    assert shown["top_bundle"] == "first side 44 + se" and shown["cross_sell_opportunities"] == "30"
+    assert {k for k in whole if whole[k] != shown[k]} == {"top_bundle", "cross_sell_opportunities"}
+    none = {r.kpi: r.value for r in basket.basket_kpis(master, bsk, sets, rules.limit(0)).collect()}
+    assert none["top_bundle"] == "N/A" and none["cross_sell_opportunities"] == "0"
+    with open(tmp_path / "audit.log", "w") as f:
+        f.write("".join(f"[2024-01-01 00:00:{i:02d}] [AUDIT] Model='m' Version='v1' Entity='{i}' Action='a' Details='d'\n" for i in range(60)))
+    assert io.parse_audit_log(spark, str(tmp_path / "audit.log")).count() == 60
+    assert io.parse_audit_log(spark, str(tmp_path / "audit.log"), 50).count() == 50
