@@ -5,10 +5,13 @@ where MASK's bits of h are zero, after LEAST bytes at least and MOST at most. Th
 depend on the last 20 bytes, so an insertion shifts the chunks around it and the next ends
 fall in their old places. Chunks are known by a 128-bit digest. Of each digest's occurrences
 the first in (id, offset) order stays. Others are cut out where neighbouring repeated chunks
-make a run of RUN bytes or a whole text; a lone line that many texts share stays.
+make a run of RUN bytes or a whole text, or lie in RUN bytes that occur elsewhere too; a lone
+line that many texts share stays.
 
 Only digests and positions are shuffled for counting, combined before the shuffle; then the
-texts that lose chunks are read once more.
+texts that lose chunks are read once more. For chunks of shorter runs the hashes of all
+RUN bytes around them are counted as well, so a passage whose ends lie inside chunks is seen
+whole. A passage is missed only where no whole chunk lies in it.
 
 Defined cases: null and empty texts have no chunks; rows that repeat an id or a text are
 documents of their own, but of rows equal in id and text each loses what an earlier document
@@ -28,9 +31,9 @@ from pyspark.sql import functions as F
 
 from orbitcart.llm.common import only, saved, slices, text_or_empty
 
-#: Chunk bytes: at least, at most; the mask's five bits give 32 more on average.
-LEAST, MOST, MASK = 24, 512, 0b11111 << 15
-#: Bytes of neighbouring repeated chunks that count as a repeated passage.
+#: Chunk bytes: at least, at most; the mask's four bits give 16 more on average.
+LEAST, MOST, MASK = 16, 512, 0b1111 << 15
+#: Bytes of neighbouring repeated chunks, or of common text around them, that count as a repeated passage.
 RUN = 96
 
 _GEAR = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -89,16 +92,45 @@ def chunks(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row", "text").mapInArrow(run, "high long, low long, doc_id long, row long, a int, b int, size int")
 
 
-def passages(marks: list[dict], size: int, run_bytes: int = RUN) -> list[dict]:
-    """The repeated chunks (a, b, gone) of a text of ``size`` bytes that lie in long enough runs."""
-    marks = sorted(marks, key=lambda m: m["a"])
+def _runs(marks: list[dict]) -> list[list[dict]]:
+    """A text's repeated chunks as runs of neighbours."""
     runs: list[list[dict]] = []
-    for mark in marks:
+    for mark in sorted(marks, key=lambda m: m["a"]):
         if runs and runs[-1][-1]["b"] == mark["a"]:
             runs[-1].append(mark)
         else:
             runs.append([mark])
-    return [m for run in runs if run[-1]["b"] - run[0]["a"] >= min(run_bytes, size) for m in run]
+    return runs
+
+
+def passages(marks: list[dict], size: int, run_bytes: int = RUN) -> list[dict]:
+    """The repeated chunks (a, b, gone) of a text of ``size`` bytes that lie in long enough runs,
+    or in runs marked as ``common`` (within ``run_bytes`` that occur elsewhere too)."""
+    return [m for run in _runs(marks) if run[-1]["b"] - run[0]["a"] >= min(run_bytes, size) or any(m.get("common") for m in run) for m in run]
+
+
+def _short_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digests of repeated chunks whose run is shorter than RUN."""
+    for batch in slices(batches):
+        short = [m for marks, size in zip(batch.column("marks").to_pylist(), batch.column("size").to_pylist())
+                 for run in _runs(marks) if run[-1]["b"] - run[0]["a"] < min(RUN, size) for m in run]
+        yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in short], pa.int64()) for c in ("high", "low")], names=["high", "low"])
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of each RUN bytes that hold one of the marked chunks, with the chunk's offset."""
+    for batch in slices(batches, 64):
+        row_keys, starts, hashes, places = [], [], [], []
+        for row, text, marks in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "marks"))):
+            data = text.encode()
+            for mark in marks:
+                for at in range(max(0, mark["b"] - RUN), min(mark["a"], len(data) - RUN) + 1):
+                    row_keys.append(row)
+                    starts.append(mark["a"])
+                    places.append(at)
+                    hashes.append(xxhash.xxh3_64_intdigest(data[at:at + RUN]) - (1 << 63))
+        yield pa.RecordBatch.from_arrays([pa.array(row_keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(places, pa.int32()),
+                                          pa.array(hashes, pa.int64())], names=["row", "a", "at", "hash"])
 
 
 def _long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +166,23 @@ def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     digests = saved(found.groupBy("high", "low").agg(F.count("*").alias("times"), F.min(place).alias("first"))
                     .filter("times > 1").select("high", "low", "first"), "chunk-digests")
     marked = found.join(digests, ["high", "low"])
-    marked = marked.groupBy("row", "a", "b").agg(F.first("size").alias("size"), F.first(~place.eqNullSafe(F.col("first"))).alias("gone"))
-    marks = marked.groupBy("row").agg(F.first("size").alias("size"), F.collect_list(F.struct("a", "b", "gone")).alias("marks"))
-    per_row = saved(marks.mapInArrow(  # a text's marks are no more than its chunks
-        _long_runs, "row long, n_repeated long, n_removed long, removed_bytes long, spans array<struct<a:int,b:int>>"), "chunk-spans")
+    marked = marked.groupBy("row", "a", "b").agg(F.first("size").alias("size"), F.first("high").alias("high"), F.first("low").alias("low"), F.first(~place.eqNullSafe(F.col("first"))).alias("gone"))
+    marked = saved(marked, "chunk-marks")
     texts = rows.dropDuplicates(["row"]).select("row", "text")
+    marks = marked.groupBy("row").agg(  # no more than the text's chunks
+        F.first("size").alias("size"), F.collect_list(F.struct("a", "b", "high", "low")).alias("marks"))
+    short = saved(marks.mapInArrow(_short_runs, "high long, low long").distinct(), "short-runs")
+    # all their occurrences, as one of them may lie in a longer run elsewhere
+    marks = marked.join(short, ["high", "low"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    around = saved(texts.join(marks, "row").mapInArrow(_surroundings, "row long, a int, at int, hash long"), "run-surroundings")
+    # at two places at least: two texts, or two offsets of one
+    place = F.struct("row", "at")
+    twice = around.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("hash")
+    common = around.join(twice, "hash", "left_semi").select("row", "a").distinct().withColumn("common", F.lit(True))
+    marks = marked.join(common, ["row", "a"], "left").groupBy("row").agg(
+        F.first("size").alias("size"), F.collect_list(F.struct("a", "b", "gone", F.coalesce("common", F.lit(False)).alias("common"))).alias("marks"))
+    per_row = saved(marks.mapInArrow(
+        _long_runs, "row long, n_repeated long, n_removed long, removed_bytes long, spans array<struct<a:int,b:int>>"), "chunk-spans")
     cut = saved(texts.join(per_row.filter("n_removed > 0").select("row", "spans"), "row")
                 .mapInArrow(_cut_out, "row long, kept_text string"), "cut-texts")
     changes = per_row.drop("spans").join(cut, "row", "left")

@@ -81,3 +81,31 @@ def test_repeated_rows_null_ids_and_empty_tables(awkward):
     rows = chunking.dedup_chunks(awkward([(None, text), (1, text), (1, text), (None, None)])).collect()
     assert sorted((r.doc_id or 0, r.removed_bytes) for r in rows) == [(0, 0), (0, 0), (1, len(text.encode())), (1, len(text.encode()))]
     assert chunking.dedup_chunks(awkward([])).count() == 0
+
+
+def test_planted_passages_of_51_short_words_are_found(awkward):
+    rnd = np.random.default_rng(7)
+    words = ["".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), rnd.integers(2, 7))) for _ in range(3000)]
+    rows, pairs = [], 400
+    for i in range(pairs):
+        passage = rnd.choice(words, 51)
+        rows += [(2 * i + k, " ".join([*rnd.choice(words, 60), *passage, *rnd.choice(words, 60)])) for k in (0, 1)]
+    line = " ".join(words[:9])  # a shared line of its own stays
+    rows += [(1000 + i, " ".join([*rnd.choice(words, 60), line, *rnd.choice(words, 60)])) for i in range(30)]
+    removed = {r.doc_id: r.removed_bytes for r in chunking.dedup_chunks(awkward(rows)).collect()}
+    missed = sum(removed[2 * i + 1] == 0 for i in range(pairs))
+    assert len(line) < chunking.RUN and missed == 0
+    assert sum(v for i, v in removed.items() if i % 2 == 0 or i >= 1000) == 0
+
+
+def test_a_piece_of_a_longer_passage_is_found(awkward):
+    long = random_text(100, 70).encode()
+    ends = chunking.chunk_ends(np.frombuffer(long, np.uint8))
+    # from inside one chunk to inside another: whole chunks between make less than RUN, all bytes more
+    first, last = next((i, j) for i in range(2, len(ends)) for j in range(i + 1, len(ends) - 1)
+                       if ends[j] - ends[i] < chunking.RUN <= ends[j + 1] - ends[i - 1] - 2)
+    piece = long[ends[first - 1] + 1:ends[last + 1] - 1].decode("utf-8", "ignore")
+    rows = [(i, random_text(60, 80 + i) + " " + long.decode() + " " + random_text(60, 90 + i)) for i in (1, 2)]
+    rows += [(3, "Z" * 40 + piece + "Q" * 40)]
+    removed = {r.doc_id: r.removed_bytes for r in chunking.dedup_chunks(awkward(rows)).collect()}
+    assert removed[1] == 0 and removed[2] > 0 and removed[3] > 0
