@@ -197,7 +197,7 @@ def l14(spark, sf):
 
 @query("L15_basket_kpis", with_base(f"""{_ITEMSETS},
 ipo AS (SELECT order_id, count(order_item_id) AS k FROM master GROUP BY 1),
-tb AS (SELECT substr(antecedents_str || ' + ' || consequents_str, 1, 18) AS b FROM top30
+tb AS (SELECT antecedents_str || ' + ' || consequents_str AS b FROM top30
        ORDER BY lift DESC, antecedents_str, consequents_str LIMIT 1)
 SELECT kpi, value FROM (
   SELECT 'total_transactions' AS kpi, CAST((SELECT count(DISTINCT order_id) FROM bk) AS VARCHAR) AS value
@@ -207,7 +207,7 @@ SELECT kpi, value FROM (
   UNION ALL SELECT 'high_lift_rules', CAST((SELECT count(*) FROM rules WHERE lift >= 2.0) AS VARCHAR)
   UNION ALL SELECT 'avg_basket_size', printf('%.2f Items', (SELECT avg(k) FROM ipo))
   UNION ALL SELECT 'top_bundle', coalesce((SELECT b FROM tb), 'N/A')
-  UNION ALL SELECT 'cross_sell_opportunities', CAST((SELECT count(*) FROM top30) AS VARCHAR))"""))
+  UNION ALL SELECT 'cross_sell_opportunities', CAST((SELECT count(*) FROM rules) AS VARCHAR))"""))
 def l15(spark, sf):
     j = _j(spark, sf)
     return B.basket_kpis(j.r.master, j.baskets, j.itemsets, j.rules)

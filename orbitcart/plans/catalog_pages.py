@@ -148,7 +148,7 @@ def o13(spark, sf):
 
 @query("O13_category_rating_radar", with_base(f"""
 SELECT product_category_name_english, {R('avg(avg_review_score)', 6)} AS avg_rating FROM master
-WHERE product_category_name_english IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 6"""))
+WHERE product_category_name_english IS NOT NULL GROUP BY 1"""))
 def o13_radar(spark, sf):
     return rounded(P.category_rating_radar(_m(spark, sf)), {"avg_rating": 6})
 

@@ -14,7 +14,6 @@ from orbitcart.plans.registry import query, rounded
 
 def _reco(m: str = "master", n: int = 5) -> str:
     """The recommender in SQL over the item rows ``m``; targets are all products of the catalogue."""
-    h = "min((customer_unique_id * (48271 * (2 * b + {k})) + 69621 * (2 * b + {k})) % 2147483647)"
     return f"""
 , pop AS (SELECT product_id, product_category_name_english, count(order_item_id) AS total_units,
                  {MSUM('price')} AS total_revenue, {MAVG('price')} AS avg_price,
@@ -22,15 +21,9 @@ def _reco(m: str = "master", n: int = 5) -> str:
           FROM {m} WHERE product_category_name_english IS NOT NULL GROUP BY 1, 2),
 it AS (SELECT customer_unique_id, product_id, count(order_item_id) AS n, any_value(pop.product_category_name_english) AS category
        FROM {m} JOIN pop USING (product_id) GROUP BY 1, 2),
-mins AS (SELECT product_id, b AS band, {h.format(k=1)} AS first, {h.format(k=2)} AS second FROM it, range(8) r(b) GROUP BY 1, 2),
-big AS (SELECT band, first FROM mins GROUP BY 1, 2 HAVING count(*) > 256),
-keyed AS (SELECT mins.product_id, mins.band, mins.first, CASE WHEN big.band IS NULL THEN -1 ELSE mins.second END AS second
-          FROM mins LEFT JOIN big ON big.band = mins.band AND big.first = mins.first),
-pairs AS (SELECT DISTINCT x.product_id AS a, y.product_id AS b FROM keyed x JOIN keyed y USING (band, first, second)
-          WHERE x.product_id < y.product_id),
 nrm AS (SELECT product_id, sqrt(sum(n * n)) AS norm FROM it GROUP BY 1),
-dots AS (SELECT a, b, sum(x.n * y.n) AS dot FROM pairs JOIN it x ON x.product_id = a
-         JOIN it y ON y.product_id = b AND y.customer_unique_id = x.customer_unique_id GROUP BY 1, 2),
+dots AS (SELECT x.product_id AS a, y.product_id AS b, sum(x.n * y.n) AS dot FROM it x JOIN it y USING (customer_unique_id)
+         WHERE x.product_id < y.product_id GROUP BY 1, 2),
 sims AS (SELECT a, b, {R('dot / (x.norm * y.norm)', 10)} AS sim FROM dots JOIN nrm x ON x.product_id = a JOIN nrm y ON y.product_id = b),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY sim DESC, neighbour_id) AS rank FROM (
            SELECT a AS product_id, b AS neighbour_id, sim FROM sims UNION ALL SELECT b, a, sim FROM sims)) WHERE rank <= 20),
@@ -100,15 +93,21 @@ def k6(spark, sf):
                             "recommendation_type"), {"hybrid_score": 6})
 
 
-@query("K7_cold_start", with_base(f"""{_RECO}
-, warm AS (SELECT DISTINCT customer_unique_id FROM fs WHERE customer_unique_id % 3 = 0)
-SELECT f.customer_unique_id, t.product_id, t.category, t.avg_price, t.rec_rank,
+_HOLDOUT = """
+, span AS (SELECT epoch_us(min(order_purchase_timestamp)) AS lo, epoch_us(max(order_purchase_timestamp)) AS hi FROM master),
+cutoff AS (SELECT make_timestamp(CAST(hi - floor((hi - lo) * 0.2) AS BIGINT)) AS t FROM span),
+train AS (SELECT master.* FROM master, cutoff WHERE order_purchase_timestamp < t)"""
+
+
+@query("K7_cold_start", with_base(f"""{_HOLDOUT}{_RECO}
+, late AS (SELECT DISTINCT customer_unique_id FROM fs WHERE customer_unique_id NOT IN (SELECT customer_unique_id FROM train))
+SELECT late.customer_unique_id, t.product_id, t.category, t.avg_price, t.rec_rank,
        'Top Trending Recommendation (New Customer Cold-Start Fallback)' AS explanation
-FROM (SELECT DISTINCT customer_unique_id FROM fs WHERE customer_unique_id % 3 <> 0) f, trend t"""))
+FROM late, trend t"""))
 def k7(spark, sf):
-    """Cold start when only every third customer has a hybrid score."""
+    """Cold start for the customers whose first purchase lies in the hold-out time."""
     j = _j(spark, sf)
-    warm = j.r.feature_store.where(F.col("customer_unique_id") % 3 == 0)
+    warm = j.r.master.where(F.col("order_purchase_timestamp").cast("timestamp") < K.holdout_cut(j.r.master))
     return K.cold_start(j.r.feature_store, warm, j.popularity, 5).select(
         "customer_unique_id", "product_id", "category", "avg_price", "rec_rank", "explanation")
 
@@ -233,12 +232,6 @@ def k15_context(spark, sf):
     return rounded(f.select("customer_unique_id", "product_id", "clv_value_tier", "risk_level", "hybrid_score"), {"hybrid_score": 6})
 
 
-_HOLDOUT = """
-, span AS (SELECT epoch_us(min(order_purchase_timestamp)) AS lo, epoch_us(max(order_purchase_timestamp)) AS hi FROM master),
-cutoff AS (SELECT make_timestamp(CAST(hi - floor((hi - lo) * 0.2) AS BIGINT)) AS t FROM span),
-train AS (SELECT master.* FROM master, cutoff WHERE order_purchase_timestamp < t)"""
-
-
 @query("K17_ranking_evaluation", with_base(f"""{_HOLDOUT}{_reco("train", 10)}
 , truth AS (SELECT DISTINCT customer_unique_id, product_id FROM master, cutoff WHERE order_purchase_timestamp >= t),
 relevant AS (SELECT customer_unique_id, count(*) AS relevant FROM truth GROUP BY 1),

@@ -78,14 +78,21 @@ def test_purchase_timeline_with_hot_customer(spark):
     for oid in range(3000):
         cust = 0 if oid % 3 == 0 else int(rng.integers(1, 200))
         ts = base + timedelta(days=int(rng.integers(0, 900)))
-        rows.append((cust, oid, ts, float(rng.integers(1, 100))))
-    m = spark.createDataFrame(rows, "customer_unique_id long, order_id long, order_purchase_timestamp timestamp, "
-                                    "price double").repartition(6)
+        rows.append((cust, oid, ts, float(rng.integers(1, 100)), f"brand_{oid % 4}", "card" if oid % 5 else None))
+    # an order's second line has another category and payment
+    lines = rows + [(*r[:4], "brand_9", "boleto") for r in rows if r[1] % 7 == 0]
+    m = spark.createDataFrame(lines, "customer_unique_id long, order_id long, order_purchase_timestamp timestamp, price double, "
+                                     "product_category_name_english string, preferred_payment_type string").repartition(6)
     got = purchase_timeline(m).toPandas().sort_values(["customer_unique_id", "ts", "order_id"])
-    pdf = pd.DataFrame(rows, columns=["customer_unique_id", "order_id", "ts", "price"]) \
+    pdf = pd.DataFrame(rows, columns=["customer_unique_id", "order_id", "ts", "price", "category", "payment"]) \
         .sort_values(["customer_unique_id", "ts", "order_id"])
     pdf["seq"] = pdf.groupby("customer_unique_id").cumcount() + 1
     pdf["gap"] = pdf.groupby("customer_unique_id")["ts"].diff().dt.total_seconds() / 86400
     assert (got["order_seq"].to_numpy() == pdf["seq"].to_numpy()).all()
     g1, g2 = got["days_since_prev"].to_numpy(), pdf["gap"].to_numpy()
     assert np.allclose(np.nan_to_num(g1.astype(float), nan=-1), np.nan_to_num(g2, nan=-1))
+    second = (pdf["order_id"] % 7 == 0).to_numpy()
+    assert list(got["categories"]) == [c + ", brand_9" if two else c for c, two in zip(pdf["category"], second)]
+    first_of = [min(x for x in (p, "boleto" if two else None) if x) if p or two else None for p, two in zip(pdf["payment"], second)]
+    assert [p if isinstance(p, str) else None for p in got["payment_method"]] == first_of
+    assert list(got["items"]) == [2 if two else 1 for two in second]
