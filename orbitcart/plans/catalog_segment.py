@@ -4,7 +4,7 @@ profile operators are also registered keyed on the RFM segment, where SQL can ch
 from __future__ import annotations
 
 from orbitcart.operators import segment as H
-from orbitcart.plans.jobs import jobs
+from orbitcart.plans.jobs import DENSITY_EPS, DENSITY_FEATURES, jobs
 from orbitcart.plans.oracle import MSUM, R, with_base
 from orbitcart.plans.pipeline import retail
 from orbitcart.plans.registry import query, rounded
@@ -25,6 +25,32 @@ def h4(spark, sf):
     return spark.createDataFrame([(kk, float(v), kk == k) for kk, v in scores], "k int, silhouette double, chosen boolean")
 
 
+_Z = ", ".join(f"{R(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()', 6)} AS x{i}" for i, c in enumerate(DENSITY_FEATURES))
+
+
+@query("H8_density_clusters", with_base(f"""
+, pts AS (SELECT customer_unique_id AS id, {_Z} FROM fs),
+near AS (SELECT p.id AS a, q.id AS b FROM pts p, pts q
+         WHERE (p.x0 - q.x0) * (p.x0 - q.x0) + (p.x1 - q.x1) * (p.x1 - q.x1) + (p.x2 - q.x2) * (p.x2 - q.x2) <= {DENSITY_EPS} * {DENSITY_EPS}),
+core AS (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= 5),
+edges AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core) AND a <> b),
+reach(id, label) USING KEY (id) AS (
+    SELECT id, id AS label FROM core
+    UNION
+    SELECT e.b, min(reach.label) FROM reach JOIN edges e ON e.a = reach.id JOIN recurring.reach r ON r.id = e.b
+    WHERE reach.label < r.label GROUP BY e.b),
+border AS (SELECT a AS id, min(label) AS label FROM near JOIN reach ON reach.id = near.b WHERE a NOT IN (SELECT id FROM core) GROUP BY 1)
+SELECT id AS customer_unique_id, coalesce(reach.label, border.label, -1) AS label, reach.id IS NOT NULL AS is_core
+FROM pts LEFT JOIN reach USING (id) LEFT JOIN border USING (id)""", recursive=True))
+def h8(spark, sf):
+    return _j(spark, sf).dense_features
+
+
+@query("H8_density_clusters_pca")
+def h8_pca(spark, sf):
+    return _j(spark, sf).dense_pca
+
+
 @query("H10_model_benchmark")
 def h10(spark, sf):
     return _j(spark, sf).clusters[2]

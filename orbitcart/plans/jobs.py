@@ -10,10 +10,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitcart.operators import basket, churn, clv
+from orbitcart.operators import basket, churn, clv, density
 from orbitcart.operators import recommend as reco
 from orbitcart.operators import segment as seg
 from orbitcart.plans.pipeline import Retail, retail
+from orbitcart.session import written_table
+
+#: Features and radius of the density clusters that SQL can check.
+DENSITY_FEATURES, DENSITY_EPS = ("recency_days", "total_spending", "avg_order_value"), 0.25
 
 _MEMO: dict[tuple[int, str], "Jobs"] = {}
 
@@ -105,6 +109,18 @@ class Jobs:
     def seg_k(self):
         return seg.choose_k(self.seg_prepared[1])
 
+    @cached_property
+    def dense_pca(self) -> DataFrame:
+        """H8 density clusters of the customers on the PCA axes."""
+        points = self.seg_prepared[1].select(seg.KEY, "pca_x", "pca_y", "pca_z")
+        return density.density_clusters(points, ["pca_x", "pca_y", "pca_z"], id_col=seg.KEY, written=written_table)
+
+    @cached_property
+    def dense_features(self) -> DataFrame:
+        """H8 density clusters of the customers on three standardised features."""
+        points = density.standardised(self.r.feature_store.select(seg.KEY, *DENSITY_FEATURES), DENSITY_FEATURES)
+        return density.density_clusters(points, DENSITY_FEATURES, id_col=seg.KEY, eps=DENSITY_EPS, written=written_table)
+
     @cached_property
     def clusters(self):
         """(best algorithm, customers with cluster_id + persona_title, benchmark table)."""

@@ -196,6 +196,6 @@ def base_ctes() -> str:
     return ",\n".join(f"{name} AS ({body.strip()})" for name, body in _CTES)
 
 
-def with_base(body: str) -> str:
+def with_base(body: str, recursive: bool = False) -> str:
     """Prefix a query body with the pipeline CTEs (DuckDB drops the unreferenced ones)."""
-    return f"WITH {base_ctes()}\n{body.strip()}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{base_ctes()}\n{body.strip()}"

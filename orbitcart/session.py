@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold for every session this library builds. Shuffle partition count is
 # a local default only; on a cluster it comes from the cluster's own configuration.
@@ -61,3 +62,13 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table written under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def written_table(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` as Parquet to a new folder below the shared checkpoint folder and read it again.
+
+    Cuts lineage like a checkpoint, and later joins are planned with the files' real sizes.
+    """
+    path = scratch_table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
