@@ -7,12 +7,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitcart.functions.columns import days_between, money_sum, when_chain
 from orbitcart.operators.executive import change_pct, is_positive
+from orbitcart.operators.oversample import oversample
+from orbitcart.session import written_table
 
 KEY = "customer_unique_id"
 LABEL = "churn_label"
@@ -53,7 +55,7 @@ def split_train_test(df: DataFrame, label: str = LABEL, train_pct: int = 80, see
 
 
 def class_weights(df: DataFrame, label: str = LABEL, out: str = "class_weight") -> DataFrame:
-    """I3 balanced weights n / (2 n_c) (the SMOTE-free rebalancing; see README). Class
+    """I3 balanced weights n / (2 n_c); ``fit_oversampled`` balances by new rows instead. Class
     counts are one row per class, so broadcasting them is bounded."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     n = df.agg(F.count(F.lit(1))).scalar()
@@ -118,6 +120,24 @@ def train_churn_models(fs: DataFrame, models=("logistic", "random_forest", "gbt"
     return fitted[best], metrics
 
 
+def fit_oversampled(train: DataFrame, model: str = "logistic", seed: int = 42, features=CHURN_FEATURES) -> PipelineModel:
+    """I3 the model fitted on rows balanced by interpolated new ones instead of class weights.
+
+    Imputing and scaling are fitted on the real rows; the new rows are made of scaled features.
+    """
+    steps = churn_pipeline(model, features, weight_col=None, seed=seed).getStages()
+    prepared = Pipeline(stages=steps[:-1]).fit(train)
+    balanced = balanced_rows(prepared.transform(train), seed=seed)
+    rows = balanced.select(F.col("label").alias(LABEL), array_to_vector("x").alias("features"))
+    return PipelineModel([*prepared.stages, steps[-1].fit(rows)])
+
+
+def balanced_rows(prepared: DataFrame, seed: int = 42) -> DataFrame:
+    """I3 rows (id, label, x, near_id, gap) of both classes in equal number; x are the scaled features."""
+    rows = prepared.select(KEY, LABEL, vector_to_array("features").alias("x"))
+    return oversample(rows, label=LABEL, id_col=KEY, vector="x", written=written_table, seed=seed)
+
+
 def churn_probability(model: PipelineModel, df: DataFrame, out: str = "churn_probability") -> DataFrame:
     """I7 probability of class 1 from a fitted PipelineModel (batch scoring, A10)."""
     scored = model.transform(df)

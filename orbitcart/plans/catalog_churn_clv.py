@@ -6,6 +6,7 @@ SQL can reproduce; model fits (I1-I7, J3-J6) are registered without oracle SQL.
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from orbitcart.operators import churn as I
@@ -192,6 +193,14 @@ def i20(spark, sf):
                    {"churn_probability": 6})
 
 
+@query("I3_oversampled_training_rows")
+def i3_oversampled(spark, sf):
+    """Both classes of the training split in equal number, new rows on lines between near neighbours."""
+    train, _ = I.split_train_test(I.prepare_labels(retail(spark, sf).feature_store))
+    steps = I.churn_pipeline("logistic", weight_col=None).getStages()[:-1]
+    return I.balanced_rows(Pipeline(stages=steps).fit(train).transform(train))
+
+
 @query("I4_churn_model_metrics")
 def i4(spark, sf):
     return _j(spark, sf).churn_model[1]
