@@ -5,8 +5,9 @@ customers, cold start, similar products, KPIs.
 Scale design
 * Neighbours are the ``NEIGHBOURS`` best exact cosines among all products with a common customer.
   A customer with up to ``BUCKET`` products pairs them; customers with more are busy, and products
-  with equal counts of them are compared as one profile, so a customer who bought a whole
-  catalogue does not pair it. No pair is left out and no pair table is dense.
+  with equal counts of them are compared as one profile; profiles are scored only where bounds from
+  the order of weights and remaining lengths let them enter a best list, so a customer who bought a
+  whole catalogue does not pair it. No pair is left out and no pair table is dense.
 * Content needs no product pairs: products of one category are equal in text, so a customer's
   content score is one number per category.
 * Scoring joins purchases to neighbour lists and to as many of a category's most popular
@@ -21,11 +22,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitcart.functions.columns import money_avg, money_sum
+from orbitcart.functions.ordering import with_global_row_number
+from orbitcart.session import written_table
 
 KEY = "customer_unique_id"
 CAT = "product_category_name_english"
 NEIGHBOURS = 20                   # neighbours kept per product (part of the definition)
 BUCKET = 256                      # products that a customer pairs; those with more are busy
+BLOCK = 64                        # profiles next to one another in a busy customer's list that are scored first
+ANGLE_BINS = 512                  # bins of a list per radian of angle
 COLLAB_WEIGHT, CONTENT_WEIGHT = 0.6, 0.4
 SCORE_DIGITS = 10                 # scores are stabilised before ranking (engine-independent ties)
 
@@ -80,6 +85,72 @@ def _profiles(busy_counts: DataFrame) -> DataFrame:
         F.sum(F.xxhash64(F.lit(seed), KEY, "n").cast("decimal(20,0)")).cast("string") for seed in (1, 2)]).alias("profile"))
 
 
+def _scored(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """asked, profile, busy_dot of pairs of profiles from their counts of the customers they share."""
+    own = entries.select(F.col("profile").alias("asked"), KEY, F.col("n").alias("na"))
+    other = entries.select("profile", KEY, F.col("n").alias("nb"))
+    return pairs.join(own, "asked").join(other, ["profile", KEY]).groupBy("asked", "profile").agg(
+        F.sum(F.col("na") * F.col("nb")).alias("busy_dot"))
+
+
+def _shelf_scores(dots: DataFrame, shelf: DataFrame) -> DataFrame:
+    """asked, neighbour_id, busy_dot, score: the products of the scored profiles; score = busy_dot / norm."""
+    return dots.join(shelf.select("profile", "neighbour_id", "norm"), "profile").select(
+        "asked", "neighbour_id", "busy_dot", F.round(F.col("busy_dot") / F.col("norm"), SCORE_DIGITS).alias("score"))
+
+
+def _angle(w: Column) -> Column:
+    return F.acos(F.least(w, F.lit(1.0)))
+
+
+def best_of_busy(entries: DataFrame, shelf: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(the n best products by busy_dot / norm for each profile, the pairs of profiles scored for it), exact.
+
+    A profile's counts make a vector; divided by its length its entry for a customer is w. Let t be
+    the n-th best score known so far, divided by the asking profile's length: no cosine below t helps.
+    First each profile is scored against those next to it in the list of its least busy
+    customer, which is in order of w; that gives t. Then (1) the entries of its busiest customers are
+    left out as long as their remaining length is below t: a profile that shares only these
+    has a cosine below t; (2) in the list of each customer kept, a pair's cosine is at most
+    cos(angle - other angle) with angle = acos(w), so only a range of the list is read. What is
+    left is scored in full. Lists are read by ranges, so nobody's list is paired with itself
+    unless its profiles cannot be told apart by any bound.
+    """
+    sizes = entries.groupBy(KEY).agg(F.count(F.lit(1)).alias("size"))
+    lengths = entries.groupBy("profile").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("length"))
+    rows = written_table(entries.join(sizes, KEY).join(lengths, "profile").withColumn("w", F.col("n") / F.col("length")), "busy-entries")
+
+    least = rows.groupBy("profile").agg(F.min(F.struct("size", F.col(KEY).alias("who"))).alias("first"))
+    lists = with_global_row_number(rows.select(KEY, "profile", "w"), [F.col(KEY), F.col("w"), F.col("profile")], "place")
+    lists = lists.select(KEY, "profile", F.floor(F.col("place") / BLOCK).alias("block"))
+    begin = lists.join(least.select("profile", F.col("first.who").alias(KEY)), [KEY, "profile"])
+    nearby = begin.withColumnRenamed("profile", "asked").join(lists, [KEY, "block"]).select("asked", "profile")
+    itself = lengths.select(F.col("profile").alias("asked"), "profile")
+    first = written_table(_scored(nearby.unionByName(itself).distinct(), rows), "busy-first")
+    known = _best(_shelf_scores(first, shelf), "asked", F.col("score"), n).groupBy("asked").agg(
+        F.min("score").alias("worst"), F.count(F.lit(1)).alias("found"))
+    floor = known.join(lengths.withColumnRenamed("profile", "asked"), "asked").select(
+        F.col("asked").alias("profile"), F.when(F.col("found") >= n, F.col("worst") / F.col("length") - 1e-8).otherwise(-1.0).alias("t"))
+
+    # (1) by classes of busyness, which are few for any profile
+    sized = rows.withColumn("busyness", F.floor(F.log2("size")).cast("int"))
+    classes = sized.groupBy("profile", "busyness").agg(F.sum(F.col("w") * F.col("w")).alias("square"))
+    rest = Window.partitionBy("profile").orderBy(F.desc("busyness"))  # as many rows as classes
+    needed = classes.withColumn("rest", F.sqrt(F.sum("square").over(rest))).join(floor, "profile").where(
+        F.col("rest") >= F.col("t")).select("profile", "busyness", "t")
+    asking = sized.join(needed, ["profile", "busyness"]).select(KEY, F.col("profile").alias("asked"), _angle(F.col("w")).alias("angle"),
+                                                               F.when(F.col("t") <= 0, F.lit(2.0)).otherwise(F.acos(F.least("t", F.lit(1.0)))).alias("reach"))
+    # (2) by ranges of angles
+    bins = F.sequence(F.floor((F.col("angle") - F.col("reach")) * ANGLE_BINS).cast("int"), F.floor((F.col("angle") + F.col("reach")) * ANGLE_BINS).cast("int"))
+    reached = F.filter(bins, lambda x: (x >= 0) & (x <= int(2 * ANGLE_BINS)))
+    told = rows.select(KEY, "profile", _angle(F.col("w")).alias("other"), F.floor(_angle(F.col("w")) * ANGLE_BINS).cast("int").alias("bin"))
+    met = asking.withColumn("bin", F.explode(reached)).join(told, [KEY, "bin"]).where(
+        F.abs(F.col("angle") - F.col("other")) <= F.col("reach") + 1e-9).select("asked", "profile").distinct()
+    fresh = written_table(met.join(first, ["asked", "profile"], "left_anti"), "busy-pairs")
+    dots = first.unionByName(_scored(fresh, rows))
+    return _best(_shelf_scores(dots, shelf), "asked", F.col("score"), n), first.select("asked", "profile").unionByName(fresh)
+
+
 def neighbours(inter: DataFrame, n: int = NEIGHBOURS, bucket: int = BUCKET) -> DataFrame:
     """K4 (product_id, neighbour_id, sim, rank): the n best exact cosines of purchase counts of each
     product, ties to the smaller neighbour id. Every pair with a common customer counts.
@@ -87,7 +158,8 @@ def neighbours(inter: DataFrame, n: int = NEIGHBOURS, bucket: int = BUCKET) -> D
     Customers with at most ``bucket`` products pair their products. For the others ("busy") equal
     profiles are compared instead: of the products of one profile only those with the n + 1
     smallest norms can be among the n best of any product that has nothing but busy customers in
-    common with them, and pairs that other customers link get their busy part added.
+    common with them (``best_of_busy`` finds the best profiles by bounds), and pairs that other
+    customers link get their busy part added.
     """
     counts = inter.select(KEY, "product_id", F.col("n").cast("long").alias("n"))
     norms = counts.groupBy("product_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
@@ -96,14 +168,13 @@ def neighbours(inter: DataFrame, n: int = NEIGHBOURS, bucket: int = BUCKET) -> D
     dots = _shared(counts.join(busy, KEY, "left_anti") if hot else counts, "product_id")
     if hot:
         busy_counts = counts.join(busy, KEY, "left_semi")
-        members = _profiles(busy_counts)
-        entries = busy_counts.join(members, "product_id").select(KEY, "profile", "n").distinct()
-        other = entries.select(KEY, F.col("profile").alias("profile_b"), F.col("n").alias("nb"))
-        meeting = (entries.withColumnRenamed("profile", "profile_a").join(other, KEY).groupBy("profile_a", "profile_b")
-                   .agg(F.sum(F.col("n") * F.col("nb")).alias("busy_dot")))
-        ma, mb = (members.select(F.col("product_id").alias(c), F.col("profile").alias(f"profile_{c}")) for c in ("a", "b"))
-        dots = dots.join(ma, "a", "left").join(mb, "b", "left").join(meeting, ["profile_a", "profile_b"], "left").select(
-            "a", "b", (F.col("dot") + F.coalesce("busy_dot", F.lit(0))).alias("dot"))
+        members = written_table(_profiles(busy_counts), "profiles")
+        entries = written_table(busy_counts.join(members, "product_id").select(KEY, "profile", "n").distinct(), "profile-entries")
+        # pairs of light customers: the busy customers they also share are joined to these pairs alone
+        ma, mb = (members.select(F.col("product_id").alias(c), F.col("profile").alias(p)) for c, p in (("a", "asked"), ("b", "profile")))
+        dots = written_table(dots.join(ma, "a", "left").join(mb, "b", "left"), "light-pairs")
+        meeting = _scored(dots.select("asked", "profile").where("asked IS NOT NULL AND profile IS NOT NULL").distinct(), entries)
+        dots = dots.join(meeting, ["asked", "profile"], "left").select("a", "b", (F.col("dot") + F.coalesce("busy_dot", F.lit(0))).alias("dot"))
     sims = _sims(dots, norms)
     near = sims.select(F.col("a").alias("product_id"), F.col("b").alias("neighbour_id"), "sim").unionByName(
         sims.select(F.col("b").alias("product_id"), F.col("a").alias("neighbour_id"), "sim"))
@@ -111,10 +182,9 @@ def neighbours(inter: DataFrame, n: int = NEIGHBOURS, bucket: int = BUCKET) -> D
     if not hot:
         return near
     # one more than n, as a product is found among its own profile
-    shelf = _best(members.join(norms, "product_id").withColumnRenamed("product_id", "neighbour_id"), "profile", -F.col("norm"), n + 1)
-    found = meeting.join(shelf.select(F.col("profile").alias("profile_b"), "neighbour_id", "norm"), "profile_b")
-    found = _best(found, "profile_a", F.round(F.col("busy_dot") / F.col("norm"), SCORE_DIGITS), n + 1)
-    linked = members.join(found.select(F.col("profile_a").alias("profile"), "neighbour_id", "busy_dot"), "profile").where(
+    shelf = written_table(_best(members.join(norms, "product_id").withColumnRenamed("product_id", "neighbour_id"), "profile", -F.col("norm"), n + 1), "shelf")
+    found, _ = best_of_busy(entries, shelf, n + 1)
+    linked = members.join(found.select(F.col("asked").alias("profile"), "neighbour_id", "busy_dot"), "profile").where(
         F.col("product_id") != F.col("neighbour_id"))
     linked = _sims(linked.select(F.col("product_id").alias("a"), F.col("neighbour_id").alias("b"), F.col("busy_dot").alias("dot")), norms)
     # a pair found both ways has its whole cosine in ``near``
@@ -165,12 +235,14 @@ def recommend(inter: DataFrame, near: DataFrame, affinity: DataFrame, pop: DataF
     """
     collab = inter.select(KEY, "product_id").join(near.select("product_id", "neighbour_id", "sim"), "product_id")
     collab = collab.groupBy(KEY, F.col("neighbour_id").alias("product_id")).agg((F.sum("sim") * COLLAB_WEIGHT).alias("collab"))
-    most = affinity.agg(F.max("bought")).scalar()
-    w = Window.partitionBy("category").orderBy(F.desc("total_units"), F.desc("avg_rating"), "product_id")
     shelf = pop.select("product_id", F.col(CAT).alias("category"), "total_units", "avg_rating")
-    popular = shelf.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n + most)
-    content = affinity.join(popular.select("product_id", "category", "place"), "category").where(
-        F.col("place") <= n + F.col("bought")).select(KEY, "product_id")
+    # numbered over all categories, so no category is sorted in one task
+    order = [F.col("category"), F.desc("total_units"), F.desc("avg_rating"), F.col("product_id")]
+    numbered = with_global_row_number(shelf, order, "number")
+    first = numbered.groupBy("category").agg(F.min("number").alias("first"))
+    popular = numbered.join(first, "category").select("product_id", "category", (F.col("number") - F.col("first") + 1).alias("place"))
+    places = affinity.select(KEY, "category", F.explode(F.sequence(F.lit(1).cast("long"), n + F.col("bought"))).alias("place"))
+    content = places.join(popular, ["category", "place"]).select(KEY, "product_id")
     targets = collab.select(KEY, "product_id", "collab").unionByName(content.withColumn("collab", F.lit(0.0)))
     own = inter.select(KEY, "product_id", F.lit(0.0).alias("collab"), F.lit(1).alias("own"))
     targets = (targets.withColumn("own", F.lit(0)).unionByName(own).groupBy(KEY, "product_id")
