@@ -359,25 +359,7 @@ def executive_kpis(master: DataFrame, fs: DataFrame | None = None, orders: DataF
                              "is_positive": is_positive(F.col("current"), F.col("previous"))})
 
 
-# ------------------------------------------------------------------ M15-M18 search and filters
-
-def entity_search(master: DataFrame, q: str, limit: int | None = None) -> DataFrame:
-    """M15 case-insensitive literal substring search, entities tried in order customer ->
-    order -> seller -> product -> category; all ids of the first entity type with a hit (the
-    first ``limit`` by id if given)."""
-    needle = q.lower()
-    order = [("customer", KEY), ("order", "order_id"), ("seller", "seller_id"), ("product", "product_id"),
-             ("category", first_present(master, CATEGORY_COLUMNS))]
-    hits = []
-    for prio, (name, c) in enumerate(order):
-        ids = master.select(F.col(c).cast("string").alias("entity_id")).distinct() \
-            .where(F.lower("entity_id").contains(needle))
-        hits.append(ids.select(F.lit(prio).alias("priority"), F.lit(name).alias("entity_type"), "entity_id"))
-    allhits = functools.reduce(DataFrame.unionByName, hits)
-    best = allhits.agg(F.min("priority")).scalar()
-    out = allhits.where(F.col("priority") == best).drop("priority")
-    return out.orderBy("entity_id").limit(limit) if limit else out
-
+# ------------------------------------------------------------------ M16-M18 filters
 
 def filter_customers(customers: DataFrame, *, risk_levels: Sequence[str] | None = None, tiers: Sequence[str] | None = None,
                      clv_range: tuple[float, float] | None = None, tier_col: str = "clv_value_tier",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitcart.operators import executive as X
+from orbitcart.operators import search as S
+from orbitcart.plans.jobs import jobs
 from orbitcart.plans.oracle import INITCAP, MSUM, R, with_base
 from orbitcart.plans.pipeline import retail
 from orbitcart.plans.registry import query, rounded
@@ -247,17 +249,53 @@ def m13_monthly_growth(spark, sf):
 _SEARCH_Q = "77"
 
 
-@query("M15_entity_search", with_base(f"""
-, hits AS (
-  SELECT DISTINCT 0 AS priority, 'customer' AS entity_type, CAST(customer_unique_id AS VARCHAR) AS entity_id FROM master
-  UNION ALL SELECT DISTINCT 1, 'order', CAST(order_id AS VARCHAR) FROM master
-  UNION ALL SELECT DISTINCT 2, 'seller', CAST(seller_id AS VARCHAR) FROM master
-  UNION ALL SELECT DISTINCT 3, 'product', CAST(product_id AS VARCHAR) FROM master
-  UNION ALL SELECT DISTINCT 4, 'category', CAST(product_category_name_english AS VARCHAR) FROM master),
-m AS (SELECT * FROM hits WHERE contains(lower(entity_id), '{_SEARCH_Q}'))
-SELECT entity_type, entity_id FROM m WHERE priority = (SELECT min(priority) FROM m)"""))
+def _search_sql(q: str, kinds: tuple[str, ...] | None = None) -> str:
+    columns = {"customer": "customer_unique_id", "order": "order_id", "seller": "seller_id", "product": "product_id",
+               "category": "product_category_name_english"}
+    parts = " UNION ALL ".join(
+        f"SELECT {i} AS priority, '{kind}' AS entity_type, CAST({c} AS VARCHAR) AS entity_id, count(DISTINCT order_id) AS orders, count(*) AS items, "
+        f"{MSUM('price')} AS revenue, min(order_status) AS order_status, min(order_purchase_timestamp) AS ts, min(seller_state) AS seller_state, "
+        f"min(product_category_name_english) AS cat FROM master WHERE {c} IS NOT NULL GROUP BY {c}" for i, (kind, c) in enumerate(columns.items()))
+    only = f"AND entity_type IN {kinds}".replace(",)", ")") if kinds else ""
+    return with_base(f"""
+, hits AS (SELECT * FROM ({parts}) WHERE contains(lower(entity_id), '{q}') {only})
+SELECT entity_type, entity_id, orders, items, revenue, {R('revenue / greatest(orders, 1)', 2)} AS avg_order_value,
+       CASE WHEN entity_type = 'order' THEN order_status END AS status, CASE WHEN entity_type = 'order' THEN ts END AS purchased_at,
+       CASE WHEN entity_type = 'seller' THEN seller_state END AS state, CASE WHEN entity_type = 'product' THEN cat END AS category,
+       rfm_segment, CASE WHEN fs.customer_unique_id IS NULL THEN NULL WHEN coalesce(churn_label, 0) = 0 THEN 'Low Risk' ELSE 'High Risk' END AS churn_risk,
+       {R('total_spending', 2)} AS customer_value
+FROM hits LEFT JOIN fs ON entity_type = 'customer' AND CAST(fs.customer_unique_id AS VARCHAR) = entity_id
+WHERE priority = (SELECT min(priority) FROM hits)""")
+
+
+def _search(spark, sf, q, kinds=None):
+    j = jobs(spark, sf)
+    return S.search(j.gram_index, j.entities, q, kinds=kinds)
+
+
+@query("M15_entity_search", _search_sql(_SEARCH_Q))
 def m15_search(spark, sf):
-    return X.entity_search(_m(spark, sf), _SEARCH_Q)
+    return _search(spark, sf, _SEARCH_Q)
+
+
+@query("M15_search_orders", _search_sql("100", ("order",)))
+def m15_orders(spark, sf):
+    return _search(spark, sf, "100", ("order",))
+
+
+@query("M15_search_sellers", _search_sql("1", ("seller",)))
+def m15_sellers(spark, sf):
+    return _search(spark, sf, "1", ("seller",))
+
+
+@query("M15_search_products", _search_sql("142", ("product", "category")))
+def m15_products(spark, sf):
+    return _search(spark, sf, "142", ("product", "category"))
+
+
+@query("M15_search_categories", _search_sql("brand_2"))
+def m15_categories(spark, sf):
+    return _search(spark, sf, " Brand_2 ")
 
 
 _F_START, _F_END = "1996-01-01", "1999-12-31"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbitcart.operators import basket, churn, clv, density
 from orbitcart.operators import recommend as reco
+from orbitcart.operators import search
 from orbitcart.operators import segment as seg
 from orbitcart.plans.pipeline import Retail, retail
 from orbitcart.session import written_table
@@ -98,6 +99,16 @@ class Jobs:
         return self._cut(hyb.select(*cols).unionByName(cold.select(*cols)))
 
 
+    # ---- M15: search
+    @cached_property
+    def entities(self) -> DataFrame:
+        return written_table(search.entities(self.r.master, self.r.feature_store), "entities")
+
+    @cached_property
+    def gram_index(self) -> DataFrame:
+        return written_table(search.gram_index(self.entities), "gram-index")
+
+
     # ---- H: segmentation
     @cached_property
     def seg_prepared(self):
