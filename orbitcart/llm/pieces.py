@@ -42,3 +42,49 @@ class PieceCache(dict):
         if None in found:
             return self.encode(text)
         return self.encode(head) + b"".join(found)
+
+
+#: Bytes that one of the two generations of a task's cache may take.
+CACHE_BYTES = 40 << 20
+#: Bytes of an entry beyond its texts: two object headers and its place in the table.
+ENTRY_BYTES = 200
+
+
+class Generations:
+    """A cache of text -> ids bounded in bytes: at half its bound the older half is dropped, so that
+    texts met often, which move to the younger half, stay."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        self.limit, self.used = limit, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.young or key in self.old
+
+    def __getitem__(self, key: str) -> bytes:
+        ids = self.young.get(key)
+        if ids is None:
+            ids = self.old[key]
+            self.put(key, ids)
+        return ids
+
+    def put(self, key: str, ids: bytes) -> None:
+        self.young[key] = ids
+        self.used += ENTRY_BYTES + len(key) + len(ids)
+
+    def shrink(self) -> None:
+        """Called between batches: entries found in a batch stay until its end."""
+        if self.used > self.limit:
+            self.old, self.young, self.used = self.young, {}, 0
+
+
+def cut_pieces(text: str) -> list[str] | None:
+    """``text`` cut before each single space or line break; None where white space meets a cut."""
+    head, *rest = text.replace("\n", " \n").split(" ")
+    if not head or head[-1].isspace():
+        return None
+    for piece in rest:
+        if not piece or piece[-1].isspace():
+            return None
+    return [head] + [piece if piece[0] == "\n" else " " + piece for piece in rest]

@@ -50,8 +50,7 @@ def op5_minhash_oph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
