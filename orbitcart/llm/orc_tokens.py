@@ -23,46 +23,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitcart.llm.bpe import byte_symbols
 from orbitcart.llm.common import only, slices, text_or_empty
-from orbitcart.llm.pieces import STABLE, PieceCache
+from orbitcart.llm.pieces import Generations, cut_pieces
 
+#: New pieces that one call of the library encodes.
+PIECES_A_CALL = 4096
 _STORED = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
 class _Library:
-    """The tokenizers library on text pieces.
+    """The tokenizers library on the text pieces of a batch.
 
-    A space and letters are one pre-token, so such a piece goes straight to the library's
-    merge model, and a mark after it is a pre-token of its own; other pieces take all steps.
+    Each new piece is encoded once: new pieces are joined, encoded by one call and told apart
+    by the characters that their tokens start at. Texts that cannot be cut are encoded alone.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.tokenize, self.all_steps = tokenizer.model.tokenize, tokenizer.encode
-        self.symbol_of = dict(enumerate(byte_symbols()))
-        self.marks = {c: self.encode(c) for c in ".,;:!?"}
-        self.cache = PieceCache(self.piece, 500_000)
+        self.all_steps = Tokenizer.from_file(path).encode
 
     def encode(self, text: str) -> bytes:
         return np.array(self.all_steps(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, text: str) -> bytes:
-        if text[0] == " " and ord(max(text)) < STABLE:
-            if text[1:].isalpha():
-                found = self.tokenize(text.encode().decode("latin-1").translate(self.symbol_of))
-                return np.array([t.id for t in found], "<u4").tobytes()
-            if text[-1] in self.marks and text[1:-1].isalpha():
-                return self.cache[text[1:-1]] + self.marks[text[-1]]
-        return self.encode(text)
+    def joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; every piece begins with a space or a line break and ends without one."""
+        coded = self.all_steps("".join(pieces), add_special_tokens=False)
+        starts = np.array([start for start, _ in coded.offsets], np.int64)
+        first = np.cumsum([0, *map(len, pieces)])
+        cuts = (4 * np.searchsorted(starts, first)).tolist()
+        ids = np.array(coded.ids, "<u4").tobytes()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode_batch(self, texts: list[str], cache: Generations) -> list[bytes]:
+        plans = [cut_pieces(text) for text in texts]
+        new = [piece for piece in set().union(*[plan[1:] for plan in plans if plan]) if piece not in cache]
+        for at in range(0, len(new), PIECES_A_CALL):
+            some = new[at:at + PIECES_A_CALL]
+            for piece, ids in zip(some, self.joined(some)):
+                cache.put(piece, ids)
+        get = cache.__getitem__
+        out = [(self.encode(text) if text else b"") if plan is None else self.encode(plan[0]) + b"".join(map(get, plan[1:]))
+               for text, plan in zip(texts, plans)]
+        cache.shrink()
+        return out
 
 
 @lru_cache(maxsize=2)
-def _library_cache(path: str) -> PieceCache:
-    return _Library(path).cache
+def _library(path: str) -> _Library:
+    return _Library(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
@@ -75,9 +85,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, start = _library_cache(tokenizer), TaskContext.get().partitionId(), 0
+        library, cache, part, start = _library(tokenizer), Generations(), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            coded = [cache.ids_of(t) + end for t in batch.column("text").to_pylist()]
+            coded = [ids + end for ids in library.encode_batch(batch.column("text").to_pylist(), cache)]
             sizes = np.array([len(c) // 4 for c in coded], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(coded), np.int32))

@@ -1,4 +1,4 @@
-"""Text to token ids through a bounded per-worker cache of text pieces.
+"""Cutting texts into pieces that can be encoded alone, and a bounded cache of their ids.
 
 A byte-level BPE pre-tokenizer never joins a character that is not white space with the
 white space after it, so a text may be cut before each single space or line break and its
@@ -7,43 +7,8 @@ pieces encoded alone. Texts in which white space meets a cut are encoded whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-Encode = Callable[[str], bytes]
-
-#: Entries of a worker's cache; at this size it is emptied and filled anew.
-CACHE_ENTRIES = 300_000
 #: Code points below this have the same classes in every Unicode version in use.
 STABLE = 0x250
-
-
-class PieceCache(dict):
-    """piece -> ids as little-endian unsigned 32-bit integers; None where a cut is not allowed."""
-
-    def __init__(self, encode: Encode, entries: int = CACHE_ENTRIES):
-        super().__init__()
-        self.encode, self.entries = encode, entries
-
-    def __missing__(self, piece: str) -> bytes | None:
-        if not piece or piece[-1].isspace():
-            ids = None
-        else:
-            ids = self.encode(piece if piece[0] == "\n" else " " + piece)
-        self[piece] = ids
-        return ids
-
-    def ids_of(self, text: str) -> bytes:
-        if len(self) > self.entries:
-            self.clear()
-        head, *rest = text.replace("\n", " \n").split(" ")
-        if not head or head[-1].isspace():
-            return self.encode(text) if text else b""
-        found = list(map(self.__getitem__, rest))
-        if None in found:
-            return self.encode(text)
-        return self.encode(head) + b"".join(found)
-
-
 #: Bytes that one of the two generations of a task's cache may take.
 CACHE_BYTES = 40 << 20
 #: Bytes of an entry beyond its texts: two object headers and its place in the table.

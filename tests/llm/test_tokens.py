@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from orbitcart.llm import bpe, common, orc_tokens, queries
+from orbitcart.llm import bpe, common, orc_tokens, pieces, queries
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -27,13 +27,18 @@ def random_texts(n, seed=4):
 
 
 def test_encoders_equal_the_library(library):
-    coder, fast = bpe.coder(queries.tokenizer_path()), orc_tokens._library_cache(queries.tokenizer_path())
-    for text in ODD + random_texts(1500):
+    coder, fast = bpe.coder(queries.tokenizer_path()), orc_tokens._library(queries.tokenizer_path())
+    texts, limit = ODD + random_texts(1500), 2000  # a tight cache: its halves are dropped again and again
+    for size in (1, 400):
+        caches = pieces.Generations(limit), pieces.Generations(limit)
+        batches = [texts[at:at + size] for at in range(0, len(texts), size)]
+        assert [x for b in batches for x in coder.encode_batch(b, caches[0])] == [x for b in batches for x in fast.encode_batch(b, caches[1])]
+        assert all(c.used <= limit for c in caches)
+    for text, coded in zip(texts, coder.encode_batch(texts, pieces.Generations())):
         ids = library.encode(text, add_special_tokens=False).ids
-        coded = coder.cache.ids_of(text)
         assert np.frombuffer(coded, "<u4").tolist() == ids, repr(text)
         assert coder.decode(np.frombuffer(coded, "<u4")) == library.decode(ids, skip_special_tokens=False), repr(text)
-        assert fast.ids_of(text) == coded, repr(text)
+        assert fast.encode_batch([text], pieces.Generations()) == [coded], repr(text)
 
 
 def plain_merge(symbols, pairs):
@@ -57,6 +62,19 @@ def test_segment_tree_merges_like_the_definition():
         assert bpe.merge(symbols, pairs) == plain_merge(symbols, pairs)
 
 
+def test_matrix_of_trees_merges_like_the_definition():
+    rnd = random.Random(8)
+    for levels in (1, 2, 3, 5):
+        pairs, names = {}, list(range(4))
+        for rank in range(14):
+            names.append(100 + rank)
+            pairs.setdefault((rnd.choice(names), rnd.choice(names)), (rank, 100 + rank))
+        rows = [[rnd.randrange(4) for _ in range(rnd.randint(1, 2 ** levels + 1))] for _ in range(400)]
+        symbols = np.array([r + [0] * (2 ** levels + 1 - len(r)) for r in rows])
+        alive = bpe.merge_many(symbols, np.array([len(r) for r in rows]), bpe.PairTable(pairs))
+        assert [s[a].tolist() for s, a in zip(symbols, alive)] == [plain_merge(r, pairs) for r in rows]
+
+
 def test_invalid_utf8_is_replaced_as_the_library_does(library):
     coder = bpe.coder(queries.tokenizer_path())
     ids = library.encode("é日🙂", add_special_tokens=False).ids
@@ -67,7 +85,7 @@ def test_invalid_utf8_is_replaced_as_the_library_does(library):
 def test_bpe_query_on_awkward_rows(spark, awkward, library):
     rows = list(enumerate(ODD)) + [(None, "no id"), (3, "again"), (900, None)]
     path = queries.tokenizer_path()
-    got = bpe.digests(bpe.encode(awkward(rows), path), path).collect()
+    got = bpe.digests(awkward(rows), path).collect()
     expected = []
     for i, text in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
