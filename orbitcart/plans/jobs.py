@@ -6,16 +6,18 @@ checkpoint folder, so dependent queries read a short plan instead of refitting.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitcart.operators import basket, churn, clv, density
+from orbitcart.operators import basket, churn, clv, density, distinct
 from orbitcart.operators import recommend as reco
 from orbitcart.operators import search
 from orbitcart.operators import segment as seg
 from orbitcart.plans.pipeline import Retail, retail
-from orbitcart.session import written_table
+from orbitcart.session import scratch_table_path, written_table
+from orbitcart.sources import warehouse
 
 #: Features and radius of the density clusters that SQL can check.
 DENSITY_FEATURES, DENSITY_EPS = ("recency_days", "total_spending", "avg_order_value"), 0.25
@@ -109,6 +111,17 @@ class Jobs:
         return written_table(search.gram_index(self.entities), "gram-index")
 
 
+    # ---- M: stored tables for slices
+    @cached_property
+    def warehouse(self) -> str:
+        """Path of the master laid out in blocks with a zone map."""
+        return warehouse.write_clustered(self.r.master, scratch_table_path(self.r.spark, f"warehouse-{uuid.uuid4().hex}"))
+
+    @cached_property
+    def distinct_state(self) -> DataFrame:
+        return distinct.distinct_state(self.r.master, written_table)
+
+
     # ---- H: segmentation
     @cached_property
     def seg_prepared(self):

@@ -46,6 +46,7 @@ def _load_all() -> None:
     from orbitcart.plans import catalog_quality_drift  # noqa: F401
     from orbitcart.plans import catalog_segment  # noqa: F401
     from orbitcart.plans import catalog_stream_io  # noqa: F401
+    from orbitcart.plans import catalog_store  # noqa: F401
 
 
 def all_queries() -> dict[str, QueryFn]:
