@@ -9,9 +9,13 @@ make a run of RUN bytes or a whole text, or lie in RUN bytes that occur elsewher
 line that many texts share stays.
 
 Only digests and positions are shuffled for counting, combined before the shuffle; then the
-texts that lose chunks are read once more. For chunks of shorter runs the hashes of all
-RUN bytes around them are counted as well, so a passage whose ends lie inside chunks is seen
-whole. A passage is missed only where no whole chunk lies in it.
+texts that lose chunks are read once more. For chunks of shorter runs the RUN bytes around
+them are compared as well, so a passage whose ends lie inside chunks is seen whole. Each RUN
+bytes choose a part of themselves by their content alone, so many choose the same; the parts
+are counted first, and only RUN bytes whose part occurs twice are hashed and counted. A passage is missed only where no whole chunk lies in it. ``run_bytes=0``
+removes every repeated chunk, lone ones too.
+
+Chunks end where a character does, so what is left of a text is UTF-8 and nothing else goes.
 
 Defined cases: null and empty texts have no chunks; rows that repeat an id or a text are
 documents of their own, but of rows equal in id and text each loses what an earlier document
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitcart.llm.common import only, saved, slices, text_or_empty
+from orbitcart.llm.rolling import Rolling, window_minima
 
 #: Chunk bytes: at least, at most; the mask's four bits give 16 more on average.
 LEAST, MOST, MASK = 16, 512, 0b1111 << 15
@@ -50,18 +55,26 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: np.ndarray, least: int = LEAST, most: int = MOST) -> list[int]:
-    """End offsets of the chunks of a byte string."""
+    """End offsets of the chunks of a UTF-8 byte string; all lie between characters."""
     n, at, ends = len(data), 0, []
+    between = np.append((data & 0xC0) != 0x80, True)
     cuts = np.flatnonzero((gear_hashes(data) & np.uint32(MASK)) == 0) + 1 if n else np.empty(0, np.int64)
-    for cut in cuts.tolist():
+
+    def forced(at: int) -> int:
+        end = at + most
+        while not between[end]:
+            end -= 1
+        return end
+
+    for cut in cuts[between[cuts]].tolist():
         while cut - at > most:
-            at += most
+            at = forced(at)
             ends.append(at)
         if cut - at >= least:
             at = cut
             ends.append(at)
     while n - at > most:
-        at += most
+        at = forced(at)
         ends.append(at)
     if at < n:
         ends.append(n)
@@ -109,39 +122,118 @@ def passages(marks: list[dict], size: int, run_bytes: int = RUN) -> list[dict]:
     return [m for run in _runs(marks) if run[-1]["b"] - run[0]["a"] >= min(run_bytes, size) or any(m.get("common") for m in run) for m in run]
 
 
-def _short_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The digests of repeated chunks whose run is shorter than RUN."""
-    for batch in slices(batches):
-        short = [m for marks, size in zip(batch.column("marks").to_pylist(), batch.column("size").to_pylist())
-                 for run in _runs(marks) if run[-1]["b"] - run[0]["a"] < min(RUN, size) for m in run]
-        yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in short], pa.int64()) for c in ("high", "low")], names=["high", "low"])
+def _short_runs(run_bytes: int):
+    """The digests of repeated chunks whose run is shorter than ``run_bytes``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            short = [m for marks, size in zip(batch.column("marks").to_pylist(), batch.column("size").to_pylist())
+                     for chunk_run in _runs(marks) if chunk_run[-1]["b"] - chunk_run[0]["a"] < min(run_bytes, size) for m in chunk_run]
+            yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in short], pa.int64()) for c in ("high", "low")], names=["high", "low"])
 
+    return run
+
+
+_PLACED = "row long, at int, hash long"
+
+
+def _placed(batch: pa.RecordBatch, places: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), [len(x) for x in places])
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(places).astype(np.int32)),
+                                       pa.array(np.concatenate(hashes).view(np.int64))], names=["row", "at", "hash"])
+
+
+def window_parts(data: np.ndarray, marks: list[dict], run_bytes: int) -> tuple[np.ndarray, np.ndarray, int, Rolling]:
+    """Starts of the RUN bytes that hold a mark, the start of the part each chooses, and the part's length.
+
+    Of RUN bytes the leftmost smallest hash of a string names an anchor; the part is the anchor
+    with half of the remaining bytes, on the side that has them.
+    """
+    strings = 1 << (run_bytes * 2 // 3).bit_length() - 1
+    length, half = run_bytes - strings + 1, strings // 2
+    rolled = Rolling(data)
+    wanted = np.zeros(max(0, len(data) - run_bytes + 1), bool)
+    for m in marks:
+        wanted[max(0, m["b"] - run_bytes):m["a"] + 1] = True
+    starts = np.flatnonzero(wanted)
+    if not len(starts):
+        return starts, starts, length + half, rolled
+    anchor = window_minima(rolled.windows(length), strings)[starts]
+    return starts, np.where(anchor - starts >= half, anchor - half, anchor), length + half, rolled
+
+
+def _parts(run_bytes: int):
+    """The parts that RUN bytes around marked chunks choose, once each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            places, hashes = [], []
+            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
+                _, chosen, length, rolled = window_parts(np.frombuffer(text.encode(), np.uint8), marks, run_bytes)
+                places.append(np.unique(chosen))
+                hashes.append(rolled.windows(length)[places[-1]] if len(chosen) else np.empty(0, np.uint64))
+            yield _placed(batch, places, hashes)
+
+    return run
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash of each RUN bytes that hold one of the marked chunks, with the chunk's offset."""
-    for batch in slices(batches, 64):
-        row_keys, starts, hashes, places = [], [], [], []
-        for row, text, marks in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "marks"))):
-            data = text.encode()
-            for mark in marks:
-                for at in range(max(0, mark["b"] - RUN), min(mark["a"], len(data) - RUN) + 1):
-                    row_keys.append(row)
-                    starts.append(mark["a"])
-                    places.append(at)
-                    hashes.append(xxhash.xxh3_64_intdigest(data[at:at + RUN]) - (1 << 63))
-        yield pa.RecordBatch.from_arrays([pa.array(row_keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(places, pa.int32()),
-                                          pa.array(hashes, pa.int64())], names=["row", "a", "at", "hash"])
+
+def _windows(run_bytes: int):
+    """The RUN bytes around marked chunks whose part is one of ``alive``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            places, hashes = [], []
+            for text, marks, alive in zip(*(batch.column(c).to_pylist() for c in ("text", "marks", "alive"))):
+                data = text.encode()
+                starts, chosen, _, _ = window_parts(np.frombuffer(data, np.uint8), marks, run_bytes)
+                places.append(starts[np.isin(chosen, alive)])
+                hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(data[at:at + run_bytes]) for at in places[-1].tolist()), np.uint64, len(places[-1])))
+            yield _placed(batch, places, hashes)
+
+    return run
+
+
+def _covered(run_bytes: int):
+    """row, a of the marks that lie in RUN bytes starting at one of ``common``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows, starts = [], []
+            for row, marks, common in zip(*(batch.column(c).to_pylist() for c in ("row", "marks", "common"))):
+                common = np.sort(common)
+                a, b = (np.array([m[c] for m in marks]) for c in "ab")
+                inside = a[np.searchsorted(common, a, "right") > np.searchsorted(common, b - run_bytes)]
+                rows.extend([row] * len(inside))
+                starts.extend(inside.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int32())], names=["row", "a"])
+
+    return run
+
+
+def _twice(placed: DataFrame, name: str) -> DataFrame:
+    """row and the offsets, as a list, of what occurs at two places at least: in two texts, or at two offsets of one."""
+    place = F.struct("row", "at")
+    twice = placed.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("hash")
+    return placed.join(twice, "hash", "left_semi").groupBy("row").agg(F.collect_list("at").alias(name))  # no more than the text's bytes
 
 
-def _long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        found = [passages(m, size) for m, size in zip(batch.column("marks").to_pylist(), batch.column("size").to_pylist())]
-        gone = [[m for m in f if m["gone"]] for f in found]
-        spans = pa.array([[{"a": m["a"], "b": m["b"]} for m in g] for g in gone], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array([len(f) for f in found], pa.int64()), pa.array([len(g) for g in gone], pa.int64()),
-             pa.array([sum(m["b"] - m["a"] for m in g) for g in gone], pa.int64()), spans],
-            names=["row", "n_repeated", "n_removed", "removed_bytes", "spans"])
+def _common_chunks(texts: DataFrame, marks: DataFrame, run_bytes: int) -> DataFrame:
+    """row, a of the marked chunks (row, marks) that lie in ``run_bytes`` common bytes."""
+    marks = saved(marks, "short-marks")
+    around = texts.join(marks, "row")
+    parts = saved(around.mapInArrow(_parts(run_bytes), _PLACED), "chosen-parts")
+    windows = saved(around.join(_twice(parts, "alive"), "row").mapInArrow(_windows(run_bytes), _PLACED), "common-windows")
+    return marks.join(_twice(windows, "common"), "row").mapInArrow(_covered(run_bytes), "row long, a int")
+
+
+def _long_runs(run_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [passages(m, size, run_bytes) for m, size in zip(batch.column("marks").to_pylist(), batch.column("size").to_pylist())]
+            gone = [[m for m in f if m["gone"]] for f in found]
+            spans = pa.array([[{"a": m["a"], "b": m["b"]} for m in g] for g in gone], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array([len(f) for f in found], pa.int64()), pa.array([len(g) for g in gone], pa.int64()),
+                 pa.array([sum(m["b"] - m["a"] for m in g) for g in gone], pa.int64()), spans],
+                names=["row", "n_repeated", "n_removed", "removed_bytes", "spans"])
+
+    return run
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +244,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.ones(len(data), bool)
             for span in spans:
                 keep[span["a"]:span["b"]] = False
-            # a chunk may end inside a character; its remaining bytes go too
-            kept.append(data[keep].tobytes().decode("utf-8", "ignore"))
+            kept.append(data[keep].tobytes().decode())
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], names=["row", "kept_text"])
 
 
-def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN) -> DataFrame:
     """doc_id, n_bytes, n_repeated (chunks in repeated passages), n_removed, removed_bytes, kept_text."""
     rows = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
@@ -169,20 +260,20 @@ def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     marked = marked.groupBy("row", "a", "b").agg(F.first("size").alias("size"), F.first("high").alias("high"), F.first("low").alias("low"), F.first(~place.eqNullSafe(F.col("first"))).alias("gone"))
     marked = saved(marked, "chunk-marks")
     texts = rows.dropDuplicates(["row"]).select("row", "text")
-    marks = marked.groupBy("row").agg(  # no more than the text's chunks
-        F.first("size").alias("size"), F.collect_list(F.struct("a", "b", "high", "low")).alias("marks"))
-    short = saved(marks.mapInArrow(_short_runs, "high long, low long").distinct(), "short-runs")
-    # all their occurrences, as one of them may lie in a longer run elsewhere
-    marks = marked.join(short, ["high", "low"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    around = saved(texts.join(marks, "row").mapInArrow(_surroundings, "row long, a int, at int, hash long"), "run-surroundings")
-    # at two places at least: two texts, or two offsets of one
-    place = F.struct("row", "at")
-    twice = around.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("hash")
-    common = around.join(twice, "hash", "left_semi").select("row", "a").distinct().withColumn("common", F.lit(True))
-    marks = marked.join(common, ["row", "a"], "left").groupBy("row").agg(
+    if run_bytes:
+        marks = marked.groupBy("row").agg(  # no more than the text's chunks
+            F.first("size").alias("size"), F.collect_list(F.struct("a", "b", "high", "low")).alias("marks"))
+        short = saved(marks.mapInArrow(_short_runs(run_bytes), "high long, low long").distinct(), "short-runs")
+        # all their occurrences, as one of them may lie in a longer run elsewhere
+        marks = marked.join(short, ["high", "low"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+        common = _common_chunks(texts, marks, run_bytes).withColumn("common", F.lit(True))
+        marked = marked.join(common, ["row", "a"], "left")
+    else:
+        marked = marked.withColumn("common", F.lit(True))
+    marks = marked.groupBy("row").agg(
         F.first("size").alias("size"), F.collect_list(F.struct("a", "b", "gone", F.coalesce("common", F.lit(False)).alias("common"))).alias("marks"))
     per_row = saved(marks.mapInArrow(
-        _long_runs, "row long, n_repeated long, n_removed long, removed_bytes long, spans array<struct<a:int,b:int>>"), "chunk-spans")
+        _long_runs(run_bytes), "row long, n_repeated long, n_removed long, removed_bytes long, spans array<struct<a:int,b:int>>"), "chunk-spans")
     cut = saved(texts.join(per_row.filter("n_removed > 0").select("row", "spans"), "row")
                 .mapInArrow(_cut_out, "row long, kept_text string"), "cut-texts")
     changes = per_row.drop("spans").join(cut, "row", "left")

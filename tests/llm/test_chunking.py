@@ -6,16 +6,25 @@ from orbitcart.llm import chunking
 def plain_ends(data, least=chunking.LEAST, most=chunking.MOST):
     """Byte by byte, as the definition says."""
     h, at, ends = 0, 0, []
+
+    def inside(i):
+        return i < len(data) and 0x80 <= data[i] < 0xC0
+
+    def forced(at):
+        return max(i for i in range(at + most - 3, at + most + 1) if not inside(i))
+
     for i, byte in enumerate(data, 1):
         h = ((h << 1) + int(chunking._GEAR[byte])) & 0xFFFFFFFF
-        if i - at > most:
-            at += most
+        if h & chunking.MASK or inside(i):
+            continue
+        while i - at > most:
+            at = forced(at)
             ends.append(at)
-        if h & chunking.MASK == 0 and i - at >= least:
+        if i - at >= least:
             at = i
             ends.append(at)
     while len(data) - at > most:
-        at += most
+        at = forced(at)
         ends.append(at)
     return ends + [len(data)] * (at < len(data))
 
@@ -27,7 +36,7 @@ def random_text(n, seed, words=400):
 
 
 def test_ends_equal_the_sequential_definition():
-    for text in (random_text(900, 1), "a" * 5000, "", "x", "ab" * 900):
+    for text in (random_text(900, 1), "a" * 5000, "", "x", "ab" * 900, "é" * 3000, "🙂é日" * 500):
         data = text.encode()
         assert chunking.chunk_ends(np.frombuffer(data, np.uint8)) == plain_ends(data)
 
@@ -40,7 +49,7 @@ def test_insertion_moves_only_near_ends():
     assert len(after - set(b)) == 0 and {x for x in a if x <= 3000} <= set(b)
 
 
-def brute(rows):
+def brute(rows, run_bytes=chunking.RUN):
     placed, runs_of = {}, {}
     for doc_id, text in rows:
         data, at = (text or "").encode(), 0
@@ -55,13 +64,13 @@ def brute(rows):
             if len(where) > 1:
                 marks.append({"a": at, "b": end, "gone": (doc_id, at) != min(where)})
             at = end
-        found = chunking.passages(marks, len(data))
+        found = chunking.passages(marks, len(data), run_bytes)
         gone = [m for m in found if m["gone"]]
         keep = bytearray()
         for i, byte in enumerate(data):
             if not any(m["a"] <= i < m["b"] for m in gone):
                 keep.append(byte)
-        out[doc_id] = (len(data), len(found), len(gone), sum(m["b"] - m["a"] for m in gone), keep.decode("utf-8", "ignore"))
+        out[doc_id] = (len(data), len(found), len(gone), sum(m["b"] - m["a"] for m in gone), keep.decode())
     return out
 
 
@@ -76,6 +85,40 @@ def test_matches_brute_force(spark, awkward):
     assert got[41][4] == "" and got[0][4] == rows[0][1] and got[46][4] == ""
 
 
+def test_every_repeated_chunk_goes_without_a_least_run(awkward):
+    line = random_text(20, 4)
+    rows = [(i, random_text(80, 110 + i) + " " + line + " " + random_text(80, 130 + i)) for i in range(12)] + [(20, "é" * 2000), (21, "x" + "é" * 2000)]
+    got = {r.doc_id: tuple(r)[1:] for r in chunking.dedup_chunks(awkward(rows), run_bytes=0).collect()}
+    assert got == brute(rows, 0)
+    assert sum(v[2] > 0 for v in got.values()) > 6
+
+
+def test_common_bytes_are_found_as_by_comparing_all(spark):
+    """Each chunk lies in RUN common bytes just where such bytes around it occur at another place."""
+    rnd = np.random.default_rng(11)
+    words = [random_text(1, 200 + i) + "xyz" for i in range(40)]
+    texts = [" ".join(rnd.choice(words, 25)) for _ in range(60)]
+    texts += [" ".join(rnd.choice(words, 8)) + texts[i][k:k + 90 + i] + " ".join(rnd.choice(words, 8)) for i, k in enumerate(rnd.integers(0, 40, 20))]
+    run, marks = chunking.RUN, []
+    for row, text in enumerate(texts):
+        data, starts = text.encode(), [0, *chunking.chunk_ends(np.frombuffer(text.encode(), np.uint8))]
+        marks += [(row, a, b, data) for a, b in zip(starts, starts[1:])]
+    held, expected = {}, set()
+    for row, a, b, data in marks:
+        for at in range(max(0, b - run), min(a, len(data) - run) + 1):
+            held.setdefault(data[at:at + run], set()).add((row, at))
+    for row, a, b, data in marks:
+        if any(len(held[data[at:at + run]]) > 1 for at in range(max(0, b - run), min(a, len(data) - run) + 1)):
+            expected.add((row, a))
+    lists = {}
+    for row, a, b, _ in marks:
+        lists.setdefault(row, []).append((a, b))
+    frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    given = spark.createDataFrame(list(lists.items()), "row long, marks array<struct<a:int,b:int>>")
+    got = {tuple(r) for r in chunking._common_chunks(frame, given, run).collect()}
+    assert got == expected and 0 < len(got) < len(marks)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(awkward):
     text = random_text(200, 5)
     rows = chunking.dedup_chunks(awkward([(None, text), (1, text), (1, text), (None, None)])).collect()
