@@ -12,7 +12,8 @@ Only digests and positions are shuffled for counting, combined before the shuffl
 texts that lose chunks are read once more. For chunks of shorter runs the RUN bytes around
 them are compared as well, so a passage whose ends lie inside chunks is seen whole. Each RUN
 bytes choose a part of themselves by their content alone, so many choose the same; the parts
-are counted first, and only RUN bytes whose part occurs twice are hashed and counted. A passage is missed only where no whole chunk lies in it. ``run_bytes=0``
+are counted first, and only RUN bytes whose part occurs twice, and around a chunk of a short
+run once at least, are hashed and counted. A passage is missed only where no whole chunk lies in it. ``run_bytes=0``
 removes every repeated chunk, lone ones too.
 
 Chunks end where a character does, so what is left of a text is UTF-8 and nothing else goes.
@@ -123,27 +124,38 @@ def passages(marks: list[dict], size: int, run_bytes: int = RUN) -> list[dict]:
 
 
 def _short_runs(run_bytes: int):
-    """The digests of repeated chunks whose run is shorter than ``run_bytes``."""
+    """The repeated chunks whose run is shorter than ``run_bytes``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            short = [m for marks, size in zip(batch.column("marks").to_pylist(), batch.column("size").to_pylist())
+            short = [(row, m["a"], m["high"], m["low"]) for row, marks, size in zip(*(batch.column(c).to_pylist() for c in ("row", "marks", "size")))
                      for chunk_run in _runs(marks) if chunk_run[-1]["b"] - chunk_run[0]["a"] < min(run_bytes, size) for m in chunk_run]
-            yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in short], pa.int64()) for c in ("high", "low")], names=["high", "low"])
+            kinds = {"row": pa.int64(), "a": pa.int32(), "high": pa.int64(), "low": pa.int64()}
+            columns = zip(*short) if short else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds.values())], names=list(kinds))
 
     return run
 
 
-_PLACED = "row long, at int, hash long"
+_PLACED = "row long, at int, hash long, asks boolean"
 
 
-def _placed(batch: pa.RecordBatch, places: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
+def _placed(batch: pa.RecordBatch, places: list[np.ndarray], hashes: list[np.ndarray], asks: list[np.ndarray]) -> pa.RecordBatch:
     rows = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), [len(x) for x in places])
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(places).astype(np.int32)),
-                                       pa.array(np.concatenate(hashes).view(np.int64))], names=["row", "at", "hash"])
+                                       pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(asks))],
+                                      names=["row", "at", "hash", "asks"])
+
+
+def holding(marks: list[dict], size: int, run_bytes: int) -> np.ndarray:
+    """Which starts of RUN bytes in a text of ``size`` bytes hold one of the marks."""
+    held = np.zeros(max(0, size - run_bytes + 1), bool)
+    for m in marks:
+        held[max(0, m["b"] - run_bytes):m["a"] + 1] = True
+    return held
 
 
 def window_parts(data: np.ndarray, marks: list[dict], run_bytes: int) -> tuple[np.ndarray, np.ndarray, int, Rolling]:
-    """Starts of the RUN bytes that hold a mark, the start of the part each chooses, and the part's length.
+    """Starts of the RUN bytes that hold a mark, the start of the part each chooses, the part's length and the hashes.
 
     Of RUN bytes the leftmost smallest hash of a string names an anchor; the part is the anchor
     with half of the remaining bytes, on the side that has them.
@@ -151,10 +163,7 @@ def window_parts(data: np.ndarray, marks: list[dict], run_bytes: int) -> tuple[n
     strings = 1 << (run_bytes * 2 // 3).bit_length() - 1
     length, half = run_bytes - strings + 1, strings // 2
     rolled = Rolling(data)
-    wanted = np.zeros(max(0, len(data) - run_bytes + 1), bool)
-    for m in marks:
-        wanted[max(0, m["b"] - run_bytes):m["a"] + 1] = True
-    starts = np.flatnonzero(wanted)
+    starts = np.flatnonzero(holding(marks, len(data), run_bytes))
     if not len(starts):
         return starts, starts, length + half, rolled
     anchor = window_minima(rolled.windows(length), strings)[starts]
@@ -165,12 +174,15 @@ def _parts(run_bytes: int):
     """The parts that RUN bytes around marked chunks choose, once each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            places, hashes = [], []
+            places, hashes, asks = [], [], []
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
-                _, chosen, length, rolled = window_parts(np.frombuffer(text.encode(), np.uint8), marks, run_bytes)
+                data = np.frombuffer(text.encode(), np.uint8)
+                starts, chosen, length, rolled = window_parts(data, marks, run_bytes)
+                asking = holding([m for m in marks if m["asks"]], len(data), run_bytes)[starts]
                 places.append(np.unique(chosen))
                 hashes.append(rolled.windows(length)[places[-1]] if len(chosen) else np.empty(0, np.uint64))
-            yield _placed(batch, places, hashes)
+                asks.append(np.isin(places[-1], chosen[asking]))
+            yield _placed(batch, places, hashes, asks)
 
     return run
 
@@ -179,13 +191,14 @@ def _windows(run_bytes: int):
     """The RUN bytes around marked chunks whose part is one of ``alive``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            places, hashes = [], []
+            places, hashes, asks = [], [], []
             for text, marks, alive in zip(*(batch.column(c).to_pylist() for c in ("text", "marks", "alive"))):
                 data = text.encode()
                 starts, chosen, _, _ = window_parts(np.frombuffer(data, np.uint8), marks, run_bytes)
                 places.append(starts[np.isin(chosen, alive)])
+                asks.append(holding([m for m in marks if m["asks"]], len(data), run_bytes)[places[-1]])
                 hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(data[at:at + run_bytes]) for at in places[-1].tolist()), np.uint64, len(places[-1])))
-            yield _placed(batch, places, hashes)
+            yield _placed(batch, places, hashes, asks)
 
     return run
 
@@ -207,19 +220,23 @@ def _covered(run_bytes: int):
 
 
 def _twice(placed: DataFrame, name: str) -> DataFrame:
-    """row and the offsets, as a list, of what occurs at two places at least: in two texts, or at two offsets of one."""
+    """row and the offsets, as a list, of what some place asks for and occurs at two places at
+    least: in two texts, or at two offsets of one."""
     place = F.struct("row", "at")
-    twice = placed.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("hash")
+    twice = placed.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("asks").alias("asked"))
+    twice = twice.filter("asked AND low <> high").select("hash")
     return placed.join(twice, "hash", "left_semi").groupBy("row").agg(F.collect_list("at").alias(name))  # no more than the text's bytes
 
 
 def _common_chunks(texts: DataFrame, marks: DataFrame, run_bytes: int) -> DataFrame:
-    """row, a of the marked chunks (row, marks) that lie in ``run_bytes`` common bytes."""
+    """row, a of the asking chunks (row, marks: a, b, asks) that lie in ``run_bytes`` bytes that
+    another place around a marked chunk holds too."""
     marks = saved(marks, "short-marks")
     around = texts.join(marks, "row")
     parts = saved(around.mapInArrow(_parts(run_bytes), _PLACED), "chosen-parts")
     windows = saved(around.join(_twice(parts, "alive"), "row").mapInArrow(_windows(run_bytes), _PLACED), "common-windows")
-    return marks.join(_twice(windows, "common"), "row").mapInArrow(_covered(run_bytes), "row long, a int")
+    asking = marks.select("row", F.filter("marks", lambda m: m["asks"]).alias("marks")).filter("size(marks) > 0")
+    return asking.join(_twice(windows, "common"), "row").mapInArrow(_covered(run_bytes), "row long, a int")
 
 
 def _long_runs(run_bytes: int):
@@ -263,9 +280,13 @@ def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if run_bytes:
         marks = marked.groupBy("row").agg(  # no more than the text's chunks
             F.first("size").alias("size"), F.collect_list(F.struct("a", "b", "high", "low")).alias("marks"))
-        short = saved(marks.mapInArrow(_short_runs(run_bytes), "high long, low long").distinct(), "short-runs")
-        # all their occurrences, as one of them may lie in a longer run elsewhere
-        marks = marked.join(short, ["high", "low"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+        short = saved(marks.mapInArrow(_short_runs(run_bytes), "row long, a int, high long, low long"), "short-runs")
+        # all their occurrences, as one of them may lie in a longer run elsewhere; of equal texts one
+        # is enough, as all their chunks are in runs that are long enough
+        one = rows.groupBy(F.xxhash64("text").alias("t"), F.octet_length("text").alias("n")).agg(F.min("row").alias("row")).select("row")
+        marks = marked.join(short.select("high", "low").distinct(), ["high", "low"], "left_semi").join(one, "row", "left_semi")
+        marks = marks.join(short.select("row", "a", F.lit(True).alias("asks")), ["row", "a"], "left")
+        marks = marks.groupBy("row").agg(F.collect_list(F.struct("a", "b", F.coalesce("asks", F.lit(False)).alias("asks"))).alias("marks"))
         common = _common_chunks(texts, marks, run_bytes).withColumn("common", F.lit(True))
         marked = marked.join(common, ["row", "a"], "left")
     else:

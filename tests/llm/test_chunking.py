@@ -110,13 +110,14 @@ def test_common_bytes_are_found_as_by_comparing_all(spark):
     for row, a, b, data in marks:
         if any(len(held[data[at:at + run]]) > 1 for at in range(max(0, b - run), min(a, len(data) - run) + 1)):
             expected.add((row, a))
+    expected = {x for x in expected if x[0] % 3}
     lists = {}
     for row, a, b, _ in marks:
-        lists.setdefault(row, []).append((a, b))
+        lists.setdefault(row, []).append((a, b, row % 3 > 0))
     frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    given = spark.createDataFrame(list(lists.items()), "row long, marks array<struct<a:int,b:int>>")
+    given = spark.createDataFrame(list(lists.items()), "row long, marks array<struct<a:int,b:int,asks:boolean>>")
     got = {tuple(r) for r in chunking._common_chunks(frame, given, run).collect()}
-    assert got == expected and 0 < len(got) < len(marks)
+    assert got == expected and 0 < len(got) < len(marks) / 2
 
 
 def test_repeated_rows_null_ids_and_empty_tables(awkward):
