@@ -149,9 +149,10 @@ def churn_probability(model: PipelineModel, df: DataFrame, out: str = "churn_pro
 
 def rule_probability(df: DataFrame, method: str = "recency", out: str = "churn_probability") -> DataFrame:
     """I8 fallback probability: clip(recency / 180, .05, .95); ``method='label'`` gives the
-    dashboard fallback .75 * label + .10."""
+    dashboard fallback .75 * label + .10, and .25 without a label (column or value)."""
     if method == "label":
-        p = F.col(LABEL).cast("double") * 0.75 + 0.10
+        label = F.col(LABEL) if LABEL in df.columns else F.lit(None)
+        p = F.coalesce(label.cast("double") * 0.75 + 0.10, F.lit(0.25))
     else:
         p = F.least(F.greatest(F.col("recency_days") / 180.0, F.lit(0.05)), F.lit(0.95))
     return df.withColumn(out, p)

@@ -279,6 +279,32 @@ def growth_candidates(df: DataFrame, clv: str = "historical_clv") -> DataFrame:
     return wide.select(st.alias("s")).select("s.*")
 
 
+#: J18 the least growth and the least drop of spend from one period to the next that count.
+GROWING, DECLINING = 1.30, 0.75
+
+
+def spend_of_periods(master: DataFrame, days: int = 30) -> DataFrame:
+    """Per customer: spend of the last ``days`` days of the data and of those before."""
+    ts = F.unix_micros(F.col("order_purchase_timestamp").cast("timestamp"))
+    end = master.agg(F.max(ts).alias("e")).scalar()
+    back = F.floor((end - ts) / F.lit(days * 86_400_000_000))
+    near = master.withColumn("period", back).where(F.col("period").isin(0, 1))
+    return near.groupBy(KEY).agg(F.coalesce(money_sum(F.when(F.col("period") == 0, F.col("price"))), F.lit(0.0)).alias("spend_last"),
+                                 F.coalesce(money_sum(F.when(F.col("period") == 1, F.col("price"))), F.lit(0.0)).alias("spend_before"))
+
+
+def spend_movers(df: DataFrame, master: DataFrame, days: int = 30, clv: str = "historical_clv") -> DataFrame:
+    """J18 the two groups by movement of spend: Silver accounts that grow, and all that decline (they
+    spent before). Customers without a sale in either period are in none."""
+    moved = df.select(KEY, clv).join(spend_of_periods(master, days).where("spend_before > 0"), KEY)
+    groups = [("Growing: Silver with spend up 30%", (fixed_tier(F.col(clv)) == "Silver") & (F.col("spend_last") >= F.col("spend_before") * GROWING)),
+              ("Declining: spend down 25%", F.col("spend_last") <= F.col("spend_before") * DECLINING)]
+    wide = moved.agg(*[a for i, (_, c) in enumerate(groups) for a in (F.count_if(c).alias(f"n{i}"), F.sum(F.when(c, F.col(clv))).alias(f"v{i}"))])
+    rows = F.explode(F.array(*[F.struct(F.lit(g).alias("opportunity_group"), F.col(f"n{i}").alias("candidate_count"),
+                                        F.coalesce(F.col(f"v{i}"), F.lit(0.0)).alias("total_clv")) for i, (g, _) in enumerate(groups)]))
+    return wide.select(rows.alias("s")).select("s.*")
+
+
 def search_clv_profile(df: DataFrame, q: str, clv: str = "historical_clv") -> DataFrame:
     """J19 customers whose id contains ``q``; if none, segments/tiers whose name contains it
     with customer count, total and mean CLV."""

@@ -425,6 +425,15 @@ def filter_options(master: DataFrame, fs: DataFrame | None = None) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull()).distinct()
 
 
+def united_options(master: DataFrame, fs: DataFrame | None = None) -> DataFrame:
+    """S2 distinct (dimension, value): states of customers and sellers as one list, and segments of all schemes as one."""
+    lists = {"state": [(master, c) for c in ("customer_state", "seller_state")],
+             "segment": [(t, c) for t in (master, fs) if t is not None for c in ("rfm_segment", "spending_tier", "clv_value_tier")]}
+    parts = [t.select(F.lit(name).alias("dimension"), F.col(c).cast("string").alias("value")).distinct()
+             for name, sources in lists.items() for t, c in sources if c in t.columns]
+    return functools.reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull()).distinct()
+
+
 def date_bounds(master: DataFrame) -> DataFrame:
     return master.agg(F.min(TS).alias("min_date"), F.max(TS).alias("max_date"))
 

@@ -436,6 +436,29 @@ def j18(spark, sf):
     return rounded(J.growth_candidates(retail(spark, sf).feature_store), {"total_clv": 4})
 
 
+@query("J18_spend_movers", with_base(f"""
+, e AS (SELECT epoch_us(max(order_purchase_timestamp)) AS e FROM master),
+p AS (SELECT customer_unique_id, floor((e - epoch_us(order_purchase_timestamp)) / 15552000000000.0) AS period, price FROM master, e),
+sp AS (SELECT customer_unique_id, coalesce({MSUM('CASE WHEN period = 0 THEN price END')}, 0.0) AS l,
+              coalesce({MSUM('CASE WHEN period = 1 THEN price END')}, 0.0) AS b FROM p WHERE period IN (0, 1) GROUP BY 1),
+t AS (SELECT fs.historical_clv, {_FIXED} AS tier, l, b FROM fs JOIN sp USING (customer_unique_id) WHERE b > 0)
+SELECT 'Growing: Silver with spend up 30%' AS opportunity_group, count(*) AS candidate_count,
+       {R('coalesce(sum(historical_clv), 0.0)', 4)} AS total_clv FROM t WHERE tier = 'Silver' AND l >= b * 1.30
+UNION ALL SELECT 'Declining: spend down 25%', count(*), {R('coalesce(sum(historical_clv), 0.0)', 4)} FROM t WHERE l <= b * 0.75"""))
+def j18_movers(spark, sf):
+    """Over half-years, as customers of the test tables buy seldom."""
+    r = retail(spark, sf)
+    return rounded(J.spend_movers(r.feature_store, r.master, 180), {"total_clv": 4})
+
+
+@query("I8_label_probability", with_base(f"""
+SELECT customer_unique_id, {R('coalesce(churn_label * 0.75 + 0.10, 0.25)', 6)} AS churn_probability,
+       CASE WHEN coalesce(churn_label, -1) = 1 THEN 'Critical' WHEN churn_label = 0 THEN 'Very Low' ELSE 'Low' END AS risk_level FROM fs"""))
+def i8_label(spark, sf):
+    s = I.with_risk(I.rule_probability(retail(spark, sf).feature_store, "label"))
+    return rounded(s.select("customer_unique_id", "churn_probability", "risk_level"), {"churn_probability": 6})
+
+
 @query("J19_clv_profile_search", with_base(f"""
 SELECT 'segment' AS match_type, seg AS match_key, count(*) AS customers, {R('sum(historical_clv)', 4)} AS total_clv,
        {R('avg(historical_clv)', 6)} AS avg_clv

@@ -345,6 +345,16 @@ def m18_filter_options(spark, sf):
     return X.filter_options(r.master, r.feature_store)
 
 
+@query("S2_united_options", with_base("""
+SELECT 'state' AS dimension, CAST(customer_state AS VARCHAR) AS value FROM master WHERE customer_state IS NOT NULL
+UNION SELECT 'state', CAST(seller_state AS VARCHAR) FROM master WHERE seller_state IS NOT NULL
+UNION SELECT 'segment', CAST(rfm_segment AS VARCHAR) FROM fs WHERE rfm_segment IS NOT NULL
+UNION SELECT 'segment', CAST(spending_tier AS VARCHAR) FROM fs WHERE spending_tier IS NOT NULL"""))
+def s2_united(spark, sf):
+    r = retail(spark, sf)
+    return X.united_options(r.master, r.feature_store)
+
+
 @query("M18_date_bounds", with_base("""
 SELECT min(order_purchase_timestamp) AS min_date, max(order_purchase_timestamp) AS max_date FROM master"""))
 def m18_date_bounds(spark, sf):

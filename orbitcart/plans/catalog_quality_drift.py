@@ -64,14 +64,6 @@ query("B6_table_stats_order_items", _fix_dup(_stats_sql(
     lambda spark, sf: B.table_stats("order_items", _raw(spark, sf)["order_items"]))
 
 
-@query("B3_missing_by_column")
-def b3(spark, sf):
-    raw = _raw(spark, sf)
-    import functools
-    from pyspark.sql import DataFrame
-    return functools.reduce(DataFrame.unionByName, [B.missing_by_column(n, df) for n, df in raw.items()])
-
-
 _RAW_MORE = f"""
 , raw_products AS (SELECT p_partkey AS product_id, p_brand AS product_category_name,
                           CAST(length(p_name) AS INTEGER) AS product_name_lenght,
@@ -104,6 +96,20 @@ def _summary_cte() -> str:
     return ",\nsumm AS (" + "\nUNION ALL ".join(parts) + ")"
 
 
+def _missing_sql() -> str:
+    parts = [f"SELECT '{name}' AS table_name, '{c}' AS column_name, count(*) AS null_cells FROM {tbl} WHERE {c} IS NULL"
+             for name, (tbl, cols) in _TABLE_COLS.items() for c in cols]
+    return with_base(f"{_RAW}{_RAW_MORE}\nSELECT * FROM (" + "\nUNION ALL ".join(parts) + ") WHERE null_cells > 0")
+
+
+@query("B3_missing_by_column", _missing_sql())
+def b3(spark, sf):
+    raw = _raw(spark, sf)
+    import functools
+    from pyspark.sql import DataFrame
+    return functools.reduce(DataFrame.unionByName, [B.missing_by_column(n, df) for n, df in raw.items()])
+
+
 _B7_SQL = with_base(f"""{_RAW}{_RAW_MORE}{_summary_cte()}
 SELECT *, {R('CASE WHEN total_rows > 0 THEN duplicate_rows * 100.0 / total_rows ELSE 0.0 END', 2)} AS duplicate_rate_pct,
        {R('CASE WHEN total_rows * total_columns > 0 THEN missing_cells * 100.0 / (total_rows * total_columns) ELSE 0.0 END', 2)}

@@ -180,10 +180,8 @@ def a6(spark, sf):
                                            F.round(F.sum("price"), 2).alias("revenue"))
 
 
-@query("A13_audit_log_parse", with_base(f"""{_SCORED}
-SELECT count(*) AS entries, min(last_purchase_date) AS oldest, max(last_purchase_date) AS newest
-FROM scr WHERE risk_level IN ('High', 'Critical')"""))
-def a13(spark, sf):
+def _audit_log(spark, sf) -> str:
+    """The risk flags written as audit lines."""
     scored = jobs(spark, sf).scored.where(F.col("risk_level").isin("High", "Critical"))
     line = F.format_string("[%s] [AUDIT] Model='%s' Version='%s' Entity='%s' Action='%s' Details='%s'",
                            F.date_format("last_purchase_date", "yyyy-MM-dd HH:mm:ss"), F.lit("churn_model"),
@@ -191,7 +189,22 @@ def a13(spark, sf):
                            F.col("risk_level"))
     logs = S.scratch(spark, "a13_logs")
     scored.select(line.alias("value")).write.mode("overwrite").text(logs)
-    parsed = io.audit_lines(spark.read.text(logs))
+    return logs
+
+
+@query("A13_latest_audit_entries", with_base(f"""{_SCORED}
+SELECT last_purchase_date AS ts, 'churn_model' AS model, 'v1' AS version, CAST(customer_unique_id AS VARCHAR) AS entity,
+       'risk_flag' AS action, risk_level AS details
+FROM scr WHERE risk_level IN ('High', 'Critical') ORDER BY ts DESC, entity LIMIT 50"""))
+def a13_latest(spark, sf):
+    return io.parse_audit_log(spark, _audit_log(spark, sf), 50).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("A13_audit_log_parse", with_base(f"""{_SCORED}
+SELECT count(*) AS entries, min(last_purchase_date) AS oldest, max(last_purchase_date) AS newest
+FROM scr WHERE risk_level IN ('High', 'Critical')"""))
+def a13(spark, sf):
+    parsed = io.audit_lines(spark.read.text(_audit_log(spark, sf)))
     return parsed.agg(F.count(F.lit(1)).alias("entries"), F.min("ts").cast("timestamp_ntz").alias("oldest"),
                       F.max("ts").cast("timestamp_ntz").alias("newest"))
 

@@ -163,6 +163,6 @@ def audit_lines(df_text: DataFrame) -> DataFrame:
 
 
 def parse_audit_log(spark: SparkSession, path: str, top_n: int | None = None) -> DataFrame:
-    """A13 audit log text -> columns, newest first; ``top_n`` gives only so many entries."""
-    parsed = audit_lines(spark.read.text(path)).orderBy(F.desc("ts"))
+    """A13 audit log text -> columns, newest first (ties by the other columns); ``top_n`` gives only so many entries."""
+    parsed = audit_lines(spark.read.text(path)).orderBy(F.desc("ts"), "entity", "model", "version", "action", "details")
     return parsed.limit(top_n) if top_n is not None else parsed
