@@ -45,28 +45,50 @@ _TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 UNIFORM_LEVEL, WORD_RATE, DISCOVERY_LEVEL = 0.001, 0.05, 0.01
 _BINS, _MOST_BITS = 8, 1000
 
-_SPAN = "struct<start:int,kind:int,end:int>"
+#: Matches of a text that are handled together: appending to a list copies it, so lists are built in
+#: blocks of this size and joined once.
+BLOCK = 256
 
+_SPAN = "struct<start:int,kind:int,end:int,match:string>"
+_BARE = "struct<start:int,kind:int,end:int>"
 
-def spans(text: Column, pattern: str, kind: str, value_group: int = 0, shortest: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches; those whose group is too short are dropped."""
+
+def _blocks(values: Column) -> Column:
+    """A filled array as an array of arrays of BLOCK values."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def matches(text: Column, pattern: str, kind: str, value_group: int = 0, shortest: int = 0) -> Column:
+    """Spans and texts of the leftmost non-overlapping matches; those whose group is too short are dropped."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
                          F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("value"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["match"].alias("match"))
         keep = F.coalesce(F.length(x["value"]) >= shortest, F.lit(False))
         return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
     none = F.array().cast(f"array<{_SPAN}>")
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), add)["found"]
-    return F.when(text.rlike(pattern), found).otherwise(none)
+
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))))
+        offsets = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return let(offsets, lambda at: F.flatten(F.transform(blocks, lambda b, i: F.aggregate(
+            b, F.struct(F.coalesce(F.get(at, i), F.lit(0)).alias("at"), none.alias("found")), add)["found"])))
+
+    return F.when(text.rlike(pattern), let(let(pairs, _blocks), placed)).otherwise(none)
+
+
+def spans(text: Column, pattern: str, kind: str, value_group: int = 0, shortest: int = 0) -> Column:
+    """Spans of ``matches``."""
+    return F.transform(matches(text, pattern, kind, value_group, shortest),
+                       lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
 
 
 def base_spans(text: Column) -> Column:
-    none = F.array().cast(f"array<{_SPAN}>")
+    none = F.array().cast(f"array<{_BARE}>")
     low = F.lower(text)
     named = F.contains(low, F.lit("passw")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("api"))
     return F.array_sort(F.concat(
@@ -132,14 +154,23 @@ def word_p(run: Column) -> Column:
 def candidates(text: Column, base: Column) -> Column:
     """Runs apart from base spans that pass as uniform: span and ``bits`` (-log2 of the word p-value)."""
     def weigh(s: Column) -> Column:
-        run = F.substr(text, s["start"] + 1, s["end"] - s["start"])
+        run = s["match"]
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
                         F.least(-F.log2(F.greatest(word_p(run), F.lit(1e-300))), F.lit(float(_MOST_BITS))).alias("bits"),
                         uniformity(run).alias("uniform"))
 
-    apart = F.filter(spans(text, RUN, "random"),
-                     lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.transform(apart, weigh)
+    def meets(s: Column, b: Column) -> Column:
+        return (b["start"] < s["end"]) & (s["start"] < b["end"])
+
+    def bounds(block: Column) -> Column:
+        return F.struct(F.array_min(F.transform(block, lambda b: b["start"])).alias("start"),
+                        F.array_max(F.transform(block, lambda b: b["end"])).alias("end"), block.alias("spans"))
+
+    found = matches(text, RUN, "random")
+    # base spans are sorted, so a run meets few of their blocks
+    apart = let(F.transform(_blocks(base), bounds), lambda known: F.filter(
+        found, lambda s: ~F.exists(known, lambda k: meets(s, k) & F.exists(k["spans"], lambda b: meets(s, b)))))
+    return F.transform(F.when(F.size(base) > 0, apart).otherwise(found), weigh)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ def texts():
              "AKIAABCDEFGHIJKL", "AKIAABCDEFGHIJK", "0123456789abcdef", "0123456789abcdef0123456789abcdef", "é", "🙂", "\n", " ", "  ", "word", "'", '"']
     out = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25))) for _ in range(400)]
     return out + ["", None, "password: token: abcdefgh12", "token=secret=abcdefghij", "🙂 secret = '🙂' secret='abcdefgh🙂'", "a" * 100_000,
-                  "password=abcdefgh " * 800, "ſecret=abcdefgh1 toKen=abcdefgh1"]
+                  "password=abcdefgh " * 800, " é".join(f"{i:032x}" for i in range(3000)), "token=abcdefgh1 " * 256 + "y" * 30, "ſecret=abcdefgh1 toKen=abcdefgh1"]
 
 
 def test_base_spans_match_brute_force(awkward):
