@@ -15,6 +15,7 @@ from orbitcart.plans.pipeline import retail
 from orbitcart.plans.registry import query, rounded
 from orbitcart.sources import io
 from orbitcart.sources.testdata import read_table
+from orbitcart.streaming import folded as Z
 from orbitcart.streaming import jobs as S
 
 
@@ -32,8 +33,8 @@ SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, time_bucket(INTERVAL
        {R('avg(1.0 / greatest(value / 1000.0, 0.001))', 4)} AS avg_throughput,
        count(*) FILTER (WHERE value > 1000.0) AS alerts FROM events GROUP BY ALL"""))
 def t1(spark, sf):
-    out = S.run_available_now(_stream(spark, sf, "events"), S.scratch(spark, "t1"), S.telemetry_partials)
-    df = S.telemetry_view(S.read_batches(spark, out)).withColumns(
+    out = Z.fold_available_now(_stream(spark, sf, "events"), S.scratch(spark, "t1"), S.telemetry_partials, S.fold_telemetry)
+    df = S.telemetry_view(Z.read_state(spark, out)).withColumns(
         {"window_start": F.col("window_start").cast("timestamp_ntz"), "window_end": F.col("window_end").cast("timestamp_ntz")})
     return rounded(df, {"avg_latency_ms": 6, "avg_throughput": 4})
 
@@ -45,9 +46,9 @@ SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, event_type
        {R('avg(value)', 6)} AS avg_latency_ms, {R('avg(1.0 / greatest(value / 1000.0, 0.001))', 4)} AS avg_throughput,
        count(*) FILTER (WHERE value > 1000.0) AS alerts FROM w GROUP BY ALL"""))
 def t1_sliding(spark, sf):
-    out = S.run_available_now(_stream(spark, sf, "events"), S.scratch(spark, "t1s"),
-                              lambda batch: S.telemetry_partials(batch, "10 minutes", "5 minutes"))
-    df = S.telemetry_view(S.read_batches(spark, out)).withColumns(
+    out = Z.fold_available_now(_stream(spark, sf, "events"), S.scratch(spark, "t1s"),
+                               lambda batch: S.telemetry_partials(batch, "10 minutes", "5 minutes"), S.fold_telemetry)
+    df = S.telemetry_view(Z.read_state(spark, out)).withColumns(
         {"window_start": F.col("window_start").cast("timestamp_ntz"), "window_end": F.col("window_end").cast("timestamp_ntz")})
     return rounded(df, {"avg_latency_ms": 6, "avg_throughput": 4})
 
@@ -74,8 +75,8 @@ SELECT customer_unique_id, count(DISTINCT order_id) AS orders, count(*) AS items
 def t3(spark, sf):
     r = retail(spark, sf)
     step = S.customer_partials(r._cut(r.cleaned["orders"]), r._cut(r.cleaned["customers"]))
-    out = S.run_available_now(_ingest(spark, sf), S.scratch(spark, "t3"), step)
-    state = S.customer_state_view(S.read_batches(spark, out))
+    out = Z.fold_available_now(_ingest(spark, sf), S.scratch(spark, "t3"), step, S.fold_customers)
+    state = S.customer_state_view(Z.read_state(spark, out))
     return state.withColumn("last_purchase_date", F.col("last_purchase_date").cast("timestamp_ntz"))
 
 
@@ -88,8 +89,8 @@ g AS (SELECT *, sum(new_session) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events,
        {R('sum(value)', 4)} AS total_value FROM g GROUP BY user_id, sid"""))
 def t4(spark, sf):
-    out = S.run_available_now(_stream(spark, sf, "events"), S.scratch(spark, "t4"), S.session_partials)
-    s = S.session_view(S.read_batches(spark, out))
+    out = Z.fold_available_now(_stream(spark, sf, "events"), S.scratch(spark, "t4"), S.session_partials, S.fold_sessions)
+    s = S.session_view(Z.read_state(spark, out))
     return s.withColumns({"session_start": F.col("session_start").cast("timestamp_ntz"),
                           "session_end": F.col("session_end").cast("timestamp_ntz")})
 

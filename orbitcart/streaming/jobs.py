@@ -6,8 +6,9 @@ micro-batch against a static baseline.
 
 Every sink writes one folder per micro-batch (``batch_id=n``, overwritten), so a batch that is
 replayed after a failure replaces its own rows. Aggregates are kept as additive partials of
-each micro-batch and summed by the reading view: no event is ever too late for them, and no
-state has to be held or rewritten. ``run_available_now`` drains the input and stops.
+each micro-batch and summed by the reading view: no event is ever too late for them. Folded
+state (``streaming.folded``) joins the partials of older batches level by level, so that a
+view reads few folders however many batches there were. ``run_available_now`` drains the input and stops.
 """
 
 from __future__ import annotations
@@ -71,6 +72,12 @@ def telemetry_partials(events: DataFrame, window: str = "10 minutes", slide: str
         "latency", "throughput", "alerts")
 
 
+def fold_telemetry(partials: DataFrame) -> DataFrame:
+    """T1 partials of several batches as one row a window and type."""
+    sums = ("requests", "measured", "latency", "throughput", "alerts")
+    return partials.groupBy("window_start", "window_end", "event_type").agg(*(F.sum(c).alias(c) for c in sums))
+
+
 def telemetry_view(partials: DataFrame) -> DataFrame:
     """T1 requests, mean latency, mean throughput and alerts per window over all batches."""
     return partials.groupBy("window_start", "window_end", "event_type").agg(
@@ -118,13 +125,18 @@ def customer_partials(orders: DataFrame, customers: DataFrame) -> Callable[[Data
     return step
 
 
+def fold_customers(partials: DataFrame) -> DataFrame:
+    """T3 partials of several batches as one row a (customer, order)."""
+    return partials.groupBy(KEY, "order_id").agg(F.max("order_purchase_timestamp").alias("order_purchase_timestamp"),
+                                                 F.sum("items").alias("items"), F.sum("spent").alias("spent"))
+
+
 def customer_state_view(partials: DataFrame) -> DataFrame:
     """T3 per customer: orders, items, spend (cents), last purchase; an order whose items came
     in several batches counts once. Quintile scores are global and recomputed from this view."""
-    per_order = partials.groupBy(KEY, "order_id").agg(F.sum("items").alias("items"), F.sum("spent").alias("spent"),
-                                                      F.max("order_purchase_timestamp").alias("ts"))
-    return per_order.groupBy(KEY).agg(F.count(F.lit(1)).alias("orders"), F.sum("items").alias("items"),
-                                      F.round(F.sum("spent"), 2).alias("total_spending"), F.max("ts").alias("last_purchase_date"))
+    return fold_customers(partials).groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("items").alias("items"), F.round(F.sum("spent"), 2).alias("total_spending"),
+        F.max("order_purchase_timestamp").alias("last_purchase_date"))
 
 
 # ------------------------------------------------------------------ T4
@@ -134,20 +146,42 @@ def session_partials(events: DataFrame, gap: str = GAP, block_seconds: int = 360
     very busy user is not one task's work; each block leaves a few partial sessions."""
     ts = F.col("ts").cast("timestamp")
     block = F.floor(F.unix_seconds(ts) / block_seconds).alias("block")
-    out = events.withColumn("ts", ts).groupBy("user_id", block, F.session_window("ts", gap).alias("s")).agg(
+    # session_window joins an event exactly one gap later; the next session starts there, so the gap is taken less a microsecond
+    window = F.session_window("ts", f"{gap} -1 microseconds").alias("s")
+    out = events.withColumn("ts", ts).groupBy("user_id", block, window).agg(
         F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
-    return out.select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events", "value")
+    return out.select("user_id", F.col("s.start").alias("session_start"),
+                      (F.col("s.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("session_end"), "events", "value")
 
 
-def session_view(partials: DataFrame) -> DataFrame:
-    """T4 partial sessions that overlap, from any blocks and batches, are one session."""
-    order = Window.partitionBy("user_id").orderBy("session_start", "session_end")
+def merged_sessions(partials: DataFrame, *also: str) -> DataFrame:
+    """T4 partial sessions that overlap are one; the columns of ``session_partials``.
+
+    Only rows equal in ``also`` are brought together. Merging overlaps can be done in any order,
+    so it may be done for each day first and for the whole history of what is left.
+    """
+    keys = ["user_id", *also]
+    order = Window.partitionBy(*keys).orderBy("session_start", "session_end")
     reached = F.max("session_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reached.isNull() | (F.col("session_start") >= reached), 1).otherwise(0)
     numbered = partials.withColumn("new", new).withColumn("session", F.sum("new").over(order))
-    return numbered.groupBy("user_id", "session").agg(
+    return numbered.groupBy(*keys, "session").agg(
         F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
-        F.sum("events").alias("events"), F.round(F.sum("value"), 4).alias("total_value")).drop("session")
+        F.sum("events").alias("events"), F.sum("value").alias("value")).drop("session", *also)
+
+
+def fold_sessions(partials: DataFrame) -> DataFrame:
+    """T4 sessions of any partials. A busy user's partials are merged day by day; what is left of a
+    day are disjoint sessions of at least the gap each, so a user's window over all days holds
+    rows by the calendar (48 a day), not by the user's events."""
+    day = F.floor(F.unix_seconds("session_start") / 86400)
+    return merged_sessions(merged_sessions(partials.withColumn("day", day), "day"))
+
+
+def session_view(partials: DataFrame) -> DataFrame:
+    """T4 partial sessions that overlap, from any blocks and batches, are one session."""
+    return fold_sessions(partials).select("user_id", "session_start", "session_end", "events",
+                                          F.round("value", 4).alias("total_value"))
 
 
 def sessions(events: DataFrame, gap: str = GAP) -> DataFrame:
@@ -169,6 +203,6 @@ def drift_step(baseline: DataFrame, features=drift.DRIFT_FEATURES) -> Callable[[
     return lambda batch: drift.ks_test(baseline, batch, features)
 
 
-__all__ = ["file_stream", "batch_sink", "run_available_now", "read_batches", "telemetry_partials", "telemetry_view",
-           "canonical_items_stream", "ingest_stream", "customer_partials", "customer_state_view", "session_partials",
-           "session_view", "sessions", "audit_tail", "drift_step"]
+__all__ = ["file_stream", "batch_sink", "run_available_now", "read_batches", "telemetry_partials", "fold_telemetry", "telemetry_view",
+           "canonical_items_stream", "ingest_stream", "customer_partials", "fold_customers", "customer_state_view",
+           "session_partials", "merged_sessions", "fold_sessions", "session_view", "sessions", "audit_tail", "drift_step"]
