@@ -1,7 +1,8 @@
 """Registered queries: churn (I) and customer lifetime value (J).
 
-Dashboard queries run on the rule-based scores (I8 probability, J2 closed-form CLV), which
-SQL can reproduce; model fits (I1-I7, J3-J6) are registered without oracle SQL.
+These queries run on the rule-based scores (I8 probability, J2 closed-form CLV), which SQL can
+reproduce; ``catalog_scores`` runs the same pages on the stored scores of the fitted models.
+Model fits (I1-I7, J3-J6) are registered without oracle SQL.
 """
 
 from __future__ import annotations
@@ -34,9 +35,12 @@ def _j(spark, sf):
 SELECT customer_unique_id, {R('churn_probability', 6)} AS churn_probability, risk_level,
        risk_level || ' Risk' AS risk_tier FROM scr"""))
 def i9(spark, sf):
-    s = _j(spark, sf).scored
-    return rounded(s.select("customer_unique_id", "churn_probability", "risk_level",
-                            I.risk_tier(F.col("churn_probability"), " Risk").alias("risk_tier")),
+    return risk_page(_j(spark, sf).scored)
+
+
+def risk_page(scored):
+    return rounded(scored.select("customer_unique_id", "churn_probability", "risk_level",
+                                 I.risk_tier(F.col("churn_probability"), " Risk").alias("risk_tier")),
                    {"churn_probability": 6})
 
 
@@ -50,15 +54,22 @@ dim(risk_level, recommended_retention_actions, retention_action_plan) AS (VALUES
 SELECT customer_unique_id, risk_level, recommended_retention_actions, retention_action_plan
 FROM scr LEFT JOIN dim USING (risk_level)"""))
 def i10(spark, sf):
-    return _j(spark, sf).scored.select("customer_unique_id", "risk_level", "recommended_retention_actions",
-                                       "retention_action_plan")
+    return actions_page(_j(spark, sf).scored)
+
+
+def actions_page(scored):
+    return scored.select("customer_unique_id", "risk_level", "recommended_retention_actions", "retention_action_plan")
 
 
 @query("I11_high_risk_roster", with_base(f"""{_SCORED}
 SELECT customer_unique_id, {R('churn_probability', 6)} AS churn_probability, risk_level, total_spending
 FROM scr WHERE risk_level IN ('High', 'Critical')"""))
 def i11(spark, sf):
-    return rounded(I.high_risk_roster(_j(spark, sf).scored).select(
+    return roster_page(_j(spark, sf).scored)
+
+
+def roster_page(scored):
+    return rounded(I.high_risk_roster(scored).select(
         "customer_unique_id", "churn_probability", "risk_level", "total_spending"), {"churn_probability": 6})
 
 
@@ -101,7 +112,11 @@ FROM long""")
 
 @query("I13_churn_kpis", _i13_sql())
 def i13(spark, sf):
-    return rounded(I.churn_kpis(_j(spark, sf).scored), {"total": 6, "current": 6, "previous": 6, "change_pct": 4})
+    return churn_kpi_page(_j(spark, sf).scored)
+
+
+def churn_kpi_page(scored):
+    return rounded(I.churn_kpis(scored), {"total": 6, "current": 6, "previous": 6, "change_pct": 4})
 
 
 def _attr_sql() -> str:
@@ -161,7 +176,11 @@ SELECT count(*) AS records, count(*) FILTER (WHERE churn_probability >= 0.6) AS
        {R('avg(CAST(churn_probability >= 0.6 AS DOUBLE)) * 100.0', 6)} AS high_or_critical_pct,
        {R('avg(churn_probability) * 100.0', 6)} AS avg_probability_pct FROM scr"""))
 def i18(spark, sf):
-    return rounded(I.batch_summary(_j(spark, sf).scored), {"high_or_critical_pct": 6, "avg_probability_pct": 6})
+    return batch_page(_j(spark, sf).scored)
+
+
+def batch_page(scored):
+    return rounded(I.batch_summary(scored), {"high_or_critical_pct": 6, "avg_probability_pct": 6})
 
 
 @query("I19_retention_targets", with_base(f"""{_SCORED},
@@ -250,16 +269,22 @@ def _opp_case(col: str) -> str:
 SELECT customer_unique_id, clv_value_tier, {_opp_case('type')} AS revenue_opportunity_type,
        {_opp_case('rec')} AS revenue_recommendation FROM cv"""))
 def j8(spark, sf):
-    return _j(spark, sf).clv_frame.select("customer_unique_id", "clv_value_tier", "revenue_opportunity_type",
-                                          "revenue_recommendation")
+    return opportunity_page(_j(spark, sf).clv_frame)
+
+
+def opportunity_page(frame):
+    return frame.select("customer_unique_id", "clv_value_tier", "revenue_opportunity_type", "revenue_recommendation")
 
 
 @query("J7_value_tiers", with_base(f"""{_CLVF}
 SELECT clv_value_tier, count(*) AS customers, {R('sum(predicted_clv)', 4)} AS predicted_clv FROM cv GROUP BY 1"""))
 def j7(spark, sf):
-    c = _j(spark, sf).clv_frame
-    return rounded(c.groupBy("clv_value_tier").agg(F.count(F.lit(1)).alias("customers"),
-                                                   F.sum("predicted_clv").alias("predicted_clv")),
+    return tier_page(_j(spark, sf).clv_frame)
+
+
+def tier_page(frame):
+    return rounded(frame.groupBy("clv_value_tier").agg(F.count(F.lit(1)).alias("customers"),
+                                                       F.sum("predicted_clv").alias("predicted_clv")),
                    {"predicted_clv": 4})
 
 
@@ -267,8 +292,12 @@ def j7(spark, sf):
 SELECT customer_unique_id, {R('predicted_clv', 4)} AS predicted_clv, clv_value_tier FROM cv
 WHERE regexp_matches(clv_value_tier, 'Platinum|Gold')"""))
 def j9(spark, sf):
-    return rounded(J.high_value_roster(_j(spark, sf).clv_frame).select("customer_unique_id", "predicted_clv",
-                                                                       "clv_value_tier"), {"predicted_clv": 4})
+    return value_roster_page(_j(spark, sf).clv_frame)
+
+
+def value_roster_page(frame):
+    return rounded(J.high_value_roster(frame).select("customer_unique_id", "predicted_clv", "clv_value_tier"),
+                   {"predicted_clv": 4})
 
 
 @query("J10_monthly_projection", with_base(f"""{_CLVF}
@@ -277,7 +306,11 @@ SELECT 'Month ' || CAST(m AS VARCHAR) AS forecast_month, CAST(m AS INTEGER) AS m
        {R('t / 12.0 * (1.0 + 0.02 * (m - 1))', 2)} AS projected_revenue
 FROM t, range(1, 13) r(m)"""))
 def j10(spark, sf):
-    return rounded(J.monthly_projection(_j(spark, sf).clv_frame), {"projected_revenue": 2})
+    return projection_page(_j(spark, sf).clv_frame)
+
+
+def projection_page(frame):
+    return rounded(J.monthly_projection(frame), {"projected_revenue": 2})
 
 
 _FIXED = """CASE WHEN historical_clv >= 2500 THEN 'Platinum' WHEN historical_clv >= 1200 THEN 'Gold'

@@ -59,8 +59,10 @@ class Jobs:
 
     @cached_property
     def model_scored(self) -> DataFrame:
+        """The stored score table of the best churn model; the pages take it like ``scored``."""
         model, _ = self.churn_model
-        return self._cut(churn.with_risk(churn.churn_probability(model, churn.prepare_labels(self.r.feature_store))))
+        df = churn.churn_probability(model, churn.prepare_labels(self.r.feature_store))
+        return written_table(churn.with_retention_actions(churn.with_risk(df)), "churn-scores")
 
     # ---- J: CLV (closed-form prediction path; the model path is ``clv_model``)
     @cached_property
@@ -73,6 +75,12 @@ class Jobs:
     def clv_model(self):
         return clv.train_clv_models(self.r.feature_store)
 
+    @cached_property
+    def model_clv(self) -> DataFrame:
+        """The stored predictions of the best CLV model with tiers and opportunities, as ``clv_frame``."""
+        model, _ = self.clv_model
+        predicted = written_table(clv.predict_clv(model, self.r.feature_store), "clv-predictions")
+        return self._cut(clv.opportunities(clv.value_tiers(predicted, "predicted_clv")))
 
     # ---- K: recommender
     @cached_property

@@ -42,6 +42,7 @@ def _load_all() -> None:
     from orbitcart.plans import catalog_pages  # noqa: F401
     from orbitcart.plans import catalog_basket  # noqa: F401
     from orbitcart.plans import catalog_churn_clv  # noqa: F401
+    from orbitcart.plans import catalog_scores  # noqa: F401
     from orbitcart.plans import catalog_reco  # noqa: F401
     from orbitcart.plans import catalog_quality_drift  # noqa: F401
     from orbitcart.plans import catalog_segment  # noqa: F401
