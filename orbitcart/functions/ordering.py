@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitcart.functions.ranks import exact_percentiles  # noqa: F401
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row position
 
 
@@ -110,45 +112,6 @@ def with_rank_min(df: DataFrame, value: str, out: str, descending: bool = True,
     return df.join(ranks, value, "left")
 
 
-def exact_percentiles(df: DataFrame, value: str | Column, probs: Sequence[float],
-                      num_partitions: int | None = None) -> Column:
-    """Exact linearly interpolated percentiles as a lazily evaluated ``array<double>`` column.
-
-    Same definition as ``percentile``/pandas ``quantile``/``quantile_cont`` but computed from a
-    distributed row number, so no single aggregation buffer has to hold every distinct value.
-    Returns a scalar-subquery column usable in any expression of another DataFrame.
-    """
-    v = F.col(value) if isinstance(value, str) else value
-    vals = df.select(v.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    n = vals.agg(F.count(F.lit(1))).scalar()
-    ranked = with_global_row_number(vals, [F.col("__v")], "__rn", num_partitions)
-    # positions are plain columns, so the aggregate below only sees attribute references
-    cols, conds = {"__n": n}, []
-    for i, p in enumerate(probs):
-        h = (F.col("__n") - 1).cast("double") * F.lit(float(p))
-        cols[f"__lo{i}"] = F.floor(h) + 1
-        cols[f"__fr{i}"] = h - F.floor(h)
-    sel = ranked.withColumns({"__n": n})
-    sel = sel.withColumns({k: c for k, c in cols.items() if k != "__n"})
-    sel = sel.withColumns({f"__hi{i}": F.least(F.col(f"__lo{i}") + 1, F.col("__n")) for i in range(len(probs))})
-    for i in range(len(probs)):
-        conds += [F.col("__rn") == F.col(f"__lo{i}"), F.col("__rn") == F.col(f"__hi{i}")]
-    picked = sel.where(_any(conds))
-    outs = []
-    for i in range(len(probs)):
-        lo_v = F.max(F.when(F.col("__rn") == F.col(f"__lo{i}"), F.col("__v")))
-        hi_v = F.max(F.when(F.col("__rn") == F.col(f"__hi{i}"), F.col("__v")))
-        outs.append(lo_v + F.max(f"__fr{i}") * (hi_v - lo_v))
-    return picked.agg(F.array(*outs)).scalar()
-
-
-def _any(conds: Sequence[Column]) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
-
-
 def min_max(df: DataFrame, value: str) -> tuple[Column, Column]:
     """(min, max) of a column as two lazily evaluated scalar-subquery columns."""
     return df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()

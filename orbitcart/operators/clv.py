@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitcart.functions.columns import money_sum, trunc_like, when_chain
-from orbitcart.functions.ordering import exact_percentiles, with_global_running_sum
+from orbitcart.functions.ordering import with_global_running_sum
+from orbitcart.functions.ranks import exact_percentiles
 
 KEY = "customer_unique_id"
 TARGET = "clv_target"

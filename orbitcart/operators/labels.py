@@ -1,17 +1,19 @@
 """F — labels: churn flag, RFM quintiles and segments, CLV, spending tier, loyalty score.
 
-Quantile edges and rank-based quintiles are global order statistics; they are computed
-with the distributed helpers in ``orbitcart.functions.ordering`` and enter the row
-expressions as scalar subqueries, so no table is collected and no cross join is planned.
+Quantile edges and rank-based quintiles are global order statistics; they are found by brackets
+(``orbitcart.functions.ranks``) and enter the row expressions as constants, so no table is
+sorted or collected and no cross join is planned.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from orbitcart.functions.columns import when_chain
-from orbitcart.functions.ordering import exact_percentiles, with_global_row_number
+from orbitcart.functions.ordering import with_global_row_number
+from orbitcart.functions.ranks import exact_percentiles, rows_at_ranks
 
 KEY = "customer_unique_id"
 DEFAULT_CHURN_DAYS = 90
@@ -45,10 +47,26 @@ def rank_quintile(df: DataFrame, value: str, out: str, key: str = KEY,
                   stats: DataFrame | None = None) -> DataFrame:
     """F3 quintile of ``rank(method='first')``: pandas ``qcut`` of ranks 1..n into 5 bins.
 
-    Edge k of the ranks is ``1 + k(n-1)/5``; rank r falls in bin ``ceil(5(r-1)/(n-1))``
-    (bin 1 includes the lowest rank). Ranks come from a distributed row number.
+    Edge k of the ranks is ``1 + k(n-1)/5``; rank r falls in bin ``ceil(5(r-1)/(n-1))`` (bin 1
+    includes the lowest rank). So a row's bin is one more than the number of rows at the ranks
+    ``1 + floor(k(n-1)/5)`` that it follows: only these four are looked for, no row is
+    numbered. Nulls come first, as in an ascending sort. Text ids have no sketch; with them the
+    rows are numbered.
     """
-    n = (stats if stats is not None else df).agg(F.count(F.lit(1))).scalar()
+    source = stats if stats is not None else df
+    if not isinstance(df.schema[key].dataType, NumericType):
+        return _numbered_quintile(df, value, out, key, source)
+    n = source.count()
+    if n < 2:
+        return df.withColumn(out, F.lit(1))
+    x = F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))
+    edges = rows_at_ranks(source, x, key, [1 + k * (n - 1) // 5 for k in range(1, 5)], n=n)
+    after = [(x > F.lit(v)) | ((x == F.lit(v)) & (F.col(key) > F.lit(tie))) for v, tie in edges]
+    return df.withColumn(out, sum((c.cast("int") for c in after), F.lit(1)))
+
+
+def _numbered_quintile(df: DataFrame, value: str, out: str, key: str, source: DataFrame) -> DataFrame:
+    n = source.agg(F.count(F.lit(1))).scalar()
     ranked = with_global_row_number(df, [F.col(value).asc(), F.col(key).asc()], "__rnk")
     bin_ = F.ceil(F.lit(5.0) * (F.col("__rnk") - 1) / (n - 1))
     score = F.when(n > 1, F.greatest(F.lit(1), bin_)).otherwise(F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitcart.functions.columns import first_present, when_chain
+from orbitcart.functions.columns import first_present, money_avg, when_chain
 from orbitcart.functions.ordering import with_rank_min
 from orbitcart.operators.labels import rank_quintile, recency_quintile
 
@@ -113,7 +113,7 @@ def segment_summary(rfm: DataFrame, label: str = "rfm_segment_label") -> DataFra
         F.count(KEY).alias("customer_count"),
         F.avg("recency_days").alias("avg_recency"),
         F.avg("total_orders").alias("avg_orders"),
-        F.avg("total_spending").alias("avg_spending"),
+        money_avg("total_spending").alias("avg_spending"),
         F.sum("total_spending").alias("total_revenue"))
     attrs = segment_attributes(rfm.sparkSession)  # fixed 10-row table
     out = summary.join(F.broadcast(attrs), "rfm_segment_label", "left")

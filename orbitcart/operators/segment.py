@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitcart.functions.columns import money_sum, when_chain
+from orbitcart.functions.columns import money_avg, money_sum, when_chain
 from orbitcart.operators.executive import change_pct, is_positive
 
 KEY = "customer_unique_id"
@@ -166,7 +166,7 @@ def benchmark(data: DataFrame, k: int, seed: int = SEED) -> tuple[str, DataFrame
 def cluster_summary(df: DataFrame, label: str = "cluster_id") -> DataFrame:
     """H11 per cluster: count, 6 means, revenue and revenue share % (share over k rows)."""
     s = df.groupBy(label).agg(
-        F.count(F.lit(1)).alias("customer_count"), F.avg("total_spending").alias("avg_spending"),
+        F.count(F.lit(1)).alias("customer_count"), money_avg("total_spending").alias("avg_spending"),
         F.avg("total_orders").alias("avg_orders"), F.avg("avg_order_value").alias("avg_aov"),
         F.avg("recency_days").alias("avg_recency"), F.avg("loyalty_score").alias("avg_loyalty"),
         F.avg("avg_review_score_given").alias("avg_review"), money_sum("total_spending").alias("total_revenue"))
@@ -201,8 +201,8 @@ def segment_overview(fs: DataFrame, seg: str) -> DataFrame:
     """H13 per segment: customers, revenue, means; revenue descending."""
     return fs.groupBy(F.col(seg).alias("segment")).agg(
         F.count(F.lit(1)).alias("customers"), money_sum("total_spending").alias("total_revenue"),
-        F.avg("total_spending").alias("avg_spending"), F.avg("total_orders").alias("avg_orders"),
-        F.avg("recency_days").alias("avg_recency"), F.avg("historical_clv").alias("avg_clv")
+        money_avg("total_spending").alias("avg_spending"), F.avg("total_orders").alias("avg_orders"),
+        F.avg("recency_days").alias("avg_recency"), money_avg("historical_clv").alias("avg_clv")
     ).orderBy(F.desc("total_revenue"), "segment")
 
 
@@ -212,7 +212,7 @@ def segment_details(fs: DataFrame, master: DataFrame, seg: str, top: int = 3) ->
     base = fs.groupBy(F.col(seg).alias("segment")).agg(
         F.count(F.lit(1)).alias("customers"), money_sum("total_spending").alias("total_revenue"),
         F.avg("total_orders").alias("avg_orders"), F.avg("avg_order_value").alias("avg_aov"),
-        F.avg("avg_review_score_given").alias("avg_csat"), F.avg("historical_clv").alias("avg_clv"),
+        F.avg("avg_review_score_given").alias("avg_csat"), money_avg("historical_clv").alias("avg_clv"),
         (F.avg("churn_label") * 100.0).alias("churn_pct"))
     m = master.join(fs.select(KEY, F.col(seg).alias("segment")), KEY)
 
@@ -236,9 +236,9 @@ def pca_sample(points: DataFrame, n: int = 500, seed: int = SEED) -> DataFrame:
 def comparison_matrix(fs: DataFrame, seg: str) -> DataFrame:
     """H16 8 measures per segment."""
     return fs.groupBy(F.col(seg).alias("segment")).agg(
-        F.avg("total_spending").alias("avg_spending"), F.avg("total_orders").alias("avg_orders"),
+        money_avg("total_spending").alias("avg_spending"), F.avg("total_orders").alias("avg_orders"),
         F.avg("avg_order_value").alias("avg_aov"), F.avg("recency_days").alias("avg_recency"),
-        F.avg("historical_clv").alias("avg_clv"), F.avg("avg_review_score_given").alias("avg_review"),
+        money_avg("historical_clv").alias("avg_clv"), F.avg("avg_review_score_given").alias("avg_review"),
         F.avg("loyalty_score").alias("avg_loyalty"), (F.avg("churn_label") * 100.0).alias("churn_pct"))
 
 
