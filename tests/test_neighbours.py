@@ -68,3 +68,28 @@ def test_equal_counts_and_ties(spark):
 
 def test_fewer_neighbours_than_asked(spark):
     check(spark, [(0, p, p + 1) for p in range(4)] + [(1, 10, 1), (1, 11, 2), (2, 20, 5)], 5, 1)
+
+
+def test_light_customers_need_no_table_of_pairs(spark, monkeypatch):
+    """Many small tasks, sums in several steps, rows given twice, customers without id: same as brute force."""
+    rng = np.random.default_rng(5)
+    counts = [(c, int(p), int(rng.integers(1, 4))) for c in range(40) for p in rng.choice(50, 8, replace=False)]
+
+    def no_pairs(*_):
+        raise AssertionError("pairs of products were joined")
+
+    monkeypatch.setattr(K, "_shared", no_pairs)
+    monkeypatch.setattr(K, "TASK_PAIRS", 100)
+    check(spark, counts, 4, 256)
+    rows = spark.createDataFrame([(c, p, k) for c, p, k in counts] + [(None, 1, 2), (None, 2, 2)], "customer_unique_id long, product_id long, n long")
+    near = K._near_by_baskets(rows, K._numbers(rows), 4, task_pairs=300)
+    assert near.rdd.getNumPartitions() >= 1 and {(r.product_id, r.neighbour_id) for r in near.collect()} > set()
+    norm, dots = {}, {}
+    for c, p, k in [*counts, (None, 1, 2), (None, 2, 2)]:
+        norm[p] = norm.get(p, 0) + k * k
+    for c, p, k in counts:
+        for d, q, m in counts:
+            if c == d and p != q:
+                dots[p, q] = dots.get((p, q), 0) + k * m
+    for r in near.collect():
+        assert abs(r.sim - dots[r.product_id, r.neighbour_id] / (norm[r.product_id] * norm[r.neighbour_id]) ** 0.5) < 2e-10
