@@ -7,8 +7,10 @@ intercept). The scores' threshold lies halfway between the bad documents' high q
 the good documents' low quantile of the labelled sample; ``score`` is the logistic function
 of the distance to it, so 0.5 is the threshold.
 
-The model is fitted on at most about SAMPLE_ROWS labelled rows and PAIRS pairs, whatever the
-input; features use the text alone.
+All labelled documents are read. They are dealt to buckets by a hash and meet those of the other label in
+theirs: PAIRS_PER_ROW or more on average (at least PAIRS pairs in all, or all pairs if there are fewer),
+so that fewer than one in 2,000 meets none. The quantiles are exact; features use the text alone.
+``sample_rows`` fits on a hash sample instead; no query uses it.
 
 Defined cases: null and empty texts have all-zero features and a score like any other; a
 document labelled more than once counts as good if most of its labels are; without good or
@@ -30,10 +32,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbitcart.functions.ranks import exact_percentiles
 from orbitcart.llm.common import cut, only, slices, text_or_empty
 
-#: Bounds of what the fit reads: labelled rows and pairs.
-SAMPLE_ROWS, PAIRS = 20_000, 60_000
+#: Pairs that are fitted: at least PAIRS, if there are as many, and PAIRS_PER_ROW for each labelled document.
+PAIRS, PAIRS_PER_ROW = 60_000, 8
 #: Quantiles of the bad (high) and the good (low) scores that the threshold lies between.
 BAD_QUANTILE, GOOD_QUANTILE = 0.98, 0.02
 
@@ -83,28 +86,29 @@ def with_features(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        sample_rows: int = SAMPLE_ROWS, pairs: int = PAIRS, seed: int = 2) -> Model:
+        sample_rows: int | None = None, pairs: int = PAIRS, seed: int = 2) -> Model:
     """Fit the pairwise model on the labelled rows of ``docs``."""
     marks = only(labels, doc_id=id_col, mark=label_col).filter("doc_id IS NOT NULL AND mark IS NOT NULL")
     marks = marks.groupBy("doc_id").agg((F.avg("mark") >= 0.5).alias("good"))
-    # a hash of the id decides, so the sample is the same in any order of the rows and each time it is read
-    share = min(1.0, sample_rows / max(1, marks.count()))
-    chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    if sample_rows is not None:
+        # a hash of the id decides, so the sample is the same in any order of the rows and each time it is read
+        share = min(1.0, sample_rows / max(1, marks.count()))
+        marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    # the sample's ids have a size bound, so they go to every task
-    sample = cut(with_features(rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id"))
-    sizes = {r["good"]: r["count"] for r in sample.groupBy("good").count().collect()}
+    known = cut(with_features(rows.join(marks.select("doc_id"), "doc_id", "left_semi")).join(marks, "doc_id"))
+    sizes = {r["good"]: r["count"] for r in known.groupBy("good").count().collect()}
     if len(sizes) < 2:
         return Model((0.0,) * len(FEATURES), 0.0)
 
     # each good document meets the bad ones of its bucket
-    buckets = max(1, round(sizes[True] * sizes[False] / pairs))
+    wanted = max(pairs, PAIRS_PER_ROW * (sizes[True] + sizes[False]))
+    buckets = max(1, round(sizes[True] * sizes[False] / wanted))
 
     def side(good: bool, name: str) -> DataFrame:
-        own = sample.filter("good" if good else "NOT good")
+        own = known.filter("good" if good else "NOT good")
         return own.select(F.pmod(F.xxhash64("doc_id", F.lit(good)), F.lit(buckets)).alias("bucket"), F.col("features").alias(name))
 
-    met = side(True, "x").join(F.broadcast(side(False, "y")), "bucket")
+    met = side(True, "x").join(side(False, "y"), "bucket")
     # half of the differences are turned round, so that both outcomes occur
     turned = F.pmod(F.xxhash64("x", "y"), F.lit(2)) == 1
     difference = F.zip_with("x", "y", lambda a, b: F.when(turned, b - a).otherwise(a - b))
@@ -113,9 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     weights = tuple(map(float, fitted.coefficients))
 
     raw = F.aggregate(F.zip_with("features", F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    ends = sample.select("good", raw.alias("raw")).agg(
-        F.percentile(F.when(~F.col("good"), F.col("raw")), F.lit(BAD_QUANTILE)).alias("bad"),
-        F.percentile(F.when(F.col("good"), F.col("raw")), F.lit(GOOD_QUANTILE)).alias("good")).first()
+    told = cut(known.select("good", raw.alias("raw")))
+    bad, good = (exact_percentiles(told, F.when(F.col("good") == side_, F.col("raw")), [q])[0] for side_, q in ((False, BAD_QUANTILE), (True, GOOD_QUANTILE)))
+    ends = told.sparkSession.range(1).select(bad.alias("bad"), good.alias("good")).first()
     return Model(weights, (ends["bad"] + ends["good"]) / 2)
 
 

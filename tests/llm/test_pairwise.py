@@ -85,3 +85,15 @@ def test_sample_depends_on_ids_alone(spark, awkward):
     models = [pairwise.fit(docs, rows, sample_rows=30) for rows in (labels, labels.orderBy(F.desc("doc_id")).repartition(7))]
     assert np.allclose(models[0].weights, models[1].weights, rtol=1e-6, atol=1e-9)
     assert models[0].weights != pairwise.fit(docs, labels).weights
+
+
+def test_every_labelled_document_counts(spark, awkward):
+    """More labelled documents than the former sample of 20,000: the threshold comes from all of them."""
+    words = ["alpha", "beta", "Gamma", "delta", "x1", "##", "|", "wow!", "$$$", "plain"]
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(words[:6] if i % 2 else words[2:], 3 + i % 7)) for i in range(21_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pairwise.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(21_000)], "doc_id long, quality int"))
+    raw = np.array([pairwise.text_features(t) for t in texts]) @ np.array(model.weights)
+    bad, good = np.quantile(raw[0::2], pairwise.BAD_QUANTILE), np.quantile(raw[1::2], pairwise.GOOD_QUANTILE)
+    assert abs(model.threshold - (bad + good) / 2) < 1e-9 * max(1.0, abs(model.threshold))
