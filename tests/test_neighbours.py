@@ -93,3 +93,40 @@ def test_light_customers_need_no_table_of_pairs(spark, monkeypatch):
                 dots[p, q] = dots.get((p, q), 0) + k * m
     for r in near.collect():
         assert abs(r.sim - dots[r.product_id, r.neighbour_id] / (norm[r.product_id] * norm[r.neighbour_id]) ** 0.5) < 2e-10
+
+
+def test_recommendations_are_cut_before_they_are_joined(spark, monkeypatch):
+    """Scores as by adding up all targets, with sums in several steps; targets outside the best reach no join."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(6)
+    kind = {p: f"k{p % 4}" for p in range(60)}
+    counts = [(c, int(p), 1) for c in range(50) for p in rng.choice(60, 9, replace=False)]
+    inter = spark.createDataFrame([(c, p, k, kind[p]) for c, p, k in counts], SCHEMA)
+    pop = spark.createDataFrame([(p, kind[p], 1 + p % 5, 3.0) for p in kind], "product_id long, product_category_name_english string, total_units long, avg_rating double")
+    near = K.neighbours(inter, 8)
+    affinity = K.content_affinity(inter, K.category_similarity(pop))
+    monkeypatch.setattr(K, "TASK_PAIRS", 200)
+    emitted = []
+    best_collab = K._best_collab
+
+    def counted(*args):
+        emitted.append(best_collab(*args))
+        return emitted[-1]
+
+    monkeypatch.setattr(K, "_best_collab", counted)
+    got = {(r.customer_unique_id, r.rec_rank): (r.product_id, round(r.hybrid_score, 9)) for r in K.recommend(inter, near, affinity, pop, 5).collect()}
+    assert emitted  # the targets are cut where they are added up
+    like = {(r.customer_unique_id, r.category): r.affinity for r in affinity.collect()}
+    sims = {}
+    for r in near.select("product_id", "neighbour_id", F.col("sim")).collect():
+        sims.setdefault(r.product_id, []).append((r.neighbour_id, r.sim))
+    want = {}
+    for c in range(50):
+        bought = {p for d, p, _ in counts if d == c}
+        score = {p: 0.4 * like.get((c, kind[p]), 0.0) for p in kind}
+        for p in bought:
+            for q, s in sims.get(p, []):
+                score[q] += 0.6 * s
+        ranked = sorted((-round(s, 10), -(1 + p % 5), p) for p, s in score.items() if p not in bought and s > 0)
+        want |= {(c, i + 1): (p, round(-s, 9)) for i, (s, _, p) in enumerate(ranked[:5])}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
