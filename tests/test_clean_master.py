@@ -86,3 +86,18 @@ def test_empty_inputs(spark):
     assert executive.customer_growth(empty).count() == 0
     assert customers.state_distribution(empty).count() == 0
     assert executive.ratings_histogram(empty).count() == 5
+
+
+def test_master_exchanges_wide_rows_once_by_order(spark):
+    """Without broadcasts, too, the wide rows end up dealt by order: products and sellers joined the narrow ones."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        m = master.build_master(clean.clean_all(_raw(spark)))
+        plan = m._jdf.queryExecution().executedPlan()
+        assert "order_id" in plan.outputPartitioning().toString()
+        assert {(r.order_id, r.n) for r in m.groupBy("order_id").agg(F.count("*").alias("n")).collect()} == {(10, 1), (12, 1)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
