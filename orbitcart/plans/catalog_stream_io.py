@@ -213,9 +213,10 @@ def a13(spark, sf):
 @query("A9_A10_model_roundtrip_scoring")
 def a9(spark, sf):
     """A9 save + reload a churn PipelineModel, A10 score an uploaded CSV of the feature store."""
+    from orbitcart.functions.ordering import packed
     from orbitcart.operators import churn as I
     fs = retail(spark, sf).feature_store
-    data = I.class_weights(I.prepare_labels(fs))
+    data = I.class_weights(I.prepare_labels(packed(fs)))
     model = I.churn_pipeline("logistic").fit(data)
     path = io.save_model(model, S.scratch(spark, "a9_model"))
     upload = S.scratch(spark, "a10_upload")

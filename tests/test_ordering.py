@@ -4,8 +4,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orbitcart.functions.ordering import (exact_percentiles, with_global_row_number, with_global_running_sum,
-                                          with_rank_min)
+from orbitcart.functions.ordering import (exact_percentiles, packed, with_global_row_number,
+                                          with_global_running_sum, with_rank_min)
 
 
 def _frame(spark, n=500, seed=7):
@@ -96,3 +96,32 @@ def test_purchase_timeline_with_hot_customer(spark):
     first_of = [min(x for x in (p, "boleto" if two else None) if x) if p or two else None for p, two in zip(pdf["payment"], second)]
     assert [p if isinstance(p, str) else None for p in got["payment_method"]] == first_of
     assert list(got["items"]) == [2 if two else 1 for two in second]
+
+
+def test_packed_partitions_follow_the_rows(spark):
+    """All rows stay; partitions are as many as the rows fill, one a core at least; small frames keep theirs."""
+    df = spark.range(1200).repartition(60).checkpoint()
+    cores = spark.sparkContext.defaultParallelism
+    for rows, expected in ((30, max(40, cores)), (1000, max(2, cores)), (1, 60)):
+        got = packed(df, rows=rows, keeps=100)
+        assert got.rdd.getNumPartitions() == expected
+        assert sorted(r.id for r in got.collect()) == list(range(1200))
+    assert packed(df, rows=30, keeps=1200).rdd.getNumPartitions() == 60
+
+
+def test_fits_take_packed_rows(spark, monkeypatch):
+    """The models of both pages are fitted on rows whose partitions follow their number."""
+    from orbitcart.operators import churn, clv
+    seen = {}
+    for module in (churn, clv):
+        def watch(frame, name=module.__name__):
+            seen[name] = packed(frame, rows=100, keeps=10)
+            return seen[name]
+        monkeypatch.setattr(module, "packed", watch)
+    n = 400
+    cols = sorted({*churn.CHURN_FEATURES, *clv.CLV_FEATURES} - {"purchase_velocity", "spending_trend", "engagement_score"})
+    rows = [(i, float(i % 2), *[float((i * (j + 3)) % 17) for j in range(len(cols))]) for i in range(n)]
+    fs = spark.createDataFrame(rows, ["customer_unique_id", churn.LABEL, *cols]).repartition(32).checkpoint()
+    churn.train_churn_models(fs, models=("logistic",))
+    clv.train_clv_models(fs, models=("linear",))
+    assert {k: v.rdd.getNumPartitions() for k, v in seen.items()} == {m.__name__: max(4, spark.sparkContext.defaultParallelism) for m in (churn, clv)}
