@@ -95,7 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         share = min(1.0, sample_rows / max(1, marks.count()))
         marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    known = cut(with_features(rows.join(marks.select("doc_id"), "doc_id", "left_semi")).join(marks, "doc_id"))
+    # texts are read where they lie: only their numbers are sent to the labels
+    known = cut(with_features(rows.filter("doc_id IS NOT NULL")).join(marks, "doc_id"))
     sizes = {r["good"]: r["count"] for r in known.groupBy("good").count().collect()}
     if len(sizes) < 2:
         return Model((0.0,) * len(FEATURES), 0.0)

@@ -97,3 +97,22 @@ def test_every_labelled_document_counts(spark, awkward):
     raw = np.array([pairwise.text_features(t) for t in texts]) @ np.array(model.weights)
     bad, good = np.quantile(raw[0::2], pairwise.BAD_QUANTILE), np.quantile(raw[1::2], pairwise.GOOD_QUANTILE)
     assert abs(model.threshold - (bad + good) / 2) < 1e-9 * max(1.0, abs(model.threshold))
+
+
+def test_fit_sends_no_texts_to_the_labels(spark, monkeypatch):
+    """Features are made before the join, so no text is shuffled; rows without id or label are left out."""
+    seen, own = [], pairwise.with_features
+
+    def watch(rows):
+        seen.append(rows)
+        return own(rows)
+
+    monkeypatch.setattr(pairwise, "with_features", watch)
+    docs = spark.createDataFrame([(i, "good words of a calm line " + "and more " * i if i % 2 else "BAD !!! $$$ BAD " + "!!! " * i) for i in range(40)] + [(None, "no id"), (99, "no label")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1)], "doc_id long, quality int")
+    model = pairwise.fit(docs, labels)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 1 and "Join" not in plan
+    got = {r.doc_id: r.score for r in pairwise.score(docs, model).collect()}
+    assert got[1] > got[0]
