@@ -14,60 +14,122 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitcart.llm.common import only, slices, text_or_empty
-from orbitcart.llm.pieces import Generations, cut_pieces
+from orbitcart.llm.common import bounded, only, slices, text_or_empty
+from orbitcart.llm.pieces import TAIL, Generations, cut_at_space, cut_tail
 
 #: New pieces that one call of the library encodes.
 PIECES_A_CALL = 4096
+#: Texts that are cut at once, and their bytes if they are several.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 _STORED = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Library:
     """The tokenizers library on the text pieces of a batch.
 
-    Each new piece is encoded once: new pieces are joined, encoded by one call and told apart
-    by the characters that their tokens start at. Texts that cannot be cut are encoded alone.
+    A batch is cut into pieces and its distinct pieces are found by Arrow's kernels; each new one is
+    encoded once, marks at its end apart: new pieces are joined, encoded by one call and told apart by
+    the tokens that begin with a space or a line break. Texts in which white space meets a cut are cut between other
+    characters and white space only, and their pieces are encoded apart.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.all_steps = Tokenizer.from_file(path).encode
+        self.library = Tokenizer.from_file(path)
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for token, i in vocab.items() if token[0] in "\u0120\u010a"]] = True  # a space, a line break
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.all_steps(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def apart(self, texts: list[str]) -> list[bytes]:
+        return [np.array(coded.ids, "<u4").tobytes() for coded in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def joined(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece; every piece begins with a space or a line break and ends without one."""
-        coded = self.all_steps("".join(pieces), add_special_tokens=False)
-        starts = np.array([start for start, _ in coded.offsets], np.int64)
-        first = np.cumsum([0, *map(len, pieces)])
-        cuts = (4 * np.searchsorted(starts, first)).tolist()
-        ids = np.array(coded.ids, "<u4").tobytes()
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def encode_batch(self, texts: list[str], cache: Generations) -> list[bytes]:
-        plans = [cut_pieces(text) for text in texts]
-        new = [piece for piece in set().union(*[plan[1:] for plan in plans if plan]) if piece not in cache]
+        """The ids of each piece; every piece begins with its only space or line break and ends without one."""
+        ids = np.array(self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def remember(self, cache: Generations, pieces: Iterable[str], encode: Callable[[list[str]], list[bytes]]) -> None:
+        new = [piece for piece in pieces if piece not in cache]
         for at in range(0, len(new), PIECES_A_CALL):
             some = new[at:at + PIECES_A_CALL]
-            for piece, ids in zip(some, self.joined(some)):
+            for piece, ids in zip(some, encode(some), strict=True):
                 cache.put(piece, ids)
+
+    def coded(self, texts: pa.Array, cache: Generations, end: bytes = b"") -> tuple[pa.Array, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has; ``end`` (ids) closes each text."""
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        distinct = cut.flatten().dictionary_encode()
+        ends = cut.offsets.to_numpy().astype(np.int64)
+        counts, first, codes = np.diff(ends), ends[:-1] - ends[0], distinct.indices.to_numpy()
+        n, found = len(distinct.dictionary), distinct.dictionary
+        heads = _strings(found.take(pa.array(codes[first])))  # a text's head has no space before it
+        keys = pc.if_else(pc.starts_with(found, "\n"), found, pc.binary_join_element_wise("", found, " "))
+        trimmed = pc.utf8_rtrim(keys, TAIL)
+        names, cores = _strings(keys), _strings(trimmed)
+        blank = np.fromiter((name[-1].isspace() for name in names), bool, n)
+        blank_heads = np.fromiter((not head or head[-1].isspace() for head in heads), bool, len(heads))
+        inner = blank[codes]
+        inner[first] = blank_heads
+        odd = np.logical_or.reduceat(inner, first) if len(first) else blank_heads
+        used, rest = np.zeros(n, bool), ~np.repeat(odd, counts)  # rest: pieces of texts that are not odd
+        rest[first] = False
+        used[codes[rest]] = True
+
+        tails = {}
+        marked = used & pc.not_equal(pc.binary_length(keys), pc.binary_length(trimmed)).to_numpy(zero_copy_only=False)
+        for at in np.flatnonzero(marked).tolist():
+            cores[at], tails[at] = cut_tail(names[at], cores[at])
+        for at in np.flatnonzero(~used).tolist():
+            cores[at] = ""
+        self.remember(cache, dict.fromkeys(filter(None, cores)), self.joined)
+        starts = [cut_at_space(texts[at].as_py()) if o else [head] for at, (head, o) in enumerate(zip(heads, odd.tolist(), strict=True))]
+        self.remember(cache, dict.fromkeys([*filter(None, tails.values()), *(piece for pieces in starts for piece in pieces)]), self.apart)
         get = cache.__getitem__
-        out = [(self.encode(text) if text else b"") if plan is None else self.encode(plan[0]) + b"".join(map(get, plan[1:]))
-               for text, plan in zip(texts, plans)]
+        ids = [get(core) if core else b"" for core in cores]
+        for at, tail in tails.items():
+            if tail:
+                ids[at] += get(tail)
+        ids += [b"".join(map(get, pieces)) for pieces in starts]  # a whole odd text stands at its head's place
+        ids.append(end)
         cache.shrink()
-        return out
+
+        rest[first] = True
+        codes = codes.astype(np.int32)
+        codes[first] = n + np.arange(len(heads), dtype=np.int32)
+        counts = np.where(odd, 1, counts)
+        closed = np.full(counts.sum() + len(counts), n + len(heads), np.int32)
+        pieces = np.ones(len(closed), bool)
+        pieces[np.cumsum(counts + 1) - 1] = False
+        closed[pieces] = codes[rest]
+        offsets = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+        lists = pa.LargeListArray.from_arrays(offsets, np.frombuffer(b"".join(ids), np.int32))
+        taken = lists.take(pa.array(closed))
+        sizes = np.diff(taken.offsets.to_numpy()[np.append(0, np.cumsum(counts + 1))])
+        return taken.flatten(), sizes
+
+    def encode_batch(self, texts: list[str], cache: Generations) -> list[bytes]:
+        ids, sizes = self.coded(pa.array(texts, pa.string()), cache)
+        ends = (4 * np.cumsum(sizes)).tolist()
+        raw = ids.to_numpy().tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -86,13 +148,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, cache, part, start = _library(tokenizer), Generations(), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            coded = [ids + end for ids in library.encode_batch(batch.column("text").to_pylist(), cache)]
-            sizes = np.array([len(c) // 4 for c in coded], np.int64)
+        for batch in bounded(slices(batches, BATCH_ROWS), BATCH_BYTES):
+            coded, sizes = library.coded(batch.column("text"), cache, end)
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(coded), np.int32))
+            ids = pa.ListArray.from_arrays(ends.astype(np.int32), coded)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(coded), part, np.int32)), pa.array(start + ends[:-1]),
+                [batch.column("doc_id"), pa.array(np.full(len(sizes), part, np.int32)), pa.array(start + ends[:-1]),
                  pa.array(sizes), ids], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
             start += int(ends[-1])
 

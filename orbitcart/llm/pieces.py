@@ -7,6 +7,8 @@ pieces encoded alone. Texts in which white space meets a cut are encoded whole.
 
 from __future__ import annotations
 
+import re
+
 #: Code points below this have the same classes in every Unicode version in use.
 STABLE = 0x250
 #: Bytes that one of the two generations of a task's cache may take.
@@ -53,3 +55,22 @@ def cut_pieces(text: str) -> list[str] | None:
         if not piece or piece[-1].isspace():
             return None
     return [head] + [piece if piece[0] == "\n" else " " + piece for piece in rest]
+
+
+_BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \n])")
+
+
+def cut_at_space(text: str) -> list[str]:
+    """``text`` cut before each space or line break that follows no white space; runs of it stay whole."""
+    return _BEFORE_SPACE.split(text) if text else []
+
+
+#: Marks that a pre-token of letters or digits ends before; no special token ends with one.
+TAIL = ".,!?;:*%#$&"
+
+
+def cut_tail(piece: str, core: str) -> tuple[str, str]:
+    """``piece`` in two where only marks follow ``core`` (the piece without them) and it ends in a known letter or digit."""
+    if len(core) < len(piece) and core[-1].isalnum() and ord(core[-1]) < STABLE:
+        return core, piece[len(core):]
+    return piece, ""

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -133,3 +134,26 @@ def test_orc_files_hold_bloom_filters_and_ranges(spark, awkward):
     assert files and any(b"zstd" in open(f, "rb").read() or "zstd" in f for f in files)
     plan = orc_tokens.lookup(spark, path, [3, 7])._jdf.queryExecution().toString()
     assert "PushedFilters: [In(doc_id, [3,7])]" in plan
+
+
+def test_words_are_encoded_once_whatever_marks_or_white_space_follow(library):
+    fast, cache, sent = orc_tokens._Library(queries.tokenizer_path()), pieces.Generations(), []
+
+    class Spy:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    fast.library = Spy()
+    texts = ["x sevenfold. sevenfold, sevenfold!! sevenfold sevenfold;", "x  twofold sevenfold\n\n\ttwofold twofold "] * 50
+    texts += ["it's. <|endoftext|>. 7, é! ʞ. 日. a'. \n. .. b\".", "&& a&&b.. <|endoftext|", " .a. 's. ²! ½; ª,"]
+    for batch in (texts, texts[::-1]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in fast.encode_batch(batch, cache)] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+    assert "".join(sent).count("sevenfold") == 1 and "".join(sent).count("twofold") <= 3
+
+
+def test_batches_are_halved_to_their_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 100] * 7 + ["b" * 5000] + ["c"] * 9})
+    parts = list(common.bounded(iter([batch]), 600))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(p.num_rows == 1 or p.nbytes <= 600 for p in parts)
