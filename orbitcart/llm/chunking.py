@@ -86,21 +86,23 @@ def chunks(rows: DataFrame) -> DataFrame:
     """row, doc_id, text -> a row for each chunk: high, low (digest), doc_id, row, a, b."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, row_keys, high, low, a, b, sizes = [], [], [], [], [], [], []
-            for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
-                data, at = text.encode(), 0
-                for end in chunk_ends(np.frombuffer(data, np.uint8)):
-                    digest = xxhash.xxh3_128_intdigest(data[at:end])
-                    ids.append(doc_id)
-                    row_keys.append(row)
-                    high.append((digest >> 64) - (1 << 63))
-                    low.append((digest & (1 << 64) - 1) - (1 << 63))
-                    a.append(at)
-                    b.append(end)
-                    sizes.append(len(data))
-                    at = end
+            digests, a, b, counts, sizes = [], [], [], [], []
+            for text in batch.column("text").to_pylist():
+                data = text.encode()
+                ends = chunk_ends(np.frombuffer(data, np.uint8))
+                starts = [0, *ends[:-1]] if ends else ends
+                digests.extend([xxhash.xxh3_128_digest(data[at:end]) for at, end in zip(starts, ends)])
+                a.extend(starts)
+                b.extend(ends)
+                counts.append(len(ends))
+                sizes.append(len(data))
+            text_of = np.repeat(np.arange(len(counts)), counts)
+            # big-endian halves, moved to the signed range in order
+            halves = (np.frombuffer(b"".join(digests), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64).reshape(-1, 2)
+            own = pa.array(text_of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (high, low, ids, row_keys)] + [pa.array(x, pa.int32()) for x in (a, b, sizes)],
+                [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column("doc_id").take(own), batch.column("row").take(own),
+                 pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(np.array(sizes, np.int32)[text_of])],
                 names=["high", "low", "doc_id", "row", "a", "b", "size"])
 
     return rows.select("doc_id", "row", "text").mapInArrow(run, "high long, low long, doc_id long, row long, a int, b int, size int")
@@ -119,19 +121,48 @@ def _runs(marks: list[dict]) -> list[list[dict]]:
 
 def passages(marks: list[dict], size: int, run_bytes: int = RUN) -> list[dict]:
     """The repeated chunks (a, b, gone) of a text of ``size`` bytes that lie in long enough runs,
-    or in runs marked as ``common`` (within ``run_bytes`` that occur elsewhere too)."""
+    or in runs marked as ``common`` (within ``run_bytes`` that occur elsewhere too): the definition
+    for one text, which ``Runs`` applies to a batch."""
     return [m for run in _runs(marks) if run[-1]["b"] - run[0]["a"] >= min(run_bytes, size) or any(m.get("common") for m in run) for m in run]
 
 
+class Runs:
+    """The repeated chunks of a batch of texts (marks: structs with a, b; size) as runs of neighbours.
+
+    ``columns`` holds the structs' fields by text and offset, ``text`` each chunk's text, ``run`` its
+    run and ``long`` whether the run has ``run_bytes`` bytes or the whole text.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, run_bytes: int = RUN):
+        marks = batch.column("marks")
+        flat = marks.flatten()
+        text = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
+        columns = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+        order = np.lexsort((columns["a"], text))
+        self.columns, self.text = {name: column[order] for name, column in columns.items()}, text[order]
+        a, b = self.columns["a"], self.columns["b"]
+        begins = np.ones(len(a), bool)
+        begins[1:] = (self.text[1:] != self.text[:-1]) | (b[:-1] != a[1:])
+        self.first = np.flatnonzero(begins)
+        self.run = np.cumsum(begins) - 1
+        last = np.append(self.first[1:], len(a)) - 1 if len(a) else self.first
+        sizes = batch.column("size").to_numpy(zero_copy_only=False)[self.text[self.first]]
+        self.long = (b[last] - a[self.first] >= np.minimum(run_bytes, sizes))[self.run]
+
+    def any(self, marked: np.ndarray) -> np.ndarray:
+        """For each chunk, whether one of its run is marked."""
+        return np.logical_or.reduceat(marked, self.first)[self.run] if len(marked) else marked
+
+
 def _short_runs(run_bytes: int):
     """The repeated chunks whose run is shorter than ``run_bytes``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            short = [(row, m["a"], m["high"], m["low"]) for row, marks, size in zip(*(batch.column(c).to_pylist() for c in ("row", "marks", "size")))
-                     for chunk_run in _runs(marks) if chunk_run[-1]["b"] - chunk_run[0]["a"] < min(run_bytes, size) for m in chunk_run]
-            kinds = {"row": pa.int64(), "a": pa.int32(), "high": pa.int64(), "low": pa.int64()}
-            columns = zip(*short) if short else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds.values())], names=list(kinds))
+            runs = Runs(batch, run_bytes)
+            short = ~runs.long
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(pa.array(runs.text[short])), *[pa.array(runs.columns[c][short]) for c in ("a", "high", "low")]],
+                names=["row", "a", "high", "low"])
 
     return run
 
@@ -240,14 +271,19 @@ def _common_chunks(texts: DataFrame, marks: DataFrame, run_bytes: int) -> DataFr
 
 
 def _long_runs(run_bytes: int):
+    """Of each text the repeated chunks that lie in long enough runs, or in runs marked as ``common``
+    (within ``run_bytes`` that occur elsewhere too), and which of them go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [passages(m, size, run_bytes) for m, size in zip(batch.column("marks").to_pylist(), batch.column("size").to_pylist())]
-            gone = [[m for m in f if m["gone"]] for f in found]
-            spans = pa.array([[{"a": m["a"], "b": m["b"]} for m in g] for g in gone], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+            runs, n = Runs(batch, run_bytes), batch.num_rows
+            found = runs.long | runs.any(runs.columns["common"])
+            gone = found & runs.columns["gone"]
+            a, b, text = runs.columns["a"][gone], runs.columns["b"][gone], runs.text[gone]
+            removed = np.bincount(text, minlength=n)
+            spans = pa.ListArray.from_arrays(np.cumsum([0, *removed]).astype(np.int32), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array([len(f) for f in found], pa.int64()), pa.array([len(g) for g in gone], pa.int64()),
-                 pa.array([sum(m["b"] - m["a"] for m in g) for g in gone], pa.int64()), spans],
+                [batch.column("row"), pa.array(np.bincount(runs.text[found], minlength=n), pa.int64()), pa.array(removed, pa.int64()),
+                 pa.array(np.bincount(text, weights=b - a, minlength=n).astype(np.int64)), spans],
                 names=["row", "n_repeated", "n_removed", "removed_bytes", "spans"])
 
     return run

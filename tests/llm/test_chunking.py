@@ -1,4 +1,8 @@
+import random
+
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from orbitcart.llm import chunking
 
@@ -153,3 +157,43 @@ def test_a_piece_of_a_longer_passage_is_found(awkward):
     rows += [(3, "Z" * 40 + piece + "Q" * 40)]
     removed = {r.doc_id: r.removed_bytes for r in chunking.dedup_chunks(awkward(rows)).collect()}
     assert removed[1] == 0 and removed[2] > 0 and removed[3] > 0
+
+
+def test_runs_of_a_batch_are_those_of_each_text():
+    rnd = random.Random(12)
+    texts = []
+    for row in range(200):
+        ends = sorted(rnd.sample(range(1, 400), rnd.randrange(1, 24)))
+        marks = [{"a": a, "b": b, "gone": rnd.random() < 0.7, "common": rnd.random() < 0.1, "high": a, "low": -b}
+                 for a, b in zip([0, *ends], ends) if rnd.random() < 0.7]
+        rnd.shuffle(marks)
+        texts.append({"row": row, "marks": marks, "size": ends[-1]})
+    kind = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("gone", pa.bool_()), ("common", pa.bool_()), ("high", pa.int64()), ("low", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("marks", pa.list_(kind)), ("size", pa.int32())])
+    batch = pa.RecordBatch.from_pylist(texts, schema)
+    for some in (batch, batch.slice(30, 40), batch.slice(0, 0)):
+        got = [r for b in chunking._long_runs(96)(iter([some])) for r in b.to_pylist()]
+        short = [r for b in chunking._short_runs(96)(iter([some])) for r in b.to_pylist()]
+        want, want_short = [], []
+        for t in some.to_pylist():
+            found = chunking.passages(t["marks"], t["size"], 96)
+            gone = [m for m in found if m["gone"]]
+            want.append({"row": t["row"], "n_repeated": len(found), "n_removed": len(gone), "removed_bytes": sum(m["b"] - m["a"] for m in gone),
+                         "spans": [{"a": m["a"], "b": m["b"]} for m in gone]})
+            kept = {m["a"] for m in chunking.passages([m | {"common": False} for m in t["marks"]], t["size"], 96)}
+            want_short += [{"row": t["row"], **{c: m[c] for c in ("a", "high", "low")}} for m in sorted(t["marks"], key=lambda m: m["a"]) if m["a"] not in kept]
+        assert got == want
+        assert short == want_short
+
+
+def test_chunk_digests_are_those_of_the_library(spark):
+    rows = spark.createDataFrame([(1, 5, "first text of some chunks, " * 20), (None, 6, "é日🙂 " * 50), (3, 7, "")], "doc_id long, row long, text string")
+    got = sorted((r.row, r.a, r.b, r.high, r.low, r.doc_id, r.size) for r in chunking.chunks(rows).collect())
+    want = []
+    for doc_id, row, text in rows.collect():
+        data, at = text.encode(), 0
+        for end in chunking.chunk_ends(np.frombuffer(data, np.uint8)):
+            digest = xxhash.xxh3_128_intdigest(data[at:end])
+            want.append((row, at, end, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), doc_id, len(data)))
+            at = end
+    assert got == sorted(want)
