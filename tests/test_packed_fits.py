@@ -4,6 +4,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.sql import functions as F
 
 from orbitcart.operators import churn
+from orbitcart.plans import pipeline
 
 
 def _store(spark, n=400, parts=40):
@@ -44,3 +45,13 @@ def test_retraining_decides_on_all_rows(spark, fitted_on):
     got = decision.first()
     assert chosen is incumbent and not got["promoted"]  # the same rows give the same model
     assert got["incumbent_auc"] == got["candidate_auc"] and train.count() + hold.count() == fs.count()
+
+
+def test_stored_customer_frames_follow_their_rows(spark):
+    """Before, a stored frame kept all shuffle partitions, and each pass over it had as many tasks."""
+    r = pipeline.Retail(spark, "/nowhere")
+    large, small = spark.range(0, 120_000, 1, 40), spark.range(0, 50, 1, 40)
+    stored = r._cut(large.withColumn("x", F.col("id") % 7))
+    assert stored.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, 3)
+    assert stored.count() == 120_000 and stored.agg(F.sum("id")).first()[0] == sum(range(120_000))
+    assert r._cut(small).rdd.getNumPartitions() == 40  # random draws of fits on small frames stay as they are
