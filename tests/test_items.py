@@ -1,8 +1,11 @@
 """The stored items: all rows of the master in few columns; features and recommendations read nothing else."""
+import glob
+import time
 from datetime import datetime
 
 import pytest
 
+from orbitcart.operators import executive
 from orbitcart.plans import jobs, pipeline
 from orbitcart.plans.registry import all_queries
 
@@ -41,3 +44,27 @@ def test_wide_master_is_not_built(spark, folder, name):
     assert r.items.inputFiles() and not r.items.is_cached  # read from files
     stored = [t for t in ("popularity", "interactions", "neighbours", "affinity") if t in jobs.jobs(spark, folder).__dict__]
     assert name != "K6_hybrid_recommendations" or len(stored) == 4
+
+
+def test_executive_summary_reads_the_items(spark, folder):
+    """Before, the wide master was persisted for it, next to the items that its customers come from."""
+    got = all_queries()["M10_executive_summary"](spark, folder).collect()
+    r = pipeline.retail(spark, folder)
+    assert "items" in r.__dict__ and "master" not in r.__dict__
+    whole = pipeline.Retail(spark, folder, persist=False)
+    assert got == executive.executive_summary(whole.master, whole.feature_store, whole.order_facts).collect() and len(got) == 1
+
+
+def test_items_leave_no_shuffle_files(spark, folder):
+    """Before, they stayed on the disks until the driver's heap happened to be collected."""
+    def files():
+        dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        return {f for d in dirs for f in glob.glob(f"{d.getPath()}/*/shuffle_*")}
+
+    r = pipeline.Retail(spark, folder)
+    r.raw, before = r.raw, files()
+    assert r.items.inputFiles()
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
