@@ -57,3 +57,46 @@ def test_lookup_reads_the_index_by_its_runs(tables):
     hits = search(*tables, "ann.77")
     plan = hits._jdf.queryExecution().toString()
     assert "In(gram, [.77,ann,n.7,nn.])], ReadSchema" in plan  # among the pushed filters
+
+
+def _rows_exchanged(df):
+    """Rows written by the exchanges of a plan that has run."""
+    plan, rows = df._jdf.queryExecution().executedPlan(), []
+    df.collect()
+
+    def walk(p):
+        if "ShuffleExchange" in p.getClass().getSimpleName():
+            rows.append(p.metrics().apply("shuffleRecordsWritten").value())
+        children = p.finalPhysicalPlan() if "AdaptiveSparkPlan" in p.getClass().getSimpleName() else p.plan() if "QueryStage" in p.getClass().getSimpleName() else None
+        if children is not None:
+            return walk(children)
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    return rows
+
+
+def test_index_exchanges_ids_not_runs(tables):
+    """Before, every run of every id was sent to the range it belongs to."""
+    index, table = tables
+    assert _rows_exchanged(gram_index(table, 3)) == [table.count()]
+    assert index.count() > 4 * table.count()
+    once = sorted(map(str, gram_index(table).collect()))
+    assert once == sorted(map(str, index.collect())) and len(set(once)) == len(once)
+
+
+def test_rows_that_lie_by_order_are_added_up_in_place(spark, tables):
+    """Before, the join with the customers' labels sent all entities again."""
+    n = 400
+    master = spark.range(n).selectExpr("id % 9 AS customer_unique_id", "id DIV 4 AS order_id", "id % 7 AS seller_id", "id % 11 AS product_id",
+                                       "'c' AS product_category_name_english", "1.5D AS price", "'done' AS order_status",
+                                       "timestamp'2020-01-01' AS order_purchase_timestamp", "'SP' AS seller_state")
+    fs = spark.createDataFrame([(k, "x", 0, 1.0) for k in range(9)], "customer_unique_id long, rfm_segment string, churn_label int, total_spending double")
+    got = entities(master.repartition(4, "order_id"), fs)
+    rows = _rows_exchanged(got)
+    # the items by order, what each of four parts holds of each entity, and the customers
+    assert len(rows) == 3 and sorted(rows)[0] == 9 and sorted(rows)[-1] == n and sorted(rows)[1] <= n / 4 + 4 * (9 + 7 + 11 + 1)
+    kept = got.collect()
+    assert len(kept) == n / 4 + 9 + 7 + 11 + 1 and all((r.status is not None) == (r.entity_type == "order") for r in kept)
+    assert {(r.orders, r["items"], r.revenue) for r in kept if r.entity_type == "category"} == {(n / 4, n, 1.5 * n)}
