@@ -130,3 +130,28 @@ def test_recommendations_are_cut_before_they_are_joined(spark, monkeypatch):
         ranked = sorted((-round(s, 10), -(1 + p % 5), p) for p, s in score.items() if p not in bought and s > 0)
         want |= {(c, i + 1): (p, round(-s, 9)) for i, (s, _, p) in enumerate(ranked[:5])}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+
+
+def test_pairs_are_exchanged_in_rounds(spark, monkeypatch):
+    """Before, all baskets and all purchases' neighbours were on the disks at once."""
+    rng = np.random.default_rng(8)
+    counts = [(c, int(p), int(rng.integers(1, 4)), f"k{p % 3}") for c in range(40) for p in rng.choice(50, 8, replace=False)]
+    inter = spark.createDataFrame(counts, SCHEMA)
+    pop = spark.createDataFrame([(p, f"k{p % 3}", 1 + p % 5, 3.0) for p in range(50)], "product_id long, product_category_name_english string, total_units long, avg_rating double")
+    affinity = K.content_affinity(inter, K.category_similarity(pop))
+    stored = {}
+
+    def counted(df, name="step"):
+        out = written_table(df, name)
+        stored.setdefault(name, []).append(out.count())
+        return out
+
+    def run():
+        near = written_table(K.neighbours(inter, 4))
+        return sorted(map(tuple, near.collect())), sorted(map(tuple, K.recommend(inter, near, affinity, pop, 5).collect()))
+
+    at_once = run()
+    monkeypatch.setattr(K, "written_table", counted)
+    monkeypatch.setattr(K, "ROUND_PAIRS", 1_000)  # of 40 x 8 x 8 and 40 x 8 x 20 pairs
+    assert run() == at_once
+    assert len(stored["near-round"]) == 3 and len(stored["collab-round"]) == 7 and min(stored["near-round"]) > 0
